@@ -99,7 +99,8 @@ def brand_steps(source: str, name: str, city: str, merchant: str) -> str:
     return f"""
     SELECT *, CASE WHEN vending THEN NULL WHEN chain_name IS NOT NULL THEN chain_name
                    WHEN vague THEN '#' || {merchant} ELSE base END AS brand
-    FROM (SELECT *, coalesce(op_chain, list_filter(list_transform(tails, lambda t: {chain_case}), lambda c: c IS NOT NULL)[1]) AS chain_name,
+    FROM (SELECT *, coalesce(op_chain, base_chain) AS chain_name FROM (
+          SELECT *, list_filter(list_transform(tails, lambda t: {chain_case}), lambda c: c IS NOT NULL)[1] AS base_chain,
                  len(list_filter(toks, lambda t: NOT list_contains({generic}, t))) = 0 AS vague
           FROM (SELECT *, list_transform(range(0, least(lead, len(toks) - 1) + 1), lambda i: array_to_string(toks[i + 1:], ' ')) AS tails
                 FROM (SELECT *, array_to_string(toks, ' ') AS base,
@@ -111,7 +112,7 @@ def brand_steps(source: str, name: str, city: str, merchant: str) -> str:
                                   FROM (SELECT *, regexp_matches({name}, {q(brands.VENDING_RE)}) AS vending, {operator} AS op_chain,
                                                regexp_replace(regexp_replace(regexp_replace({name}, '([A-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Z])', '\\1 \\2', 'g') || ' ',
                                                               '^ *(?:(?:{prefixes}) +)+', '') AS led
-                                        FROM {source}))))))
+                                        FROM {source})))))))
     """
 
 
@@ -185,7 +186,7 @@ CTES: dict[str, str] = {
                  FROM attrs a JOIN top_mcc t ON t.merchant = a.merchant LEFT JOIN location l ON l.merchant = a.merchant
                  LEFT JOIN centroids g ON g.pc5 = l.loc_pc5""",
     "brand_rows": brand_steps("mjoin", "store_nm", "city_text", "merchant"),
-    "branded": f"""SELECT * EXCLUDE (tails, toks, legal, led, op_chain, lead), coalesce(brand LIKE '#%', false) AS generic_name,
+    "branded": f"""SELECT * EXCLUDE (tails, toks, legal, led, op_chain, base_chain, lead), coalesce(brand LIKE '#%', false) AS generic_name,
                           coalesce(list_contains({names(brands.CHAINS)}, brand), false) AS chain FROM brand_rows""",
     "addresses": f"""SELECT brand, loc_pc5 FROM branded WHERE NOT vending AND NOT generic_name AND loc_pc5 IS NOT NULL
                      GROUP BY brand, loc_pc5 HAVING count(*) >= {P.min_registrations}""",
@@ -344,6 +345,15 @@ CTES: dict[str, str] = {
                      FROM geo_prices g JOIN zip_rev z ON replace(z.zip_code, '-', '') = replace(g.postal_code, '-', '') WHERE z.type = 'restaurant'""",
     "part_items": """SELECT 'P' || CAST(p_partkey AS VARCHAR) AS postal_code, p_brand AS type, p_retailprice AS revenue,
                             CAST(p_size AS DOUBLE) * 10 AS total_cost FROM part""",
+    "sample_fit": """SELECT id, ln(cenaTransakcjiBrutto) AS y, ln(powUzytkowaLokalu * 900 + id % 1000) AS pred_y, cenaTransakcjiBrutto AS revenue,
+                     powUzytkowaLokalu * 900 + id % 1000 AS pred_revenue FROM priced""",
+    "fit_cuts": "SELECT quantile_cont(y, 0.8) AS cy, quantile_cont(pred_y, 0.8) AS cp, avg(y) AS my FROM sample_fit",
+    "fit_ranks": """SELECT *, abs(revenue - pred_revenue) / revenue AS e,
+                           rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
+                           rank() OVER (ORDER BY pred_y) + (count(*) OVER (PARTITION BY pred_y) - 1) / 2.0 AS rp FROM sample_fit""",
+    "first_sales": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY cenaTransakcjiBrutto, powUzytkowaLokalu, ulica, geometry ORDER BY id) AS rn
+                      FROM sale_points) WHERE rn = 1""",
+    "shapes": "SELECT *, 560000 + n_nationkey % 5 * 2800 AS x0, 240000 + n_nationkey // 5 * 1800 AS y0 FROM nation",
     # --- register ------------------------------------------------------------
     "e_tp": """SELECT 'T' || o_orderkey AS id_transakcji, 'N' || o_orderkey AS id_nieruchomosci FROM orders
                UNION ALL SELECT 'T' || o_orderkey, 'N' || o_orderkey || 'b' FROM orders WHERE o_orderkey % 3 = 0""",

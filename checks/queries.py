@@ -28,7 +28,7 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
-        self.prefix = stage_prefix(sf_dir, P)
+        self.prefix = stage_prefix(sf_dir, P, spark.sparkContext.applicationId)
         self.run = CardRun(spark, lambda: self.card, self.geo, P, self.prefix)
 
     def sql(self, text_: str) -> DataFrame:
@@ -129,9 +129,10 @@ class Inputs:
         return self.written("register", lambda path: _register_lines(self.table("orders")).write.mode("overwrite").text(path))
 
     def features(self, name: str) -> DataFrame:
-        return register.read_features(self.spark, self.register_path, name)
+        return register.read_features(self.spark, self.register_path, name, member_end=MEMBER_END)
 
 
+MEMBER_END = "</gml:featureMember>"
 _WRITTEN: dict[tuple[str, str], set[str]] = {}
 
 
@@ -142,6 +143,7 @@ def _register_lines(orders: DataFrame) -> DataFrame:
 
     def line(template: str, rows: DataFrame) -> DataFrame:
         pieces = []
+        template = f"<gml:featureMember>{template}{MEMBER_END}"
         for i, part in enumerate(template.replace("{", "\0").replace("}", "\0").split("\0")):
             pieces.append(F.expr(part).cast("string") if i % 2 else F.lit(part))
         return rows.select(F.concat(*pieces).alias("value"))
@@ -175,7 +177,8 @@ def _register_lines(orders: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Check:
-    """``cols``: "name:kind ..." with kinds s text, i whole number, d number (6 decimals), b boolean, a texts."""
+    """``cols``: "name:kind ..." with kinds s text, i whole number, d number (6 decimals),
+    x number as it is, b boolean, a texts."""
 
     build: Callable[[Inputs], DataFrame]
     cols: str
@@ -191,6 +194,7 @@ class Check:
             "d": lambda c: F.round(F.col(c).cast("double"), 6),
             "b": lambda c: F.col(c).cast("boolean"),
             "a": lambda c: F.array_join(F.col(c), ","),
+            "x": lambda c: F.col(c).cast("double"),
         }
         return self.build(inputs).select(*[kinds[k](c).alias(c) for c, k in self.spec()])
 
@@ -199,7 +203,7 @@ class Check:
             return None
         kinds = {
             "s": "CAST({c} AS VARCHAR)", "i": "CAST({c} AS BIGINT)", "d": "round(CAST({c} AS DOUBLE), 6)",
-            "b": "CAST({c} AS BOOLEAN)", "a": "array_to_string({c}, ',')",
+            "b": "CAST({c} AS BOOLEAN)", "a": "array_to_string({c}, ',')", "x": "CAST({c} AS DOUBLE)",
         }
         body = self.sql if self.sql.lstrip().upper().startswith("SELECT") else f"SELECT * FROM {self.sql}"
         outer = ", ".join(f"{kinds[k].format(c=c)} AS {c}" for c, k in self.spec())
@@ -265,7 +269,7 @@ check("month_window", TX, lambda c: registry.month_window(c.tx, P.train_year), f
 check("non_hub_rows", REST, lambda c: registry.non_hub_rows(c.run.rest_cp), "non_hub")
 check("located_merchants", MERCHANTS, lambda c: registry.located_merchants(c.run.merchants), "SELECT * FROM merchants WHERE located")
 check("krakow_filter", GEO + " row_no:i", lambda c: housing.krakow_filter(c.geo), "krakow")
-check("price_band", SALES + " cena_m2:d", lambda c: housing.price_band(c.sales, 500), "priced")
+check("price_band", SALES + " cena_m2:x", lambda c: housing.price_band(c.sales, 500), "priced")
 check("fractional_sale_filter", SALES, lambda c: housing.fractional_sale_filter(c.sales),
       f"""SELECT * REPLACE (coalesce(dodatkoweInformacje, '') AS dodatkoweInformacje) FROM sales
           WHERE NOT regexp_matches(lower(coalesce(dodatkoweInformacje, '')), {o.q('|'.join(flags.FRACTIONAL_WORDS))})""")
@@ -316,7 +320,7 @@ check("lookup_by_group", TX + " spent:d", lambda c: common.lookup_by_group(c.tx,
 BRIDGE = "id_transakcji:s id_nieruchomosci:s id_dokumentu:s id_lokalu:s id_adresu:s id_budynku:s"
 check("feature_bridge", BRIDGE, lambda c: _bridge(c), "bridge")
 check("register_merge", BRIDGE + " cenaTransakcjiBrutto:d rodzajTransakcji:s rodzajRynku:s powUzytkowaLokalu:s geometry_wkt:s dataSporzadzeniaDokumentu:s rodzajBudynku:s ulica:s numerPorzadkowy:s",
-      lambda c: housing_plan.merge_register(c.spark, c.register_path),
+      lambda c: housing_plan.merge_register(c.spark, c.register_path, MEMBER_END),
       """SELECT b.*, t.o_totalprice AS cenaTransakcjiBrutto, '1' AS rodzajTransakcji, 1 + t.o_orderkey % 2 AS rodzajRynku,
                 l.pow AS powUzytkowaLokalu, l.wkt AS geometry_wkt, CAST(d.o_orderdate AS DATE) AS dataSporzadzeniaDokumentu,
                 CAST(110 + TRY_CAST(substr(b.id_budynku, 2) AS INT) % 3 AS VARCHAR) AS rodzajBudynku,
@@ -404,11 +408,8 @@ check("running_best", "rodzajRynku:i id:i best:i", lambda c: common.running_best
 
 # --- sorts, limits, top-k; set operations ---------------------------------------------
 check("ordered_output", CELLS, lambda c: common.ordered_output(c.run.cells, ["mrch_catg_cd", "pc5"]), "cells")
-SCORED = """(SELECT id, ln(cenaTransakcjiBrutto) AS y, ln(powUzytkowaLokalu * 900 + id % 1000) AS pred_y, cenaTransakcjiBrutto AS revenue,
-             powUzytkowaLokalu * 900 + id % 1000 AS pred_revenue FROM priced)"""
 check("top_quintile_precision", "value:d", lambda c: model.top_quintile_precision(c.scored),
-      f"""SELECT avg(CASE WHEN s.y >= t.cy THEN 1.0 ELSE 0.0 END) FILTER (WHERE s.pred_y >= t.cp) AS value
-          FROM {SCORED} s, (SELECT quantile_cont(y, 0.8) AS cy, quantile_cont(pred_y, 0.8) AS cp FROM {SCORED}) t""")
+      "SELECT avg(CASE WHEN y >= cy THEN 1.0 ELSE 0.0 END) FILTER (WHERE pred_y >= cp) AS value FROM sample_fit, fit_cuts")
 check("top_k_profit", "postal_code:s revenue:d total_cost:d profit:d", lambda c: selection.top_k_profit(c.candidates, 1e9, 7),
       "SELECT postal_code, revenue, total_cost, revenue - total_cost AS profit FROM candidates WHERE revenue > total_cost ORDER BY profit DESC, postal_code LIMIT 7")
 check("stack_populations", "population:s n:i revenue:d",
@@ -435,7 +436,7 @@ def _both_catchments(c: Inputs) -> DataFrame:
 
 
 def _bridge(c: Inputs) -> DataFrame:
-    e = housing_plan.register_edges(c.spark, c.register_path)
+    e = housing_plan.register_edges(c.spark, c.register_path, MEMBER_END)
     return housing.feature_bridge(e["transaction_property"], e["transaction_document"], e["property_premises"], e["premises_address"], e["property_building"])
 
 
@@ -485,7 +486,7 @@ expr("outside_share", "id:i v:d", "sales", lambda: {"id": C("id"), "v": flags.ou
 expr("per_shop_features", "id:i cards_per_shop:d spend_per_shop_proxy:d", "sales",
      lambda: {"id": C("id"), **flags.per_shop_features(C("powUzytkowaLokalu"), C("liczbaIzb"), C("nrKondygnacji"), C("cenaTransakcjiBrutto").cast("double"))},
      "id, powUzytkowaLokalu / CAST(liczbaIzb AS DOUBLE) AS cards_per_shop, powUzytkowaLokalu / CAST(liczbaIzb AS DOUBLE) * nrKondygnacji * CAST(cenaTransakcjiBrutto AS DOUBLE) AS spend_per_shop_proxy")
-expr("price_per_m2", "id:i v:d", "sales", lambda: {"id": C("id"), "v": flags.price_per_m2(C("cenaTransakcjiBrutto"), C("powUzytkowaLokalu"))},
+expr("price_per_m2", "id:i v:x", "sales", lambda: {"id": C("id"), "v": flags.price_per_m2(C("cenaTransakcjiBrutto"), C("powUzytkowaLokalu"))},
      "id, CAST(cenaTransakcjiBrutto AS DOUBLE) / powUzytkowaLokalu AS v")
 expr("doc_year", "id:i v:i", "sales", lambda: {"id": C("id"), "v": flags.doc_year(C("dataSporzadzeniaDokumentu"))},
      "id, year(TRY_CAST(dataSporzadzeniaDokumentu AS DATE)) AS v")
@@ -547,9 +548,9 @@ _STEPS = o.brand_steps(NAMES, "nm1", "city", "merchant")
 check("vending_filter", "nm1:s city:s vending:b", lambda c: _name_rows(c).withColumn("vending", brands.vending_filter(C("nm1"))), _STEPS)
 check("clean_base", "nm1:s city:s base:s", lambda c: _name_rows(c).withColumn("base", brands.clean_base(C("nm1"), C("city"))), _STEPS)
 check("operator_prefix", "nm1:s city:s op_chain:s", lambda c: _name_rows(c).withColumn("op_chain", brands.operator_prefix(C("nm1"))), _STEPS)
-check("chain_match", "nm1:s city:s chain_name:s",
-      lambda c: _name_rows(c).withColumn("chain_name", brands.chain_match(brands.clean_base(C("nm1"), C("city")))),
-      f"SELECT nm1, city, CASE WHEN op_chain IS NULL THEN chain_name ELSE NULL END AS chain_name FROM ({_STEPS})")
+check("chain_match", "nm1:s city:s base_chain:s",
+      lambda c: _name_rows(c).withColumn("base_chain", brands.chain_match(brands.clean_base(C("nm1"), C("city")))),
+      f"SELECT nm1, city, base_chain FROM ({_STEPS})")
 check("generic_test", "tok:s v:b", lambda c: _name_rows(c).select(F.explode(F.split("nm1", " ")).alias("tok")).distinct().withColumn("v", brands.generic_test(C("tok"))),
       f"""SELECT tok, list_contains({o.names(brands.generic_vocabulary())}, tok) AS v FROM (SELECT DISTINCT unnest(string_split(nm1, ' ')) AS tok FROM tx)""")
 check("assign_brands", BRANDED, lambda c: brands.assign_brands(registry.merchant_join(c.run.rest_cp, c.run.location, c.run.centroids)), "branded")
@@ -580,12 +581,8 @@ check("predict_all", "pc5:s mrch_catg_cd:i predicted_revenue:d out_of_fold:b",
 check("heldout_predictions", "pc5:s mrch_catg_cd:i district:s n_shops:i n_full_year:i actual_revenue:d predicted_revenue:d ape:d",
       lambda c: model.heldout_predictions(c.run.cells, "revenue", **SMALL_GBT))
 check("model_metrics", "cells:i r2:d mape:d median_ape:d spearman:d top20_precision:d", lambda c: model.model_metrics(c.scored),
-      f"""WITH s AS MATERIALIZED (SELECT *, abs(revenue - pred_revenue) / revenue AS e FROM {SCORED}),
-          r AS (SELECT *, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
-                       rank() OVER (ORDER BY pred_y) + (count(*) OVER (PARTITION BY pred_y) - 1) / 2.0 AS rp FROM s),
-          t AS (SELECT quantile_cont(y, 0.8) AS cy, quantile_cont(pred_y, 0.8) AS cp, avg(y) AS my FROM s)
-          SELECT count(*) AS cells, 1 - sum((y - pred_y) * (y - pred_y)) / sum((y - my) * (y - my)) AS r2, avg(e) AS mape, median(e) AS median_ape,
-                 corr(ry, rp) AS spearman, avg(CASE WHEN y >= cy THEN 1.0 ELSE 0.0 END) FILTER (WHERE pred_y >= cp) AS top20_precision FROM r, t""")
+      """SELECT count(*) AS cells, 1 - sum((y - pred_y) * (y - pred_y)) / sum((y - my) * (y - my)) AS r2, avg(e) AS mape, median(e) AS median_ape,
+                corr(ry, rp) AS spearman, avg(CASE WHEN y >= cy THEN 1.0 ELSE 0.0 END) FILTER (WHERE pred_y >= cp) AS top20_precision FROM fit_ranks, fit_cuts""")
 check("zip_revenue", "zip_code:s type:s predicted_revenue:d", lambda c: model.zip_revenue(c.run.cells.withColumn("predicted_revenue", F.col("revenue"))),
       """SELECT substr(pc5, 1, 2) || '-' || substr(pc5, 3) AS zip_code, CASE mrch_catg_cd WHEN 5812 THEN 'restaurant' WHEN 5814 THEN 'fast food' END AS type,
          round(revenue, 2) AS predicted_revenue FROM cells""")
@@ -611,14 +608,18 @@ check("select_locations_exact_k2", "pc_a:s pc_b:s profit:d", lambda c: selection
                 a.revenue - a.total_cost + b.revenue - b.total_cost AS profit
          FROM part_items a JOIN part_items b ON a.postal_code < b.postal_code AND a.total_cost + b.total_cost <= 300
          ORDER BY profit DESC, pc_a, pc_b LIMIT 1""")
-check("sale_features", " ".join(f"{c}:{'s' if c in ('rodzajRynku', 'dzielnica') else 'd'}" for c in housing.MODEL_COLUMNS),
-      lambda c: _features(c), None)
-
-
-def _features(c: Inputs) -> DataFrame:
-    cleaned = housing.clean_sales(c.priced.withColumn("dataSporzadzeniaDokumentu", F.col("dataSporzadzeniaDokumentu")), "id")
-    located = housing.sale_features(cleaned, c.polygons, reproject=False)
-    return located
+check("sale_features", " ".join(f"{c}:{'s' if c in ('rodzajRynku', 'dzielnica') else 'x' if c == 'cena_m2' else 'd'}" for c in housing.MODEL_COLUMNS),
+      lambda c: housing.sale_features(housing.clean_sales(c.priced, "id"), c.polygons, reproject=False, years=(1995, 1997)),
+      f"""SELECT s.cena_m2, s.powUzytkowaLokalu, s.nrKondygnacji, s.liczbaIzb, CASE s.rodzajRynku WHEN 1 THEN 'Pierwotny' ELSE 'Wtórny' END AS rodzajRynku,
+                 n.n_name AS dzielnica, year(TRY_CAST(s.dataSporzadzeniaDokumentu AS DATE)) AS rok,
+                 sqrt(pow(s.x - 566350, 2) + pow(s.y - 244150, 2)) AS dist_to_center, {o.words_flag('dodatkoweInformacje', flags.PARKING_WORDS)} AS has_parking,
+                 {o.words_flag('dodatkoweInformacje', flags.BALCONY_WORDS)} AS has_balcony, {o.words_flag('dodatkoweInformacje', flags.STORAGE_WORDS)} AS has_storage,
+                 s.x AS X_2180, s.y AS Y_2180
+          FROM first_sales s JOIN shapes n ON s.x > n.x0 AND s.x < n.x0 + 2500 AND s.y > n.y0 AND s.y < n.y0 + 1500
+           AND (n.n_nationkey % 2 = 0 OR s.y < n.y0 + 700 OR s.x < n.x0 + 1200)
+          WHERE NOT regexp_matches(lower(coalesce(dodatkoweInformacje, '')), {o.q('|'.join(flags.FRACTIONAL_WORDS))})
+            AND powUzytkowaLokalu BETWEEN 15 AND 200 AND starts_with(funkcjaLokalu, '1') AND starts_with(rodzajTransakcji, '1') AND rodzajBudynku = 110
+            AND year(TRY_CAST(dataSporzadzeniaDokumentu AS DATE)) BETWEEN 1995 AND 1997 AND nrKondygnacji >= 0""")
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> Inputs:

@@ -149,7 +149,14 @@ def clean_sales(sales: DataFrame, order: str, keys: Sequence[str] = DEDUPE_KEYS)
     return dedupe_keep_first(sales, keys, order)
 
 
-def sale_features(sales: DataFrame, polygons: DataFrame, reproject: bool = True) -> DataFrame:
+def sale_features(
+    sales: DataFrame,
+    polygons: DataFrame,
+    reproject: bool = True,
+    area: tuple[float, float] = AREA_BAND,
+    years: tuple[int, int] = YEARS,
+    building: int = APARTMENT_BUILDING,
+) -> DataFrame:
     """District, amenities, year, position and distance of every usable sale."""
     x, y = geo.parse_point(F.col("geometry"))
     if reproject:
@@ -161,7 +168,8 @@ def sale_features(sales: DataFrame, polygons: DataFrame, reproject: bool = True)
     located = rename_recode(dated, {"x": "X_2180", "y": "Y_2180"}).withColumn(
         "dist_to_center", geo.distance_to_centre(F.col("X_2180"), F.col("Y_2180"))
     )
-    return complete_cases(residential_sale_filter(located).select(*MODEL_COLUMNS), MODEL_COLUMNS)
+    homes = residential_sale_filter(located, area, years, building)
+    return complete_cases(homes.select(*MODEL_COLUMNS), MODEL_COLUMNS)
 
 
 def price_stats(sales: DataFrame, key: str = "postal_code", value: str = "cena_m2") -> DataFrame:

@@ -11,11 +11,11 @@ from placewise.operators.spatial import nearest_postcode
 from placewise.sources import register as r
 
 
-def register_edges(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def register_edges(spark: SparkSession, path: str, member_end: str | None = None) -> dict[str, DataFrame]:
     """The six link tables of a register file."""
-    trans = r.read_features(spark, path, "RCN_Transakcja")
-    prop = r.read_features(spark, path, "RCN_Nieruchomosc")
-    premises = r.read_features(spark, path, "RCN_Lokal")
+    trans = r.read_features(spark, path, "RCN_Transakcja", member_end=member_end)
+    prop = r.read_features(spark, path, "RCN_Nieruchomosc", member_end=member_end)
+    premises = r.read_features(spark, path, "RCN_Lokal", member_end=member_end)
     return {
         "transaction_property": r.edges_transaction_property(trans),
         "transaction_document": r.edges_transaction_document(trans),
@@ -26,9 +26,9 @@ def register_edges(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def merge_register(spark: SparkSession, path: str) -> DataFrame:
+def merge_register(spark: SparkSession, path: str, member_end: str | None = None) -> DataFrame:
     """One row per sold premises with the attributes of all linked features."""
-    edges = register_edges(spark, path)
+    edges = register_edges(spark, path, member_end)
     bridge = h.feature_bridge(
         edges["transaction_property"], edges["transaction_document"], edges["property_premises"],
         edges["premises_address"], edges["property_building"],
@@ -37,7 +37,7 @@ def merge_register(spark: SparkSession, path: str) -> DataFrame:
     def plain(feature: str) -> DataFrame:
         links = r.FEATURE_LINKS.get(feature, ())
         drop = [*links] + ([] if feature == "RCN_Lokal" else ["geometry_wkt"])
-        return r.read_features(spark, path, feature).drop(*drop)
+        return r.read_features(spark, path, feature, member_end=member_end).drop(*drop)
 
     return h.register_merge(
         bridge, plain("RCN_Transakcja"), plain("RCN_Lokal"), plain("RCN_Dokument"), plain("RCN_Budynek"), plain("RCN_Adres")

@@ -45,32 +45,49 @@ def feature_schema(feature: str, attributes: Sequence[str] | None = None, links:
     )
 
 
-def read_features(spark: SparkSession, path: str, feature: str, schema: T.StructType | None = None) -> DataFrame:
-    """One feature class as gml_id, attributes, link arrays and geometry_wkt."""
+def read_features(
+    spark: SparkSession,
+    path: str,
+    feature: str,
+    schema: T.StructType | None = None,
+    member_end: str | None = None,
+) -> DataFrame:
+    """One feature class as gml_id, attributes, link arrays and geometry_wkt.
+
+    Whole XML documents are streamed, one task per file.  Where every feature
+    is wrapped in a member element, ``member_end`` (its closing tag, such as
+    ``</gml:featureMember>``) lets Spark split a large file between members.
+    """
     schema = schema or feature_schema(feature)
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", feature if ":" in feature else f"rcn:{feature}")
-        .option("ignoreNamespace", True)
-        .schema(schema)
-        .load(path)
-    )
+    if member_end:
+        fragment = F.regexp_extract("value", rf"(?s)<(?:\w+:)?{feature}[\s>].*</(?:\w+:)?{feature}>", 0)
+        members = spark.read.text(path, lineSep=member_end).select(fragment.alias("xml")).where(F.col("xml") != "")
+        parsed = F.from_xml("xml", schema, {"rowTag": feature, "ignoreNamespace": "true"})
+        raw = members.select(parsed.alias("feature")).select("feature.*")
+    else:
+        reader = spark.read.format("xml").option("rowTag", feature).option("ignoreNamespace", True)
+        raw = reader.schema(schema).load(path)
     pos = F.split(F.trim(F.col("geometria.Point.pos")), r"\s+")
     wkt = F.when(F.size(pos) >= 2, F.concat(F.lit("POINT ("), F.get(pos, 0), F.lit(" "), F.get(pos, 1), F.lit(")")))
     rest = [f.name for f in schema.fields if f.name not in ("_id", "geometria")]
     return raw.select(F.col("_id").alias("gml_id"), *rest, wkt.alias("geometry_wkt"))
 
 
-def _hrefs(link: str) -> Column:
-    return F.filter(F.transform(F.col(link), lambda c: href_id(c["_href"])), lambda h: h.isNotNull() & (h != ""))
+def _hrefs(features: DataFrame, word: str, whole: bool = False) -> Column:
+    """Targets of all link columns whose tag holds ``word`` (or is it, if ``whole``)."""
+    kinds = dict(features.dtypes)
+    tags = [c for c, kind in kinds.items() if kind.startswith("array") and (c == word if whole else word in c)]
+    links = F.flatten(F.array(*[F.coalesce(F.col(t), F.array().cast(kinds[t])) for t in tags]))
+    return F.filter(F.transform(links, lambda c: href_id(c["_href"])), lambda h: h.isNotNull() & (h != ""))
 
 
-def _each(features: DataFrame, link: str, parent: str, child: str) -> DataFrame:
-    return features.select(F.col("gml_id").alias(parent), F.explode(_hrefs(link)).alias(child))
+def _each(features: DataFrame, word: str, parent: str, child: str) -> DataFrame:
+    return features.select(F.col("gml_id").alias(parent), F.explode(_hrefs(features, word)).alias(child))
 
 
-def _last(features: DataFrame, link: str, parent: str, child: str) -> DataFrame:
-    found = features.select(F.col("gml_id").alias(parent), F.try_element_at(_hrefs(link), F.lit(-1)).alias(child))
+def _last(features: DataFrame, word: str, parent: str, child: str, whole: bool = False) -> DataFrame:
+    last = F.try_element_at(_hrefs(features, word, whole), F.lit(-1))
+    found = features.select(F.col("gml_id").alias(parent), last.alias(child))
     return found.where(F.col(parent).isNotNull() & F.col(child).isNotNull())
 
 
@@ -79,7 +96,7 @@ def edges_transaction_property(transactions: DataFrame) -> DataFrame:
 
 
 def edges_transaction_document(transactions: DataFrame) -> DataFrame:
-    return _last(transactions, "podstawaPrawna", "id_transakcji", "id_dokumentu")
+    return _last(transactions, "podstawaPrawna", "id_transakcji", "id_dokumentu", whole=True)
 
 
 def edges_property_premises(properties: DataFrame) -> DataFrame:
