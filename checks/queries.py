@@ -499,16 +499,16 @@ expr("point_wkt", "row_no:i v:s", "geo", lambda: {"row_no": C("row_no"), "v": ge
      "row_no, printf('POINT(%.6f %.6f)', longitude, latitude) AS v")
 expr("parse_point", "id:i x:d y:d", "sales", lambda: {"id": C("id"), **dict(zip("xy", geo.parse_point(C("geometry_wkt"))))}, f"id, {_X} AS x, {_Y} AS y")
 _E, _N = o.tm_forward("latitude", "longitude")
-expr("to_epsg2180", "row_no:i x:d y:d", "geo",
-     lambda: {"row_no": C("row_no"), **{k: F.round(v, 3) for k, v in zip("xy", geo.to_epsg2180(C("latitude"), C("longitude")))}},
-     f"row_no, round({_E}, 3) AS x, round({_N}, 3) AS y")
+check("expr_to_epsg2180", "row_no:i x:d y:d",
+      lambda c: geo.to_epsg2180(c.geo).select("row_no", F.round("x", 3).alias("x"), F.round("y", 3).alias("y")),
+      f"SELECT row_no, round({_E}, 3) AS x, round({_N}, 3) AS y FROM geo")
 _LAT, _LON = o.tm_inverse(f"({_X} - 560000 + 7420000)", f"({_Y} - 240000 + 5540000)", geo.PL_2000_ZONE_7)
 
 
 def _reprojected(c: Inputs) -> DataFrame:
     x, y = geo.parse_point(C("geometry_wkt"))
-    east, north = geo.reproject_2178_2180(x - 560000 + 7420000, y - 240000 + 5540000)
-    return c.sales.select("id", F.round(east, 3).alias("x"), F.round(north, 3).alias("y"))
+    shifted = c.sales.select("id", (x - 560000 + 7420000).alias("x"), (y - 240000 + 5540000).alias("y"))
+    return geo.reproject_2178_2180(shifted).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 _RE, _RN = o.tm_forward("lat", "lon")

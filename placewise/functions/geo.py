@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -19,7 +19,7 @@ CENTRE_X_2180 = 566_350.0
 CENTRE_Y_2180 = 244_150.0
 
 _N = GRS80_F / (2 - GRS80_F)
-_E = math.sqrt(GRS80_F * (2 - GRS80_F))
+ECCENTRICITY = math.sqrt(GRS80_F * (2 - GRS80_F))
 RECTIFYING = GRS80_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 # Krueger series to the fourth order in the third flattening.
 ALPHA = (
@@ -40,7 +40,6 @@ DELTA = (
     56 * _N**3 / 15 - 136 * _N**4 / 35,
     4279 * _N**4 / 630,
 )
-ECCENTRICITY = _E
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -57,43 +56,61 @@ def _series(coefficients, trig, hyper, xi: Column, eta: Column) -> Column:
     return total
 
 
-def project(lat: Column, lon: Column, grid=PL_1992) -> tuple[Column, Column]:
-    """Geographic degrees -> (easting, northing) in a transverse Mercator grid."""
+def project(df: DataFrame, lat: str, lon: str, grid, east: str, north: str) -> DataFrame:
+    """Adds easting and northing of geographic degrees in a transverse Mercator grid.
+
+    Values used more than once are columns of their own, so each is computed
+    once per row and the generated code stays small.
+    """
     lon0, k0, false_east, false_north = grid
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(_E) * F.atanh(F.lit(_E) * sin_lat))
-    d_lon = F.radians(lon - F.lit(lon0))
-    xi = F.atan2(t, F.cos(d_lon))
-    eta = F.atanh(F.sin(d_lon) / F.sqrt(F.lit(1.0) + t * t))
     scale = F.lit(k0 * RECTIFYING)
-    east = F.lit(false_east) + scale * (eta + _series(ALPHA, F.cos, F.sinh, xi, eta))
-    north = F.lit(false_north) + scale * (xi + _series(ALPHA, F.sin, F.cosh, xi, eta))
-    return east, north
+    t, xi, eta, d_lon = F.col("_t"), F.col("_xi"), F.col("_eta"), F.col("_dl")
+    return (
+        df.withColumns({"_s": F.sin(F.radians(lat)), "_dl": F.radians(F.col(lon) - F.lit(lon0))})
+        .withColumn("_t", F.sinh(F.atanh("_s") - F.lit(ECCENTRICITY) * F.atanh(F.lit(ECCENTRICITY) * F.col("_s"))))
+        .withColumns({"_xi": F.atan2(t, F.cos(d_lon)), "_eta": F.atanh(F.sin(d_lon) / F.sqrt(F.lit(1.0) + t * t))})
+        .withColumns(
+            {
+                east: F.lit(false_east) + scale * (eta + _series(ALPHA, F.cos, F.sinh, xi, eta)),
+                north: F.lit(false_north) + scale * (xi + _series(ALPHA, F.sin, F.cosh, xi, eta)),
+            }
+        )
+        .drop("_s", "_dl", "_t", "_xi", "_eta")
+    )
 
 
-def unproject(east: Column, north: Column, grid) -> tuple[Column, Column]:
-    """(easting, northing) -> (latitude, longitude) in degrees."""
+def unproject(df: DataFrame, east: str, north: str, grid, lat: str, lon: str) -> DataFrame:
+    """Adds latitude and longitude in degrees of a position in a grid."""
     lon0, k0, false_east, false_north = grid
     scale = F.lit(k0 * RECTIFYING)
-    xi = (north - F.lit(false_north)) / scale
-    eta = (east - F.lit(false_east)) / scale
-    xi_c = xi - _series(BETA, F.sin, F.cosh, xi, eta)
-    eta_c = eta - _series(BETA, F.cos, F.sinh, xi, eta)
-    chi = F.asin(F.sin(xi_c) / F.cosh(eta_c))
-    lat = chi
+    xi, eta, chi = F.col("_xi"), F.col("_eta"), F.col("_chi")
+    angle = chi
     for j, d in enumerate(DELTA, start=1):
-        lat = lat + F.lit(d) * F.sin(chi * (2 * j))
-    lon = F.lit(lon0) + F.degrees(F.atan2(F.sinh(eta_c), F.cos(xi_c)))
-    return F.degrees(lat), lon
+        angle = angle + F.lit(d) * F.sin(chi * (2 * j))
+    return (
+        df.withColumns(
+            {"_xi": (F.col(north) - F.lit(false_north)) / scale, "_eta": (F.col(east) - F.lit(false_east)) / scale}
+        )
+        .withColumns(
+            {
+                "_xc": xi - _series(BETA, F.sin, F.cosh, xi, eta),
+                "_ec": eta - _series(BETA, F.cos, F.sinh, xi, eta),
+            }
+        )
+        .withColumn("_chi", F.asin(F.sin("_xc") / F.cosh("_ec")))
+        .withColumns({lat: F.degrees(angle), lon: F.lit(lon0) + F.degrees(F.atan2(F.sinh("_ec"), F.cos("_xc")))})
+        .drop("_xi", "_eta", "_xc", "_ec", "_chi")
+    )
 
 
-def to_epsg2180(lat: Column, lon: Column) -> tuple[Column, Column]:
-    return project(lat, lon, PL_1992)
+def to_epsg2180(df: DataFrame, lat: str = "latitude", lon: str = "longitude", x: str = "x", y: str = "y") -> DataFrame:
+    """Adds metres of the national grid."""
+    return project(df, lat, lon, PL_1992, x, y)
 
 
-def reproject_2178_2180(x: Column, y: Column) -> tuple[Column, Column]:
-    lat, lon = unproject(x, y, PL_2000_ZONE_7)
-    return project(lat, lon, PL_1992)
+def reproject_2178_2180(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Replaces metres of the zone-7 grid by metres of the national grid."""
+    return project(unproject(df, x, y, PL_2000_ZONE_7, "_lat", "_lon"), "_lat", "_lon", PL_1992, x, y).drop("_lat", "_lon")
 
 
 def distance_to_centre(x: Column, y: Column, cx: float = CENTRE_X_2180, cy: float = CENTRE_Y_2180) -> Column:

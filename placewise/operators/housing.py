@@ -159,9 +159,8 @@ def sale_features(
 ) -> DataFrame:
     """District, amenities, year, position and distance of every usable sale."""
     x, y = geo.parse_point(F.col("geometry"))
-    if reproject:
-        x, y = geo.reproject_2178_2180(x, y)
-    placed = district_join(sales.withColumns({"x": x, "y": y}), polygons)
+    points = sales.withColumns({"x": x, "y": y})
+    placed = district_join(geo.reproject_2178_2180(points) if reproject else points, polygons)
     told = fractional_sale_filter(placed).withColumns(flags.amenity_flags(F.col("dodatkoweInformacje")))
     coded = rename_recode(told.withColumn("rodzajRynku", F.col("rodzajRynku").cast("double")), {}, {"rodzajRynku": MARKETS})
     dated = coded.withColumn("rok", flags.doc_year(F.col("dataSporzadzeniaDokumentu"))).where(F.col("rok").isNotNull())

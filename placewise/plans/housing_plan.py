@@ -46,8 +46,7 @@ def merge_register(spark: SparkSession, path: str, member_end: str | None = None
 
 def project_codes(codes: DataFrame) -> DataFrame:
     """Postcodes with x and y in metres of the national grid."""
-    x, y = geo.to_epsg2180(F.col("latitude"), F.col("longitude"))
-    return codes.withColumns({"x": x, "y": y})
+    return geo.to_epsg2180(codes)
 
 
 def price_by_postcode(sales: DataFrame, geonames: DataFrame) -> tuple[DataFrame, DataFrame]:
