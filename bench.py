@@ -47,8 +47,9 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
 
     timed("hub_postcodes", lambda: run.hubs)
-    timed("place_and_tills", lambda: run.rest_cp)
+    timed("place_and_tills", lambda: run.keyed)
     timed("merchant_dim", lambda: run.merchants)
+    timed("shop_facts", lambda: run.facts)
     timed("training_rows", lambda: run.training)
     timed("shop_table", lambda: run.shops)
     timed("shop_tx", lambda: run.shop_tx)
@@ -57,7 +58,7 @@ def main() -> None:
     timed("cells", lambda: run.cells)
     timed("card_month_rollup", lambda: demand.card_month_rollup(inputs.card, params.card_window))
     timed("area_other_spend", lambda: demand.area_other_spend(inputs.card, params.target_year))
-    timed("merchant_location", lambda: registry.merchant_location(run.rest_cp))
+    timed("merchant_location", lambda: registry.merchant_location(run.keyed))
     points = q._xy(inputs.priced)
     codes = housing_plan.project_codes(inputs.codes)
     timed("nearest_postcode", lambda: spatial.nearest_postcode(points, codes))

@@ -61,6 +61,34 @@ class Inputs:
     def tx(self) -> DataFrame:
         return registry.restaurant_tx(self.card)
 
+    # Row-level frames, one row per payment, for the operators' own checks; the
+    # card run reaches the same results over name-months.
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        return reuse_or_build(self.spark, f"{self.prefix}_{name}", build)
+
+    @property
+    def placed(self) -> DataFrame:
+        def build() -> DataFrame:
+            flagged = registry.flag_hub_rows(registry.card_present(self.tx), self.run.hubs)
+            return registry.name_parts_join(registry.resolve_place(flagged, self.run.centroids, self.run.city_county))
+        return self.stage("rows_placed", build)
+
+    @property
+    def stored(self) -> DataFrame:
+        return registry.till_rep_join(self.placed, self.run.components)
+
+    @property
+    def rest_cp(self) -> DataFrame:
+        return self.stage("rows_rest_cp", lambda: registry.multi_outlet_merchants(self.stored, self.run.outlets))
+
+    @property
+    def merchant_tx(self) -> DataFrame:
+        return self.stage("rows_merchant_tx", lambda: registry.merchant_tx(self.rest_cp, self.run.merchants))
+
+    @property
+    def raw_st(self) -> DataFrame:
+        return shops.raw_to_merchant(shops.raw_till_tx(self.card), shops.key_store(self.rest_cp))
+
     @cached_property
     def priced(self) -> DataFrame:
         return housing.price_band(self.sales, 500).withColumn("geometry", F.col("geometry_wkt"))
@@ -266,7 +294,7 @@ check("read_features", "gml_id:s powUzytkowaLokalu:s funkcjaLokalu:s geometry_wk
 check("restaurant_tx", TX, lambda c: registry.restaurant_tx(c.card), "tx")
 check("card_present", TX, lambda c: registry.card_present(c.tx), "SELECT * FROM tx WHERE cp = 1")
 check("month_window", TX, lambda c: registry.month_window(c.tx, P.train_year), f"SELECT * FROM tx WHERE {o.between(P.train_year)}")
-check("non_hub_rows", REST, lambda c: registry.non_hub_rows(c.run.rest_cp), "non_hub")
+check("non_hub_rows", REST, lambda c: registry.non_hub_rows(c.rest_cp), "non_hub")
 check("located_merchants", MERCHANTS, lambda c: registry.located_merchants(c.run.merchants), "SELECT * FROM merchants WHERE located")
 check("krakow_filter", GEO + " row_no:i", lambda c: housing.krakow_filter(c.geo), "krakow")
 check("price_band", SALES + " cena_m2:x", lambda c: housing.price_band(c.sales, 500), "priced")
@@ -296,15 +324,15 @@ check("flag_hub_rows", TX + " hub:b", lambda c: registry.flag_hub_rows(registry.
 check("resolve_place", TX + " hub:b place:s pc_known:b",
       lambda c: registry.resolve_place(registry.flag_hub_rows(registry.card_present(c.tx), c.run.hubs), c.run.centroids, c.run.city_county), "located_tx")
 check("name_parts_join", TX + " base:s num:s", lambda c: registry.name_parts_join(registry.card_present(c.tx)), "placed")
-check("till_rep_join", PLACED + " store_nm:s", lambda c: registry.till_rep_join(c.run.placed, c.run.components), "stored")
-check("multi_outlet_merchants", REST, lambda c: registry.multi_outlet_merchants(c.run.stored, c.run.outlets), "rest_cp")
-check("merchant_dim", MERCHANTS, lambda c: registry.merchant_dim(c.run.rest_cp, c.run.location, c.run.centroids, P.min_registrations), "merchants")
-check("merchant_tx", "merchant:s pc5:s brand:s mcc:i card:s month:i amt:d", lambda c: registry.merchant_tx(c.run.rest_cp, c.run.merchants), "m_tx")
+check("till_rep_join", PLACED + " store_nm:s", lambda c: registry.till_rep_join(c.placed, c.run.components), "stored")
+check("multi_outlet_merchants", REST, lambda c: registry.multi_outlet_merchants(c.stored, c.run.outlets), "rest_cp")
+check("merchant_dim", MERCHANTS, lambda c: registry.merchant_dim(c.rest_cp, c.run.location, c.run.centroids, P.min_registrations), "merchants")
+check("merchant_tx", "merchant:s pc5:s brand:s mcc:i card:s month:i amt:d", lambda c: registry.merchant_tx(c.rest_cp, c.run.merchants), "m_tx")
 check("nullsafe_key_join", "store:s shop_pc:s split:s month:i card:s home_pc5:s spend:d txns:i weekend_spend:d dinner_spend:d is_foreign:b is_premium:b is_business:b",
-      lambda c: demand.nullsafe_key_join(demand.card_month_rollup(c.card, P.card_window), demand.merchant_key(c.run.rest_cp, P.card_window), c.run.split_shops), "shop_tx")
+      lambda c: demand.nullsafe_key_join(demand.card_month_rollup(c.card, P.card_window), demand.merchant_key(c.rest_cp, P.card_window), c.run.split_shops), "shop_tx")
 check("raw_to_merchant", "mrch_nm_raw:s nm1:s city:s pc5:s month:i mcc:i card:s amt:d merchant:s hub:b",
-      lambda c: shops.raw_to_merchant(shops.raw_till_tx(c.card), shops.key_store(c.run.rest_cp)), "raw_st")
-check("till_to_training_rows", TILLS, lambda c: shops.till_to_training_rows(shops.till_revenue(c.run.raw_st, P), c.run.training), "tills")
+      lambda c: shops.raw_to_merchant(shops.raw_till_tx(c.card), shops.key_store(c.rest_cp)), "raw_st")
+check("till_to_training_rows", TILLS, lambda c: shops.till_to_training_rows(shops.till_revenue(c.raw_st, P), c.run.training), "tills")
 check("nearby_pairs", "shop_pc:s home_pc5:s", lambda c: spatial.nearby_pairs(registry.postcode_centroids(c.geo)), "nearby")
 check("catchment_join", "shop_pc:s spend:d cards:i store:s own_spend:d",
       lambda c: _both_catchments(c), """SELECT coalesce(z.shop_pc, o.shop_pc) AS shop_pc, z.spend, z.cards, o.store, o.own_spend FROM catchment z
@@ -347,19 +375,25 @@ check("semi_join_codes", GEO + " row_no:i", lambda c: common.semi_join_codes(c.g
 check("scan_counts", "n:i cp_rows:i hubs:i merchants:i located:i", lambda c: c.run.counts(),
       """SELECT (SELECT count(*) FROM tx) AS n, (SELECT count(*) FROM tx WHERE cp = 1) AS cp_rows, (SELECT count(DISTINCT pc5) FROM hubs) AS hubs,
          (SELECT count(*) FROM merchants) AS merchants, (SELECT count(*) FROM merchants WHERE located AND mcc IN (5812, 5814)) AS located""")
+check("name_months", "nm1:s city:s pc5:s month:i mcc:i amt:d n:i", lambda c: registry.name_months(c.tx),
+      "SELECT nm1, city, pc5, month, mcc, sum(amt) AS amt, count(*) AS n FROM tx WHERE cp = 1 GROUP BY nm1, city, pc5, month, mcc")
+check("merchants_by_name_month", MERCHANTS, lambda c: c.run.merchants, "merchants")
+check("shop_facts", "mrch_nm_raw:s nm1:s pc5:s month:i mcc:i card:s amt:d merchant:s", lambda c: c.run.facts, "raw_st")
+check("shop_card_months", "store:s shop_pc:s split:s month:i card:s home_pc5:s spend:d txns:i weekend_spend:d dinner_spend:d is_foreign:b is_premium:b is_business:b",
+      lambda c: demand.shop_card_months(c.run.facts, c.run.split_shops, P.card_window), "shop_tx")
 check("hub_postcodes", "pc5:s month:i n_names:i", lambda c: registry.hub_postcodes(c.tx, P.hub_min_names), "hubs")
 check("postcode_centroids", "pc5:s lat:d lon:d place:s powiat:s powiat_code:s voiv:s n_places:i powiat_key:s", lambda c: registry.postcode_centroids(c.geo), "centroids")
 check("krakow_postcodes", CODES + " point_wkt:s", lambda c: housing.krakow_postcodes(housing.krakow_filter(c.geo)), "krakow_codes")
 check("unambiguous_city_county", "city_norm:s powiat_key:s", lambda c: registry.unambiguous_city_county(c.geo), "city_county")
-check("till_cooccurrence", "base:s place:s pc5:s month:i nums:a", lambda c: registry.till_cooccurrence(c.run.placed), "cooc")
-check("till_components", "base:s place:s num:s rep:s", lambda c: registry.till_components(c.run.cooccurrence), "comps")
-check("multi_outlets", "store_nm:s place:s", lambda c: registry.multi_outlets(c.run.stored), "outlets")
-check("merchant_location", "merchant:s loc_pc5:s loc_month:i", lambda c: registry.merchant_location(c.run.rest_cp), "location")
-check("dominant_mcc", "merchant:s mcc:i", lambda c: registry.dominant_mcc(c.run.rest_cp), "top_mcc")
-check("merchant_attributes", "merchant:s store_nm:s place:s city:s first_month_ever:i spend_all:d booked_postcodes:i", lambda c: registry.merchant_attributes(c.run.rest_cp), "attrs")
+check("till_cooccurrence", "base:s place:s pc5:s month:i nums:a", lambda c: registry.till_cooccurrence(c.placed), "cooc")
+check("till_components", "base:s place:s num:s rep:s", lambda c: registry.till_components(registry.till_cooccurrence(c.placed)), "comps")
+check("multi_outlets", "store_nm:s place:s", lambda c: registry.multi_outlets(c.stored), "outlets")
+check("merchant_location", "merchant:s loc_pc5:s loc_month:i", lambda c: registry.merchant_location(c.rest_cp), "location")
+check("dominant_mcc", "merchant:s mcc:i", lambda c: registry.dominant_mcc(c.rest_cp), "top_mcc")
+check("merchant_attributes", "merchant:s store_nm:s place:s city:s first_month_ever:i spend_all:d booked_postcodes:i", lambda c: registry.merchant_attributes(c.rest_cp), "attrs")
 check("registration_addresses", "brand:s loc_pc5:s", lambda c: registry.registration_addresses(c.run.merchants, P.min_registrations), "addresses")
-check("training_rows", TRAINING, lambda c: registry.training_rows(c.run.merchant_tx, c.run.centroids, P.train_year, P.min_cards, P.min_shops_per_mcc), "training")
-check("merchant_key", "card:s month:i pc5:s nm1:s mcc:i merchant:s", lambda c: demand.merchant_key(c.run.rest_cp, P.card_window), "merchant_key")
+check("training_rows", TRAINING, lambda c: registry.training_rows(c.merchant_tx, c.run.centroids, P.train_year, P.min_cards, P.min_shops_per_mcc), "training")
+check("merchant_key", "card:s month:i pc5:s nm1:s mcc:i merchant:s", lambda c: demand.merchant_key(c.rest_cp, P.card_window), "merchant_key")
 check("card_month_rollup", "card:s month:i mcc:i pc5:s nm1:s spend:d txns:i weekend_spend:d dinner_spend:d home_pc5:s is_foreign:b is_premium:b is_business:b",
       lambda c: demand.card_month_rollup(c.card, P.card_window), "rollup")
 check("shop_composition", COMP, lambda c: demand.shop_composition(c.run.shop_tx, P.target_year, P.trend_before, P.trend_after), "composition")
@@ -368,9 +402,9 @@ check("shop_home_spend", "store:s home_pc5:s spend:d", lambda c: demand.shop_hom
 check("catchment_by_postcode", "shop_pc:s spend:d cards:i", lambda c: demand.catchment_by_postcode(c.run.nearby, c.run.wallet), "catchment")
 check("catchment_own", "store:s own_spend:d", lambda c: demand.catchment_own(c.run.split_shops, c.run.nearby, c.run.shop_home), "own_part")
 check("area_other_spend", "pc5:s grocery_spend:d lodging_spend:d leisure_spend:d", lambda c: demand.area_other_spend(c.card, P.target_year), "other")
-check("key_store", "nm1:s city:s pc5:s month:i merchant:s hub:b", lambda c: shops.key_store(c.run.rest_cp), "key_store")
+check("key_store", "nm1:s city:s pc5:s month:i merchant:s hub:b", lambda c: shops.key_store(c.rest_cp), "key_store")
 check("till_revenue", "mrch_nm_raw:s merchant:s revenue_2025:d revenue_h2_2025:d revenue_h1_2026:d cards_2025:i months_active_2025:i mrch_catg_cd:i full_year_2025:b",
-      lambda c: shops.till_revenue(c.run.raw_st, P), "till_rev")
+      lambda c: shops.till_revenue(c.raw_st, P), "till_rev")
 check("shop_table", SHOPS, lambda c: shops.shop_table(c.run.tills), "shops")
 check("demand", DEMAND, lambda c: demand.demand(c.run.demand_base), "demand")
 check("area_medians", "pc5:s " + " ".join(f"{x}:d" for x in o.MEDIAN_FEATURES), lambda c: cell_ops.area_medians(c.run.shops, c.run.demand), "area_med")
@@ -391,7 +425,7 @@ check("grouped_quantile", "rodzajRynku:i liczbaIzb:i cenaTransakcjiBrutto:d", la
 
 # --- windows and group-relative values ----------------------------------------------
 check("shops_in_mcc", "merchant:s mcc:i shops_in_mcc:i",
-      lambda c: registry.shops_in_mcc(registry.dominant_mcc(c.run.merchant_tx), P.min_shops_per_mcc),
+      lambda c: registry.shops_in_mcc(registry.dominant_mcc(c.merchant_tx), P.min_shops_per_mcc),
       f"""SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mcc) AS shops_in_mcc FROM (
             SELECT merchant, mcc FROM (SELECT merchant, mcc, row_number() OVER (PARTITION BY merchant ORDER BY sum(amt) DESC, count(*) DESC, mcc) AS rn
             FROM m_tx GROUP BY merchant, mcc) WHERE rn = 1)) WHERE shops_in_mcc >= {P.min_shops_per_mcc}""")
@@ -553,7 +587,7 @@ check("chain_match", "nm1:s city:s base_chain:s",
       f"SELECT nm1, city, base_chain FROM ({_STEPS})")
 check("generic_test", "tok:s v:b", lambda c: _name_rows(c).select(F.explode(F.split("nm1", " ")).alias("tok")).distinct().withColumn("v", brands.generic_test(C("tok"))),
       f"""SELECT tok, list_contains({o.names(brands.generic_vocabulary())}, tok) AS v FROM (SELECT DISTINCT unnest(string_split(nm1, ' ')) AS tok FROM tx)""")
-check("assign_brands", BRANDED, lambda c: brands.assign_brands(registry.merchant_join(c.run.rest_cp, c.run.location, c.run.centroids)), "branded")
+check("assign_brands", BRANDED, lambda c: brands.assign_brands(registry.merchant_join(c.rest_cp, c.run.location, c.run.centroids)), "branded")
 
 # --- register links ---------------------------------------------------------------------------
 for _key, _feature, _ids, _cte in (

@@ -14,37 +14,75 @@ BUCKETS_PER_OCTAVE = 4096
 _BUCKET_ZERO = 1100 * BUCKETS_PER_OCTAVE
 
 
+HOT_SHARE = 0.001
+
+
+def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
+    """Keys that hold at least a thousandth of all rows, given the rows per key.
+
+    At most 1,000 keys can, so the result is safe to broadcast at any scale.
+    """
+    total = counts.agg(F.sum(n).alias("_total")).withColumn("_one", F.lit(1))
+    marked = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
+    return marked.where(F.col(n) >= F.col("_total") * HOT_SHARE).select(*on)
+
+
 def skew_join(
     big: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     null_safe: Sequence[str] = (),
+    hot: DataFrame | None = None,
+    condition: Column | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Inner or left equi-join that spreads each key of ``big`` over ``salts`` partitions.
+    """Inner or left equi-join that spreads hot keys of ``big`` over ``salts`` partitions.
 
-    ``lookup`` has few rows per key and is repeated once per salt; it is never
-    hinted as broadcast, so Catalyst does that only below its size threshold.
+    ``lookup`` has few rows per key.  It is repeated once per salt, or, where
+    ``hot`` names the hot keys (see ``hot_keys``), for those keys alone.  It is
+    never hinted as broadcast: Catalyst does that only below its size threshold.
     The salt depends on the row and its partition alone, so a retried task
     makes the same choice; NULL keys are spread as well.
     """
     rest = [c for c in lookup.columns if c not in on]
-    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
-    left = big.withColumn("_salt", salt)
-    right = lookup.select(
-        *[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)],
-        *rest,
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_lookup_salt"),
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    left, right = big, lookup
+    if hot is None:
+        left = left.withColumn("_salt", spread)
+    else:
+        left = _mark_hot(left, hot, on, null_safe)
+        loose = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on if c not in null_safe], F.lit(False))
+        left = left.withColumn("_salt", F.when(F.col("_hot") | loose, spread).otherwise(F.lit(0))).drop("_hot")
+        right = _mark_hot(right, hot, on, null_safe)
+        copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
+    right = right.select(
+        *[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *rest, F.explode(copies).alias("_lookup_salt")
     )
     tests = [F.col("_salt") == F.col("_lookup_salt")]
     for i, c in enumerate(on):
         key = F.col(f"_on_{i}")
         tests.append(left[c].eqNullSafe(key) if c in null_safe else left[c] == key)
+    if condition is not None:
+        tests.append(condition)
     joined = left.join(right, reduce(lambda a, b: a & b, tests), how)
     return joined.drop("_salt", "_lookup_salt", *[f"_on_{i}" for i in range(len(on))])
 
 
+def _mark_hot(df: DataFrame, hot: DataFrame, on: Sequence[str], null_safe: Sequence[str]) -> DataFrame:
+    named = hot.select(*[F.col(c).alias(f"_h_{i}") for i, c in enumerate(on)], F.lit(True).alias("_is_hot"))
+    tests = []
+    for i, c in enumerate(on):
+        key = F.col(f"_h_{i}")
+        tests.append(df[c].eqNullSafe(key) if c in null_safe else df[c] == key)
+    # At most 1,000 rows, see hot_keys.
+    marked = df.join(F.broadcast(named), reduce(lambda a, b: a & b, tests), "left")
+    return marked.withColumn("_hot", F.coalesce("_is_hot", F.lit(False))).drop(
+        "_is_hot", *[f"_h_{i}" for i in range(len(on))]
+    )
+
+
 def lookup_by_group(df: DataFrame, keys: Sequence[str], agg: Column, name: str) -> DataFrame:
     """One aggregate per group, put back on every row of the group.
 
@@ -74,14 +112,14 @@ def grouped_quantile(
 ) -> DataFrame:
     """Exact interpolated quantile per group, one row per group with a value.
 
-    Rows become bucket counts before any shuffle; the counts tell which one or
-    two buckets hold the wanted ranks; only those buckets are ordered.  No
+    Equal values are counted before the shuffle; bucket counts tell which one
+    or two buckets hold the wanted ranks; only those buckets are ordered.  No
     group is ever sorted or held whole in one task.
     """
     name = name or value
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    rows = rows.withColumn("_b", order_bucket(F.col("_v")))
-    by_bucket = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
+    rows = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_b", order_bucket(F.col("_v")))
+    by_bucket = rows.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
     running = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*keys)
     if not keys:
@@ -104,11 +142,7 @@ def grouped_quantile(
         [rows[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
         F.col("_b") == F.col("_tb"),
     )
-    ranked = (
-        rows.join(targets, same)
-        .groupBy(*keys, "_b", "_before", "_at", "_lo", "_hi", "_v")
-        .agg(F.count("*").alias("_n"))
-    )
+    ranked = rows.join(targets, same)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("_end", F.col("_before") + F.sum("_n").over(inside)).withColumn(
         "_begin", F.col("_end") - F.col("_n")

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from placewise.functions import flags, text
 from placewise.operators.common import skew_join
-from placewise.operators.registry import domestic_purchases, in_window, month_window, sum_where
+from placewise.operators.registry import (
+    card_present,
+    card_rows,
+    domestic_purchases,
+    in_window,
+    month_window,
+    sum_where,
+)
 from placewise.params import GROCERY_MCCS, LEISURE_MCCS, LODGING_MCCS, MODEL_MCCS, Params, Window
 
 SUM_COLUMNS = (
@@ -28,25 +35,8 @@ def merchant_key(rest_cp: DataFrame, window: Window, mccs: Sequence[int] = MODEL
     )
 
 
-def card_month_rollup(card_tx: DataFrame, window: Window, mccs: Sequence[int] = MODEL_MCCS) -> DataFrame:
-    """Spend of a card at a merchant name in a month, with card and time marks."""
-    rows = domestic_purchases(card_tx, mccs).where(
-        (F.col("cp_flag") == 1) & F.col("prch_mnth_id").between(*window)
-    ).select(
-        F.col("pymt_crd_acct_num_raw").alias("card"),
-        F.col("prch_mnth_id").alias("month"),
-        F.col("mrch_catg_cd").alias("mcc"),
-        text.pc5(F.col("mrch_postal_code")).alias("pc5"),
-        text.strip_tills(text.name_norm(F.col("mrch_nm_raw"))).alias("nm1"),
-        F.col("cs_tran_amt").alias("amt"),
-        flags.is_weekend(F.col("prch_dt")).alias("weekend"),
-        flags.is_dinner(F.col("tran_id_gmt_tm")).alias("dinner"),
-        text.pc5(F.col("pstl_cd_enr")).alias("home_pc5"),
-        flags.is_foreign(F.col("issr_ctry_cd")).alias("is_foreign"),
-        flags.is_premium(F.col("crd_typ_nm")).alias("is_premium"),
-        flags.is_business(F.col("prod_id_pltfrm_cd_vcis")).alias("is_business"),
-    )
-    return rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(
+def _rollup_sums() -> list[Column]:
+    return [
         F.sum("amt").alias("spend"),
         F.count("*").alias("txns"),
         sum_where(F.col("amt"), F.col("weekend")).alias("weekend_spend"),
@@ -55,7 +45,25 @@ def card_month_rollup(card_tx: DataFrame, window: Window, mccs: Sequence[int] =
         F.bool_or("is_foreign").alias("is_foreign"),
         F.bool_or("is_premium").alias("is_premium"),
         F.bool_or("is_business").alias("is_business"),
-    )
+    ]
+
+
+def card_month_rollup(card_tx: DataFrame, window: Window, mccs: Sequence[int] = MODEL_MCCS) -> DataFrame:
+    """Spend of a card at a merchant name in a month, with card and time marks."""
+    rows = month_window(card_present(card_rows(card_tx, mccs=mccs)), window)
+    return rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums())
+
+
+def shop_card_months(facts: DataFrame, shops: DataFrame, window: Window) -> DataFrame:
+    """Card-months of known shops from rows that carry their merchant.
+
+    Equals ``nullsafe_key_join`` of the rollup and the merchant keys: both are
+    sums over the same groups of the same rows, so one aggregate gives them
+    together and the join of two card-level tables falls away.
+    """
+    rows = month_window(facts, window)
+    named = rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums(), F.min("merchant").alias("store"))
+    return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"]).select(*SHOP_TX_COLUMNS)
 
 
 SHOP_TX_COLUMNS = (
@@ -101,15 +109,11 @@ def shop_composition(shop_tx: DataFrame, window: Window, before: Window, after:
         "h1_2025": sum_where(F.col("spend"), in_window(before)),
         "h1_2026": sum_where(F.col("spend"), in_window(after)),
     }
-    per_card = shop_tx.groupBy("store", "card").agg(
-        F.min("shop_pc").alias("shop_pc"),
-        F.min("split").alias("split"),
-        F.bool_or(now).alias("_seen"),
-        *[s.alias(n) for n, s in sums.items()],
+    # shop_pc and split belong to the store; as group keys they cost no sort.
+    per_card = shop_tx.groupBy("store", "shop_pc", "split", "card").agg(
+        F.bool_or(now).alias("_seen"), *[s.alias(n) for n, s in sums.items()]
     )
-    return per_card.groupBy("store").agg(
-        F.min("shop_pc").alias("shop_pc"),
-        F.min("split").alias("split"),
+    return per_card.groupBy("store", "shop_pc", "split").agg(
         F.count(F.when(F.col("_seen"), F.col("card"))).alias("cards"),
         *[F.sum(n).alias(n) for n in sums],
     ).select("store", "shop_pc", "split", "spend", "txns", "cards", *SUM_COLUMNS[3:])

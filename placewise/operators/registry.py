@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions import text
+from placewise.functions import flags, text
 from placewise.functions.brands import assign_brands
-from placewise.operators.common import skew_join
+from placewise.operators.common import hot_keys, skew_join
 from placewise.params import (
     ACTIVE_MIN_CARDS,
     COUNTRY,
@@ -28,7 +28,8 @@ def domestic_purchases(card_tx: DataFrame, mccs: Sequence[int], country: int = C
     )
 
 
-def restaurant_tx(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+def card_rows(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+    """Cleaned restaurant rows with everything any later step reads from a card row."""
     return domestic_purchases(card_tx, mccs, country).select(
         F.col("pymt_crd_acct_num_raw").alias("card"),
         F.col("prch_mnth_id").alias("month"),
@@ -38,9 +39,40 @@ def restaurant_tx(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int
         text.name_norm(F.col("mrch_city_nm_raw")).alias("city"),
         text.pc5(F.col("mrch_postal_code")).alias("pc5"),
         F.col("cs_tran_amt").alias("amt"),
+        "mrch_nm_raw",
+        flags.is_weekend(F.col("prch_dt")).alias("weekend"),
+        flags.is_dinner(F.col("tran_id_gmt_tm")).alias("dinner"),
+        text.pc5(F.col("pstl_cd_enr")).alias("home_pc5"),
+        flags.is_foreign(F.col("issr_ctry_cd")).alias("is_foreign"),
+        flags.is_premium(F.col("crd_typ_nm")).alias("is_premium"),
+        flags.is_business(F.col("prod_id_pltfrm_cd_vcis")).alias("is_business"),
     )
 
 
+TX_COLUMNS = ("card", "month", "mcc", "cp", "nm1", "city", "pc5", "amt")
+
+
+def restaurant_tx(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+    return card_rows(card_tx, country, mccs).select(*TX_COLUMNS)
+
+
+def name_months(tx: DataFrame) -> DataFrame:
+    """Rows and spend per (name, city, postcode, month, category), card-present.
+
+    Hub, place, till number, store and merchant of a row depend on these alone,
+    so the whole registry runs on this table, which has a row per merchant name
+    and month, not per payment.  ``n`` is the number of payments.
+    """
+    keys = ("nm1", "city", "pc5", "month", "mcc")
+    sums = card_present(tx).groupBy(*keys).agg(F.sum("amt").alias("amt"), F.count("*").alias("n"))
+    return sums.withColumn("cp", F.lit(1))
+
+
+def row_count(df: DataFrame) -> Column:
+    """Payments a frame stands for: the sum of ``n`` where rows are summed already."""
+    return F.sum("n") if "n" in df.columns else F.count("*")
+
+
 def card_present(tx: DataFrame) -> DataFrame:
     return tx.where(F.col("cp") == 1)
 
@@ -217,13 +249,13 @@ def non_hub_rows(rest_cp: DataFrame) -> DataFrame:
 
 def merchant_location(rest_cp: DataFrame) -> DataFrame:
     """First month's most frequent non-hub postcode, the smallest code on ties."""
-    seen = non_hub_rows(rest_cp).groupBy("merchant", "month", "pc5").agg(F.count("*").alias("n"))
+    seen = non_hub_rows(rest_cp).groupBy("merchant", "month", "pc5").agg(row_count(rest_cp).alias("n"))
     order = F.struct(F.col("month"), -F.col("n"), F.col("pc5"))
     return seen.groupBy("merchant").agg(F.min_by("pc5", order).alias("loc_pc5"), F.min("month").alias("loc_month"))
 
 
 def dominant_mcc(tx: DataFrame) -> DataFrame:
-    spent = tx.groupBy("merchant", "mcc").agg(F.sum("amt").alias("spend"), F.count("*").alias("n"))
+    spent = tx.groupBy("merchant", "mcc").agg(F.sum("amt").alias("spend"), row_count(tx).alias("n"))
     return spent.groupBy("merchant").agg(F.max_by("mcc", F.struct("spend", "n", -F.col("mcc"))).alias("mcc"))
 
 
@@ -235,7 +267,7 @@ def merchant_attributes(rest_cp: DataFrame) -> DataFrame:
         F.min("place").alias("place"),
         F.min("month").alias("month"),
         F.sum("amt").alias("amt"),
-        F.count("*").alias("n"),
+        row_count(rest_cp).alias("n"),
     )
     by_city = fine.groupBy("merchant", "city").agg(
         F.min("store_nm").alias("store_nm"),
@@ -306,8 +338,9 @@ def located_merchants(merchants: DataFrame) -> DataFrame:
 
 def merchant_tx(rest_cp: DataFrame, merchants: DataFrame, mccs: Sequence[int] = MODEL_MCCS) -> DataFrame:
     shops = located_merchants(merchants).select("merchant", F.col("loc_pc5").alias("_loc"), "brand")
-    rows = rest_cp.where(F.col("mcc").isin(*mccs)).select("merchant", "mcc", "card", "month", "amt")
-    joined = skew_join(rows, shops, ["merchant"], "inner")
+    rows = rest_cp.where(F.col("mcc").isin(*mccs))
+    hot = hot_keys(rows.groupBy("merchant").agg(row_count(rows).alias("n")), ["merchant"])
+    joined = skew_join(rows.select("merchant", "mcc", "card", "month", "amt"), shops, ["merchant"], hot=hot)
     return joined.select("merchant", F.col("_loc").alias("pc5"), "brand", "mcc", "card", "month", "amt")
 
 
@@ -332,15 +365,13 @@ def training_rows(
     min_shops: int = MIN_SHOPS_PER_MCC,
 ) -> DataFrame:
     year = month_window(m_tx, window)
-    per_card = year.groupBy("merchant", "card").agg(
-        F.min("brand").alias("brand"),
-        F.min("pc5").alias("pc5"),
-        F.sum("amt").alias("amt"),
-        F.bit_or(month_bit(F.col("month"), window)).alias("months"),
+    # brand and pc5 belong to the merchant; as group keys they keep the
+    # aggregates on numbers, which Spark hashes instead of sorting rows.
+    shop = ("merchant", "brand", "pc5")
+    per_card = year.groupBy(*shop, "card").agg(
+        F.sum("amt").alias("amt"), F.bit_or(month_bit(F.col("month"), window)).alias("months")
     )
-    per_shop = per_card.groupBy("merchant").agg(
-        F.min("brand").alias("brand"),
-        F.min("pc5").alias("pc5"),
+    per_shop = per_card.groupBy(*shop).agg(
         F.sum("amt").alias("revenue"),
         F.count("card").alias("cards"),
         F.bit_count(F.bit_or("months")).alias("months_active"),

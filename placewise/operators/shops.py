@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions import text
-from placewise.operators.common import hash_split, skew_join
+from placewise.operators.common import hash_split, hot_keys, skew_join
 from placewise.operators.registry import (
     domestic_purchases,
     in_window,
     month_bit,
+    row_count,
     sum_where,
 )
 from placewise.params import MODEL_MCCS, TRAIN_SHARE, Params, months_in
 
 
 def key_store(rest_cp: DataFrame, mccs: Sequence[int] = MODEL_MCCS) -> DataFrame:
-    """Which merchant a (name, city, postcode, month) belongs to."""
+    """Which merchant a (name, city, postcode, month) belongs to, and its payments."""
     return (
         rest_cp.where(F.col("mcc").isin(*mccs))
         .groupBy("nm1", "city", "pc5", "month")
-        .agg(F.min("merchant").alias("merchant"), F.bool_or("hub").alias("hub"))
+        .agg(F.min("merchant").alias("merchant"), F.bool_or("hub").alias("hub"), row_count(rest_cp).alias("n"))
     )
 
 
@@ -41,8 +42,13 @@ def raw_till_tx(card_tx: DataFrame, mccs: Sequence[int] = MODEL_MCCS) -> DataFra
     )
 
 
+KEY = ("nm1", "city", "pc5", "month")
+
+
 def raw_to_merchant(raw_tx: DataFrame, keys: DataFrame) -> DataFrame:
-    return skew_join(raw_tx, keys, ["nm1", "city", "pc5", "month"], "inner", null_safe=("city", "pc5"))
+    """Rows with their merchant.  The keys' own counts tell which are hot."""
+    hot = hot_keys(keys, KEY)
+    return skew_join(raw_tx, keys.drop("n"), KEY, "inner", null_safe=("city", "pc5"), hot=hot)
 
 
 def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
@@ -52,7 +58,9 @@ def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
     months travel as bits, which leaves no distinct count to expand rows for.
     """
     year = in_window(params.train_year)
-    best = F.struct(F.col("amt"), -F.col("mcc"))
+    # Largest payment, then smaller code, as one number: cents, then 9999 - code.
+    cents = (F.col("amt").cast("decimal(18,2)") * 1_000_000).cast("decimal(26,0)")
+    best = (cents + (F.lit(9999) - F.col("mcc"))).cast("decimal(27,0)")
     per_card = raw_st.groupBy("mrch_nm_raw", "merchant", "card").agg(
         sum_where(F.col("amt"), year).alias("year_amt"),
         sum_where(F.col("amt"), in_window(params.half_first)).alias("first_amt"),
@@ -68,7 +76,7 @@ def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
             F.sum("second_amt").alias("revenue_h1_2026"),
             F.count(F.when(F.col("months") > 0, F.col("card"))).alias("cards_2025"),
             F.bit_count(F.bit_or("months")).alias("months_active_2025"),
-            (-F.max("best")["col2"]).alias("mrch_catg_cd"),
+            (F.lit(9999) - F.pmod(F.max("best"), F.lit(10_000))).cast("int").alias("mrch_catg_cd"),
         )
         .withColumn("full_year_2025", F.col("months_active_2025") == months_in(params.train_year))
     )

@@ -96,8 +96,10 @@ def nearest_postcode(points: DataFrame, codes: DataFrame, cell_m: float = 1000.0
         {"cx": cell(F.col("x"), F.col("level")), "cy": cell(F.col("y"), F.col("level"))}
     )
     dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
+    where = ["level", "cx", "cy"]
+    asked = leveled.join(leveled_places.select(*where).distinct(), where, "left_semi")
     best = (
-        leveled_places.join(leveled, ["level", "cx", "cy"])
+        skew_join(leveled_places, asked, where)
         .groupBy("x", "y")
         .agg(F.min_by("code", F.struct((dx * dx + dy * dy).alias("d2"), F.col("code.postal_code"))).alias("code"))
         .select("x", "y", "code.postal_code", "code.postal_code_point_wkt")
@@ -119,16 +121,10 @@ def district_join(points: DataFrame, polygons: DataFrame, cell_m: float = 2000.0
 
     shapes = (
         polygons.select(F.col("name").alias(name), "ring", span(xs).alias("sx"), span(ys).alias("sy"))
-        .withColumn("_gx", F.explode("sx"))
-        .withColumn("_gy", F.explode("sy"))
+        .withColumn("_cx", F.explode("sx"))
+        .withColumn("_cy", F.explode("sy"))
         .drop("sx", "sy")
     )
     placed = points.withColumns({"_cx": F.floor(F.col("x") / step), "_cy": F.floor(F.col("y") / step)})
-    inside = (
-        (F.col("_cx") == F.col("_gx"))
-        & (F.col("_cy") == F.col("_gy"))
-        & within_ring(F.col("x"), F.col("y"), F.col("ring"))
-    )
-    return placed.join(shapes, inside, "left").drop("_cx", "_cy", "_gx", "_gy", "ring")
-
-
+    inside = within_ring(F.col("x"), F.col("y"), F.col("ring"))
+    return skew_join(placed, shapes, ["_cx", "_cy"], "left", condition=inside).drop("_cx", "_cy", "ring")

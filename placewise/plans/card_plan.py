@@ -50,11 +50,16 @@ class CardRun:
 
     @property
     def tx(self) -> DataFrame:
-        return self.stage("tx", lambda: reg.restaurant_tx(self.card_tx))
+        """Cleaned card rows.  Not written: cleaning twice is cheaper than storing every row."""
+        return reg.card_rows(self.card_tx)
+
+    @property
+    def name_months(self) -> DataFrame:
+        return self.stage("name_months", lambda: reg.name_months(self.tx))
 
     @property
     def hubs(self) -> DataFrame:
-        return self.stage("hubs", lambda: reg.hub_postcodes(self.tx, self.params.hub_min_names))
+        return self.stage("hubs", lambda: reg.hub_postcodes(self.name_months, self.params.hub_min_names))
 
     @property
     def centroids(self) -> DataFrame:
@@ -66,20 +71,16 @@ class CardRun:
 
     @property
     def placed(self) -> DataFrame:
-        """Card-present rows with hub flag, place and name parts."""
+        """Name-months with hub flag, place and name parts."""
         def build() -> DataFrame:
-            flagged = reg.flag_hub_rows(reg.card_present(self.tx), self.hubs)
+            flagged = reg.flag_hub_rows(self.name_months, self.hubs)
             return reg.name_parts_join(reg.resolve_place(flagged, self.centroids, self.city_county))
 
         return self.stage("placed", build)
 
-    @property
-    def cooccurrence(self) -> DataFrame:
-        return reg.till_cooccurrence(self.placed)
-
     @property
     def components(self) -> DataFrame:
-        return self.stage("components", lambda: reg.till_components(self.cooccurrence))
+        return self.stage("components", lambda: reg.till_components(reg.till_cooccurrence(self.placed)))
 
     @property
     def stored(self) -> DataFrame:
@@ -90,17 +91,18 @@ class CardRun:
         return self.stage("outlets", lambda: reg.multi_outlets(self.stored))
 
     @property
-    def rest_cp(self) -> DataFrame:
-        return self.stage("rest_cp", lambda: reg.multi_outlet_merchants(self.stored, self.outlets))
+    def keyed(self) -> DataFrame:
+        """Name-months with their store and merchant."""
+        return self.stage("keyed", lambda: reg.multi_outlet_merchants(self.stored, self.outlets))
 
     @property
     def location(self) -> DataFrame:
-        return self.stage("location", lambda: reg.merchant_location(self.rest_cp))
+        return self.stage("location", lambda: reg.merchant_location(self.keyed))
 
     @property
     def branded(self) -> DataFrame:
         return self.stage(
-            "branded", lambda: reg.assign_brands(reg.merchant_join(self.rest_cp, self.location, self.centroids))
+            "branded", lambda: reg.assign_brands(reg.merchant_join(self.keyed, self.location, self.centroids))
         )
 
     @property
@@ -113,28 +115,32 @@ class CardRun:
             "merchants", lambda: reg.flag_located(self.branded, self.addresses).select(*reg.MERCHANT_COLUMNS)
         )
 
+    # --- card rows of shops -------------------------------------------------
     @property
-    def merchant_tx(self) -> DataFrame:
-        return self.stage("merchant_tx", lambda: reg.merchant_tx(self.rest_cp, self.merchants))
+    def facts(self) -> DataFrame:
+        """Card-present rows of the model's categories with their merchant: the
+        one join of payments with the registry."""
+        def build() -> DataFrame:
+            rows = reg.card_present(reg.card_rows(self.card_tx, mccs=reg.MODEL_MCCS)).drop("cp")
+            return shop_ops.raw_to_merchant(rows, shop_ops.key_store(self.keyed)).drop("hub", "city")
+
+        return self.stage("facts", build)
 
     @property
     def training(self) -> DataFrame:
         p = self.params
         return self.stage(
             "training",
-            lambda: reg.training_rows(self.merchant_tx, self.centroids, p.train_year, p.min_cards, p.min_shops_per_mcc),
+            lambda: reg.training_rows(
+                reg.merchant_tx(self.facts, self.merchants), self.centroids, p.train_year, p.min_cards, p.min_shops_per_mcc
+            ),
         )
 
-    # --- shops --------------------------------------------------------------
-    @property
-    def raw_st(self) -> DataFrame:
-        return shop_ops.raw_to_merchant(shop_ops.raw_till_tx(self.card_tx), shop_ops.key_store(self.rest_cp))
-
     @property
     def tills(self) -> DataFrame:
         return self.stage(
             "tills",
-            lambda: shop_ops.till_to_training_rows(shop_ops.till_revenue(self.raw_st, self.params), self.training),
+            lambda: shop_ops.till_to_training_rows(shop_ops.till_revenue(self.facts, self.params), self.training),
         )
 
     @property
@@ -148,13 +154,10 @@ class CardRun:
     # --- demand -------------------------------------------------------------
     @property
     def shop_tx(self) -> DataFrame:
-        def build() -> DataFrame:
-            window = self.params.card_window
-            rollup = demand_ops.card_month_rollup(self.card_tx, window)
-            keys = demand_ops.merchant_key(self.rest_cp, window)
-            return demand_ops.nullsafe_key_join(rollup, keys, self.split_shops)
-
-        return self.stage("shop_tx", build)
+        return self.stage(
+            "shop_tx",
+            lambda: demand_ops.shop_card_months(self.facts, self.split_shops, self.params.card_window),
+        )
 
     @property
     def nearby(self) -> DataFrame:
