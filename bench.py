@@ -64,7 +64,8 @@ def main() -> None:
     timed("nearest_postcode", lambda: spatial.nearest_postcode(points, codes))
     timed("district_join", lambda: spatial.district_join(q._xy(inputs.sales), inputs.polygons))
     timed("price_stats", lambda: housing.price_stats(inputs.coded))
-    timed("register_merge", lambda: housing_plan.merge_register(spark, inputs.register_path, q.MEMBER_END))
+    inputs.register_path  # writes the register file
+    timed("register_merge", lambda: inputs.register_run.merged())
     timed("model_metrics", lambda: model.model_metrics(inputs.scored))
     timed("select_locations", lambda: q._select(inputs))
     timed("select_exact_k2", lambda: selection.select_locations_exact_k2(inputs.parts, 300.0))

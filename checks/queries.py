@@ -156,6 +156,10 @@ class Inputs:
     def register_path(self) -> str:
         return self.written("register", lambda path: _register_lines(self.table("orders")).write.mode("overwrite").text(path))
 
+    @property
+    def register_run(self) -> housing_plan.RegisterRun:
+        return housing_plan.RegisterRun(self.spark, self.register_path, MEMBER_END, f"{self.prefix}_register")
+
     def features(self, name: str) -> DataFrame:
         return register.read_features(self.spark, self.register_path, name, member_end=MEMBER_END)
 
@@ -346,9 +350,9 @@ check("lookup_by_group", TX + " spent:d", lambda c: common.lookup_by_group(c.tx,
       """SELECT t.*, s.spent FROM tx t LEFT JOIN (SELECT pc5, mcc, sum(amt) AS spent FROM tx WHERE pc5 IS NOT NULL GROUP BY pc5, mcc) s
          ON s.pc5 = t.pc5 AND s.mcc = t.mcc""")
 BRIDGE = "id_transakcji:s id_nieruchomosci:s id_dokumentu:s id_lokalu:s id_adresu:s id_budynku:s"
-check("feature_bridge", BRIDGE, lambda c: _bridge(c), "bridge")
+check("feature_bridge", BRIDGE, lambda c: c.register_run.bridge(), "bridge")
 check("register_merge", BRIDGE + " cenaTransakcjiBrutto:d rodzajTransakcji:s rodzajRynku:s powUzytkowaLokalu:s geometry_wkt:s dataSporzadzeniaDokumentu:s rodzajBudynku:s ulica:s numerPorzadkowy:s",
-      lambda c: housing_plan.merge_register(c.spark, c.register_path, MEMBER_END),
+      lambda c: c.register_run.merged(),
       """SELECT b.*, t.o_totalprice AS cenaTransakcjiBrutto, '1' AS rodzajTransakcji, 1 + t.o_orderkey % 2 AS rodzajRynku,
                 l.pow AS powUzytkowaLokalu, l.wkt AS geometry_wkt, CAST(d.o_orderdate AS DATE) AS dataSporzadzeniaDokumentu,
                 CAST(110 + TRY_CAST(substr(b.id_budynku, 2) AS INT) % 3 AS VARCHAR) AS rodzajBudynku,
@@ -469,11 +473,6 @@ def _both_catchments(c: Inputs) -> DataFrame:
     return areas.join(own.join(c.run.split_shops.select("store", "shop_pc"), "store"), "shop_pc", "full")
 
 
-def _bridge(c: Inputs) -> DataFrame:
-    e = housing_plan.register_edges(c.spark, c.register_path, MEMBER_END)
-    return housing.feature_bridge(e["transaction_property"], e["transaction_document"], e["property_premises"], e["premises_address"], e["property_building"])
-
-
 # --- column functions -------------------------------------------------------------------
 def expr(name: str, cols: str, table: str, columns: Callable[[], dict], sql: str, key: str | None = None) -> None:
     """A projection of one input table; ``key`` columns are kept beside the results."""
@@ -598,7 +597,7 @@ for _key, _feature, _ids, _cte in (
     ("edges_property_parcel", "RCN_Nieruchomosc", "id_nieruchomosci:s id_dzialki:s", "e_pd"),
     ("edges_premises_address", "RCN_Lokal", "id_lokalu:s id_adresu:s", "e_la"),
 ):
-    check(_key, _ids, lambda c, k=_key, f=_feature: getattr(register, k)(c.features(f)), _cte)
+    check(_key, _ids, lambda c, k=_key, f=_feature: getattr(register, k)(c.register_run.layer(f)), _cte)
 
 # --- model and selection --------------------------------------------------------------------------
 SMALL_GBT = {"maxIter": 5, "minInstancesPerNode": 1}

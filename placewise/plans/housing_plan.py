@@ -2,46 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.functions import geo
 from placewise.operators import housing as h
 from placewise.operators.spatial import nearest_postcode
+from placewise.session import reuse_or_build
 from placewise.sources import register as r
 
 
-def register_edges(spark: SparkSession, path: str, member_end: str | None = None) -> dict[str, DataFrame]:
-    """The six link tables of a register file."""
-    trans = r.read_features(spark, path, "RCN_Transakcja", member_end=member_end)
-    prop = r.read_features(spark, path, "RCN_Nieruchomosc", member_end=member_end)
-    premises = r.read_features(spark, path, "RCN_Lokal", member_end=member_end)
-    return {
-        "transaction_property": r.edges_transaction_property(trans),
-        "transaction_document": r.edges_transaction_document(trans),
-        "property_premises": r.edges_property_premises(prop),
-        "property_building": r.edges_property_building(prop),
-        "property_parcel": r.edges_property_parcel(prop),
-        "premises_address": r.edges_premises_address(premises),
-    }
-
-
-def merge_register(spark: SparkSession, path: str, member_end: str | None = None) -> DataFrame:
-    """One row per sold premises with the attributes of all linked features."""
-    edges = register_edges(spark, path, member_end)
-    bridge = h.feature_bridge(
-        edges["transaction_property"], edges["transaction_document"], edges["property_premises"],
-        edges["premises_address"], edges["property_building"],
-    )
-
-    def plain(feature: str) -> DataFrame:
-        links = r.FEATURE_LINKS.get(feature, ())
-        drop = [*links] + ([] if feature == "RCN_Lokal" else ["geometry_wkt"])
-        return r.read_features(spark, path, feature, member_end=member_end).drop(*drop)
-
-    return h.register_merge(
-        bridge, plain("RCN_Transakcja"), plain("RCN_Lokal"), plain("RCN_Dokument"), plain("RCN_Budynek"), plain("RCN_Adres")
-    )
+class RegisterRun:
+    """A land-register file as layer tables, link tables and merged sales.
+
+    The file is read once: its members are written by feature class, then each
+    class is parsed once into a layer table that links and merge share.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, member_end: str | None = None, prefix: str = "register", rebuild: bool = False
+    ) -> None:
+        self.spark, self.path, self.member_end = spark, path, member_end
+        self.prefix, self.rebuild = prefix, rebuild
+        self._done: dict[str, DataFrame] = {}
+
+    def stage(self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+        if name not in self._done:
+            self._done[name] = reuse_or_build(self.spark, f"{self.prefix}_{name}", build, self.rebuild, partition_by)
+        return self._done[name]
+
+    @property
+    def members(self) -> DataFrame:
+        return self.stage("members", lambda: r.split_members(self.spark, self.path, self.member_end), ("feature",))
+
+    def layer(self, feature: str) -> DataFrame:
+        def build() -> DataFrame:
+            if self.member_end:
+                return r.parse_members(self.members, feature)
+            return r.read_features(self.spark, self.path, feature)
+
+        return self.stage(feature.lower(), build)
+
+    def layers(self) -> dict[str, DataFrame]:
+        """Every feature class as a table."""
+        return {feature: self.layer(feature) for feature in r.FEATURES}
+
+    def edges(self) -> dict[str, DataFrame]:
+        """The six link tables."""
+        trans, prop, premises = (self.layer(f) for f in ("RCN_Transakcja", "RCN_Nieruchomosc", "RCN_Lokal"))
+        return {
+            "transaction_property": r.edges_transaction_property(trans),
+            "transaction_document": r.edges_transaction_document(trans),
+            "property_premises": r.edges_property_premises(prop),
+            "property_building": r.edges_property_building(prop),
+            "property_parcel": r.edges_property_parcel(prop),
+            "premises_address": r.edges_premises_address(premises),
+        }
+
+    def bridge(self) -> DataFrame:
+        e = self.edges()
+        return h.feature_bridge(
+            e["transaction_property"], e["transaction_document"], e["property_premises"],
+            e["premises_address"], e["property_building"],
+        )
+
+    def merged(self) -> DataFrame:
+        """One row per sold premises with the attributes of all linked features."""
+        def plain(feature: str) -> DataFrame:
+            drop = [*r.FEATURE_LINKS.get(feature, ())] + ([] if feature == "RCN_Lokal" else ["geometry_wkt"])
+            return self.layer(feature).drop(*drop)
+
+        return h.register_merge(
+            self.bridge(), plain("RCN_Transakcja"), plain("RCN_Lokal"), plain("RCN_Dokument"),
+            plain("RCN_Budynek"), plain("RCN_Adres"),
+        )
 
 
 def project_codes(codes: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,12 +60,14 @@ def reuse_or_build(
     name: str,
     build: Callable[[], DataFrame],
     rebuild: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> DataFrame:
     """Table ``name``: read it if it exists, else build, write and read it."""
     if rebuild or not spark.catalog.tableExists(name):
         path = f"{shared_dir(spark)}/placewise/{spark.sparkContext.applicationId}/{name}"
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        build().write.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
+        writer = build().write.mode("overwrite").format("parquet").option("path", path)
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
     return spark.table(name)
 
 

@@ -45,6 +45,25 @@ def feature_schema(feature: str, attributes: Sequence[str] | None = None, links:
     )
 
 
+def split_members(spark: SparkSession, path: str, member_end: str) -> DataFrame:
+    """(feature, xml) of every member of a register file, read in parallel splits.
+
+    ``member_end`` is the closing tag of the element each feature is wrapped
+    in, such as ``</gml:featureMember>``.
+    """
+    inner = F.regexp_extract("value", r"(?s)(<(?:\w+:)?(RCN_\w+)[\s>].*</(?:\w+:)?\2>)", 1)
+    named = spark.read.text(path, lineSep=member_end).select(inner.alias("xml")).where(F.col("xml") != "")
+    return named.select(F.regexp_extract("xml", r"^<(?:\w+:)?(RCN_\w+)", 1).alias("feature"), "xml")
+
+
+def parse_members(members: DataFrame, feature: str, schema: T.StructType | None = None) -> DataFrame:
+    """One feature class of ``split_members`` rows, as ``read_features`` gives it."""
+    schema = schema or feature_schema(feature)
+    parsed = F.from_xml("xml", schema, {"rowTag": feature, "ignoreNamespace": "true"})
+    rows = members.where(F.col("feature") == feature).select(parsed.alias("f")).select("f.*")
+    return _as_table(rows, schema)
+
+
 def read_features(
     spark: SparkSession,
     path: str,
@@ -54,19 +73,17 @@ def read_features(
 ) -> DataFrame:
     """One feature class as gml_id, attributes, link arrays and geometry_wkt.
 
-    Whole XML documents are streamed, one task per file.  Where every feature
-    is wrapped in a member element, ``member_end`` (its closing tag, such as
-    ``</gml:featureMember>``) lets Spark split a large file between members.
+    Whole XML documents are streamed, one task per file; with ``member_end``
+    Spark splits a large file between its members instead.
     """
-    schema = schema or feature_schema(feature)
     if member_end:
-        fragment = F.regexp_extract("value", rf"(?s)<(?:\w+:)?{feature}[\s>].*</(?:\w+:)?{feature}>", 0)
-        members = spark.read.text(path, lineSep=member_end).select(fragment.alias("xml")).where(F.col("xml") != "")
-        parsed = F.from_xml("xml", schema, {"rowTag": feature, "ignoreNamespace": "true"})
-        raw = members.select(parsed.alias("feature")).select("feature.*")
-    else:
-        reader = spark.read.format("xml").option("rowTag", feature).option("ignoreNamespace", True)
-        raw = reader.schema(schema).load(path)
+        return parse_members(split_members(spark, path, member_end), feature, schema)
+    schema = schema or feature_schema(feature)
+    reader = spark.read.format("xml").option("rowTag", feature).option("ignoreNamespace", True)
+    return _as_table(reader.schema(schema).load(path), schema)
+
+
+def _as_table(raw: DataFrame, schema: T.StructType) -> DataFrame:
     pos = F.split(F.trim(F.col("geometria.Point.pos")), r"\s+")
     wkt = F.when(F.size(pos) >= 2, F.concat(F.lit("POINT ("), F.get(pos, 0), F.lit(" "), F.get(pos, 1), F.lit(")")))
     rest = [f.name for f in schema.fields if f.name not in ("_id", "geometria")]
