@@ -15,7 +15,6 @@ from placewise.functions import flags, text
 from placewise.operators.cells import FEATURES, labelled_cells, mcc_median
 from placewise.operators.common import average_rank, grouped_medians, grouped_quantile
 from placewise.params import FOLDS, MIN_FULL_YEAR, PLACE_TYPES
-from placewise.session import checkpointed
 
 # Size and speed of the tree ensemble.
 GBT_DEFAULTS = {
@@ -31,43 +30,41 @@ GBT_DEFAULTS = {
 
 @dataclass(frozen=True)
 class RevenueModel:
-    """Fitted trees with the one-row medians and per-category medians they need."""
+    """Fitted trees, the medians that fill missing features, and each category's median."""
 
     trees: PipelineModel
-    fill: DataFrame
-    scale: DataFrame
-    features: tuple[str, ...]
+    fill: dict[str, float | None]
+    scale: dict[int, float]
 
     def score(self, cells: DataFrame) -> DataFrame:
-        filled = _fill(cells, self.fill, self.features)
-        scaled = filled.join(F.broadcast(self.scale), "mrch_catg_cd", "left")  # one row per category code
-        scored = self.trees.transform(scaled).withColumnRenamed("prediction", "pred_y")
-        dropped = [f"_f_{c}" for c in self.features]
+        scored = self.trees.transform(_prepare(cells, self.fill, self.scale)).withColumnRenamed("prediction", "pred_y")
         return scored.withColumn("predicted_revenue", flags.unlog_target(F.col("pred_y"), F.col("med"))).drop(
-            "_features", *dropped
+            "_features", *[f"_f_{c}" for c in self.fill]
         )
 
 
-def _fill(cells: DataFrame, fill: DataFrame, features: Sequence[str]) -> DataFrame:
-    joined = cells.withColumn("_one", F.lit(1)).join(F.broadcast(fill), "_one", "left").drop("_one")  # one row
-    return joined.withColumns(
-        {f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in features}
-    ).drop(*[f"_m_{c}" for c in features])
+def _prepare(cells: DataFrame, fill: dict[str, float | None], scale: dict[int, float]) -> DataFrame:
+    med = F.lit(None).cast("double")
+    for code, value in scale.items():
+        med = F.when(F.col("mrch_catg_cd") == code, value).otherwise(med)
+    filled = {f"_f_{c}": F.coalesce(F.col(c).cast("double"), F.lit(v).cast("double"), F.lit(0.0)) for c, v in fill.items()}
+    return cells.withColumns({**filled, "med": med})
 
 
 def fit_revenue(train: DataFrame, target: str, features: Sequence[str] = FEATURES, **gbt) -> RevenueModel:
     """Boosted trees on ln(target / median of the category)."""
     known = train.where(F.col(target).isNotNull())
-    medians = grouped_medians(known.withColumn("_one", F.lit(1)), ["_one"], features)
-    fill = checkpointed(medians.select("_one", *[F.col(c).alias(f"_m_{c}") for c in features]))
-    scale = checkpointed(mcc_median(known, target))
-    rows = _fill(known, fill, features).join(F.broadcast(scale), "mrch_catg_cd")
+    # One row of medians, and one row per category of the model.
+    medians = grouped_medians(known.withColumn("_one", F.lit(1)), ["_one"], features).first()
+    fill = {c: medians[c] if medians else None for c in features}
+    scale = {r["mrch_catg_cd"]: r["med"] for r in mcc_median(known, target).collect()}
+    rows = _prepare(known, fill, scale).where(F.col("med").isNotNull())
     labelled = rows.withColumn("label", flags.log_target(F.col(target).cast("double"), F.col("med")))
     stages = [
         VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_features"),
         GBTRegressor(featuresCol="_features", labelCol="label", **{**GBT_DEFAULTS, **gbt}),
     ]
-    return RevenueModel(Pipeline(stages=stages).fit(labelled), fill, scale, tuple(features))
+    return RevenueModel(Pipeline(stages=stages).fit(labelled), fill, scale)
 
 
 def fold_of(df: DataFrame, key: str = "pc5", folds: int = FOLDS) -> DataFrame:
@@ -96,7 +93,7 @@ def predict_all(
 ) -> DataFrame:
     """A prediction for every cell; labelled cells get one from a model that has
     not seen their postcode.  Each fit is one distributed job series."""
-    labelled = fold_of(labelled_cells(cells, min_full_year, target))
+    labelled = fold_of(labelled_cells(cells, min_full_year, target), folds=folds)
     parts = []
     for fold in range(folds):
         held = labelled.where(F.col("fold") == fold)
@@ -157,7 +154,8 @@ def model_metrics(scored: DataFrame) -> DataFrame:
         (F.max("pred_y") > F.min("pred_y")).alias("_varied"),
     )
     ranks = average_rank(average_rank(rows.select("y", "pred_y"), "y", "ry"), "pred_y", "rp")
-    spearman = ranks.agg(F.corr("ry", "rp").alias("_rho"))
+    spread = F.stddev_pop("ry") * F.stddev_pop("rp")
+    spearman = ranks.agg(F.try_divide(F.covar_pop("ry", "rp"), spread).alias("_rho"))
     median = grouped_quantile(rows, [], "ape", 0.5, "median_ape")
     top = top_quintile_precision(rows).withColumnRenamed("value", "top20_precision")
     out = _one_row(sums)

@@ -51,7 +51,7 @@ def split_members(spark: SparkSession, path: str, member_end: str) -> DataFrame:
     ``member_end`` is the closing tag of the element each feature is wrapped
     in, such as ``</gml:featureMember>``.
     """
-    inner = F.regexp_extract("value", r"(?s)(<(?:\w+:)?(RCN_\w+)[\s>].*</(?:\w+:)?\2>)", 1)
+    inner = F.regexp_extract("value", r"(?s)<(?:\w+:)?(RCN_\w+)(?:\s[^<>]*/>|[\s>].*</(?:\w+:)?\1>|/>)", 0)
     named = spark.read.text(path, lineSep=member_end).select(inner.alias("xml")).where(F.col("xml") != "")
     return named.select(F.regexp_extract("xml", r"^<(?:\w+:)?(RCN_\w+)", 1).alias("feature"), "xml")
 

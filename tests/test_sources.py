@@ -1,0 +1,155 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from placewise.functions import text
+from placewise.functions.sqlreg import register_functions
+from placewise.plans.housing_plan import RegisterRun
+from placewise.session import reuse_or_build
+from placewise.sources import register, tabular
+
+NS = 'xmlns:rcn="urn:r" xmlns:gml="http://www.opengis.net/gml/3.2" xmlns:xlink="http://www.w3.org/1999/xlink"'
+FEATURES = [
+    '<rcn:RCN_Transakcja gml:id="T1"><rcn:podstawaPrawna xlink:href="#D0"/><rcn:podstawaPrawna xlink:href="#D1"/>'
+    '<rcn:nieruchomosc xlink:href="#N1"/><rcn:nieruchomosc xlink:href="#N2"/>'
+    "<rcn:cenaTransakcjiBrutto>500000</rcn:cenaTransakcjiBrutto></rcn:RCN_Transakcja>",
+    '<rcn:RCN_Transakcja gml:id="T2"><rcn:nieruchomosc xlink:href="#N3"/></rcn:RCN_Transakcja>',
+    '<rcn:RCN_Nieruchomosc gml:id="N1"><rcn:lokal xlink:href="#L1"/><rcn:budynek xlink:href="#B1"/></rcn:RCN_Nieruchomosc>',
+    '<rcn:RCN_Nieruchomosc gml:id="N3"><rcn:lokal xlink:href="#L3"/><rcn:dzialka xlink:href="#P1"/></rcn:RCN_Nieruchomosc>',
+    '<rcn:RCN_Lokal gml:id="L1"><rcn:adres xlink:href="#A1"/><rcn:powUzytkowaLokalu>40</rcn:powUzytkowaLokalu>'
+    "<rcn:geometria><gml:Point><gml:pos>1.5 2.5</gml:pos></gml:Point></rcn:geometria></rcn:RCN_Lokal>",
+    '<rcn:RCN_Lokal gml:id="L3"/>',
+    '<rcn:RCN_Dokument gml:id="D1"><rcn:dataSporzadzeniaDokumentu>2024-05-06</rcn:dataSporzadzeniaDokumentu></rcn:RCN_Dokument>',
+    '<rcn:RCN_Budynek gml:id="B1"><rcn:rodzajBudynku>110</rcn:rodzajBudynku></rcn:RCN_Budynek>',
+    '<rcn:RCN_Adres gml:id="A1"><rcn:ulica>Długa</rcn:ulica><rcn:numerPorzadkowy>7</rcn:numerPorzadkowy></rcn:RCN_Adres>',
+]
+
+
+@pytest.fixture(params=["document", "members"])
+def run(request, spark, tmp_path):
+    if request.param == "document":
+        body, end = "".join(FEATURES), None
+    else:
+        body, end = "".join(f"<gml:featureMember>\n{f}\n</gml:featureMember>" for f in FEATURES), "</gml:featureMember>"
+    file = tmp_path / "register.gml"
+    file.write_text(f'<?xml version="1.0" encoding="UTF-8"?>\n<gml:FeatureCollection {NS}>{body}</gml:FeatureCollection>', encoding="utf-8")
+    return RegisterRun(spark, str(file), end, prefix=f"reg_{request.param}", rebuild=True)
+
+
+def pairs(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_register_links(run):
+    edges = run.edges()
+    assert pairs(edges["transaction_property"]) == [("T1", "N1"), ("T1", "N2"), ("T2", "N3")]
+    assert pairs(edges["transaction_document"]) == [("T1", "D1")]  # the last one; T2 has none
+    assert pairs(edges["property_premises"]) == [("N1", "L1"), ("N3", "L3")]
+    assert pairs(edges["property_building"]) == [("N1", "B1")]
+    assert pairs(edges["property_parcel"]) == [("N3", "P1")]
+    assert pairs(edges["premises_address"]) == [("L1", "A1")]
+
+
+def test_register_merge(run):
+    rows = {r.id_lokalu: r for r in run.merged().collect()}
+    assert set(rows) == {"L1", "L3"}
+    one = rows["L1"]
+    assert (one.id_transakcji, one.cenaTransakcjiBrutto, one.powUzytkowaLokalu) == ("T1", "500000", "40")
+    assert (one.dataSporzadzeniaDokumentu, one.rodzajBudynku, one.ulica, one.numerPorzadkowy) == ("2024-05-06", "110", "Długa", "7")
+    assert one.geometry_wkt == "POINT (1.5 2.5)" and one.gml_id == "T1" and one.gml_id_lo == "L1"
+    assert rows["L3"].ulica is None
+    assert set(run.layers()) == set(register.FEATURES)
+
+
+def test_links_by_tag_word(spark):
+    df = spark.createDataFrame([("L1", [("#A1",)], [("#A2",)])], "gml_id string, adres array<struct<_href:string>>, adresLokalu array<struct<_href:string>>")
+    assert pairs(register.edges_premises_address(df)) == [("L1", "A2")]
+
+
+def test_geonames(spark, tmp_path):
+    file = tmp_path / "PL.txt"
+    file.write_text(
+        'PL\t30-001\tKraków "A"\tMP\t77\tKraków\t1261\tNA\t01\t50.06\t19.93\t6\n'
+        "PL\t30-002\tŁódź\t\t05\tŁódź\t1061\tŁódź\t01\tx\t19.45\t\n", encoding="utf-8")
+    a, b = tabular.read_geonames(spark, str(file)).orderBy("row_no").collect()
+    assert a.place_name == 'Kraków "A"' and a.admin_name3 is None and a.latitude == 50.06
+    assert b.admin_name1 is None and b.latitude is None and b.accuracy is None and b.row_no > a.row_no
+
+
+def test_csv_with_mark_quotes_and_breaks(spark, tmp_path):
+    file = tmp_path / "t.csv"
+    file.write_bytes('﻿id,text\n1,"a, ""b"""\n2,"two\nlines"\n'.encode())
+    got = tabular.read_csv_table(spark, str(file), "id int, text string", line_breaks=True).collect()
+    assert [(r.id, r.text) for r in got] == [(1, 'a, "b"'), (2, "two\nlines")]
+    latin = tmp_path / "l.csv"
+    latin.write_bytes("id,text\n1,été\n".encode("iso-8859-1"))
+    assert tabular.read_csv_table(spark, str(latin), "id int, text string", encoding="ISO-8859-1").first().text == "été"
+
+
+@pytest.mark.parametrize("body", ["postal_code; avg_price_m2 ;median_price_m2\n30-001;18647,67;100\n", "postal_code,avg_price_m2,median_price_m2\n30-001,18647.67,100\n"])
+def test_price_stats_separators(spark, tmp_path, body):
+    file = tmp_path / "p.csv"
+    file.write_text(body, encoding="utf-8")
+    row = tabular.read_price_stats(spark, str(file)).first()
+    assert (row.postal_code, row.avg_price_m2, row.median_price_m2) == ("30-001", 18647.67, 100.0)
+
+
+def test_write_and_read_csv(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'x "y", z'), (2, None)], "id int, text string")
+    tabular.write_table(df, str(tmp_path / "out"), "csv")
+    got = tabular.read_csv_table(spark, str(tmp_path / "out"), "id int, text string")
+    assert sorted(map(tuple, got.collect())) == [(1, 'x "y", z'), (2, None)]
+
+
+def test_reuse_or_build(spark):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    assert reuse_or_build(spark, "reuse_me", build).count() == 3
+    assert reuse_or_build(spark, "reuse_me", build).count() == 3 and len(calls) == 1
+    assert reuse_or_build(spark, "reuse_me", build, rebuild=True).count() == 3 and len(calls) == 2
+
+
+def test_card_filters_reach_the_scan(spark, tmp_path):
+    from placewise.operators.registry import restaurant_tx
+
+    path = str(tmp_path / "card")
+    row = {c: (1 if k == "int" else "x") for c, k in tabular.CARD_COLUMNS.items()}
+    kinds = ", ".join(f"{c} {k}" for c, k in tabular.CARD_COLUMNS.items() if k in ("int", "string"))
+    spark.createDataFrame([{c: row[c] for c, k in tabular.CARD_COLUMNS.items() if k in ("int", "string")}], kinds).withColumns(
+        {"prch_dt": F.current_date(), "cs_tran_amt": F.lit(1).cast("decimal(18,2)")}).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    plan = restaurant_tx(tabular.scan_card_tx(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(mrch_ctry_cd,616)" in plan and "In(mrch_catg_cd" in plan
+    assert "crd_typ_nm" not in plan and "pstl_cd_enr" not in plan
+
+
+def test_name_norm_letters(spark):
+    rows = [("Łąka  Ćma-Ęść Ńóś źż é ü ö",), ("Škoda & Çelik №5",), ("été",), (None,), ("straße ø",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "n string").select(text.name_norm(F.col("n"))).collect()]
+    assert got == ["LAKA CMA ESC NOS ZZ E U O", "SKODA CELIK 5", "ETE", "", "STRA E"]
+
+
+def test_tills_and_numbers(spark):
+    rows = [("SMOK KASA 1",), ("SMOK POS12 SCO",), ("SMOK 12",), ("SMOK 123",), ("12",), ("SMOK",), ("A B 7",)]
+    base, num = text.split_trailing_number(text.strip_tills(F.col("n")))
+    got = [tuple(r) for r in spark.createDataFrame(rows, "n string").select(base, num).collect()]
+    assert got == [("SMOK", ""), ("SMOK", ""), ("SMOK", "12"), ("SMOK 123", ""), ("12", ""), ("SMOK", ""), ("A B", "7")]
+
+
+def test_sql_functions(spark):
+    assert register_functions(spark) == ["digits", "name_norm", "strip_tills", "hav_km"]
+    row = spark.sql("SELECT digits('30-001') d, strip_tills(name_norm('Smok Łódź KASA 2')) n, hav_km(50D, 20D, 50D, 20D) k").first()
+    assert (row.d, row.n, row.k) == ("30001", "SMOK LODZ", 0.0)
+
+
+def test_folder_is_shared(spark):
+    from placewise.session import shared_dir
+
+    assert Path(shared_dir(spark)).exists() and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
