@@ -210,7 +210,7 @@ def _register_lines(orders: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class Check:
     """``cols``: "name:kind ..." with kinds s text, i whole number, d number (6 decimals),
-    x number as it is, b boolean, a texts."""
+    p number (2 decimals), x number as it is, b boolean, a texts."""
 
     build: Callable[[Inputs], DataFrame]
     cols: str
@@ -227,6 +227,7 @@ class Check:
             "b": lambda c: F.col(c).cast("boolean"),
             "a": lambda c: F.array_join(F.col(c), ","),
             "x": lambda c: F.col(c).cast("double"),
+            "p": lambda c: F.round(F.col(c).cast("double"), 2),
         }
         return self.build(inputs).select(*[kinds[k](c).alias(c) for c, k in self.spec()])
 
@@ -235,7 +236,7 @@ class Check:
             return None
         kinds = {
             "s": "CAST({c} AS VARCHAR)", "i": "CAST({c} AS BIGINT)", "d": "round(CAST({c} AS DOUBLE), 6)",
-            "b": "CAST({c} AS BOOLEAN)", "a": "array_to_string({c}, ',')", "x": "CAST({c} AS DOUBLE)",
+            "b": "CAST({c} AS BOOLEAN)", "a": "array_to_string({c}, ',')", "x": "CAST({c} AS DOUBLE)", "p": "round(CAST({c} AS DOUBLE), 2)",
         }
         body = self.sql if self.sql.lstrip().upper().startswith("SELECT") else f"SELECT * FROM {self.sql}"
         outer = ", ".join(f"{kinds[k].format(c=c)} AS {c}" for c, k in self.spec())
@@ -265,7 +266,7 @@ COMP = "store:s shop_pc:s split:s " + " ".join(f"{c}:{'i' if c in ('txns', 'card
 DEMAND = "store:s " + " ".join(f"{c}:d" for c in demand.DEMAND_COLUMNS[1:])
 CELLS = ("pc5:s mrch_catg_cd:i revenue:d n_shops:i n_brands:i zip_cards:i share_big:d district:s full_year_share:d "
          "median_months_active:d n_full_year:i n_competitor_shops:i " + " ".join(f"{c}:d" for c in cell_ops.DEMAND_FEATURES)
-         + " txns_per_card:d revenue_full_year:d cards_per_shop:d spend_per_shop_proxy:d split:s")
+         + " txns_per_card:d revenue_full_year:d cards_per_shop:d spend_per_shop_proxy:p split:s")
 SALES = ("id:i cenaTransakcjiBrutto:d powUzytkowaLokalu:d ulica:s geometry_wkt:s dataSporzadzeniaDokumentu:s "
          "dodatkoweInformacje:s rodzajRynku:i nrKondygnacji:i liczbaIzb:i funkcjaLokalu:s rodzajTransakcji:s rodzajBudynku:i")
 GEO = ("country_code:s postal_code:s place_name:s admin_name1:s admin_code1:s admin_name2:s admin_code2:s admin_name3:s "
@@ -376,7 +377,7 @@ check("semi_join_codes", GEO + " row_no:i", lambda c: common.semi_join_codes(c.g
       "SELECT * FROM geo WHERE postal_code IN (SELECT postal_code FROM krakow)")
 
 # --- aggregations -----------------------------------------------------------------
-check("scan_counts", "n:i cp_rows:i hubs:i merchants:i located:i", lambda c: c.run.counts(),
+check("scan_counts", "n:i cp_rows:i hubs:i merchants:i located:i", lambda c: registry.scan_counts(c.tx, c.run.hubs, c.run.merchants),
       """SELECT (SELECT count(*) FROM tx) AS n, (SELECT count(*) FROM tx WHERE cp = 1) AS cp_rows, (SELECT count(DISTINCT pc5) FROM hubs) AS hubs,
          (SELECT count(*) FROM merchants) AS merchants, (SELECT count(*) FROM merchants WHERE located AND mcc IN (5812, 5814)) AS located""")
 check("name_months", "nm1:s city:s pc5:s month:i mcc:i amt:d n:i", lambda c: registry.name_months(c.tx),
@@ -630,9 +631,18 @@ def _scenarios(c: Inputs) -> DataFrame:
     ).join(kinds, "type", "left_semi")
 
 
-def _select(c: Inputs) -> DataFrame:
+def _select(c: Inputs, k: int | None = None) -> DataFrame:
     offers = c.parts.select("postal_code", "type", "revenue", F.col("total_cost").alias("avg_price_m2"))
-    return selection.select_locations(offers, _scenarios(c))
+    scenarios = _scenarios(c)
+    return selection.select_locations(offers, scenarios.withColumn("k", F.lit(k)) if k else scenarios)
+
+
+_ASKED = """SELECT s_suppkey AS scenario_id, 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 4 + 1) AS type, 200 + s_suppkey % 7 * 150 AS budget FROM supplier"""
+check("select_locations_k1", "scenario_id:i postal_code:s revenue:d total_cost:d profit:d", lambda c: _select(c, 1),
+      f"""SELECT scenario_id, postal_code, revenue, total_cost, profit FROM (
+            SELECT s.scenario_id, p.postal_code, p.revenue, p.total_cost, p.revenue - p.total_cost AS profit,
+                   row_number() OVER (PARTITION BY s.scenario_id ORDER BY p.revenue - p.total_cost DESC, p.total_cost, p.postal_code) AS rn
+            FROM ({_ASKED}) s JOIN part_items p ON p.type = s.type AND p.total_cost <= s.budget AND p.revenue > p.total_cost) WHERE rn = 1""")
 
 
 check("select_locations", "scenario_id:i postal_code:s revenue:d total_cost:d profit:d bound:d", _select)

@@ -54,9 +54,12 @@ def postcode_key(col: Column) -> Column:
 
 def name_norm(col: Column) -> Column:
     """Upper case, no accents, runs of anything else as one space."""
+    name = F.coalesce(col, F.lit(""))
     # A lower-case sharp s has no single capital; it counts as a separator.
-    upper = F.upper(F.translate(F.coalesce(col, F.lit("")), "ß", " "))
-    return F.trim(F.regexp_replace(F.translate(upper, ACCENTED, BARE), "[^A-Z0-9]+", " "))
+    bare = F.translate(F.upper(F.translate(name, "ß", " ")), ACCENTED, BARE)
+    # As many bytes as letters: plain ASCII, which most names are, needs no look-up.
+    plain = F.when(F.octet_length(name) == F.length(name), F.upper(name)).otherwise(bare)
+    return F.trim(F.regexp_replace(plain, "[^A-Z0-9]+", " "))
 
 
 def strip_tills(col: Column) -> Column:

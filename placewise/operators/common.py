@@ -22,9 +22,8 @@ def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
 
     At most 1,000 keys can, so the result is safe to broadcast at any scale.
     """
-    total = counts.agg(F.sum(n).alias("_total")).withColumn("_one", F.lit(1))
-    marked = counts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # one row
-    return marked.where(F.col(n) >= F.col("_total") * HOT_SHARE).select(*on)
+    least = counts.agg(F.sum(n) * HOT_SHARE).scalar()
+    return counts.where(F.col(n) >= least).select(*on)
 
 
 def skew_join(
@@ -210,14 +209,15 @@ def running_best(
     )
 
 
-def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def dedupe_keep_first(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:
     """First row by ``order`` of each key; NULL keys are equal.
 
     ``min_by`` combines before the shuffle, so a key with many copies never
     lands whole in one task.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
-    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, F.col(order)).alias("_row"))
+    rank = F.struct(*([order] if isinstance(order, str) else order))
+    first = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, rank).alias("_row"))
     return first.select("_row.*")
 
 

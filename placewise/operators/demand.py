@@ -41,7 +41,8 @@ def _rollup_sums() -> list[Column]:
         F.count("*").alias("txns"),
         sum_where(F.col("amt"), F.col("weekend")).alias("weekend_spend"),
         sum_where(F.col("amt"), F.col("dinner")).alias("dinner_spend"),
-        F.min("home_pc5").alias("home_pc5"),
+        # Five digits: their least text is their least number, which hashes.
+        F.lpad(F.min(F.col("home_pc5").cast("int")).cast("string"), 5, "0").alias("home_pc5"),
         F.bool_or("is_foreign").alias("is_foreign"),
         F.bool_or("is_premium").alias("is_premium"),
         F.bool_or("is_business").alias("is_business"),
@@ -175,40 +176,50 @@ def area_other_spend(
     )
 
 
-def leave_one_out(shop_comp: DataFrame, cols: Sequence[str] = SUM_COLUMNS, group: str = "shop_pc") -> DataFrame:
-    """Area totals of the training shops, minus the shop itself where it is one."""
-    train = F.col("split") == "train"
-    totals = (
-        shop_comp.where(train & F.col(group).isNotNull())
+def _area_totals(shop_comp: DataFrame, cols: Sequence[str], group: str) -> DataFrame:
+    return (
+        shop_comp.where((F.col("split") == "train") & F.col(group).isNotNull())
         .groupBy(group)
         .agg(*[F.sum(F.coalesce(c, F.lit(0))).alias(f"_all_{c}") for c in cols])
     )
-    joined = skew_join(shop_comp, totals, [group], "left")
-    own = {c: F.when(train, F.coalesce(c, F.lit(0))).otherwise(F.lit(0)) for c in cols}
-    return joined.select("store", *[(F.coalesce(f"_all_{c}", F.lit(0)) - own[c]).alias(c) for c in cols])
+
+
+def _own(col: str) -> Column:
+    """A shop's own part of its area's total: nothing, unless it is a training shop."""
+    return F.when(F.col("split") == "train", F.coalesce(col, F.lit(0))).otherwise(F.lit(0))
+
+
+def leave_one_out(shop_comp: DataFrame, cols: Sequence[str] = SUM_COLUMNS, group: str = "shop_pc") -> DataFrame:
+    """Area totals of the training shops, minus the shop itself where it is one."""
+    joined = skew_join(shop_comp, _area_totals(shop_comp, cols, group), [group], "left")
+    return joined.select("store", *[(F.coalesce(f"_all_{c}", F.lit(0)) - _own(c)).alias(c) for c in cols])
 
 
 def leave_one_out_join(
     shop_comp: DataFrame, wallet: DataFrame, catchment: DataFrame, own: DataFrame, other: DataFrame
 ) -> DataFrame:
-    """One row per shop: left-out area sums, resident wallet, catchment, other trade."""
-    train = F.col("split") == "train"
+    """One row per shop: left-out area sums, resident wallet, catchment, other trade.
+
+    Everything known per postcode is first joined per postcode, so shops meet
+    it in one join.
+    """
     zero = F.lit(0)
-    facts = shop_comp.select(
-        "store", "shop_pc", "split", F.when(train, F.coalesce("local_spend", zero)).otherwise(zero).alias("_own_local")
+    sides = (
+        wallet.select(F.col("home_pc5").alias("shop_pc"), F.col("spend").alias("_resident")),
+        catchment.select("shop_pc", F.col("spend").alias("_near_spend"), F.col("cards").alias("catchment_cards")),
+        other.select(F.col("pc5").alias("shop_pc"), "grocery_spend", "lodging_spend", "leisure_spend"),
     )
-    residents = wallet.select(F.col("home_pc5").alias("shop_pc"), F.col("spend").alias("_resident"))
-    near = catchment.select("shop_pc", F.col("spend").alias("_near_spend"), F.col("cards").alias("catchment_cards"))
-    trade = other.select(F.col("pc5").alias("shop_pc"), "grocery_spend", "lodging_spend", "leisure_spend")
-    base = facts
-    for side in (residents, near, trade):
-        base = skew_join(base, side, ["shop_pc"], "left")
-    base = base.join(own, "store", "left").join(leave_one_out(shop_comp), "store")
-    mine = F.when(train, F.coalesce("own_spend", zero)).otherwise(zero)
-    return (
-        base.withColumn("resident_spend", F.coalesce("_resident", zero) - F.col("_own_local"))
-        .withColumn("catchment_spend", F.coalesce("_near_spend", zero) - mine)
-        .drop("_resident", "_own_local", "_near_spend", "own_spend")
+    areas = _area_totals(shop_comp, SUM_COLUMNS, "shop_pc")
+    for side in sides:
+        areas = areas.join(side, "shop_pc", "full")
+    base = skew_join(shop_comp, areas, ["shop_pc"], "left").join(own, "store", "left")
+    return base.select(
+        "store", "shop_pc", "split",
+        *[(F.coalesce(f"_all_{c}", zero) - _own(c)).alias(c) for c in SUM_COLUMNS],
+        (F.coalesce("_resident", zero) - _own("local_spend")).alias("resident_spend"),
+        "catchment_cards",
+        (F.coalesce("_near_spend", zero) - _own("own_spend")).alias("catchment_spend"),
+        "grocery_spend", "lodging_spend", "leisure_spend",
     )
 
 

@@ -134,19 +134,22 @@ def duplicate_profile(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_duplicate_rows"),
     )
-    ids = sales.agg(F.count_distinct(id_col).alias("n_ids"))
-    # Two one-row frames side by side, joined on a constant key.
-    return dup.withColumn("_one", F.lit(1)).join(ids.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return dup.withColumn("n_ids", sales.agg(F.count_distinct(id_col)).scalar())
 
 
-def merged_sales(merged: DataFrame) -> DataFrame:
-    """Priced sales with the geometry kept as text and technical columns gone."""
-    banded = price_band(merged).withColumn("geometry", F.col("geometry_wkt"))
-    return drop_technical_columns(banded)
+def clean_sales(sales: DataFrame, order: str | Sequence[str], keys: Sequence[str] = DEDUPE_KEYS) -> DataFrame:
+    """One record per price, area, street and place."""
+    return dedupe_keep_first(sales, keys, order)
 
 
-def clean_sales(sales: DataFrame, order: str, keys: Sequence[str] = DEDUPE_KEYS) -> DataFrame:
-    return dedupe_keep_first(sales, keys, order)
+def merged_sales(merged: DataFrame, lo: float = PRICE_BAND[0], hi: float = PRICE_BAND[1]) -> DataFrame:
+    """Credible, distinct sales of a merged register, without its technical columns.
+
+    Records with the same price, area, street and place count once: the one
+    with the least register ids.
+    """
+    banded = price_band(merged, lo, hi).withColumn("geometry", F.col("geometry_wkt"))
+    return drop_technical_columns(clean_sales(banded, ["id_transakcji", "id_nieruchomosci", "id_lokalu", "id_budynku"]))
 
 
 def sale_features(
@@ -183,6 +186,14 @@ def geo_price_join(codes: DataFrame, prices: DataFrame) -> DataFrame:
     return codes.join(prices, "postal_code")
 
 
+def candidates_by_type(geo_prices: DataFrame, zip_revenue: DataFrame) -> DataFrame:
+    """Every code and place type with position, price and predicted revenue."""
+    revenue = zip_revenue.select(
+        text.postcode_key(F.col("zip_code")).alias("_key"), "type", F.col("predicted_revenue").alias("revenue")
+    )
+    return geo_prices.withColumn("_key", text.postcode_key(F.col("postal_code"))).join(revenue, "_key").drop("_key")
+
+
 def type_filter(zip_revenue: DataFrame, place_type: str) -> DataFrame:
     return zip_revenue.where(F.col("type") == place_type)
 

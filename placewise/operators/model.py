@@ -129,17 +129,10 @@ def heldout_predictions(cells: DataFrame, target: str = "revenue_full_year", **g
 
 def top_quintile_precision(scored: DataFrame, q: float = 0.8) -> DataFrame:
     """Share of the rows predicted in the top part that truly are."""
-    cuts = _one_row(grouped_quantile(scored, [], "y", q, "cut_y")).join(
-        _one_row(grouped_quantile(scored, [], "pred_y", q, "cut_pred")), "_one"
-    )
-    rows = scored.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")  # one row of cut points
-    hit = F.avg(F.when(F.col("pred_y") >= F.col("cut_pred"), (F.col("y") >= F.col("cut_y")).cast("double")))
-    varied = F.max("pred_y") > F.min("pred_y")
-    return rows.agg(F.when(varied, hit).alias("value"))
-
-
-def _one_row(df: DataFrame) -> DataFrame:
-    return df.withColumn("_one", F.lit(1))
+    cut_y = grouped_quantile(scored, [], "y", q).scalar()
+    cut_pred = grouped_quantile(scored, [], "pred_y", q).scalar()
+    hit = F.avg(F.when(F.col("pred_y") >= cut_pred, (F.col("y") >= cut_y).cast("double")))
+    return scored.agg(F.when(F.max("pred_y") > F.min("pred_y"), hit).alias("value"))
 
 
 def model_metrics(scored: DataFrame) -> DataFrame:
@@ -155,19 +148,14 @@ def model_metrics(scored: DataFrame) -> DataFrame:
     )
     ranks = average_rank(average_rank(rows.select("y", "pred_y"), "y", "ry"), "pred_y", "rp")
     spread = F.stddev_pop("ry") * F.stddev_pop("rp")
-    spearman = ranks.agg(F.try_divide(F.covar_pop("ry", "rp"), spread).alias("_rho"))
-    median = grouped_quantile(rows, [], "ape", 0.5, "median_ape")
-    top = top_quintile_precision(rows).withColumnRenamed("value", "top20_precision")
-    out = _one_row(sums)
-    for side in (spearman, median, top):
-        out = out.join(_one_row(side), "_one")
-    return out.select(
+    rho = ranks.agg(F.try_divide(F.covar_pop("ry", "rp"), spread)).scalar()
+    return sums.select(
         "cells",
         (1 - F.col("_lost")).alias("r2"),
         "mape",
-        "median_ape",
-        F.when(F.col("_varied"), F.col("_rho")).alias("spearman"),
-        "top20_precision",
+        grouped_quantile(rows, [], "ape").scalar().alias("median_ape"),
+        F.when(F.col("_varied"), rho).alias("spearman"),
+        top_quintile_precision(rows).scalar().alias("top20_precision"),
     )
 
 

@@ -112,6 +112,18 @@ def hub_postcodes(tx: DataFrame, min_names: int = HUB_MIN_NAMES) -> DataFrame:
     )
 
 
+def scan_counts(tx: DataFrame, hubs: DataFrame, merchants: DataFrame) -> DataFrame:
+    """What a run reports of its registry: rows, card-present rows, hubs, merchants, located ones."""
+    located = F.col("located") & F.col("mcc").isin(*MODEL_MCCS)
+    rows = tx.agg(F.count("*").alias("n"), F.count_if(F.col("cp") == 1).alias("cp_rows"))
+    return rows.select(
+        "*",
+        hubs.agg(F.count_distinct("pc5")).scalar().alias("hubs"),
+        merchants.agg(F.count("*")).scalar().alias("merchants"),
+        merchants.agg(F.count_if(located)).scalar().alias("located"),
+    )
+
+
 def flag_hub_rows(tx: DataFrame, hubs: DataFrame) -> DataFrame:
     marked = hubs.select("pc5", "month", F.lit(True).alias("hub"))
     return skew_join(tx, marked, ["pc5", "month"], "left").withColumn("hub", F.coalesce("hub", F.lit(False)))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from placewise.functions.flags import location_cost
 from placewise.operators.common import order_bucket, running_best, skew_join
+from placewise.session import checkpointed
 
 LAMBDA_STEPS = 200
 
@@ -32,6 +33,13 @@ def selection_totals(selected: DataFrame) -> DataFrame:
     )
 
 
+def totals_by_scenario(selected: DataFrame) -> DataFrame:
+    """The same totals for each scenario of a selection."""
+    return selected.groupBy("scenario_id").agg(
+        F.count("*").alias("n"), F.sum(F.ceil("total_cost")).alias("total_cost"), F.sum("profit").alias("total_profit")
+    )
+
+
 def select_locations_exact_k2(candidates: DataFrame, budget: float) -> DataFrame:
     """The pair of codes with the largest joint profit whose costs fit together.
 
@@ -125,7 +133,8 @@ def select_locations(candidates: DataFrame, scenarios: DataFrame, n_lambda: int
         .withColumn("profit", F.col("revenue") - F.col("cost"))
         .where(F.col("profit") > 0)
     )
-    paths = _paths(items, group, max_k, n_lambda)
+    # Read by the choice and by the listing of its members: kept, not redone.
+    paths = checkpointed(_paths(items, group, max_k, n_lambda))
 
     # Codes better than every cheaper one: where the best single fit must be.
     stairs = (
@@ -153,7 +162,7 @@ def select_locations(candidates: DataFrame, scenarios: DataFrame, n_lambda: int
         F.max(fits).alias("best"), (F.max("sum_reduced") + F.max(F.col("lam") * F.col("budget"))).alias("bound")
     )
     chosen = per_lambda.groupBy("scenario_id").agg(F.max("best").alias("best"), F.min("bound").alias("bound"))
-    plan = (
+    plan = checkpointed(
         asked.join(chosen, "scenario_id")
         .join(singles, "scenario_id", "left")
         .withColumn("alone", F.coalesce(F.col("single.profit"), F.lit(0.0)) > F.coalesce(F.col("best.profit"), F.lit(0.0)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from placewise.params import CATCHMENT_KM
 BOX_DEGREES_5KM = 0.0462
 _MARGIN = 1.000001
 NEAREST_LEVELS = 24
+MAX_CODES_PER_CELL = 256
 
 
 def nearby_pairs(centroids: DataFrame, km: float = CATCHMENT_KM) -> DataFrame:
@@ -51,60 +54,102 @@ def nearby_pairs(centroids: DataFrame, km: float = CATCHMENT_KM) -> DataFrame:
     return a.join(b, ["band", "cell"]).where(near).select("shop_pc", "home_pc5")
 
 
-def nearest_postcode(points: DataFrame, codes: DataFrame, cell_m: float = 1000.0, levels: int = NEAREST_LEVELS) -> DataFrame:
+def grid_size(codes: DataFrame, most: int = MAX_CODES_PER_CELL, start_m: float = 1000.0, halvings: int = 14) -> float:
+    """Widest of start_m, start_m / 2, ... whose fullest cell has at most ``most`` places."""
+    places = codes.select("x", "y").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(halvings))))
+    size = F.lit(start_m) / F.pow(F.lit(2.0), F.col("step"))
+    fullest = (
+        places.groupBy("step", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+        .agg(F.count("*").alias("n"))
+        .groupBy("step")
+        .agg(F.max("n").alias("n"))
+    )
+    fits = fullest.where(F.col("n") <= most).agg(F.min("step")).first()[0]
+    return start_m / 2 ** (halvings if fits is None else fits)
+
+
+def nearest_postcode(
+    points: DataFrame, codes: DataFrame, cell_m: float | None = None, levels: int = NEAREST_LEVELS
+) -> DataFrame:
     """Adds the nearest code (the least code on ties) to points in metres.
 
-    A pyramid of grids, each level twice as coarse.  A point's level is the
-    finest one with a code in the nine cells around it; a code found there is
-    at most 2.83 cells away, so the nine cells two levels up hold the nearest.
-    The top level's cells are wider than any coordinate difference on Earth.
-    Levels are found per occupied cell, and points sharing a place are looked
-    up once, so copies of one place cost nothing.
+    The search is done per occupied grid cell, not per point.  A pyramid of
+    grids, each level twice as coarse, gives each cell the finest level with a
+    code in the nine cells around it; a code found there is at most 2.83 of
+    that level's cells away, so the nine cells two levels up hold the nearest
+    code of every point of the cell.  Of those, a cell keeps the codes nearer
+    to one of its corners than the code nearest to its middle: no other can
+    win inside it.  Points then meet their cell's few codes in one equi-join.
+    ``cell_m`` is chosen by ``grid_size`` unless given, which bounds the codes
+    a cell keeps.  The top level's cells are wider than any distance on Earth.
     """
-    top = levels + 2
+    size = float(cell_m or grid_size(codes))
 
     def cell(value: Column, level: Column) -> Column:
-        return F.floor(value / (F.lit(float(cell_m)) * F.pow(F.lit(2.0), level)))
+        return F.floor(value / (F.lit(size) * F.pow(F.lit(2.0), level)))
 
-    def around(df: DataFrame, x: str, y: str) -> DataFrame:
-        return (
-            df.withColumn("cx", F.explode(F.sequence(cell(F.col(x), F.col("level")) - 1, cell(F.col(x), F.col("level")) + 1)))
-            .withColumn("cy", F.explode(F.sequence(cell(F.col(y), F.col("level")) - 1, cell(F.col(y), F.col("level")) + 1)))
-        )
+    def around(value: str) -> Column:
+        mid = cell(F.col(value), F.col("level"))
+        return F.explode(F.sequence(mid - 1, mid + 1))
 
     targets = (
         codes.where(F.col("x").isNotNull() & F.col("y").isNotNull())
         .groupBy(F.col("x").alias("tx"), F.col("y").alias("ty"))
         .agg(F.min(F.struct("postal_code", F.col("point_wkt").alias("postal_code_point_wkt"))).alias("code"))
     )
-    leveled = around(targets.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))), "tx", "ty")
-    occupied = leveled.select("level", "cx", "cy").distinct()
+    leveled = (
+        targets.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels + 2))))
+        .withColumn("cx", around("tx"))
+        .withColumn("cy", around("ty"))
+    )
+    at = {"c0x": cell(F.col("x"), F.lit(0)), "c0y": cell(F.col("y"), F.lit(0))}
+    placed = points.withColumns(at)
+    cells = placed.where(F.col("c0x").isNotNull() & F.col("c0y").isNotNull()).select("c0x", "c0y").distinct()
 
-    places = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("x", "y").distinct()
-    cells = places.select(cell(F.col("x"), F.lit(0)).alias("c0x"), cell(F.col("y"), F.lit(0)).alias("c0y")).distinct()
-    climbing = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    shrink = F.pow(F.lit(2.0), F.col("level"))
+    def climb(df: DataFrame) -> DataFrame:
+        shrink = F.pow(F.lit(2.0), F.col("level"))
+        return df.withColumns({"cx": F.floor(F.col("c0x") / shrink), "cy": F.floor(F.col("c0y") / shrink)})
+
+    on = ["level", "cx", "cy"]
+    occupied = leveled.select(*on).distinct()
     found = (
-        climbing.withColumn("cx", F.floor(F.col("c0x") / shrink))
-        .withColumn("cy", F.floor(F.col("c0y") / shrink))
-        .join(occupied, ["level", "cx", "cy"], "left_semi")
+        climb(cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))))
+        .join(occupied, on, "left_semi")
         .groupBy("c0x", "c0y")
         .agg((F.min("level") + 2).alias("level"))
     )
-    keyed = places.withColumns({"c0x": cell(F.col("x"), F.lit(0)), "c0y": cell(F.col("y"), F.lit(0))})
-    leveled_places = keyed.join(found, ["c0x", "c0y"]).withColumns(
-        {"cx": cell(F.col("x"), F.col("level")), "cy": cell(F.col("y"), F.col("level"))}
+
+    def d2(x: Column, y: Column, tx: str = "tx", ty: str = "ty") -> Column:
+        dx, dy = x - F.col(tx), y - F.col(ty)
+        return dx * dx + dy * dy
+
+    left, low = F.col("c0x") * size, F.col("c0y") * size
+    pairs = climb(found).join(leveled, on).select("c0x", "c0y", "tx", "ty", "code")
+    middle = d2(left + size / 2, low + size / 2)
+    best = pairs.groupBy("c0x", "c0y").agg(F.min(F.struct(middle.alias("d"), F.col("tx").alias("bx"), F.col("ty").alias("by"))).alias("b"))
+    corners = [(left + i * size, low + j * size) for i in (0, 1) for j in (0, 1)]
+    slack = F.lit(1.0 + 1e-9)
+    can_win = reduce(
+        lambda a, b: a | b, [d2(x, y) <= d2(x, y, "bx", "by") * slack + F.lit(1e-6) for x, y in corners]
+    )
+    kept = (
+        pairs.join(best.select("c0x", "c0y", "b.bx", "b.by"), ["c0x", "c0y"])
+        .where(can_win)
+        .groupBy("c0x", "c0y")
+        .agg(F.collect_list(F.struct("tx", "ty", "code")).alias("near"))
+    )
+    ranked = F.transform(
+        "near",
+        lambda c: F.struct(
+            ((F.col("x") - c["tx"]) * (F.col("x") - c["tx"]) + (F.col("y") - c["ty"]) * (F.col("y") - c["ty"])).alias("d2"),
+            c["code"].alias("code"),
+        ),
     )
-    dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-    where = ["level", "cx", "cy"]
-    asked = leveled.join(leveled_places.select(*where).distinct(), where, "left_semi")
-    best = (
-        skew_join(leveled_places, asked, where)
-        .groupBy("x", "y")
-        .agg(F.min_by("code", F.struct((dx * dx + dy * dy).alias("d2"), F.col("code.postal_code"))).alias("code"))
-        .select("x", "y", "code.postal_code", "code.postal_code_point_wkt")
+    return (
+        skew_join(placed, kept, ["c0x", "c0y"], "left")
+        .withColumn("_code", F.array_min(ranked)["code"])
+        .select(*points.columns, "_code.postal_code", "_code.postal_code_point_wkt")
     )
-    return skew_join(points, best, ["x", "y"], "left")
 
 
 def district_join(points: DataFrame, polygons: DataFrame, cell_m: float = 2000.0, name: str = "dzielnica") -> DataFrame:

@@ -19,7 +19,8 @@ from placewise.operators import registry as reg
 from placewise.operators import shops as shop_ops
 from placewise.operators.spatial import nearby_pairs
 from placewise.params import Params
-from placewise.session import reuse_or_build
+from placewise.session import reuse_or_build, stage_prefix
+from placewise.sources.tabular import read_geonames, scan_card_tx, write_table
 
 
 class CardRun:
@@ -118,30 +119,41 @@ class CardRun:
     # --- card rows of shops -------------------------------------------------
     @property
     def facts(self) -> DataFrame:
-        """Card-present rows of the model's categories with their merchant: the
-        one join of payments with the registry."""
+        """Card-present rows of the model's categories with merchant, brand and location.
+
+        This is the one join of payments with the registry: what later steps
+        need of a merchant is put on the key table first.
+        """
         def build() -> DataFrame:
             rows = reg.card_present(reg.card_rows(self.card_tx, mccs=reg.MODEL_MCCS)).drop("cp")
-            return shop_ops.raw_to_merchant(rows, shop_ops.key_store(self.keyed)).drop("hub", "city")
+            known = reg.located_merchants(self.merchants).select("merchant", "brand", "loc_pc5")
+            keys = shop_ops.key_store(self.keyed).join(known, "merchant", "left")
+            return shop_ops.raw_to_merchant(rows, keys).drop("hub", "city")
 
         return self.stage("facts", build)
 
+    @property
+    def merchant_tx(self) -> DataFrame:
+        """Rows of located merchants; a located merchant is one with a location here."""
+        return self.facts.where(F.col("loc_pc5").isNotNull()).select(
+            "merchant", F.col("loc_pc5").alias("pc5"), "brand", "mcc", "card", "month", "amt"
+        )
+
     @property
     def training(self) -> DataFrame:
         p = self.params
         return self.stage(
             "training",
-            lambda: reg.training_rows(
-                reg.merchant_tx(self.facts, self.merchants), self.centroids, p.train_year, p.min_cards, p.min_shops_per_mcc
-            ),
+            lambda: reg.training_rows(self.merchant_tx, self.centroids, p.train_year, p.min_cards, p.min_shops_per_mcc),
         )
 
     @property
     def tills(self) -> DataFrame:
-        return self.stage(
-            "tills",
-            lambda: shop_ops.till_to_training_rows(shop_ops.till_revenue(self.facts, self.params), self.training),
-        )
+        def build() -> DataFrame:
+            located = self.facts.where(F.col("loc_pc5").isNotNull())
+            return shop_ops.till_to_training_rows(shop_ops.till_revenue(located, self.params), self.training)
+
+        return self.stage("tills", build)
 
     @property
     def shops(self) -> DataFrame:
@@ -206,17 +218,7 @@ class CardRun:
         return model.zip_revenue(self.predicted(**gbt))
 
     def counts(self) -> DataFrame:
-        """Row counts a run reports: rows, card-present rows, hubs, merchants, located."""
-        tx = self.tx.agg(F.count("*").alias("n"), F.count_if(F.col("cp") == 1).alias("cp_rows"))
-        hubs = self.hubs.agg(F.count_distinct("pc5").alias("hubs"))
-        dim = self.merchants.agg(
-            F.count("*").alias("merchants"),
-            F.count_if(F.col("located") & F.col("mcc").isin(*reg.MODEL_MCCS)).alias("located"),
-        )
-        out = tx.withColumn("_one", F.lit(1))
-        for side in (hubs, dim):
-            out = out.join(side.withColumn("_one", F.lit(1)), "_one")
-        return out.drop("_one")
+        return reg.scan_counts(self.tx, self.hubs, self.merchants)
 
 
 def run_card_plan(
@@ -225,12 +227,14 @@ def run_card_plan(
     geonames_path: str,
     params: Params = Params(),
     rebuild: bool = False,
+    out: str | None = None,
     **gbt,
 ) -> DataFrame:
-    """Card file and gazetteer file to zip_code, type, predicted_revenue."""
-    from placewise.session import stage_prefix
-    from placewise.sources.tabular import read_geonames, scan_card_tx
+    """Card file and gazetteer file to zip_code, type, predicted_revenue.
 
+    With ``out``, the predictions, the held-out predictions and the scores are
+    written below that folder as CSV.  ``gbt`` sets parameters of the trees.
+    """
     run = CardRun(
         spark,
         lambda: scan_card_tx(spark, card_path),
@@ -239,4 +243,10 @@ def run_card_plan(
         stage_prefix(card_path, geonames_path, params),
         rebuild,
     )
-    return run.zip_revenue(**gbt)
+    result = run.zip_revenue(**gbt)
+    if out:
+        full_year = run.cells.where(F.col("n_full_year") >= params.min_full_year)
+        write_table(result, f"{out}/zip_revenue", "csv")
+        write_table(model.heldout_predictions(full_year, "revenue_full_year", **gbt), f"{out}/heldout_predictions", "csv")
+        write_table(run.evaluate(**gbt), f"{out}/metrics", "csv")
+    return result

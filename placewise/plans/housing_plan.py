@@ -80,6 +80,11 @@ class RegisterRun:
         )
 
 
+def register_sales(run: RegisterRun, polygons: DataFrame, reproject: bool = True) -> DataFrame:
+    """Register file to the modelling columns of every usable apartment sale."""
+    return h.sale_features(h.merged_sales(run.merged()), polygons, reproject)
+
+
 def project_codes(codes: DataFrame) -> DataFrame:
     """Postcodes with x and y in metres of the national grid."""
     return geo.to_epsg2180(codes)

@@ -16,15 +16,36 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "placewise", master: str | None = None, **conf: str) -> SparkSession:
+PARTITION_BYTES = 256 * 1024**2
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Reduce tasks to start from for an input of this size: about 256 MB each.
+
+    Adaptive execution merges small ones but never makes more, so a large run
+    has to begin with enough.
+    """
+    return max(200, min(100_000, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(
+    app: str = "placewise", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
+    if input_bytes:
+        builder = (
+            builder.config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shuffle_partitions(input_bytes)))
+            .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION_BYTES))
+            .config("spark.sql.files.maxPartitionBytes", str(PARTITION_BYTES))
+        )
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -47,6 +68,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def reuse_or_build(
     spark: SparkSession,
     name: str,
