@@ -15,6 +15,7 @@ from placewise.functions import flags, text
 from placewise.operators.cells import FEATURES, labelled_cells, mcc_median
 from placewise.operators.common import average_rank, grouped_medians, grouped_quantile
 from placewise.params import FOLDS, MIN_FULL_YEAR, PLACE_TYPES
+from placewise.session import checkpointed
 
 # Size and speed of the tree ensemble.
 GBT_DEFAULTS = {
@@ -131,8 +132,9 @@ def top_quintile_precision(scored: DataFrame, q: float = 0.8) -> DataFrame:
     """Share of the rows predicted in the top part that truly are."""
     cut_y = grouped_quantile(scored, [], "y", q).scalar()
     cut_pred = grouped_quantile(scored, [], "pred_y", q).scalar()
-    hit = F.avg(F.when(F.col("pred_y") >= cut_pred, (F.col("y") >= cut_y).cast("double")))
-    return scored.agg(F.when(F.max("pred_y") > F.min("pred_y"), hit).alias("value"))
+    marked = scored.select("pred_y", (F.col("y") >= cut_y).alias("_is"), (F.col("pred_y") >= cut_pred).alias("_said"))
+    hit = F.avg(F.when(F.col("_said"), F.col("_is").cast("double")))
+    return marked.agg(F.when(F.max("pred_y") > F.min("pred_y"), hit).alias("value"))
 
 
 def model_metrics(scored: DataFrame) -> DataFrame:
@@ -176,9 +178,11 @@ def evaluate(cells: DataFrame, min_full_year: int = MIN_FULL_YEAR, **gbt) -> Dat
     frames = {}
     for name, (frame, target) in populations.items():
         scored = heldout_scores(frame, target, **gbt)
-        frames[name] = model_metrics(
+        # Each score reads these rows again: keep them, do not score them again.
+        kept = checkpointed(
             scored.select("y", "pred_y", F.col("revenue_actual").alias("revenue"), F.col("predicted_revenue").alias("pred_revenue"))
         )
+        frames[name] = model_metrics(kept)
     return stack_populations(frames)
 
 
