@@ -382,6 +382,11 @@ check("scan_counts", "n:i cp_rows:i hubs:i merchants:i located:i", lambda c: reg
          (SELECT count(*) FROM merchants) AS merchants, (SELECT count(*) FROM merchants WHERE located AND mcc IN (5812, 5814)) AS located""")
 check("name_months", "nm1:s city:s pc5:s month:i mcc:i amt:d n:i", lambda c: registry.name_months(c.tx),
       "SELECT nm1, city, pc5, month, mcc, sum(amt) AS amt, count(*) AS n FROM tx WHERE cp = 1 GROUP BY nm1, city, pc5, month, mcc")
+check("raw_months", "mrch_nm_raw:s mrch_city_nm_raw:s mrch_postal_code:s month:i mcc:i amt:d n:i", lambda c: registry.raw_months(c.card),
+      """SELECT mrch_nm_raw, mrch_city_nm_raw, mrch_postal_code, prch_mnth_id AS month, mrch_catg_cd AS mcc, sum(cs_tran_amt) AS amt, count(*) AS n FROM card
+         WHERE mrch_ctry_cd = 616 AND transaction_type <> 'ATM' AND cp_flag = 1 AND mrch_catg_cd IN (5811, 5812, 5813, 5814) GROUP BY 1, 2, 3, 4, 5""")
+check("name_months_of_run", "nm1:s city:s pc5:s month:i mcc:i amt:d n:i", lambda c: c.run.name_months,
+      "SELECT nm1, city, pc5, month, mcc, sum(amt) AS amt, count(*) AS n FROM tx WHERE cp = 1 GROUP BY nm1, city, pc5, month, mcc")
 check("merchants_by_name_month", MERCHANTS, lambda c: c.run.merchants, "merchants")
 check("shop_facts", "mrch_nm_raw:s nm1:s pc5:s month:i mcc:i card:s amt:d merchant:s", lambda c: c.run.facts, "raw_st")
 check("shop_card_months", "store:s shop_pc:s split:s month:i card:s home_pc5:s spend:d txns:i weekend_spend:d dinner_spend:d is_foreign:b is_premium:b is_business:b",

@@ -25,12 +25,28 @@ def is_weekend(date: Column) -> Column:
 def is_dinner(gmt_time: Column) -> Column:
     """Local hour (GMT + 2, no daylight rule) within the dinner hours."""
     padded = F.lpad(F.regexp_replace(gmt_time.cast("string"), "[^0-9]", ""), 6, "0")
-    hour = F.substring(padded, 1, 2).try_cast("int")
-    return ((hour + GMT_OFFSET_HOURS) % 24).between(*DINNER_HOURS)
+    return _dinner_hour(F.substring(padded, 1, 2).try_cast("int"))
+
+
+def is_dinner_number(gmt_time: Column) -> Column:
+    """The same for whole numbers HHMMSS, which need no text unless out of range."""
+    usual = gmt_time.between(0, 999_999)
+    return F.when(usual, _dinner_hour(F.floor(gmt_time / 10_000).cast("int"))).otherwise(is_dinner(gmt_time))
+
+
+def _dinner_hour(gmt_hour: Column) -> Column:
+    return ((gmt_hour + GMT_OFFSET_HOURS) % 24).between(*DINNER_HOURS)
 
 
 def is_foreign(issuer_country: Column, country: int = COUNTRY) -> Column:
-    return issuer_country.try_cast("int") != country
+    """Issued elsewhere; NULL where the code is not a number."""
+    code = issuer_country.cast("string")
+    # Plain numbers and texts without a digit are told by pattern: a failing
+    # cast costs far more than a match.
+    return (
+        F.when(code.rlike("^[1-9][0-9]{0,8}$"), code != str(country))
+        .when(code.rlike("[0-9]"), code.try_cast("int") != country)
+    )
 
 
 def is_premium(card_type: Column) -> Column:

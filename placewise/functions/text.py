@@ -40,8 +40,14 @@ def digits(col: Column) -> Column:
 
 def pc5(col: Column) -> Column:
     """The five digits of a postcode, NULL for anything else."""
-    found = digits(col)
-    return F.when(F.length(found) == 5, found)
+    code = col.cast("string")
+    found = digits(code)
+    # The two usual spellings need no rewriting of the text.
+    return (
+        F.when(code.rlike("^[0-9]{5}$"), code)
+        .when(code.rlike("^[0-9]{2}-[0-9]{3}$"), F.concat(F.substring(code, 1, 2), F.substring(code, 4, 3)))
+        .when(F.length(found) == 5, found)
+    )
 
 
 def postcode_dash(col: Column) -> Column:

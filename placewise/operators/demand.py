@@ -11,10 +11,12 @@ from placewise.functions import flags, text
 from placewise.operators.common import skew_join
 from placewise.operators.registry import (
     card_present,
-    card_rows,
+    card_marks,
+    clean_names,
     domestic_purchases,
     in_window,
     month_window,
+    purchase_rows,
     sum_where,
 )
 from placewise.params import GROCERY_MCCS, LEISURE_MCCS, LODGING_MCCS, MODEL_MCCS, Params, Window
@@ -51,7 +53,7 @@ def _rollup_sums() -> list[Column]:
 
 def card_month_rollup(card_tx: DataFrame, window: Window, mccs: Sequence[int] = MODEL_MCCS) -> DataFrame:
     """Spend of a card at a merchant name in a month, with card and time marks."""
-    rows = month_window(card_present(card_rows(card_tx, mccs=mccs)), window)
+    rows = clean_names(card_marks(month_window(card_present(purchase_rows(card_tx, mccs=mccs)), window)))
     return rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums())
 
 

@@ -28,32 +28,69 @@ def domestic_purchases(card_tx: DataFrame, mccs: Sequence[int], country: int = C
     )
 
 
-def card_rows(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
-    """Cleaned restaurant rows with everything any later step reads from a card row."""
-    return domestic_purchases(card_tx, mccs, country).select(
-        F.col("pymt_crd_acct_num_raw").alias("card"),
-        F.col("prch_mnth_id").alias("month"),
-        F.col("mrch_catg_cd").alias("mcc"),
-        F.col("cp_flag").alias("cp"),
-        text.strip_tills(text.name_norm(F.col("mrch_nm_raw"))).alias("nm1"),
-        text.name_norm(F.col("mrch_city_nm_raw")).alias("city"),
-        text.pc5(F.col("mrch_postal_code")).alias("pc5"),
-        F.col("cs_tran_amt").alias("amt"),
-        "mrch_nm_raw",
-        flags.is_weekend(F.col("prch_dt")).alias("weekend"),
-        flags.is_dinner(F.col("tran_id_gmt_tm")).alias("dinner"),
-        text.pc5(F.col("pstl_cd_enr")).alias("home_pc5"),
-        flags.is_foreign(F.col("issr_ctry_cd")).alias("is_foreign"),
-        flags.is_premium(F.col("crd_typ_nm")).alias("is_premium"),
-        flags.is_business(F.col("prod_id_pltfrm_cd_vcis")).alias("is_business"),
+def clean_names(rows: DataFrame) -> DataFrame:
+    """Adds the cleaned name, city and postcode of the booked texts."""
+    return rows.withColumns(
+        {
+            "nm1": text.strip_tills(text.name_norm(F.col("mrch_nm_raw"))),
+            "city": text.name_norm(F.col("mrch_city_nm_raw")),
+            "pc5": text.pc5(F.col("mrch_postal_code")),
+        }
     )
 
 
+def purchase_rows(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+    """Domestic purchases with short names; texts as booked."""
+    return domestic_purchases(card_tx, mccs, country).withColumnsRenamed(
+        {
+            "pymt_crd_acct_num_raw": "card",
+            "prch_mnth_id": "month",
+            "mrch_catg_cd": "mcc",
+            "cp_flag": "cp",
+            "cs_tran_amt": "amt",
+        }
+    )
+
+
+def card_marks(rows: DataFrame) -> DataFrame:
+    """Adds the marks of time and card that the area features are made of."""
+    return rows.withColumns(
+        {
+            "weekend": flags.is_weekend(F.col("prch_dt")),
+            "dinner": flags.is_dinner_number(F.col("tran_id_gmt_tm")),
+            "home_pc5": text.pc5(F.col("pstl_cd_enr")),
+            "is_foreign": flags.is_foreign(F.col("issr_ctry_cd")),
+            "is_premium": flags.is_premium(F.col("crd_typ_nm")),
+            "is_business": flags.is_business(F.col("prod_id_pltfrm_cd_vcis")),
+        }
+    )
+
+
+MARKS = ("weekend", "dinner", "home_pc5", "is_foreign", "is_premium", "is_business")
 TX_COLUMNS = ("card", "month", "mcc", "cp", "nm1", "city", "pc5", "amt")
 
 
 def restaurant_tx(card_tx: DataFrame, country: int = COUNTRY, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
-    return card_rows(card_tx, country, mccs).select(*TX_COLUMNS)
+    return clean_names(purchase_rows(card_tx, country, mccs)).select(*TX_COLUMNS)
+
+
+RAW_KEY = ("mrch_nm_raw", "mrch_city_nm_raw", "mrch_postal_code", "month")
+
+
+def booked_rows(card_tx: DataFrame, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+    """Card-present purchases.  A missing city or postcode counts as an empty one,
+    which cleans to the same, so these keys join as plain text."""
+    rows = card_present(purchase_rows(card_tx, mccs=mccs))
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("mrch_city_nm_raw", "mrch_postal_code")})
+
+
+def raw_months(card_tx: DataFrame, mccs: Sequence[int] = HUB_MCCS) -> DataFrame:
+    """Payments and spend per name, city and postcode as booked, month and category.
+
+    Booked texts repeat from payment to payment.  Summing by them first leaves
+    the text cleaning to one row per text and month.
+    """
+    return booked_rows(card_tx, mccs).groupBy(*RAW_KEY, "mcc").agg(F.sum("amt").alias("amt"), F.count("*").alias("n"))
 
 
 def name_months(tx: DataFrame) -> DataFrame:
@@ -64,7 +101,8 @@ def name_months(tx: DataFrame) -> DataFrame:
     and month, not per payment.  ``n`` is the number of payments.
     """
     keys = ("nm1", "city", "pc5", "month", "mcc")
-    sums = card_present(tx).groupBy(*keys).agg(F.sum("amt").alias("amt"), F.count("*").alias("n"))
+    rows = card_present(tx) if "cp" in tx.columns else tx
+    sums = rows.groupBy(*keys).agg(F.sum("amt").alias("amt"), row_count(tx).alias("n"))
     return sums.withColumn("cp", F.lit(1))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from placewise.functions import text
 from placewise.operators.common import hash_split, hot_keys, skew_join
 from placewise.operators.registry import (
+    RAW_KEY,
+    clean_names,
     domestic_purchases,
     in_window,
     month_bit,
@@ -51,6 +54,21 @@ def raw_to_merchant(raw_tx: DataFrame, keys: DataFrame) -> DataFrame:
     return skew_join(raw_tx, keys.drop("n"), KEY, "inner", null_safe=("city", "pc5"), hot=hot)
 
 
+def booked_keys(raw: DataFrame, keys: DataFrame) -> DataFrame:
+    """Merchant, and whatever else ``keys`` tells, per name, city, postcode and month as booked."""
+    cleaned = clean_names(raw.groupBy(*RAW_KEY).agg(F.sum("n").alias("n")))
+    named = keys.drop("n").withColumnsRenamed({c: f"_{c}" for c in KEY})
+    # Both sides have one row per key or spelling of it, so no key is hot.
+    same = [cleaned[c].eqNullSafe(F.col(f"_{c}")) if c == "pc5" else cleaned[c] == F.col(f"_{c}") for c in KEY]
+    return cleaned.join(named, reduce(lambda a, b: a & b, same)).drop(*[f"_{c}" for c in KEY])
+
+
+def booked_to_merchant(rows: DataFrame, booked: DataFrame) -> DataFrame:
+    """Payments with their merchant, joined on the texts as booked."""
+    hot = hot_keys(booked, RAW_KEY)
+    return skew_join(rows, booked.drop("n"), RAW_KEY, "inner", null_safe=("mrch_nm_raw",), hot=hot)
+
+
 def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
     """Per booked name and merchant: revenue windows, cards, months, main category.
 

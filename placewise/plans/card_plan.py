@@ -51,12 +51,16 @@ class CardRun:
 
     @property
     def tx(self) -> DataFrame:
-        """Cleaned card rows.  Not written: cleaning twice is cheaper than storing every row."""
-        return reg.card_rows(self.card_tx)
+        """Cleaned card rows, for counts and inspection; the run itself starts from ``raw_months``."""
+        return reg.restaurant_tx(self.card_tx)
+
+    @property
+    def raw_months(self) -> DataFrame:
+        return self.stage("raw_months", lambda: reg.raw_months(self.card_tx))
 
     @property
     def name_months(self) -> DataFrame:
-        return self.stage("name_months", lambda: reg.name_months(self.tx))
+        return self.stage("name_months", lambda: reg.name_months(reg.clean_names(self.raw_months)))
 
     @property
     def hubs(self) -> DataFrame:
@@ -117,18 +121,27 @@ class CardRun:
         )
 
     # --- card rows of shops -------------------------------------------------
+    @property
+    def booked(self) -> DataFrame:
+        """What the registry knows of each name, city, postcode and month as booked."""
+        def build() -> DataFrame:
+            known = reg.located_merchants(self.merchants).select("merchant", "brand", "loc_pc5")
+            keys = shop_ops.key_store(self.keyed).drop("hub").join(known, "merchant", "left")
+            return shop_ops.booked_keys(self.raw_months.where(F.col("mcc").isin(*reg.MODEL_MCCS)), keys)
+
+        return self.stage("booked", build)
+
     @property
     def facts(self) -> DataFrame:
         """Card-present rows of the model's categories with merchant, brand and location.
 
-        This is the one join of payments with the registry: what later steps
-        need of a merchant is put on the key table first.
+        This is the one join of payments with the registry, on the texts as
+        booked, so no payment's text is cleaned.
         """
         def build() -> DataFrame:
-            rows = reg.card_present(reg.card_rows(self.card_tx, mccs=reg.MODEL_MCCS)).drop("cp")
-            known = reg.located_merchants(self.merchants).select("merchant", "brand", "loc_pc5")
-            keys = shop_ops.key_store(self.keyed).join(known, "merchant", "left")
-            return shop_ops.raw_to_merchant(rows, keys).drop("hub", "city")
+            rows = reg.card_marks(reg.booked_rows(self.card_tx, reg.MODEL_MCCS))
+            rows = rows.select(*reg.RAW_KEY, "card", "mcc", "amt", *reg.MARKS)
+            return shop_ops.booked_to_merchant(rows, self.booked).drop("city", "mrch_city_nm_raw", "mrch_postal_code")
 
         return self.stage("facts", build)
 
