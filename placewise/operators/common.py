@@ -26,6 +26,9 @@ def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
     return counts.where(F.col(n) >= least).select(*on)
 
 
+BROADCAST_ROWS = 100_000
+
+
 def skew_join(
     big: DataFrame,
     lookup: DataFrame,
@@ -33,17 +36,28 @@ def skew_join(
     how: str = "inner",
     null_safe: Sequence[str] = (),
     hot: DataFrame | None = None,
+    table: bool = False,
     condition: Column | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Inner or left equi-join that spreads hot keys of ``big`` over ``salts`` partitions.
 
-    ``lookup`` has few rows per key.  It is repeated once per salt, or, where
-    ``hot`` names the hot keys (see ``hot_keys``), for those keys alone.  It is
-    never hinted as broadcast: Catalyst does that only below its size threshold.
-    The salt depends on the row and its partition alone, so a retried task
-    makes the same choice; NULL keys are spread as well.
+    ``lookup`` has few rows per key.  With ``table``, it is a written table or
+    as cheap to count: if it has at most BROADCAST_ROWS rows it is broadcast.
+    Otherwise it is repeated once per salt, or, where ``hot`` names the hot
+    keys (see ``hot_keys``), for those keys alone, and both sides are shuffled.
+    The merge hint keeps the repeated side from being broadcast on the strength
+    of its compressed size.  The salt depends on the row and its partition
+    alone, so a retried task makes the same choice; NULL keys are spread too.
     """
+    if table and lookup.count() <= BROADCAST_ROWS:
+        named = lookup.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+        tests = [
+            big[c].eqNullSafe(F.col(f"_on_{i}")) if c in null_safe else big[c] == F.col(f"_on_{i}")
+            for i, c in enumerate(on)
+        ] + ([condition] if condition is not None else [])
+        joined = big.join(F.broadcast(named), reduce(lambda a, b: a & b, tests), how)
+        return joined.drop(*[f"_on_{i}" for i in range(len(on))])
     rest = [c for c in lookup.columns if c not in on]
     spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
@@ -58,7 +72,7 @@ def skew_join(
         copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
     right = right.select(
         *[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *rest, F.explode(copies).alias("_lookup_salt")
-    )
+    ).hint("merge")
     tests = [F.col("_salt") == F.col("_lookup_salt")]
     for i, c in enumerate(on):
         key = F.col(f"_on_{i}")

@@ -66,7 +66,7 @@ def shop_card_months(facts: DataFrame, shops: DataFrame, window: Window) -> Data
     """
     rows = month_window(facts, window)
     named = rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums(), F.min("merchant").alias("store"))
-    return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"]).select(*SHOP_TX_COLUMNS)
+    return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"], table=True).select(*SHOP_TX_COLUMNS)
 
 
 SHOP_TX_COLUMNS = (
@@ -90,7 +90,7 @@ def nullsafe_key_join(rollup: DataFrame, keys: DataFrame, shops: DataFrame) -> D
         & F.col("pc5").eqNullSafe(F.col("_pc5"))
     )
     named = rollup.join(k, same).drop("_card", "_month", "_mcc", "_nm1", "_pc5")
-    return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"]).select(*SHOP_TX_COLUMNS)
+    return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"], table=True).select(*SHOP_TX_COLUMNS)
 
 
 def shop_composition(shop_tx: DataFrame, window: Window, before: Window, after: Window) -> DataFrame:

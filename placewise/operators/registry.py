@@ -164,7 +164,7 @@ def scan_counts(tx: DataFrame, hubs: DataFrame, merchants: DataFrame) -> DataFra
 
 def flag_hub_rows(tx: DataFrame, hubs: DataFrame) -> DataFrame:
     marked = hubs.select("pc5", "month", F.lit(True).alias("hub"))
-    return skew_join(tx, marked, ["pc5", "month"], "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
+    return skew_join(tx, marked, ["pc5", "month"], "left", table=True).withColumn("hub", F.coalesce("hub", F.lit(False)))
 
 
 def first_known(col: str, order: str = "row_no") -> Column:
@@ -210,7 +210,7 @@ def resolve_place(tx: DataFrame, centroids: DataFrame, city_county: DataFrame) -
     """County of the postcode, else of an unambiguous city, else ``C:city``."""
     by_code = centroids.select("pc5", F.col("powiat_key").alias("_code_place"), F.lit(True).alias("pc_known"))
     by_city = city_county.select(F.col("city_norm").alias("city"), F.col("powiat_key").alias("_city_place"))
-    located = skew_join(skew_join(tx, by_code, ["pc5"], "left"), by_city, ["city"], "left")
+    located = skew_join(skew_join(tx, by_code, ["pc5"], "left", table=True), by_city, ["city"], "left", table=True)
     return (
         located.withColumn("place", F.coalesce("_code_place", "_city_place", F.concat(F.lit("C:"), "city")))
         .withColumn("pc_known", F.coalesce("pc_known", F.lit(False)))
@@ -266,7 +266,7 @@ def till_components(cooccurrence: DataFrame) -> DataFrame:
 
 
 def till_rep_join(rest_cp: DataFrame, components: DataFrame) -> DataFrame:
-    joined = skew_join(rest_cp, components, ["base", "place", "num"], "left")
+    joined = skew_join(rest_cp, components, ["base", "place", "num"], "left", table=True)
     return joined.withColumn("store_nm", text.store_name(F.col("base"), F.coalesce("rep", "num"))).drop("rep")
 
 
@@ -286,7 +286,7 @@ def multi_outlets(rest_cp: DataFrame, min_pcs: int = 2, min_months: int = 3) ->
 
 def multi_outlet_merchants(rest_cp: DataFrame, outlets: DataFrame) -> DataFrame:
     marked = outlets.select("store_nm", "place", F.lit(True).alias("_multi"))
-    joined = skew_join(rest_cp, marked, ["store_nm", "place"], "left")
+    joined = skew_join(rest_cp, marked, ["store_nm", "place"], "left", table=True)
     key = text.merchant_id(
         F.col("store_nm"), F.col("place"), F.coalesce("_multi", F.lit(False)), F.col("hub"), F.col("pc5")
     )
@@ -347,7 +347,7 @@ def merchant_join(rest_cp: DataFrame, location: DataFrame, centroids: DataFrame)
         .join(dominant_mcc(rest_cp), "merchant")
         .join(location.select("merchant", "loc_pc5"), "merchant", "left")
     )
-    return skew_join(base, place, ["loc_pc5"], "left")
+    return skew_join(base, place, ["loc_pc5"], "left", table=True)
 
 
 def registration_addresses(merchants: DataFrame, min_merchants: int = 5) -> DataFrame:
@@ -390,7 +390,7 @@ def merchant_tx(rest_cp: DataFrame, merchants: DataFrame, mccs: Sequence[int] =
     shops = located_merchants(merchants).select("merchant", F.col("loc_pc5").alias("_loc"), "brand")
     rows = rest_cp.where(F.col("mcc").isin(*mccs))
     hot = hot_keys(rows.groupBy("merchant").agg(row_count(rows).alias("n")), ["merchant"])
-    joined = skew_join(rows.select("merchant", "mcc", "card", "month", "amt"), shops, ["merchant"], hot=hot)
+    joined = skew_join(rows.select("merchant", "mcc", "card", "month", "amt"), shops, ["merchant"], hot=hot, table=True)
     return joined.select("merchant", F.col("_loc").alias("pc5"), "brand", "mcc", "card", "month", "amt")
 
 
@@ -428,4 +428,4 @@ def training_rows(
     )
     place = centroids.select("pc5", "lat", "lon", "place", "powiat", "powiat_key")
     active = per_shop.where(F.col("cards") >= min_cards).join(dominant_mcc(year), "merchant")
-    return shops_in_mcc(skew_join(active, place, ["pc5"]), min_shops).select(*TRAINING_COLUMNS)
+    return shops_in_mcc(skew_join(active, place, ["pc5"], table=True), min_shops).select(*TRAINING_COLUMNS)

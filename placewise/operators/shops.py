@@ -66,7 +66,7 @@ def booked_keys(raw: DataFrame, keys: DataFrame) -> DataFrame:
 def booked_to_merchant(rows: DataFrame, booked: DataFrame) -> DataFrame:
     """Payments with their merchant, joined on the texts as booked."""
     hot = hot_keys(booked, RAW_KEY)
-    return skew_join(rows, booked.drop("n"), RAW_KEY, "inner", null_safe=("mrch_nm_raw",), hot=hot)
+    return skew_join(rows, booked.drop("n"), RAW_KEY, "inner", null_safe=("mrch_nm_raw",), hot=hot, table=True)
 
 
 def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
@@ -108,7 +108,7 @@ TILL_COLUMNS = (
 
 def till_to_training_rows(tills: DataFrame, rows: DataFrame) -> DataFrame:
     known = rows.select("merchant", "brand", "pc5", F.col("powiat").alias("district"))
-    joined = skew_join(tills.where(F.col("revenue_2025") > 0), known, ["merchant"], "inner")
+    joined = skew_join(tills.where(F.col("revenue_2025") > 0), known, ["merchant"], "inner", table=True)
     return joined.withColumnRenamed("merchant", "store").select(*TILL_COLUMNS)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.geo import haversine_km, within_ring
-from placewise.operators.common import skew_join
+from placewise.operators.common import hot_keys, skew_join
 from placewise.params import CATCHMENT_KM
 
 # Fixed value: degrees of latitude of the box test for five kilometres.
@@ -104,7 +104,9 @@ def nearest_postcode(
     )
     at = {"c0x": cell(F.col("x"), F.lit(0)), "c0y": cell(F.col("y"), F.lit(0))}
     placed = points.withColumns(at)
-    cells = placed.where(F.col("c0x").isNotNull() & F.col("c0y").isNotNull()).select("c0x", "c0y").distinct()
+    known = placed.where(F.col("c0x").isNotNull() & F.col("c0y").isNotNull())
+    counts = known.groupBy("c0x", "c0y").agg(F.count("*").alias("n"))
+    cells = counts.select("c0x", "c0y")
 
     def climb(df: DataFrame) -> DataFrame:
         shrink = F.pow(F.lit(2.0), F.col("level"))
@@ -146,7 +148,7 @@ def nearest_postcode(
         ),
     )
     return (
-        skew_join(placed, kept, ["c0x", "c0y"], "left")
+        skew_join(placed, kept, ["c0x", "c0y"], "left", hot=hot_keys(counts, ["c0x", "c0y"]))
         .withColumn("_code", F.array_min(ranked)["code"])
         .select(*points.columns, "_code.postal_code", "_code.postal_code_point_wkt")
     )
@@ -172,4 +174,4 @@ def district_join(points: DataFrame, polygons: DataFrame, cell_m: float = 2000.0
     )
     placed = points.withColumns({"_cx": F.floor(F.col("x") / step), "_cy": F.floor(F.col("y") / step)})
     inside = within_ring(F.col("x"), F.col("y"), F.col("ring"))
-    return skew_join(placed, shapes, ["_cx", "_cy"], "left", condition=inside).drop("_cx", "_cy", "ring")
+    return skew_join(placed, shapes, ["_cx", "_cy"], "left", table=True, condition=inside).drop("_cx", "_cy", "ring")
