@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from placewise.session import checkpointed
+
 SALTS = 16
 BUCKETS_PER_OCTAVE = 4096
 _BUCKET_ZERO = 1100 * BUCKETS_PER_OCTAVE
@@ -180,25 +182,30 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -
     return groups.join(medians.groupBy(*keys).agg(*wide), list(keys), "left")
 
 
-def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
-    """Rank from 1, ties sharing their mean rank, without one global sort.
+def rank_table(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
+    """Each value with its mean rank from 1 and its number of rows ``n``, without one global sort.
 
     Values are counted first; ranks run within a bucket and start from the
     count of all lower buckets.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
+    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("n"))
     counts = counts.withColumn("_b", order_bucket(F.col(col).cast("double")))
-    buckets = counts.groupBy("_b").agg(F.sum("_n").alias("_bn"))
+    buckets = counts.groupBy("_b").agg(F.sum("n").alias("_bn"))
     lower = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("_b", F.coalesce(F.sum("_bn").over(lower), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    ranks = (
-        counts.withColumn("_in", before)
-        .join(starts, "_b")
-        .select(F.col(col), (F.col("_start") + F.col("_in") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
-    )
-    return skew_join(df, ranks, [col], "left")
+    first = F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return counts.join(starts, "_b").select(col, (first + (F.col("n") + 1) / F.lit(2.0)).alias(name), "n")
+
+
+def add_rank(df: DataFrame, ranks: DataFrame, col: str) -> DataFrame:
+    """Puts a written ``rank_table`` on the rows."""
+    return skew_join(df, ranks.drop("n"), [col], "left", hot=hot_keys(ranks, [col]), table=True)
+
+
+def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
+    """Rank from 1, ties sharing their mean rank."""
+    return add_rank(df, checkpointed(rank_table(df, col, name)), col)
 
 
 def running_best(

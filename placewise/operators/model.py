@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions import flags, text
 from placewise.operators.cells import FEATURES, labelled_cells, mcc_median
-from placewise.operators.common import average_rank, grouped_medians, grouped_quantile
+from placewise.operators.common import add_rank, grouped_medians, grouped_quantile, rank_table
 from placewise.params import FOLDS, MIN_FULL_YEAR, PLACE_TYPES
 from placewise.session import checkpointed
 
@@ -148,7 +148,9 @@ def model_metrics(scored: DataFrame) -> DataFrame:
         F.avg("ape").alias("mape"),
         (F.max("pred_y") > F.min("pred_y")).alias("_varied"),
     )
-    ranks = average_rank(average_rank(rows.select("y", "pred_y"), "y", "ry"), "pred_y", "rp")
+    ranks = rows.select("y", "pred_y")
+    for col, name in (("y", "ry"), ("pred_y", "rp")):
+        ranks = add_rank(ranks, checkpointed(rank_table(rows, col, name)), col)
     spread = F.stddev_pop("ry") * F.stddev_pop("rp")
     rho = ranks.agg(F.try_divide(F.covar_pop("ry", "rp"), spread)).scalar()
     return sums.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from placewise.functions.geo import haversine_km, within_ring
 from placewise.operators.common import hot_keys, skew_join
 from placewise.params import CATCHMENT_KM
+from placewise.session import checkpointed
 
 # Fixed value: degrees of latitude of the box test for five kilometres.
 BOX_DEGREES_5KM = 0.0462
@@ -105,7 +106,7 @@ def nearest_postcode(
     at = {"c0x": cell(F.col("x"), F.lit(0)), "c0y": cell(F.col("y"), F.lit(0))}
     placed = points.withColumns(at)
     known = placed.where(F.col("c0x").isNotNull() & F.col("c0y").isNotNull())
-    counts = known.groupBy("c0x", "c0y").agg(F.count("*").alias("n"))
+    counts = checkpointed(known.groupBy("c0x", "c0y").agg(F.count("*").alias("n")))
     cells = counts.select("c0x", "c0y")
 
     def climb(df: DataFrame) -> DataFrame:
