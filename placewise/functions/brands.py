@@ -162,9 +162,11 @@ def operator_prefix(name: Column) -> Column:
 
 
 def _chain_of_text(text: Column) -> Column:
-    choice = None
+    """First chain whose pattern fits.  Most names fit none, which one joint pattern tells."""
+    any_chain = "|".join(f"(?:{pattern})" for pattern in CHAINS.values())
+    choice = F.when(~text.rlike(any_chain), F.lit(None).cast("string"))
     for chain, pattern in CHAINS.items():
-        choice = F.when(text.rlike(pattern), chain) if choice is None else choice.when(text.rlike(pattern), chain)
+        choice = choice.when(text.rlike(pattern), chain)
     return choice
 
 

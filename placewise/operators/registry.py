@@ -310,22 +310,16 @@ def dominant_mcc(tx: DataFrame) -> DataFrame:
 
 
 def merchant_attributes(rest_cp: DataFrame) -> DataFrame:
-    """One row per merchant.  Counts by (merchant, city, pc5) come first, so a
-    merchant with very many rows is small before it meets in one task."""
-    fine = rest_cp.groupBy("merchant", "city", "pc5").agg(
-        F.min("store_nm").alias("store_nm"),
-        F.min("place").alias("place"),
-        F.min("month").alias("month"),
-        F.sum("amt").alias("amt"),
-        row_count(rest_cp).alias("n"),
-    )
-    by_city = fine.groupBy("merchant", "city").agg(
-        F.min("store_nm").alias("store_nm"),
-        F.min("place").alias("place"),
-        F.min("month").alias("month"),
-        F.sum("amt").alias("amt"),
-        F.sum("n").alias("n"),
-    )
+    """One row per merchant.
+
+    Sums by (merchant, city, pc5) come first, so a merchant with very many rows
+    is small before it meets in one task.  A merchant's store and place belong
+    to it; as group keys they keep these sums on numbers, which Spark hashes.
+    """
+    shop = ("merchant", "store_nm", "place")
+    sums = [F.min("month").alias("month"), F.sum("amt").alias("amt")]
+    fine = rest_cp.groupBy(*shop, "city", "pc5").agg(*sums, row_count(rest_cp).alias("n"))
+    by_city = fine.groupBy(*shop, "city").agg(*sums, F.sum("n").alias("n"))
     whole = by_city.groupBy("merchant").agg(
         F.min("store_nm").alias("store_nm"),
         F.min("place").alias("place"),

@@ -12,7 +12,6 @@ from placewise.functions import text
 from placewise.operators.common import hash_split, hot_keys, skew_join
 from placewise.operators.registry import (
     RAW_KEY,
-    clean_names,
     domestic_purchases,
     in_window,
     month_bit,
@@ -54,9 +53,9 @@ def raw_to_merchant(raw_tx: DataFrame, keys: DataFrame) -> DataFrame:
     return skew_join(raw_tx, keys.drop("n"), KEY, "inner", null_safe=("city", "pc5"), hot=hot)
 
 
-def booked_keys(raw: DataFrame, keys: DataFrame) -> DataFrame:
+def booked_keys(cleaned_months: DataFrame, keys: DataFrame) -> DataFrame:
     """Merchant, and whatever else ``keys`` tells, per name, city, postcode and month as booked."""
-    cleaned = clean_names(raw.groupBy(*RAW_KEY).agg(F.sum("n").alias("n")))
+    cleaned = cleaned_months.groupBy(*RAW_KEY, "nm1", "city", "pc5").agg(F.sum("n").alias("n"))
     named = keys.drop("n").withColumnsRenamed({c: f"_{c}" for c in KEY})
     # Both sides have one row per key or spelling of it, so no key is hot.
     same = [cleaned[c].eqNullSafe(F.col(f"_{c}")) if c == "pc5" else cleaned[c] == F.col(f"_{c}") for c in KEY]

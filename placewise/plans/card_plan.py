@@ -56,11 +56,12 @@ class CardRun:
 
     @property
     def raw_months(self) -> DataFrame:
-        return self.stage("raw_months", lambda: reg.raw_months(self.card_tx))
+        """Sums by texts as booked, with the cleaned texts: each is cleaned once per month."""
+        return self.stage("raw_months", lambda: reg.clean_names(reg.raw_months(self.card_tx)))
 
     @property
     def name_months(self) -> DataFrame:
-        return self.stage("name_months", lambda: reg.name_months(reg.clean_names(self.raw_months)))
+        return self.stage("name_months", lambda: reg.name_months(self.raw_months))
 
     @property
     def hubs(self) -> DataFrame:
