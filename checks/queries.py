@@ -391,6 +391,10 @@ check("merchants_by_name_month", MERCHANTS, lambda c: c.run.merchants, "merchant
 check("shop_facts", "mrch_nm_raw:s nm1:s pc5:s month:i mcc:i card:s amt:d merchant:s", lambda c: c.run.facts, "raw_st")
 check("shop_card_months", "store:s shop_pc:s split:s month:i card:s home_pc5:s spend:d txns:i weekend_spend:d dinner_spend:d is_foreign:b is_premium:b is_business:b",
       lambda c: demand.shop_card_months(c.run.facts, c.run.split_shops, P.card_window), "shop_tx")
+check("matched_counts", "matched:i keyed:i share:d", lambda c: demand.matched_counts(c.run.shop_tx, demand.card_month_rollup(c.card, P.card_window)),
+      """SELECT (SELECT count(*) FROM shop_tx) AS matched, (SELECT count(*) FROM rollup) AS keyed,
+         CAST((SELECT count(*) FROM shop_tx) AS DOUBLE) / (SELECT count(*) FROM rollup) AS share""")
+check("sale_counts", "n:i mean_price_m2:d", lambda c: housing.sale_counts(c.priced), "SELECT count(*) AS n, avg(cena_m2) AS mean_price_m2 FROM priced")
 check("hub_postcodes", "pc5:s month:i n_names:i", lambda c: registry.hub_postcodes(c.tx, P.hub_min_names), "hubs")
 check("postcode_centroids", "pc5:s lat:d lon:d place:s powiat:s powiat_code:s voiv:s n_places:i powiat_key:s", lambda c: registry.postcode_centroids(c.geo), "centroids")
 check("krakow_postcodes", CODES + " point_wkt:s", lambda c: housing.krakow_postcodes(housing.krakow_filter(c.geo)), "krakow_codes")

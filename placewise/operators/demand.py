@@ -93,6 +93,13 @@ def nullsafe_key_join(rollup: DataFrame, keys: DataFrame, shops: DataFrame) -> D
     return skew_join(named, shops.select("store", "shop_pc", "split"), ["store"], table=True).select(*SHOP_TX_COLUMNS)
 
 
+def matched_counts(shop_tx: DataFrame, rollup: DataFrame) -> DataFrame:
+    """Card-months of known shops, all card-months, and their ratio."""
+    return shop_tx.agg(F.count("*").alias("matched")).select(
+        "matched", rollup.agg(F.count("*")).scalar().alias("keyed")
+    ).withColumn("share", F.try_divide(F.col("matched"), F.col("keyed")))
+
+
 def shop_composition(shop_tx: DataFrame, window: Window, before: Window, after: Window) -> DataFrame:
     """Conditional sums and distinct cards per shop, first per card of the shop."""
     now = in_window(window)

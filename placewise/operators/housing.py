@@ -174,6 +174,11 @@ def sale_features(
     return complete_cases(homes.select(*MODEL_COLUMNS), MODEL_COLUMNS)
 
 
+def sale_counts(sales: DataFrame, value: str = "cena_m2") -> DataFrame:
+    """Number of sales and their mean price per square metre."""
+    return sales.agg(F.count("*").alias("n"), F.avg(value).alias("mean_price_m2"))
+
+
 def price_stats(sales: DataFrame, key: str = "postal_code", value: str = "cena_m2") -> DataFrame:
     """Mean and exact median price per code, two decimals."""
     known = sales.where(F.col(key).isNotNull())
