@@ -24,7 +24,12 @@ from placewise.sources.tabular import read_geonames, scan_card_tx, write_table
 
 
 class CardRun:
-    """One run over (card_tx, geonames) under ``params``; tables start with ``prefix``."""
+    """One run over (card_tx, geonames) under ``params``.
+
+    Stage tables start with ``prefix`` and are reused while they exist, so
+    other inputs or parameters need another prefix (``session.stage_prefix``
+    makes one) or ``rebuild``.
+    """
 
     def __init__(
         self,
