@@ -14,13 +14,13 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces, and the word parts they are made of, kept for one tokenizer in a worker; beyond it the store starts anew.
-KEPT_PIECES, KEPT_PARTS = 400_000, 700_000
+KEPT_PIECES, KEPT_PARTS = 600_000, 900_000
 #: A special token of both vocabularies: the library cuts a text there before anything else.
 SEPARATOR = "<|endoftext|>"
 #: White space right before a space: the tokenizer may join the two, so such a text is encoded whole.
 _JOINED_SPACE = re.compile(r"\s ")
 #: The letters a piece starts with.  Both tokenizers end a run of letters where the letters end.
-_LETTERS = re.compile(r" ?[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Encoder:
@@ -48,12 +48,11 @@ class Encoder:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn_parts(self, parts: set[str]) -> None:
-        """Encodes the parts not yet known in two calls: words in a row, others parted by a special token."""
+        """Encodes parts in two calls: words in a row, others parted by a special token."""
         words, rest = [], []
         for part in parts:
-            if part not in self.parts:
-                word = part[1:].isalpha() and part[0] == " " if self.spaced else part.isalpha()
-                (words if word else rest).append(part)
+            word = part[:1] == " " and part[1:].isalpha() if self.spaced else part.isalpha()
+            (words if word else rest).append(part)
         if words:
             ids = self._ids("".join(words) if self.spaced else " ".join(words))
             cuts = np.flatnonzero(self.edge[ids])
@@ -75,58 +74,44 @@ class Encoder:
                 self.parts[part] = data[4 * start : 4 * end]
                 start = end + 1
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) > KEPT_PIECES:
-            self.known.clear()
+    def learn(self, pieces: set[str], space: str) -> dict[str, bytes]:
+        """Ids of pieces, each with ``space`` before it, from those of the word parts they are made of."""
         if len(self.parts) > KEPT_PARTS:
             self.parts.clear()
-        known, parts, match = self.known, self.parts, _LETTERS.match
-        parts[""] = b""
-        pending, wanted = [], set()
+        parts, match = self.parts, _LETTERS.match
+        split, wanted = [], set()
         for piece in pieces:
-            if piece in known:
-                continue
-            letters = match(piece)
-            end = letters.end() if letters else 0
-            # Only before an ASCII sign: others may combine with the letter before them.
-            if end == len(piece) or (end and piece[end] < "\x80" and SEPARATOR not in piece):
-                head, tail = piece[:end], piece[end:]
+            if piece.isalpha():
+                end = len(piece)
             else:
-                head, tail = piece, ""
-            if head in parts and tail in parts:
-                known[piece] = parts[head] + parts[tail]
-            else:
-                pending.append(piece)
-                pending.append(len(head))
-                wanted.add(head)
-                wanted.add(tail)
-        if pending:
-            self._learn_parts(wanted)
-            parts[""] = b""
-            for piece, end in zip(pending[::2], pending[1::2], strict=True):
-                known[piece] = parts[piece[:end]] + parts[piece[end:]]
-
-    def pieces(self, text: str) -> list[str] | None:
-        """The parts whose ids stand one after another; None if the text must stay whole."""
-        if not self.spaced:
-            return text.split(" ")
-        if " " in text and _JOINED_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]]
+                letters = match(piece)
+                end = letters.end() if letters else 0
+                # Cut only before an ASCII sign: others may combine with the letter before them.
+                if not end or piece[end:] >= "\x80" or SEPARATOR in piece:
+                    end = len(piece)
+            split.append(end)
+            wanted.add(space + piece[:end])
+            if end < len(piece):
+                wanted.add(piece[end:])
+        self._learn_parts(wanted.difference(parts))
+        return {
+            p: parts[space + p] if end == len(p) else parts[space + p[:end]] + parts[p[end:]]
+            for p, end in zip(pieces, split, strict=True)
+        }
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        parts = self.pieces(text)
-        if parts is None:
+        if self.spaced and _JOINED_SPACE.search(text):
             return self.whole(text)
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            self.learn(set(parts))
-            return b"".join([self.known[p] for p in parts])
+        known, (first, *rest) = self.known, text.split(" ")
+        missing = set(rest).difference(known)
+        if missing:
+            if len(known) > KEPT_PIECES:
+                known.clear()
+                missing = set(rest)
+            known.update(self.learn(missing, " " if self.spaced else ""))
+        return self.learn({first}, "")[first] + b"".join(map(known.__getitem__, rest))
 
 
 @lru_cache(maxsize=4)
