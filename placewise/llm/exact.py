@@ -66,14 +66,20 @@ def duplicate_groups(docs: DataFrame, **carried: Column) -> DataFrame:
         .agg(F.count("*").alias("_n"), F.max(F.struct("doc_id", "_rid")).alias("_keep"))
         .where("_n > 1")
     )
-    joined = narrow.join(groups.withColumnRenamed("_hash", "_of"), F.col("_hash") == F.col("_of"), "left")
-    alone = F.col("_of").isNull()
-    return joined.select(
-        "doc_id",
-        *carried,
-        F.when(alone, F.col("doc_id")).otherwise(F.col("_keep.doc_id")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("_rid") == F.col("_keep._rid"))).alias("kept"),
+    # Rows known to be alone have no hash; they pass beside the join, where they would all meet in one task.
+    alone = narrow.where("_hash IS NULL").select(
+        "doc_id", *carried, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+    )
+    shared = narrow.where("_hash IS NOT NULL").join(groups.withColumnRenamed("_hash", "_of"), F.col("_hash") == F.col("_of"), "left")
+    single = F.col("_of").isNull()
+    return alone.unionByName(
+        shared.select(
+            "doc_id",
+            *carried,
+            F.when(single, F.col("doc_id")).otherwise(F.col("_keep.doc_id")).alias("keep_id"),
+            F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
+            (single | (F.col("_rid") == F.col("_keep._rid"))).alias("kept"),
+        )
     )
 
 
