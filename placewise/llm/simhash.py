@@ -315,11 +315,11 @@ def near_dedup(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     sizes = prints.select("fp").groupBy("fp").agg(F.count("*").alias("_rows"))
     classes = named.join(sizes, "fp")
-    totals = classes.groupBy("component_id").agg(F.sum("_rows").alias("_total"))
+    totals = classes.groupBy(F.col("component_id").alias("_of")).agg(F.sum("_rows").alias("_total"))
     crowded = written(
-        classes.join(totals, classes["component_id"].eqNullSafe(totals["component_id"]))
+        classes.join(totals, F.col("component_id").eqNullSafe(F.col("_of")))
         .where("_total > 1")
-        .select(F.col("fp").alias("_fp"), classes["component_id"]),
+        .select(F.col("fp").alias("_fp"), "component_id"),
         "crowded",
     )
     joined = prints.join(crowded, F.col("fp") == F.col("_fp"), "left")
