@@ -633,11 +633,10 @@ check("zip_revenue", "zip_code:s type:s predicted_revenue:d", lambda c: model.zi
 
 def _scenarios(c: Inputs) -> DataFrame:
     """One scenario per supplier over the parts of one brand."""
-    kinds = c.table("part").select(F.col("p_brand").alias("type")).distinct()
     return c.table("supplier").select(
-        F.col("s_suppkey").alias("scenario_id"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 5 + 1).cast("string"), (F.col("s_suppkey") % 4 + 1).cast("string")).alias("type"),
+        F.col("s_suppkey").alias("scenario_id"), F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("type"),
         (F.lit(200.0) + (F.col("s_suppkey") % 7) * 150).alias("budget"), F.lit(12.0).alias("area_m2"), (1 + F.col("s_suppkey") % 6).cast("int").alias("k"),
-    ).join(kinds, "type", "left_semi")
+    )
 
 
 def _select(c: Inputs, k: int | None = None) -> DataFrame:
@@ -646,7 +645,7 @@ def _select(c: Inputs, k: int | None = None) -> DataFrame:
     return selection.select_locations(offers, scenarios.withColumn("k", F.lit(k)) if k else scenarios)
 
 
-_ASKED = """SELECT s_suppkey AS scenario_id, 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 4 + 1) AS type, 200 + s_suppkey % 7 * 150 AS budget FROM supplier"""
+_ASKED = """SELECT s_suppkey AS scenario_id, 'Brand#' || (s_suppkey % 25 + 1) AS type, 200 + s_suppkey % 7 * 150 AS budget FROM supplier"""
 check("select_locations_k1", "scenario_id:i postal_code:s revenue:d total_cost:d profit:d", lambda c: _select(c, 1),
       f"""SELECT scenario_id, postal_code, revenue, total_cost, profit FROM (
             SELECT s.scenario_id, p.postal_code, p.revenue, p.total_cost, p.revenue - p.total_cost AS profit,

@@ -51,7 +51,7 @@ def pc5(col: Column) -> Column:
 
 
 def postcode_dash(col: Column) -> Column:
-    return F.concat(F.substring(col, 1, 2), F.lit("-"), F.substring(col, 3, 1_000))
+    return F.concat(F.substring(col, 1, 2), F.lit("-"), F.substring(col, F.lit(3), F.length(col)))
 
 
 def postcode_key(col: Column) -> Column:

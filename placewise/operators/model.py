@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -95,18 +96,20 @@ def predict_all(
     """A prediction for every cell; labelled cells get one from a model that has
     not seen their postcode.  Each fit is one distributed job series."""
     labelled = fold_of(labelled_cells(cells, min_full_year, target), folds=folds)
+    if labelled.isEmpty():  # nothing to learn from
+        return cells.withColumns({"predicted_revenue": F.lit(None).cast("double"), "out_of_fold": F.lit(False)})
     parts = []
     for fold in range(folds):
         held = labelled.where(F.col("fold") == fold)
-        if held.isEmpty():
+        rest = labelled.where(F.col("fold") != fold)
+        if held.isEmpty() or rest.isEmpty():
             continue
-        model = fit_revenue(labelled.where(F.col("fold") != fold), target, **gbt)
+        model = fit_revenue(rest, target, **gbt)
         parts.append(model.score(held).select("pc5", "mrch_catg_cd", "predicted_revenue"))
     full = fit_revenue(labelled, target, **gbt).score(cells).drop("pred_y", "med")
-    oof = parts[0]
-    for part in parts[1:]:
-        oof = oof.unionByName(part)
-    return stack_oof(full, oof)
+    if not parts:
+        return full.withColumn("out_of_fold", F.lit(False))
+    return stack_oof(full, reduce(DataFrame.unionByName, parts))
 
 
 def heldout_scores(cells: DataFrame, target: str, **gbt) -> DataFrame:

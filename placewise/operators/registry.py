@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,15 +129,29 @@ def sum_where(value: Column, test: Column) -> Column:
     return F.sum(F.when(test, value))
 
 
-def month_bit(month: Column, window: Window) -> Column:
+MONTHS_PER_WORD = 62
+
+
+def month_bit(month: Column, window: Window, word: int = 0) -> Column:
     """One bit per month of a window, 0 outside it: OR-ing bits counts months
-    with a map-side combine, which a distinct count over a second key cannot."""
-    if months_in(window) > 62:
-        raise ValueError("a window may span at most 62 months")
+    with a map-side combine, which a distinct count over a second key cannot.
+    A word holds 62 months; longer windows take as many as they need."""
     lo = window[0]
-    index = (F.floor(month / 100) - lo // 100) * 12 + month % 100 - lo % 100
+    index = (F.floor(month / 100) - lo // 100) * 12 + month % 100 - lo % 100 - word * MONTHS_PER_WORD
     bit = F.pow(F.lit(2.0), index).cast("bigint")
-    return F.when(month.between(*window), bit).otherwise(F.lit(0).cast("bigint"))
+    return F.when(month.between(*window) & index.between(0, MONTHS_PER_WORD - 1), bit).otherwise(F.lit(0).cast("bigint"))
+
+
+def month_words(window: Window) -> list[Column]:
+    """Aggregates ``months_0``, ``months_1``, ...: the months of a group."""
+    words = -(-months_in(window) // MONTHS_PER_WORD)
+    return [F.bit_or(month_bit(F.col("month"), window, i)).alias(f"months_{i}") for i in range(words)]
+
+
+def months_seen(window: Window) -> Column:
+    """Aggregate over ``month_words`` of the parts of a group: how many months it has."""
+    words = range(len(month_words(window)))
+    return reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(f"months_{i}")) for i in words])
 
 
 def hub_postcodes(tx: DataFrame, min_names: int = HUB_MIN_NAMES) -> DataFrame:
@@ -246,7 +261,7 @@ def till_components(cooccurrence: DataFrame) -> DataFrame:
     """
     links = (
         cooccurrence.select(
-            "base", "place", F.explode(F.slice("nums", 2, 1_000)).alias("other"), F.get("nums", F.lit(0)).alias("least")
+            "base", "place", F.explode(F.slice("nums", F.lit(2), F.size("nums"))).alias("other"), F.get("nums", F.lit(0)).alias("least")
         )
         .groupBy("base", "place")
         .agg(F.sort_array(F.collect_set(F.array("least", "other"))).alias("links"))
@@ -413,12 +428,12 @@ def training_rows(
     # aggregates on numbers, which Spark hashes instead of sorting rows.
     shop = ("merchant", "brand", "pc5")
     per_card = year.groupBy(*shop, "card").agg(
-        F.sum("amt").alias("amt"), F.bit_or(month_bit(F.col("month"), window)).alias("months")
+        F.sum("amt").alias("amt"), *month_words(window)
     )
     per_shop = per_card.groupBy(*shop).agg(
         F.sum("amt").alias("revenue"),
         F.count("card").alias("cards"),
-        F.bit_count(F.bit_or("months")).alias("months_active"),
+        months_seen(window).alias("months_active"),
     )
     place = centroids.select("pc5", "lat", "lon", "place", "powiat", "powiat_key")
     active = per_shop.where(F.col("cards") >= min_cards).join(dominant_mcc(year), "merchant")

@@ -14,7 +14,8 @@ from placewise.operators.registry import (
     RAW_KEY,
     domestic_purchases,
     in_window,
-    month_bit,
+    month_words,
+    months_seen,
     row_count,
     sum_where,
 )
@@ -82,17 +83,18 @@ def till_revenue(raw_st: DataFrame, params: Params = Params()) -> DataFrame:
         sum_where(F.col("amt"), year).alias("year_amt"),
         sum_where(F.col("amt"), in_window(params.half_first)).alias("first_amt"),
         sum_where(F.col("amt"), in_window(params.half_second)).alias("second_amt"),
-        F.bit_or(month_bit(F.col("month"), params.train_year)).alias("months"),
+        *month_words(params.train_year),
         F.max(F.when(year, best)).alias("best"),
     )
+    any_month = F.greatest(F.lit(0), *[F.col(c) for c in per_card.columns if c.startswith("months_")]) > 0
     return (
         per_card.groupBy("mrch_nm_raw", "merchant")
         .agg(
             F.sum("year_amt").alias("revenue_2025"),
             F.sum("first_amt").alias("revenue_h2_2025"),
             F.sum("second_amt").alias("revenue_h1_2026"),
-            F.count(F.when(F.col("months") > 0, F.col("card"))).alias("cards_2025"),
-            F.bit_count(F.bit_or("months")).alias("months_active_2025"),
+            F.count(F.when(any_month, F.col("card"))).alias("cards_2025"),
+            months_seen(params.train_year).alias("months_active_2025"),
             (F.lit(9999) - F.pmod(F.max("best"), F.lit(10_000))).cast("int").alias("mrch_catg_cd"),
         )
         .withColumn("full_year_2025", F.col("months_active_2025") == months_in(params.train_year))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,6 @@ from placewise.session import checkpointed
 # Fixed value: degrees of latitude of the box test for five kilometres.
 BOX_DEGREES_5KM = 0.0462
 _MARGIN = 1.000001
-NEAREST_LEVELS = 24
 MAX_CODES_PER_CELL = 256
 
 
@@ -69,8 +68,15 @@ def grid_size(codes: DataFrame, most: int = MAX_CODES_PER_CELL, start_m: float =
     return start_m / 2 ** (halvings if fits is None else fits)
 
 
+def _levels(places: DataFrame, size: float) -> int:
+    """Doublings after which a cell of ``size`` spans all places."""
+    spans = [F.max(c) - F.min(c) for c in ("x", "y")]
+    wide = places.agg(F.greatest(*spans).alias("wide")).first()["wide"]
+    return max(1, math.ceil(math.log2(max(wide or 0.0, size) / size)) + 1)
+
+
 def nearest_postcode(
-    points: DataFrame, codes: DataFrame, cell_m: float | None = None, levels: int = NEAREST_LEVELS
+    points: DataFrame, codes: DataFrame, cell_m: float | None = None, levels: int | None = None
 ) -> DataFrame:
     """Adds the nearest code (the least code on ties) to points in metres.
 
@@ -82,9 +88,11 @@ def nearest_postcode(
     to one of its corners than the code nearest to its middle: no other can
     win inside it.  Points then meet their cell's few codes in one equi-join.
     ``cell_m`` is chosen by ``grid_size`` unless given, which bounds the codes
-    a cell keeps.  The top level's cells are wider than any distance on Earth.
+    a cell keeps.  Unless given, the levels go up until one cell is as wide as
+    all points and codes together.
     """
     size = float(cell_m or grid_size(codes))
+    levels = levels or _levels(points.select("x", "y").unionByName(codes.select("x", "y")), size)
 
     def cell(value: Column, level: Column) -> Column:
         return F.floor(value / (F.lit(size) * F.pow(F.lit(2.0), level)))

@@ -136,3 +136,11 @@ def test_leave_one_out_of_a_single_shop_area_is_zero(spark):
     assert got["5"] == -7.5  # no postcode: nothing but its own part taken away
     assert got["3"] == 0 + 1.5 + 3.0  # a test shop keeps all training shops
     assert got["0"] == 1.5 + 3.0
+
+
+def test_a_window_of_six_years(spark):
+    window = (202001, 202512)
+    months = [year * 100 + month for year in range(2019, 2027) for month in range(1, 13)]
+    df = spark.createDataFrame([(m,) for m in months], "month int").withColumn("half", F.col("month") % 2)
+    parts = df.groupBy("half").agg(*registry.month_words(window))
+    assert parts.agg(registry.months_seen(window).alias("n")).first().n == 72

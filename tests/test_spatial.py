@@ -94,3 +94,10 @@ def test_parse_point(spark):
     x, y = geo.parse_point(F.col("w"))
     assert [(r.x, r.y) for r in df.select(x.alias("x"), y.alias("y")).collect()] == [
         (1.0, 2.0), (1.5, -20.0), (3.0, 4.0), (None, None), (None, None)]
+
+
+def test_a_far_point_finds_its_code_from_small_cells(spark):
+    codes = spark.createDataFrame([("00-001", 0.0, 0.0, "p")], "postal_code string, x double, y double, point_wkt string")
+    points = spark.createDataFrame([(1, 5_000_000.0, 3.0), (2, 0.01, 0.0)], "id int, x double, y double")
+    found = {r.id: r.postal_code for r in spatial.nearest_postcode(points, codes, cell_m=0.05).collect()}
+    assert found == {1: "00-001", 2: "00-001"}
