@@ -173,14 +173,14 @@ def quality_filter(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
         .unionByName(failed.select("*", F.lit(True).alias("rejected"), F.expr("CAST(array() AS array<bigint>)").alias("hashes"))),
         "verdicts",
     ).withColumnsRenamed({"host": "_host", "content": "_content"})
-    text = F.coalesce("text", F.lit(""))
-    rows = boxed(docs, text=F.col("text"), host=F.xxhash64("source"), content=hash60(text))
+    rows = boxed(docs, host=F.xxhash64("source"), content=hash60(F.coalesce("text", F.lit(""))))
+    # Verdicts grow with the table, so they are never broadcast: one plan at every size.
     joined = rows.join(
-        verdicts, (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left"
+        verdicts.hint("merge"), (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left"
     ).where("NOT coalesce(rejected, false)")
-    stay = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("hashes", _line_hash(x)))
+    stay = F.filter(F.split("_row.text", "\n"), lambda x: ~F.array_contains("hashes", _line_hash(x)))
     less = F.size("hashes") > 0
-    cleaned = joined.withColumn("_text", F.when(less, F.array_join(stay, "\n")).otherwise(F.col("text")))
+    cleaned = joined.withColumn("_text", F.when(less, F.array_join(stay, "\n")).otherwise(F.col("_row.text")))
     columns = []
     for c in docs.columns:
         value = F.col("_row")[c]

@@ -31,6 +31,8 @@ STEP = 1 << 15
 #: Fingerprints per block grow with the root of their number, so that the
 #: blocks two of which meet in a task stay few; there are never more than these.
 BLOCK_ROOT, MOST_BLOCKS = 64, 4096
+#: Rows of the broadcast table that marks fingerprints of larger components; a shared slot only costs a shuffle of its rows.
+SLOTS = 1 << 20
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -306,8 +308,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
 def near_dedup(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """One row of every component, with all its columns: that with the least doc_id, nulls last.
 
-    Rows alone in their component pass without a shuffle of their texts' rows
-    against each other; of a larger one every task passes on its best row only.
+    Rows known to be alone in their component pass without a shuffle; of a
+    larger one every task passes on its best row only.
     """
     rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
     prints = written(fingerprints(rows.select("_row", "doc_id", "text"), words), "printed")
@@ -322,7 +324,11 @@ def near_dedup(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
         .select(F.col("fp").alias("_fp"), "component_id"),
         "crowded",
     )
-    joined = prints.join(crowded, F.col("fp") == F.col("_fp"), "left")
-    alone = joined.where("_fp IS NULL").select("_row")
+    slot = lambda fp: F.pmod(F.xxhash64(fp), F.lit(SLOTS))
+    # At most SLOTS rows whatever the input.  Rows in no marked slot are alone and pass without a shuffle.
+    slots = written(crowded.select(slot("_fp").alias("_slot")).distinct(), "crowded-slots")
+    marked = prints.join(F.broadcast(slots), slot("fp") == F.col("_slot"), "left")
+    joined = marked.where("_slot IS NOT NULL").join(crowded.hint("merge"), F.col("fp") == F.col("_fp"), "left")
+    alone = marked.where("_slot IS NULL").select("_row").unionByName(joined.where("_fp IS NULL").select("_row"))
     best = joined.where("_fp IS NOT NULL").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
     return alone.unionByName(best.select("_row")).select("_row.*")
