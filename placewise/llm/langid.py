@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import ship
+from placewise.llm.common import least_hashes, ship
 
 BITS = 15
 GRAMS = 3
@@ -159,7 +159,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model:
         else:
             frequency[row["feature"]] = row["n"]
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    some = rows.select("text", "lang", F.xxhash64("text", "lang").alias("order")).orderBy("order").limit(sample)
+    some = least_hashes(rows.select("doc_id", "text", "lang"), F.xxhash64("doc_id", "text"), n_docs, sample)
     fitted = (
         some.select("text", "lang")
         .coalesce(1)

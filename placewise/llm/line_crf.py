@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import ship
+from placewise.llm.common import least_hashes, ship
 
 #: Labelled documents the field is fitted on; a fifth of them only map its output.
 SAMPLE = 4000
@@ -245,14 +245,9 @@ def _fit_sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE) -> Field | None:
     """Fits on text and quality of ``sample`` rows, by hash order, for which ``learn`` (of doc_id) holds; None without any."""
-    some = (
-        labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"))
-        .limit(sample)
-        .select(F.col("doc_id").alias("_id"), "quality")
-    )
+    known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").cast("int").alias("quality"))
+    some = least_hashes(known, F.xxhash64("_id"), known.count(), sample)
     # At most ``sample`` ids, so the texts need no shuffle; rows that share an id are cut off again after it.
     rows = ship(docs).select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id"))
     rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(sample).select("text", "quality")
