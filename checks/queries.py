@@ -182,6 +182,9 @@ def _register_lines(orders: DataFrame) -> DataFrame:
 
     third = orders.where("o_orderkey % 3 = 0")
     shared = orders.select((F.col("o_custkey") % 50).alias("j")).distinct()
+    parcels = orders.select((F.col("o_orderkey") % 100).alias("j")).distinct()
+    ring = '<gml:LinearRing><gml:posList srsDimension="2">{} 0 {} 0 {} 9 {} 0</gml:posList></gml:LinearRing>'.format("{j}", "{j + 9}", "{j + 9}", "{j}")
+    hole = "{CASE WHEN j % 2 = 1 THEN concat('<gml:interior><gml:LinearRing><gml:posList>', j + 5, ' 1 ', j + 8, ' 1 ', j + 8, ' 4 ', j + 5, ' 1</gml:posList></gml:LinearRing></gml:interior>') ELSE '' END}"
     doc = "{CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(CASE WHEN o_orderkey % 5 = 0 THEN concat('<rcn:podstawaPrawna xlink:href=\"#X', o_orderkey, '\"/>') ELSE '' END, '<rcn:podstawaPrawna xlink:href=\"#D', o_orderkey, '\"/>') END}"
     second = "{CASE WHEN o_orderkey % 3 = 0 THEN concat('<rcn:nieruchomosc xlink:href=\"#N', o_orderkey, 'b\"/>') ELSE '' END}"
     parcel = "{CASE WHEN o_orderkey % 2 = 0 THEN concat('<rcn:dzialka xlink:href=\"#P', o_orderkey % 90, 'x\"/>') ELSE '' END}"
@@ -200,6 +203,8 @@ def _register_lines(orders: DataFrame) -> DataFrame:
         line(f'<rcn:RCN_Lokal {spaces} gml:id="L{k}b"><rcn:powUzytkowaLokalu>50</rcn:powUzytkowaLokalu></rcn:RCN_Lokal>', third),
         line(f'<rcn:RCN_Budynek {spaces} gml:id="B{{j}}"><rcn:rodzajBudynku>{{110 + j % 3}}</rcn:rodzajBudynku></rcn:RCN_Budynek>', shared),
         line(f'<rcn:RCN_Adres {spaces} gml:id="A{{j}}"><rcn:ulica>Ulica {{j % 9}}</rcn:ulica><rcn:numerPorzadkowy>{{j}}</rcn:numerPorzadkowy></rcn:RCN_Adres>', shared),
+        line('<rcn:RCN_Dzialka gml:id="P{j}"><rcn:idDzialki>{j}</rcn:idDzialki><rcn:geometria><gml:Polygon><gml:exterior>' + ring
+             + "</gml:exterior>" + hole + "</gml:Polygon></rcn:geometria></rcn:RCN_Dzialka>", parcels),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -294,6 +299,10 @@ check("read_features", "gml_id:s powUzytkowaLokalu:s funkcjaLokalu:s geometry_wk
       """SELECT 'L' || o_orderkey AS gml_id, CAST(12 + o_orderkey % 200 AS VARCHAR) AS powUzytkowaLokalu, '1_mieszkalna' AS funkcjaLokalu,
                 'POINT (' || (560000 + o_custkey % 14000) || ' ' || (240000 + o_custkey % 9000) || ')' AS geometry_wkt FROM orders
          UNION ALL SELECT 'L' || o_orderkey || 'b', '50', NULL, NULL FROM orders WHERE o_orderkey % 3 = 0""")
+check("read_features_rings", "gml_id:s idDzialki:s geometry_wkt:s", lambda c: c.features("RCN_Dzialka"),
+      """SELECT 'P' || j AS gml_id, CAST(j AS VARCHAR) AS idDzialki, 'POLYGON ((' || j || ' 0, ' || (j + 9) || ' 0, ' || (j + 9) || ' 9, ' || j || ' 0)'
+                || CASE WHEN j % 2 = 1 THEN ', (' || (j + 5) || ' 1, ' || (j + 8) || ' 1, ' || (j + 8) || ' 4, ' || (j + 5) || ' 1)' ELSE '' END || ')' AS geometry_wkt
+         FROM (SELECT DISTINCT o_orderkey % 100 AS j FROM orders)""")
 
 # --- projections, filters, predicates -------------------------------------------
 check("restaurant_tx", TX, lambda c: registry.restaurant_tx(c.card), "tx")
@@ -617,12 +626,35 @@ check("impute_median", "pc5:s mrch_catg_cd:i avg_ticket:d local_share:d grocery_
       lambda c: cell_ops.impute_median(c.run.cells.where("split = 'train'"), c.run.cells, ["avg_ticket", "local_share", "grocery_spend"]),
       """SELECT c.pc5, c.mrch_catg_cd, coalesce(c.avg_ticket, m.a) AS avg_ticket, coalesce(c.local_share, m.l) AS local_share, coalesce(c.grocery_spend, m.g) AS grocery_spend
          FROM cells c, (SELECT median(avg_ticket) AS a, median(local_share) AS l, median(grocery_spend) AS g FROM cells WHERE split = 'train') m""")
-check("fit_revenue", "pc5:s mrch_catg_cd:i predicted_revenue:d",
-      lambda c: model.fit_revenue(c.run.cells, "revenue", **SMALL_GBT).score(c.run.cells))
-check("predict_all", "pc5:s mrch_catg_cd:i predicted_revenue:d out_of_fold:b",
-      lambda c: model.predict_all(c.run.cells, "revenue", min_full_year=0, **SMALL_GBT))
-check("heldout_predictions", "pc5:s mrch_catg_cd:i district:s n_shops:i n_full_year:i actual_revenue:d predicted_revenue:d ape:d",
-      lambda c: model.heldout_predictions(c.run.cells, "revenue", **SMALL_GBT))
+# SQL grows no trees, so it fixes the rows, the scales and who may be scored, not the scores.
+_FOLD = "CAST(('0x' || substr(md5('fold|' || {0}.pc5), 1, 8)) AS BIGINT) % 5"
+
+
+def _scored(df: DataFrame) -> DataFrame:
+    return df.withColumn("scored", F.coalesce(C("predicted_revenue") > 0, F.lit(False)))
+
+
+check("fit_revenue", "pc5:s mrch_catg_cd:i med:d scored:b",
+      lambda c: _scored(model.fit_revenue(c.run.cells, "revenue", **SMALL_GBT).score(c.run.cells)),
+      """SELECT c.pc5, c.mrch_catg_cd, m.med, m.med IS NOT NULL AS scored FROM cells c
+         LEFT JOIN (SELECT mrch_catg_cd, median(revenue) AS med FROM cells GROUP BY mrch_catg_cd) m ON m.mrch_catg_cd = c.mrch_catg_cd""")
+check("predict_all", "pc5:s mrch_catg_cd:i out_of_fold:b scored:b",
+      lambda c: _scored(model.predict_all(c.run.cells, "revenue", min_full_year=0, **SMALL_GBT)),
+      f"""SELECT c.pc5, c.mrch_catg_cd, c.revenue IS NOT NULL AND EXISTS (SELECT 1 FROM cells r WHERE r.mrch_catg_cd = c.mrch_catg_cd
+              AND r.revenue IS NOT NULL AND {_FOLD.format('r')} <> {_FOLD.format('c')}) AS out_of_fold,
+          EXISTS (SELECT 1 FROM cells r WHERE r.mrch_catg_cd = c.mrch_catg_cd AND r.revenue IS NOT NULL) AS scored FROM cells c""")
+check("heldout_predictions", "pc5:s mrch_catg_cd:i district:s n_shops:i n_full_year:i actual_revenue:d scored:b error_right:b",
+      lambda c: _scored(model.heldout_predictions(c.run.cells, "revenue", **SMALL_GBT)).withColumn(
+          "error_right", F.abs(C("ape") * C("actual_revenue") - F.abs(C("actual_revenue") - C("predicted_revenue"))) < 1e-6),
+      """SELECT pc5, mrch_catg_cd, district, n_shops, n_full_year, revenue AS actual_revenue, trained AS scored, CASE WHEN trained THEN true END AS error_right
+         FROM (SELECT c.*, EXISTS (SELECT 1 FROM cells r WHERE r.mrch_catg_cd = c.mrch_catg_cd AND r.split = 'train' AND r.revenue IS NOT NULL) AS trained
+               FROM cells c WHERE c.split = 'test' AND c.revenue IS NOT NULL)""")
+check("out_of_fold_report", "cells:i mape:d median_ape:d full_model_cells:i",
+      lambda c: model.out_of_fold_report(c.run.cells.withColumn("predicted_revenue", C("revenue")).withColumn(
+          "out_of_fold", (C("n_full_year") >= P.min_full_year) & C("revenue_full_year").isNotNull())),
+      f"""SELECT count(*) FILTER (WHERE held) AS cells, avg(e) AS mape, median(e) AS median_ape, count(*) FILTER (WHERE NOT held) AS full_model_cells
+          FROM (SELECT held, CASE WHEN held THEN abs(revenue_full_year - revenue) / revenue_full_year END AS e
+                FROM (SELECT *, n_full_year >= {P.min_full_year} AND revenue_full_year IS NOT NULL AS held FROM cells))""")
 check("model_metrics", "cells:i r2:d mape:d median_ape:d spearman:d top20_precision:d", lambda c: model.model_metrics(c.scored),
       """SELECT count(*) AS cells, 1 - sum((y - pred_y) * (y - pred_y)) / sum((y - my) * (y - my)) AS r2, avg(e) AS mape, median(e) AS median_ape,
                 corr(ry, rp) AS spearman, avg(CASE WHEN y >= cy THEN 1.0 ELSE 0.0 END) FILTER (WHERE pred_y >= cp) AS top20_precision FROM fit_ranks, fit_cuts""")
@@ -653,7 +685,22 @@ check("select_locations_k1", "scenario_id:i postal_code:s revenue:d total_cost:d
             FROM ({_ASKED}) s JOIN part_items p ON p.type = s.type AND p.total_cost <= s.budget AND p.revenue > p.total_cost) WHERE rn = 1""")
 
 
-check("select_locations", "scenario_id:i postal_code:s revenue:d total_cost:d profit:d bound:d", _select)
+def _choice_facts(c: Inputs) -> DataFrame:
+    """What holds for a choice whatever codes it names, and the best single profit it competes with."""
+    chosen = _select(c).groupBy("scenario_id").agg(
+        F.count("*").alias("n"), F.count_distinct("postal_code").alias("codes"), F.sum("total_cost").alias("cost"),
+        F.sum("profit").alias("profit"), F.max("bound").alias("bound"))
+    single = _select(c, 1).select("scenario_id", C("profit").alias("best_single"))
+    met = _scenarios(c).join(chosen, "scenario_id").join(single, "scenario_id")
+    return met.select("scenario_id", "best_single", (C("n") <= C("k")).alias("count_kept"), (C("n") == C("codes")).alias("codes_differ"),
+                      (C("cost") <= C("budget") + 1e-6).alias("budget_kept"), (C("profit") <= C("bound") + 1e-6).alias("bound_holds"),
+                      (C("profit") >= C("best_single") - 1e-6).alias("beats_single"))
+
+
+check("select_locations", "scenario_id:i best_single:d count_kept:b codes_differ:b budget_kept:b bound_holds:b beats_single:b", _choice_facts,
+      f"""SELECT s.scenario_id, max(p.revenue - p.total_cost) AS best_single, true AS count_kept, true AS codes_differ, true AS budget_kept,
+                 true AS bound_holds, true AS beats_single
+          FROM ({_ASKED}) s JOIN part_items p ON p.type = s.type AND p.total_cost <= s.budget AND p.revenue > p.total_cost GROUP BY s.scenario_id""")
 check("select_locations_exact_k2", "pc_a:s pc_b:s profit:d", lambda c: selection.select_locations_exact_k2(c.parts, 300.0),
       """SELECT least(a.postal_code, b.postal_code) AS pc_a, greatest(a.postal_code, b.postal_code) AS pc_b,
                 a.revenue - a.total_cost + b.revenue - b.total_cost AS profit

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from placewise.functions import flags, text
 from placewise.operators.cells import FEATURES, labelled_cells, mcc_median
 from placewise.operators.common import add_rank, grouped_medians, grouped_quantile, rank_table
-from placewise.params import FOLDS, MIN_FULL_YEAR, PLACE_TYPES
+from placewise.params import FOLDS, MIN_FULL_YEAR, MIN_SHOPS_PER_CELL, PLACE_TYPES
 from placewise.session import checkpointed
 
 # Size and speed of the tree ensemble.
@@ -28,6 +30,8 @@ GBT_DEFAULTS = {
     "featureSubsetStrategy": "0.8",
     "seed": 0,
 }
+# A fit passes over its rows thousands of times: few full tasks cost less than many small ones.
+ROWS_PER_TASK = 20_000
 
 
 @dataclass(frozen=True)
@@ -61,7 +65,9 @@ def fit_revenue(train: DataFrame, target: str, features: Sequence[str] = FEATURE
     fill = {c: medians[c] if medians else None for c in features}
     scale = {r["mrch_catg_cd"]: r["med"] for r in mcc_median(known, target).collect()}
     rows = _prepare(known, fill, scale).where(F.col("med").isNotNull())
-    labelled = rows.withColumn("label", flags.log_target(F.col(target).cast("double"), F.col("med")))
+    label = flags.log_target(F.col(target).cast("double"), F.col("med"))
+    tasks = max(1, -(-known.count() // ROWS_PER_TASK))
+    labelled = rows.select(*[f"_f_{c}" for c in features], label.alias("label")).coalesce(tasks)
     stages = [
         VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_features"),
         GBTRegressor(featuresCol="_features", labelCol="label", **{**GBT_DEFAULTS, **gbt}),
@@ -94,24 +100,43 @@ def predict_all(
     **gbt,
 ) -> DataFrame:
     """A prediction for every cell; labelled cells get one from a model that has
-    not seen their postcode.  Each fit is one distributed job series."""
+    not seen their postcode.  A fit is a series of small jobs and knows nothing
+    of the others, so all run side by side."""
     labelled = fold_of(labelled_cells(cells, min_full_year, target), folds=folds)
-    if labelled.isEmpty():  # nothing to learn from
+    seen = [r["fold"] for r in labelled.select("fold").distinct().collect()]  # at most one row per fold
+    if not seen:  # nothing to learn from
         return cells.withColumns({"predicted_revenue": F.lit(None).cast("double"), "out_of_fold": F.lit(False)})
-    parts = []
-    for fold in range(folds):
-        held = labelled.where(F.col("fold") == fold)
-        rest = labelled.where(F.col("fold") != fold)
-        if held.isEmpty() or rest.isEmpty():
-            continue
-        model = fit_revenue(rest, target, **gbt)
-        parts.append(model.score(held).select("pc5", "mrch_catg_cd", "predicted_revenue"))
-    full = fit_revenue(labelled, target, **gbt).score(cells).drop("pred_y", "med")
+    held = sorted(f for f in seen if f is not None)
+    if len(held) < 2:  # the rest of a single fold has no rows
+        held = []
+    spark = cells.sparkSession
+    with ThreadPoolExecutor(len(held) + 1) as pool:
+
+        def start(rows: DataFrame):
+            return pool.submit(inheritable_thread_target(spark)(lambda: fit_revenue(rows, target, **gbt)))
+
+        whole = start(labelled)
+        fits = {fold: start(labelled.where(F.col("fold") != fold)) for fold in held}
+        parts = [
+            fit.result().score(labelled.where(F.col("fold") == fold)).select("pc5", "mrch_catg_cd", "predicted_revenue")
+            for fold, fit in fits.items()
+        ]
+        full = whole.result().score(cells).drop("pred_y", "med")
     if not parts:
         return full.withColumn("out_of_fold", F.lit(False))
     return stack_oof(full, reduce(DataFrame.unionByName, parts))
 
 
+def out_of_fold_report(predicted: DataFrame, target: str = "revenue_full_year") -> DataFrame:
+    """cells, mape, median_ape of the out-of-fold predictions, and full_model_cells, those of the full model."""
+    error = flags.ape(F.col(target).cast("double"), F.col("predicted_revenue"))
+    rows = predicted.select("out_of_fold", F.when(F.col("out_of_fold"), error).alias("ape"))
+    counts = rows.agg(
+        F.count_if("out_of_fold").alias("cells"), F.avg("ape").alias("mape"), F.count_if(~F.col("out_of_fold")).alias("full_model_cells")
+    )
+    return counts.select("cells", "mape", grouped_quantile(rows, [], "ape").scalar().alias("median_ape"), "full_model_cells")
+
+
 def heldout_scores(cells: DataFrame, target: str, **gbt) -> DataFrame:
     """Scored test postcodes: y, pred_y, revenue, pred_revenue beside the cell columns."""
     work = cells.where(F.col(target).isNotNull())
@@ -123,7 +148,11 @@ def heldout_scores(cells: DataFrame, target: str, **gbt) -> DataFrame:
 
 
 def heldout_predictions(cells: DataFrame, target: str = "revenue_full_year", **gbt) -> DataFrame:
-    scored = heldout_scores(cells, target, **gbt)
+    return heldout_table(heldout_scores(cells, target, **gbt))
+
+
+def heldout_table(scored: DataFrame) -> DataFrame:
+    """``heldout_scores`` as it is shown."""
     actual, predicted = F.col("revenue_actual"), F.col("predicted_revenue")
     return scored.select(
         "pc5", "mrch_catg_cd", "district", "n_shops", "n_full_year",
@@ -174,15 +203,24 @@ def stack_populations(frames: dict[str, DataFrame]) -> DataFrame:
     return stacked
 
 
-def evaluate(cells: DataFrame, min_full_year: int = MIN_FULL_YEAR, **gbt) -> DataFrame:
-    """Held-out scores of two populations of cells."""
+def evaluate(
+    cells: DataFrame,
+    min_full_year: int = MIN_FULL_YEAR,
+    min_shops: int = MIN_SHOPS_PER_CELL,
+    full_year_scores: DataFrame | None = None,
+    **gbt,
+) -> DataFrame:
+    """Held-out scores of two populations of cells.
+
+    ``full_year_scores`` are the ``heldout_scores`` of the first, where they are made already.
+    """
     populations = {
-        "full-year shops, at least 5": (cells.where(F.col("n_full_year") >= min_full_year), "revenue_full_year"),
-        "all shops, at least 5": (cells.where(F.col("n_shops") >= min_full_year), "revenue"),
+        f"full-year shops, at least {min_full_year}": (cells.where(F.col("n_full_year") >= min_full_year), "revenue_full_year", full_year_scores),
+        f"all shops, at least {min_shops}": (cells.where(F.col("n_shops") >= min_shops), "revenue", None),
     }
     frames = {}
-    for name, (frame, target) in populations.items():
-        scored = heldout_scores(frame, target, **gbt)
+    for name, (frame, target, done) in populations.items():
+        scored = heldout_scores(frame, target, **gbt) if done is None else done
         # Each score reads these rows again: keep them, do not score them again.
         kept = checkpointed(
             scored.select("y", "pred_y", F.col("revenue_actual").alias("revenue"), F.col("predicted_revenue").alias("pred_revenue"))

@@ -16,6 +16,7 @@ HUB_MIN_NAMES = 60
 ACTIVE_MIN_CARDS = 5
 MIN_SHOPS_PER_MCC = 10
 MIN_FULL_YEAR = 5
+MIN_SHOPS_PER_CELL = 5
 FOLDS = 5
 TRAIN_SHARE = 0.7
 CATCHMENT_KM = 5.0
@@ -39,6 +40,7 @@ class Params:
     min_shops_per_mcc: int = MIN_SHOPS_PER_MCC
     min_registrations: int = 5
     min_full_year: int = MIN_FULL_YEAR
+    min_shops_per_cell: int = MIN_SHOPS_PER_CELL
     catchment_km: float = CATCHMENT_KM
 
 

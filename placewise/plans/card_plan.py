@@ -19,7 +19,7 @@ from placewise.operators import registry as reg
 from placewise.operators import shops as shop_ops
 from placewise.operators.spatial import nearby_pairs
 from placewise.params import Params
-from placewise.session import reuse_or_build, stage_prefix
+from placewise.session import checkpointed, reuse_or_build, stage_prefix
 from placewise.sources.tabular import read_geonames, scan_card_tx, write_table
 
 
@@ -227,8 +227,13 @@ class CardRun:
     def cells(self) -> DataFrame:
         return self.stage("cells", lambda: cell_ops.cells(self.shops, self.demand))
 
-    def evaluate(self, **gbt) -> DataFrame:
-        return model.evaluate(self.cells, self.params.min_full_year, **gbt)
+    def heldout_scores(self, **gbt) -> DataFrame:
+        full_year = self.cells.where(F.col("n_full_year") >= self.params.min_full_year)
+        return model.heldout_scores(full_year, "revenue_full_year", **gbt)
+
+    def evaluate(self, full_year_scores: DataFrame | None = None, **gbt) -> DataFrame:
+        p = self.params
+        return model.evaluate(self.cells, p.min_full_year, p.min_shops_per_cell, full_year_scores, **gbt)
 
     def predicted(self, **gbt) -> DataFrame:
         return model.predict_all(self.cells, min_full_year=self.params.min_full_year, **gbt)
@@ -251,8 +256,9 @@ def run_card_plan(
 ) -> DataFrame:
     """Card file and gazetteer file to zip_code, type, predicted_revenue.
 
-    With ``out``, the predictions, the held-out predictions and the scores are
-    written below that folder as CSV.  ``gbt`` sets parameters of the trees.
+    With ``out``, the predictions, the out-of-fold report, the held-out
+    predictions and the scores are written below that folder as CSV.  ``gbt``
+    sets parameters of the trees.
     """
     run = CardRun(
         spark,
@@ -262,10 +268,13 @@ def run_card_plan(
         stage_prefix(card_path, geonames_path, params),
         rebuild,
     )
-    result = run.zip_revenue(**gbt)
+    # Written, reported and returned: scored once.
+    predicted = checkpointed(run.predicted(**gbt))
+    result = model.zip_revenue(predicted)
     if out:
-        full_year = run.cells.where(F.col("n_full_year") >= params.min_full_year)
+        held_out = checkpointed(run.heldout_scores(**gbt))
         write_table(result, f"{out}/zip_revenue", "csv")
-        write_table(model.heldout_predictions(full_year, "revenue_full_year", **gbt), f"{out}/heldout_predictions", "csv")
-        write_table(run.evaluate(**gbt), f"{out}/metrics", "csv")
+        write_table(model.out_of_fold_report(predicted), f"{out}/out_of_fold", "csv")
+        write_table(model.heldout_table(held_out), f"{out}/heldout_predictions", "csv")
+        write_table(run.evaluate(held_out, **gbt), f"{out}/metrics", "csv")
     return result

@@ -30,18 +30,24 @@ FEATURE_LINKS = {
 }
 
 _LINK = T.ArrayType(T.StructType([T.StructField("_href", T.StringType())]))
-_POINT = T.StructType([T.StructField("Point", T.StructType([T.StructField("pos", T.StringType())]))])
+_RING = T.StructType([T.StructField("LinearRing", T.StructType([T.StructField("posList", T.StringType())]))])
+_GEOMETRY = T.StructType(
+    [
+        T.StructField("Point", T.StructType([T.StructField("pos", T.StringType())])),
+        T.StructField("Polygon", T.StructType([T.StructField("exterior", _RING), T.StructField("interior", T.ArrayType(_RING))])),
+    ]
+)
 
 
 def feature_schema(feature: str, attributes: Sequence[str] | None = None, links: Sequence[str] | None = None) -> T.StructType:
-    """Declared schema of one feature: id, text attributes, links, point geometry."""
+    """Declared schema of one feature: id, text attributes, links, point or polygon geometry."""
     attributes = FEATURE_ATTRIBUTES[feature] if attributes is None else attributes
     links = FEATURE_LINKS.get(feature, ()) if links is None else links
     return T.StructType(
         [T.StructField("_id", T.StringType())]
         + [T.StructField(a, T.StringType()) for a in attributes]
         + [T.StructField(child, _LINK) for child in links]
-        + [T.StructField("geometria", _POINT)]
+        + [T.StructField("geometria", _GEOMETRY)]
     )
 
 
@@ -83,11 +89,33 @@ def read_features(
     return _as_table(reader.schema(schema).load(path), schema)
 
 
+def _ring(positions: Column) -> Column:
+    """A list of positions as ``(x y, x y, ...)``; NULL without a whole one."""
+    n = F.split(F.trim(positions), r"\s+")
+    starts = F.sequence(F.lit(0), F.greatest(F.size(n) - 2, F.lit(0)), F.lit(2))
+    points = F.transform(starts, lambda i: F.concat(F.get(n, i), F.lit(" "), F.get(n, i + 1)))
+    return F.when(F.size(n) >= 2, F.concat(F.lit("("), F.array_join(points, ", "), F.lit(")")))
+
+
+def _wkt(schema: T.StructType) -> Column:
+    """Point or polygon with its inner rings, whichever of them the schema declares."""
+    kinds = schema["geometria"].dataType.names if "geometria" in schema.names else []
+    found = F.lit(None).cast("string")
+    if "Polygon" in kinds:
+        outer = _ring(F.col("geometria.Polygon.exterior.LinearRing.posList"))
+        holes = F.transform("geometria.Polygon.interior", lambda r: _ring(r["LinearRing"]["posList"]))
+        rings = F.concat(F.array(outer), F.coalesce(holes, F.array().cast("array<string>")))
+        found = F.when(outer.isNotNull(), F.concat(F.lit("POLYGON ("), F.array_join(rings, ", "), F.lit(")")))
+    if "Point" in kinds:
+        pos = F.split(F.trim(F.col("geometria.Point.pos")), r"\s+")
+        point = F.when(F.size(pos) >= 2, F.concat(F.lit("POINT ("), F.get(pos, 0), F.lit(" "), F.get(pos, 1), F.lit(")")))
+        found = F.coalesce(point, found)
+    return found
+
+
 def _as_table(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    pos = F.split(F.trim(F.col("geometria.Point.pos")), r"\s+")
-    wkt = F.when(F.size(pos) >= 2, F.concat(F.lit("POINT ("), F.get(pos, 0), F.lit(" "), F.get(pos, 1), F.lit(")")))
     rest = [f.name for f in schema.fields if f.name not in ("_id", "geometria")]
-    return raw.select(F.col("_id").alias("gml_id"), *rest, wkt.alias("geometry_wkt"))
+    return raw.select(F.col("_id").alias("gml_id"), *rest, _wkt(schema).alias("geometry_wkt"))
 
 
 def _hrefs(features: DataFrame, word: str, whole: bool = False) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from placewise.session import reuse_or_build  # noqa: F401  (re-exported)
 
@@ -37,6 +38,8 @@ CARD_COLUMNS = {
     "crd_typ_nm": "string",
     "prod_id_pltfrm_cd_vcis": "string",
 }
+#: Bits of a row id of Spark that number the rows of one task.
+ROW_BITS = 33
 LENIENT = ("prch_dt", "tran_id_gmt_tm")
 PRICE_COLUMNS = ("avg_price_m2", "median_price_m2")
 
@@ -62,18 +65,27 @@ def scan_card_tx(spark: SparkSession, path: str, columns: Sequence[str] | None =
 
 
 def read_geonames(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tab file; ``row_no`` rises in file order.
+    """Headerless tab file, or a folder of them; ``row_no`` rises in order of path and line.
 
     The texts a missing value is written as become NULL; a quote is plain text.
+    Spark reads large files first, so its own row ids rise within a block of a
+    file only; the place of the block, by path and offset, goes before them.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in GEONAMES_COLUMNS])
     raw = spark.read.csv(path, sep="\t", schema=schema, quote="", encoding="UTF-8")
     cols = [F.when(~F.col(c).isin(*MISSING_TEXTS), F.col(c)).alias(c) for c in GEONAMES_COLUMNS]
+    block = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    # One short row per block of the files.
+    in_order = Window.partitionBy(F.lit(0)).orderBy("_path", "_start")
+    blocks = raw.select(*block).distinct().withColumn("_block", F.row_number().over(in_order).cast("long"))
+    in_block = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return (
-        raw.select(*cols)
+        raw.select(*cols, *block, in_block.alias("_row"))
+        .join(blocks, ["_path", "_start"])
         .withColumn("latitude", F.col("latitude").try_cast("double"))
         .withColumn("longitude", F.col("longitude").try_cast("double"))
-        .withColumn("row_no", F.monotonically_increasing_id())
+        .withColumn("row_no", F.shiftleft("_block", ROW_BITS) + F.col("_row"))
+        .drop("_path", "_start", "_block", "_row")
     )
 
 

@@ -52,7 +52,7 @@ def test_heldout_and_evaluate(cells):
     r = held.first()
     assert r.ape == pytest.approx(abs(r.actual_revenue - r.predicted_revenue) / r.actual_revenue)
     scores = {r.population: r for r in model.evaluate(cells, 1, **GBT).collect()}
-    assert set(scores) == {"full-year shops, at least 5", "all shops, at least 5"}
+    assert set(scores) == {"full-year shops, at least 1", "all shops, at least 5"}
     assert all(0 <= s.mape and s.r2 <= 1 for s in scores.values())
 
 
@@ -85,3 +85,16 @@ def test_impute(cells):
     want = np.median([r.avg_ticket for r in train.collect() if r.avg_ticket is not None])
     was_null = {r.pc5 for r in cells.where("avg_ticket IS NULL").collect()}
     assert all(r.avg_ticket == pytest.approx(want) for r in filled.collect() if r.pc5 in was_null)
+
+
+def test_second_population_has_its_own_limit(cells):
+    few, many = (model.evaluate(cells, 1, n, **GBT).where("population LIKE 'all%'").first() for n in (2, 9))
+    assert (few.population, many.population) == ("all shops, at least 2", "all shops, at least 9")
+    assert few.cells > many.cells
+
+
+def test_out_of_fold_report(spark):
+    rows = [(True, 100.0, 80.0), (True, 10.0, 11.0), (True, 4.0, 4.0), (False, None, 5.0)]
+    got = model.out_of_fold_report(spark.createDataFrame(rows, "out_of_fold boolean, revenue_full_year double, predicted_revenue double")).first()
+    assert (got.cells, got.full_model_cells) == (3, 1)
+    assert got.mape == pytest.approx(0.1) and got.median_ape == pytest.approx(0.1)

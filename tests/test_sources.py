@@ -153,3 +153,26 @@ def test_folder_is_shared(spark):
     from placewise.session import shared_dir
 
     assert Path(shared_dir(spark)).exists() and shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_gazetteer_rows_in_file_order(spark, tmp_path):
+    def lines(name, n):
+        return "".join(f"PL\t30-{i % 1000:03d}\t{name}{i}\tA\t1\tB\t2\tC\t3\t50.0\t19.0\t4\n" for i in range(n))
+
+    # Spark reads the larger file first.
+    (tmp_path / "a.txt").write_text(lines("a", 3))
+    (tmp_path / "b.txt").write_text(lines("b", 5000))
+    found = [r.place_name for r in tabular.read_geonames(spark, str(tmp_path)).orderBy("row_no").collect()]
+    assert found == [f"a{i}" for i in range(3)] + [f"b{i}" for i in range(5000)]
+
+
+def test_ring_geometry(spark, tmp_path):
+    ring = "<gml:LinearRing><gml:posList srsDimension='2'>{}</gml:posList></gml:LinearRing>"
+    shape = f"<gml:Polygon><gml:exterior>{ring.format('0 0  9 0 9 9 0 0')}</gml:exterior><gml:interior>{ring.format('5 1 8 1 8 4 5 1')}</gml:interior></gml:Polygon>"
+    member = "<gml:featureMember><r:RCN_Budynek gml:id='B{}'><r:rodzajBudynku>110</r:rodzajBudynku><r:geometria>{}</r:geometria></r:RCN_Budynek></gml:featureMember>"
+    file = tmp_path / "register.xml"
+    file.write_text("<gml:FeatureCollection xmlns:gml='urn:g' xmlns:r='urn:r'>" + member.format(1, shape) + member.format(2, "") + "</gml:FeatureCollection>")
+    want = {"B1": "POLYGON ((0 0, 9 0, 9 9, 0 0), (5 1, 8 1, 8 4, 5 1))", "B2": None}
+    for end in (None, "</gml:featureMember>"):
+        rows = register.read_features(spark, str(file), "RCN_Budynek", member_end=end).collect()
+        assert {r.gml_id: r.geometry_wkt for r in rows} == want
