@@ -138,10 +138,16 @@ def out_of_fold_report(predicted: DataFrame, target: str = "revenue_full_year")
 
 
 def heldout_scores(cells: DataFrame, target: str, **gbt) -> DataFrame:
-    """Scored test postcodes: y, pred_y, revenue, pred_revenue beside the cell columns."""
+    """Scored test postcodes: y, pred_y, predicted_revenue, revenue_actual beside the cell columns.
+
+    Where no training postcode has a target, the scores are NULL.
+    """
     work = cells.where(F.col(target).isNotNull())
-    model = fit_revenue(work.where(F.col("split") == "train"), target, **gbt)
-    scored = model.score(work.where(F.col("split") == "test"))
+    train, test = (work.where(F.col("split") == side) for side in ("train", "test"))
+    if train.where(F.col("mrch_catg_cd").isNotNull()).isEmpty():  # nothing to learn from
+        scored = test.withColumns({c: F.lit(None).cast("double") for c in ("med", "pred_y", "predicted_revenue")})
+    else:
+        scored = fit_revenue(train, target, **gbt).score(test)
     return scored.withColumn("y", flags.log_target(F.col(target).cast("double"), F.col("med"))).withColumns(
         {"revenue_actual": F.col(target).cast("double")}
     )

@@ -98,3 +98,11 @@ def test_out_of_fold_report(spark):
     got = model.out_of_fold_report(spark.createDataFrame(rows, "out_of_fold boolean, revenue_full_year double, predicted_revenue double")).first()
     assert (got.cells, got.full_model_cells) == (3, 1)
     assert got.mape == pytest.approx(0.1) and got.median_ape == pytest.approx(0.1)
+
+
+def test_no_training_rows(cells):
+    held = model.heldout_predictions(cells.where("split = 'test'"), "revenue", **GBT).collect()
+    assert held and all(r.predicted_revenue is None and r.ape is None and r.actual_revenue is not None for r in held)
+    # The second population is empty here.
+    scores = {r.population: r for r in model.evaluate(cells, 1, 1000, **GBT).collect()}
+    assert scores["all shops, at least 1000"].cells == 0 and scores["full-year shops, at least 1"].cells > 0
