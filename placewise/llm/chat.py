@@ -23,6 +23,8 @@ from placewise.llm.common import drop_written, written
 #: Fixed values of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
+#: Rows of the broadcast table that marks trees with messages on their way; a shared slot only costs a look-up more.
+SLOTS = 1 << 20
 
 
 def escaped(text: Column) -> Column:
@@ -61,23 +63,28 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         ),
         "jumps",
     )
-    levels, last = [jumps], jumps.count().bit_length() + 1
-    while len(levels) <= last and not levels[-1].where("up IS NOT NULL").isEmpty():
-        low = levels[-1]
-        high = low.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_s"), F.col("score").alias("_c"))
-        levels.append(
-            written(
-                low.join(high, ["tree", "up"], "left").select(
-                    "tree",
-                    "node",
-                    F.col("_up").alias("up"),
-                    (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"),
-                    (F.col("score") + F.coalesce("_c", F.lit(0.0))).alias("score"),
-                ),
-                "jumps",
-            )
+    # A message that has reached its root joins no more; it stays to be looked up by those below it.
+    climbing, reached = jumps.where("up IS NOT NULL"), jumps.where("up IS NULL")
+    levels, last = [], jumps.count().bit_length() + 1
+    slot = lambda: F.pmod(F.xxhash64("tree"), F.lit(SLOTS)).alias("_slot")
+    while len(levels) < last and not climbing.isEmpty():
+        levels.append(climbing)
+        # At most SLOTS rows whatever the input.  Trees without a message on its way are left out unshuffled.
+        open_ = F.broadcast(climbing.select(slot()).distinct())
+        known = climbing.unionByName(reached).withColumn("_slot", slot()).join(open_, "_slot", "left_semi")
+        high = known.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_s"), F.col("score").alias("_c"))
+        further = written(
+            climbing.join(high, ["tree", "up"]).select(
+                "tree",
+                "node",
+                F.col("_up").alias("up"),
+                (F.col("steps") + F.col("_s")).alias("steps"),
+                (F.col("score") + F.col("_c")).alias("score"),
+            ),
+            "jumps",
         )
-    reached = levels[-1].where("up IS NULL").select("tree", "node", "steps", "score")
+        climbing, reached = further.where("up IS NOT NULL"), reached.unionByName(further.where("up IS NULL"))
+    reached = reached.select("tree", "node", "steps", "score")
     answered = jumps.where("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
     # The root of a leaf is the least-depth message on its path; trees with one root need no more than their name.
     leaves = reached.join(answered, ["tree", "node"], "left_anti")
@@ -89,8 +96,8 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         .select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.col("steps").alias("depth"))
     )
     marked = written(chosen, "marked")
-    for k in reversed(range(len(levels) - 1)):
-        above = levels[k].where("up IS NOT NULL").select("tree", "node", "up")
+    for k in reversed(range(len(levels))):
+        above = levels[k].select("tree", "node", "up")
         more = marked.join(above, ["tree", "node"]).select(
             "tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")
         )
@@ -102,8 +109,8 @@ def reply_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
 def _with_roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """leaf and root of every path: from the leaf, the largest jumps that stay inside, one level after another."""
     at = leaves.select("tree", F.col("node").alias("leaf"), "steps", "score", F.col("node").alias("root"))
-    for jumps in reversed(levels[:-1]):
-        far = jumps.where("up IS NOT NULL").select("tree", F.col("node").alias("root"), "up")
+    for jumps in reversed(levels):
+        far = jumps.select("tree", F.col("node").alias("root"), "up")
         at = at.join(far, ["tree", "root"], "left").select(
             "tree", "leaf", "steps", "score", F.coalesce("up", "root").alias("root")
         )
