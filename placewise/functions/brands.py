@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.text import name_norm
+from placewise.functions.text import name_norm, place_norm
 
 # ---------------------------------------------------------------------------
 # Word lists, codes and chain patterns.  They decide results, so
@@ -202,7 +202,7 @@ def assign_brands(merchants: DataFrame) -> DataFrame:
     One merchant is one row, so the expressions run in place without a shuffle.
     Steps are separate projections so that Spark evaluates each one once.
     """
-    city = F.trim(F.concat_ws(" ", F.coalesce("city", F.lit("")), name_norm(F.col("loc_place"))))
+    city = F.trim(F.concat_ws(" ", F.coalesce("city", F.lit("")), place_norm(F.col("loc_place"))))
     name, base = F.col("store_nm"), F.col("_base")
     brand = F.when(
         ~F.col("vending"),

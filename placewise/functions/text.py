@@ -68,6 +68,40 @@ def name_norm(col: Column) -> Column:
     return F.trim(F.regexp_replace(plain, "[^A-Z0-9]+", " "))
 
 
+def _compatible_forms() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition without combining marks makes of capitals and other signs.
+
+    Signs that become one letter or digit, with what they become; signs that
+    vanish stand last among them, with no partner; and those that become more.
+    """
+    single, plain, gone, longer = ["Ł"], ["L"], [], {}
+    for code in [*range(0x0080, 0xD800), *range(0xE000, 0x10000)]:
+        char = chr(code)
+        form = "".join(p for p in unicodedata.normalize("NFKD", char) if not unicodedata.combining(p))
+        known = [p for p in form if p in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+        if not form:
+            gone.append(char)
+        elif known and len(form) == 1:
+            single.append(char)
+            plain.append(form)
+        elif known:
+            longer[char] = form
+    return "".join(single + gone), "".join(plain), longer
+
+
+_SINGLE, _PLAIN, _LONGER = _compatible_forms()
+
+
+def place_norm(col: Column) -> Column:
+    """As ``name_norm``, for gazetteer places: full upper case and compatibility forms, so sharp s is SS and a ligature its letters."""
+    name = F.upper(F.coalesce(col, F.lit("")))
+    table = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    each = F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    longer = F.when(name.rlike("[" + "".join(_LONGER) + "]"), F.array_join(each, "")).otherwise(name)
+    form = F.when(F.octet_length(name) == F.length(name), name).otherwise(F.translate(longer, _SINGLE, _PLAIN))
+    return F.trim(F.regexp_replace(form, "[^A-Z0-9]+", " "))
+
+
 def strip_tills(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, TILL_RE, ""))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from placewise.session import checkpointed
@@ -16,19 +17,46 @@ BUCKETS_PER_OCTAVE = 4096
 _BUCKET_ZERO = 1100 * BUCKETS_PER_OCTAVE
 
 
-HOT_SHARE = 0.001
+#: A key is never called hot for less than this share of the rows, so at most 100,000 are.
+LEAST_HOT_SHARE = 1e-5
+
+
+def partitions_of(spark: SparkSession) -> int:
+    """Partitions a shuffle of this session starts with."""
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or usual)
 
 
 def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
-    """Keys that hold at least a thousandth of all rows, given the rows per key.
+    """Keys with more rows than a partition's fair share, and ``salts``, the shares each holds, given the rows per key.
 
-    At most 1,000 keys can, so the result is safe to broadcast at any scale.
+    There are at most as many as partitions, and never more than 100,000.
     """
-    least = counts.agg(F.sum(n) * HOT_SHARE).scalar()
-    return counts.where(F.col(n) >= least).select(*on)
+    share = max(1 / partitions_of(counts.sparkSession), LEAST_HOT_SHARE)
+    least = counts.agg(F.sum(n) * share).scalar()
+    return counts.where(F.col(n) >= least).select(*on, F.ceil(F.col(n) / least).cast("int").alias("salts"))
+
+
+#: A lookup is broadcast up to this size, counted uncompressed.
+BROADCAST_BYTES = 32 << 20
+
+
+def _value_bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes one value takes, eight at least."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_value_bytes(value[f.name], f.dataType) for f in kind.fields], F.lit(8).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _value_bytes(x, kind.elementType))
+        return F.coalesce(each, F.lit(0).cast("long")) + 8
+    return F.lit(8).cast("long")
 
 
-BROADCAST_ROWS = 100_000
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes the rows of ``df`` take in memory."""
+    one = reduce(lambda a, b: a + b, [_value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields])
+    return df.agg(F.sum(one)).first()[0] or 0
 
 
 def skew_join(
@@ -45,14 +73,15 @@ def skew_join(
     """Inner or left equi-join that spreads hot keys of ``big`` over ``salts`` partitions.
 
     ``lookup`` has few rows per key.  With ``table``, it is a written table or
-    as cheap to count: if it has at most BROADCAST_ROWS rows it is broadcast.
-    Otherwise it is repeated once per salt, or, where ``hot`` names the hot
-    keys (see ``hot_keys``), for those keys alone, and both sides are shuffled.
+    as cheap to read: if it takes at most BROADCAST_BYTES it is broadcast.
+    Otherwise both sides are shuffled.  Where ``hot`` names the hot keys (see
+    ``hot_keys``), only those are repeated, as often as the key fills
+    partitions; else every row is, once per salt.
     The merge hint keeps the repeated side from being broadcast on the strength
     of its compressed size.  The salt depends on the row and its partition
     alone, so a retried task makes the same choice; NULL keys are spread too.
     """
-    if table and lookup.count() <= BROADCAST_ROWS:
+    if table and table_bytes(lookup) <= BROADCAST_BYTES:
         named = lookup.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
         tests = [
             big[c].eqNullSafe(F.col(f"_on_{i}")) if c in null_safe else big[c] == F.col(f"_on_{i}")
@@ -61,17 +90,18 @@ def skew_join(
         joined = big.join(F.broadcast(named), reduce(lambda a, b: a & b, tests), how)
         return joined.drop(*[f"_on_{i}" for i in range(len(on))])
     rest = [c for c in lookup.columns if c not in on]
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns]), F.lit(salts)).cast("int")
+    content = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in big.columns])
     copies = F.sequence(F.lit(0), F.lit(salts - 1))
     left, right = big, lookup
     if hot is None:
-        left = left.withColumn("_salt", spread)
+        left = left.withColumn("_salt", F.pmod(content, F.lit(salts)).cast("int"))
     else:
         left = _mark_hot(left, hot, on, null_safe)
         loose = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on if c not in null_safe], F.lit(False))
-        left = left.withColumn("_salt", F.when(F.col("_hot") | loose, spread).otherwise(F.lit(0))).drop("_hot")
+        spans = F.when(loose, partitions_of(big.sparkSession)).otherwise(F.col("_salts"))
+        left = left.withColumn("_salt", F.pmod(content, spans).cast("int")).drop("_salts")
         right = _mark_hot(right, hot, on, null_safe)
-        copies = F.when(F.col("_hot"), copies).otherwise(F.array(F.lit(0)))
+        copies = F.sequence(F.lit(0), F.col("_salts") - 1)
     right = right.select(
         *[F.col(c).alias(f"_on_{i}") for i, c in enumerate(on)], *rest, F.explode(copies).alias("_lookup_salt")
     ).hint("merge")
@@ -86,15 +116,16 @@ def skew_join(
 
 
 def _mark_hot(df: DataFrame, hot: DataFrame, on: Sequence[str], null_safe: Sequence[str]) -> DataFrame:
-    named = hot.select(*[F.col(c).alias(f"_h_{i}") for i, c in enumerate(on)], F.lit(True).alias("_is_hot"))
+    """Adds ``_salts``: the partitions a row's key is spread over, one unless it is hot."""
+    named = hot.select(*[F.col(c).alias(f"_h_{i}") for i, c in enumerate(on)], F.col("salts").alias("_hot_salts"))
     tests = []
     for i, c in enumerate(on):
         key = F.col(f"_h_{i}")
         tests.append(df[c].eqNullSafe(key) if c in null_safe else df[c] == key)
-    # At most 1,000 rows, see hot_keys.
+    # At most 100,000 rows, see hot_keys.
     marked = df.join(F.broadcast(named), reduce(lambda a, b: a & b, tests), "left")
-    return marked.withColumn("_hot", F.coalesce("_is_hot", F.lit(False))).drop(
-        "_is_hot", *[f"_h_{i}" for i in range(len(on))]
+    return marked.withColumn("_salts", F.coalesce("_hot_salts", F.lit(1))).drop(
+        "_hot_salts", *[f"_h_{i}" for i in range(len(on))]
     )
 
 

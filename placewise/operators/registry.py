@@ -209,7 +209,7 @@ def unambiguous_city_county(geonames: DataFrame) -> DataFrame:
     """City -> county for names found in exactly one county."""
     county = F.concat("admin_name1", F.lit("|"), "admin_name2")
     return (
-        geonames.select(text.name_norm(F.coalesce("place_name", F.lit("nan"))).alias("city_norm"), county.alias("county"), "row_no")
+        geonames.select(text.place_norm(F.coalesce("place_name", F.lit("nan"))).alias("city_norm"), county.alias("county"), "row_no")
         .groupBy("city_norm")
         .agg(
             F.min("county").alias("least"),

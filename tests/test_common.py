@@ -95,7 +95,33 @@ def test_skew_join_equals_plain_join(spark, how, null_safe, marked):
 
 def test_hot_keys_are_few(spark):
     counts = spark.range(5000).select(F.col("id").alias("k"), F.when(F.col("id") == 7, 10_000).otherwise(1).alias("n"))
-    assert [r.k for r in common.hot_keys(counts, ["k"]).collect()] == [7]
+    # 10,000 of 14,999 rows fill 2.7 of four partitions.
+    assert [tuple(r) for r in common.hot_keys(counts, ["k"]).collect()] == [(7, 3)]
+
+
+def test_a_third_of_the_rows_does_not_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(initial, None)
+    spark.conf.set(initial, "32")
+    try:
+        big = spark.range(0, 32_000, 1, 8).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), "id")
+        hot = common.hot_keys(big.groupBy("k").agg(F.count("*").alias("n")), ["k"])
+        joined = common.skew_join(big, big.select("k").distinct().withColumn("v", F.lit(1)), ["k"], hot=hot)
+        tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(tasks) == 32_000 and max(tasks) < 32_000 / 6
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set(initial, before) if before else spark.conf.unset(initial)
+
+
+def test_table_bytes(spark):
+    df = spark.createDataFrame([("ab", [(1.0, "x")], 3), (None, None, None)], "s string, a array<struct<d:double,t:string>>, n int")
+    # Text 8 + 2 and 8; array 8 + (8 + 8 + 9) and 8; number 8 each.
+    assert common.table_bytes(df) == 10 + 33 + 8 + 8 + 8 + 8
+    assert common.table_bytes(df.limit(0)) == 0
 
 
 def test_skewed_key_is_spread(spark):

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from checks.queries import CHECKS, _scenarios, _select, inputs
+from placewise.operators import common
 
 SF_DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="needs the generated tables")
@@ -49,6 +50,22 @@ def test_same_rows(name, duck, given):
     assert wanted and found == wanted
 
 
+SHUFFLED = ["flag_hub_rows", "resolve_place", "till_rep_join", "merchant_tx", "raw_to_merchant", "average_rank", "district_join", "training_rows", "shop_card_months", "demand"]
+
+
+@pytest.fixture(scope="module")
+def given_apart(spark):
+    # Another spelling of the folder, so that no stage of the other tests is read.
+    return inputs(spark, f"{SF_DIR}/.")
+
+
+@pytest.mark.parametrize("name", SHUFFLED)
+def test_same_rows_without_broadcast_lookups(name, duck, given_apart, monkeypatch):
+    """The joins as they are beyond the size up to which lookups are broadcast."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    test_same_rows(name, duck, given_apart)
+
+
 def test_selection_is_feasible(given):
     chosen = _select(given).toPandas()
     asked = _scenarios(given).toPandas().set_index("scenario_id")
