@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.llm.common import boxed, lower_ascii, written
+from placewise.operators.common import hot_keys, skew_join
 
 PREFIX_CHARS = 64
 #: A slot is eight bytes; the broadcast has at most so many.
@@ -60,18 +61,21 @@ def duplicate_groups(docs: DataFrame, **carried: Column) -> DataFrame:
     narrow = written(
         refined(rows).drop("text").withColumn("_rid", F.monotonically_increasing_id()), "refined"
     )
-    groups = (
+    groups = written(
         narrow.where("_hash IS NOT NULL")
         .groupBy("_hash")
         .agg(F.count("*").alias("_n"), F.max(F.struct("doc_id", "_rid")).alias("_keep"))
-        .where("_n > 1")
+        .where("_n > 1"),
+        "groups",
     )
     # Rows known to be alone have no hash; they pass beside the join, where they would all meet in one task.
     alone = narrow.where("_hash IS NULL").select(
         "doc_id", *carried, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
     )
-    shared = narrow.where("_hash IS NOT NULL").join(groups.withColumnRenamed("_hash", "_of"), F.col("_hash") == F.col("_of"), "left")
-    single = F.col("_of").isNull()
+    # A large group is spread over as many salts as it would fill partitions.
+    hot = hot_keys(groups, ["_hash"], "_n")
+    shared = skew_join(narrow.where("_hash IS NOT NULL"), groups, ["_hash"], "left", hot=hot)
+    single = F.col("_n").isNull()
     return alone.unionByName(
         shared.select(
             "doc_id",
