@@ -9,6 +9,9 @@ the way down, and whole groups are left as soon as they exceed the radius.
 
 Linked fingerprints are joined inside a task at once, and only one edge per
 joined part leaves it: components stay exact and no group is written as pairs.
+
+``near_dedup`` takes fingerprints as candidates only: a link holds if the word
+shingles themselves are alike.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.llm.common import boxed, connected_components, ship, written
@@ -33,6 +36,11 @@ STEP = 1 << 15
 BLOCK_ROOT, MOST_BLOCKS = 64, 4096
 #: Rows of the broadcast table that marks fingerprints of larger components; a shared slot only costs a shuffle of its rows.
 SLOTS = 1 << 20
+CONTENT_SEED = 43
+#: Fingerprints of one and of the other block compared at once.
+TILE = 128, 8192
+#: Bits of the groups compared first, and members of each that all others are held against.
+CORE_RADIUS, PIVOTS = 6, 8
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -63,18 +71,24 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(rows: DataFrame, words: int, text: str = "text") -> DataFrame:
-    """The columns of ``rows`` but its text, and ``fp`` (the 64 bits as a long)."""
+def content(text: str | None) -> int:
+    """64-bit hash of the words of a text, A-Z in lower case."""
+    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), CONTENT_SEED)
+
+
+def fingerprints(rows: DataFrame, words: int, text: str = "text", contents: bool = False) -> DataFrame:
+    """The columns of ``rows`` but its text, and ``fp`` (the 64 bits as a long); with ``contents`` also ``content``."""
     others = [c for c in rows.columns if c != text]
+    added = {"fp": lambda t: fingerprint(t, words)} | ({"content": content} if contents else {})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), words) for t in batch.column(text)]
-            fp = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], fp], names=[*others, "fp"])
+            texts = batch.column(text)
+            found = [pa.array(np.array([f(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)) for f in added.values()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *found], names=[*others, *added])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
-    return ship(rows).mapInArrow(run, f"{schema}, fp long" if schema else "fp long")
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text]
+    return ship(rows).mapInArrow(run, ", ".join([*schema, *[f"{c} long" for c in added]]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -251,25 +265,111 @@ def _inner_edges(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(every[moved]), pa.array(every[root[moved]])], names=["u", "v"])
 
 
-def linked(distinct: DataFrame, radius: int) -> DataFrame:
-    """(node, root) for every fingerprint ``fp`` (distinct longs) that another is within ``radius`` bits of."""
-    n = ship(distinct).count()
-    blocks = int(min(MOST_BLOCKS, max(1, n**0.5 / BLOCK_ROOT * 2.0)))
-    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
-    built = written(
-        ranked.sortWithinPartitions("rank").select("fp").mapInArrow(_block_rows(radius), _BLOCK), "fp-blocks"
-    )
+def _range_blocks(n: int) -> int:
+    return int(min(MOST_BLOCKS, max(1, n**0.5 / BLOCK_ROOT * 2.0)))
+
+
+def _meetings(built: DataFrame, radius: int) -> DataFrame:
+    """Both blocks of every pair of blocks that may hold links, as two rows under the pair's name."""
     # One short row per block, of which there are at most MOST_BLOCKS.
     tops = built.select("block", "mask", "pattern").orderBy("block").collect()
     numbers = np.array([r["block"] for r in tops], dtype=np.int64)
     masks = np.array([r["mask"] for r in tops], dtype=np.int64).view(np.uint64)
     patterns = np.array([r["pattern"] for r in tops], dtype=np.int64).view(np.uint64)
-    bodies = built.select("block", "fps", "roots")
-    pairs = bodies.mapInArrow(
+    return built.select("block", "fps", "roots").mapInArrow(
         _partners(radius, masks, patterns, numbers), "first long, second long, block long, fps binary, roots binary"
     )
-    between = pairs.groupBy("first", "second").applyInPandas(_cross(radius), "u long, v long")
-    return connected_components(between.unionByName(bodies.mapInArrow(_inner_edges, "u long, v long")))
+
+
+def linked(distinct: DataFrame, radius: int) -> DataFrame:
+    """(node, root) for every fingerprint ``fp`` (distinct longs) that another is within ``radius`` bits of."""
+    blocks = _range_blocks(ship(distinct).count())
+    ranked = distinct.select("fp", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
+    built = written(
+        ranked.sortWithinPartitions("rank").select("fp").mapInArrow(_block_rows(radius), _BLOCK), "fp-blocks"
+    )
+    between = _meetings(built, radius).groupBy("first", "second").applyInPandas(_cross(radius), "u long, v long")
+    inner = built.select("fps", "roots").mapInArrow(_inner_edges, "u long, v long")
+    return connected_components(between.unionByName(inner))
+
+
+# -- single pairs ---------------------------------------------------------------------
+
+
+def near_pairs(
+    a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, radius: int, same: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs within ``radius`` bits whose labels differ; with ``same`` each pair once.
+
+    At a radius above about eight, groups of the index share too few bits to be
+    left out, so whole tiles are compared; tiles under one label are left out.
+    """
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(a), TILE[0]):
+        x, of_x = a[i : i + TILE[0]], of_a[i : i + TILE[0]]
+        for j in range(i // TILE[1] * TILE[1] if same else 0, len(b), TILE[1]):
+            y, of_y = b[j : j + TILE[1]], of_b[j : j + TILE[1]]
+            if (of_x == of_x[0]).all() and (of_y == of_x[0]).all():
+                continue
+            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+            keep = of_x[p] != of_y[q]
+            if same:
+                keep &= p + i < q + j
+            left.append(p[keep] + i)
+            right.append(q[keep] + j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _labelled_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not sum(len(p[0]) for p in parts):
+        return
+    fps, labels = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    bits = fps.view(np.uint64)
+    ones, any_ = np.bitwise_and.reduce(bits), np.bitwise_or.reduce(bits)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(fps)], pa.int64()),
+         pa.array(np.array([ones | ~any_]).view(np.int64)), pa.array(np.array([ones]).view(np.int64)),
+         pa.array([fps.astype("<i8").tobytes()], pa.binary()), pa.array([labels.astype("<i8").tobytes()], pa.binary())],
+        names=["block", "n", "mask", "pattern", "fps", "roots"],
+    )
+
+
+def _pairs_inside(radius: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body, of in zip(batch.column("fps"), batch.column("roots"), strict=True):
+                fps, labels = np.frombuffer(body.as_py(), dtype="<u8"), np.frombuffer(of.as_py(), dtype="<i8")
+                i, j = near_pairs(fps, fps, labels, labels, radius, same=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], names=["u", "v"]
+                )
+
+    return run
+
+
+def _pairs_across(radius: int):
+    def run(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values("block")
+        a, b = (np.frombuffer(x, dtype="<u8") for x in pair["fps"])
+        of_a, of_b = (np.frombuffer(x, dtype="<i8") for x in pair["roots"])
+        i, j = near_pairs(a, b, of_a, of_b, radius, same=False)
+        return pd.DataFrame({"u": a[i].view(np.int64), "v": b[j].view(np.int64)})
+
+    return run
+
+
+def close_pairs(labelled: DataFrame, radius: int) -> DataFrame:
+    """(u, v): every two fingerprints of ``labelled`` (fp, label; fp distinct) within ``radius`` bits under different labels."""
+    blocks = _range_blocks(ship(labelled).count())
+    ranked = labelled.select("fp", "label", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
+    built = written(
+        ranked.sortWithinPartitions("rank").select("fp", "label").mapInArrow(_labelled_rows, _BLOCK), "label-blocks"
+    )
+    between = _meetings(built, radius).groupBy("first", "second").applyInPandas(_pairs_across(radius), "u long, v long")
+    return between.unionByName(built.select("fps", "roots").mapInArrow(_pairs_inside(radius), "u long, v long"))
 
 
 # -- documents ----------------------------------------------------------------------
@@ -305,30 +405,135 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """One row of every component, with all its columns: that with the least doc_id, nulls last.
+def shingles(text: str | None, words: int) -> tuple[int, np.ndarray]:
+    """The content of a text, and the hashes of its distinct word shingles in order."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or [b" ".join(found)]
+    return content(text), np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype="<u8"))
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS))
+
+
+def _shingle_sets(prints: DataFrame, wanted: DataFrame, words: int, name: str) -> DataFrame:
+    """(content, n, shingles) once for every ``content`` of ``wanted``, from the texts in ``prints``; written."""
+    # At most SLOTS rows whatever the input; a content that shares a slot only costs work.
+    slots = written(wanted.select(_slot(F.col("content")).alias("_slot")).distinct(), f"{name}-slots")
+    some = prints.join(F.broadcast(slots), _slot(F.col("content")) == F.col("_slot")).select(F.col("_row.text").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py(), words) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array([c for c, _ in found], dtype=np.uint64).view(np.int64)),
+                 pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())],
+                names=["content", "n", "shingles"],
+            )
 
-    Rows known to be alone in their component pass without a shuffle; of a
-    larger one every task passes on its best row only.
+    every = ship(some).mapInArrow(run, "content long, n long, shingles binary")
+    return written(every.groupBy("content").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), name)
+
+
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, n_u, n_v, shingles_u, shingles_v) with a Jaccard similarity of ``percent`` or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = (batch.column("shingles_u"), batch.column("shingles_v"))
+            keep = []
+            for a, b in zip(*sides, strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    # Sets whose sizes differ by more can't be so alike.
+    sized = pairs.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
+    return ship(sized.select("u", "v", "shingles_u", "shingles_v")).mapInArrow(run, "u long, v long")
+
+
+def _side(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(f"{n}{side}") for c, n in (("content", ""), ("n", "n_"), ("shingles", "shingles_"))])
+
+
+def near_copies(prints: DataFrame, words: int, radius: int, percent: int) -> DataFrame:
+    """(content, root) for every content of ``prints`` (_row, fp, content) that has a near copy.
+
+    Two contents are linked if their fingerprints are within ``radius`` bits
+    and ``percent`` of their shingles, counted exactly, are the same.  First the
+    members of groups at few bits are held against a few of their group; what
+    that joins is not compared again, so a large group of near copies is not
+    written as pairs.  Then every pair not yet joined is compared.
+    """
+    contents = written(prints.select("content", "fp").distinct(), "contents")
+    groups = written(linked(contents.select("fp").distinct(), min(radius, CORE_RADIUS)), "groups")
+    members = contents.join(groups, F.col("fp") == F.col("node"), "left").select(
+        "content", F.coalesce("root", "fp").alias("group")
+    )
+    crowds = members.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group"))
+    members = written(members.join(crowds, F.col("group") == F.col("_group")).select("content", "group"), "members")
+    sets = _shingle_sets(prints, members, words, "member-sets")
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("content"), "content"))
+    pivots = written(members.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("content", "group"), "pivots")
+    first = members.join(_side(sets, "u").withColumnRenamed("u", "content"), "content").withColumnRenamed("content", "u")
+    second = pivots.join(_side(sets, "v").withColumnRenamed("v", "content"), "content").withColumnRenamed("content", "v")
+    joined = written(_alike(first.join(second.hint("merge"), "group").where("u != v"), percent), "core-edges")
+    roots = written(connected_components(joined), "core-roots")
+    labelled = written(
+        contents.join(roots, F.col("content") == F.col("node"), "left").select(
+            "content", "fp", F.coalesce("root", "content").alias("label")
+        ),
+        "labelled",
+    )
+    by_fp = labelled.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    # A fingerprint whose contents have several labels gets one that no other has.
+    own = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several")))
+    apart = close_pairs(by_fp.select("fp", own.alias("label")), radius)
+    several = by_fp.where("low != high").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    pairs = apart.unionByName(several).withColumnsRenamed({"u": "_u", "v": "_v"})
+    side = lambda s: labelled.select(F.col("fp").alias(f"_{s}"), F.col("content").alias(s), F.col("label").alias(f"label_{s}"))
+    pairs = written(
+        pairs.join(side("u"), "_u")
+        .join(side("v"), "_v")
+        .where("label_u != label_v AND (_u != _v OR u < v)")
+        .select("u", "v"),
+        "pairs",
+    )
+    ends = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
+    sets = _shingle_sets(prints, ends, words, "pair-sets")
+    # Sizes are compared before any set is carried.
+    sizes = lambda s: sets.select(F.col("content").alias(s), F.col("n").alias(f"n_{s}"))
+    fit = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
+    fitting = written(pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(fit).select("u", "v"), "fitting")
+    wide = _alike(fitting.join(_side(sets, "u").hint("merge"), "u").join(_side(sets, "v").hint("merge"), "v"), percent)
+    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(wide)
+    return connected_components(links).withColumnRenamed("node", "content")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, percent: int = 80) -> DataFrame:
+    """One row of every group of near copies, with all its columns: that with the least doc_id, nulls last.
+
+    Texts of the same words are copies; others are linked as ``near_copies``
+    says, and groups are what links join.  Doc_ids have no part in the grouping:
+    they may be null or stand on several texts.  Rows known to be alone pass
+    without a shuffle; of a larger group every task passes on its best row only.
     """
     rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    prints = written(fingerprints(rows.select("_row", "doc_id", "text"), words), "printed")
-    named = written(components(prints.select("doc_id", "fp"), radius), "components")
+    prints = written(fingerprints(rows.select("_row", "doc_id", "text"), words, contents=True), "printed")
+    groups = written(near_copies(prints, words, radius, percent), "near-copies")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    sizes = prints.select("fp").groupBy("fp").agg(F.count("*").alias("_rows"))
-    classes = named.join(sizes, "fp")
-    totals = classes.groupBy(F.col("component_id").alias("_of")).agg(F.sum("_rows").alias("_total"))
+    sizes = prints.groupBy("content").agg(F.count("*").alias("_rows"))
+    copied = sizes.where("_rows > 1").select(F.col("content").alias("_of"), F.lit(None).cast("long").alias("root"))
+    grouped = groups.select(F.col("content").alias("_of"), "root")
     crowded = written(
-        classes.join(totals, F.col("component_id").eqNullSafe(F.col("_of")))
-        .where("_total > 1")
-        .select(F.col("fp").alias("_fp"), "component_id"),
+        copied.unionByName(grouped).groupBy("_of").agg(F.max("root").alias("root")).select("_of", F.coalesce("root", "_of").alias("root")),
         "crowded",
     )
-    slot = lambda fp: F.pmod(F.xxhash64(fp), F.lit(SLOTS))
     # At most SLOTS rows whatever the input.  Rows in no marked slot are alone and pass without a shuffle.
-    slots = written(crowded.select(slot("_fp").alias("_slot")).distinct(), "crowded-slots")
-    marked = prints.join(F.broadcast(slots), slot("fp") == F.col("_slot"), "left")
-    joined = marked.where("_slot IS NOT NULL").join(crowded.hint("merge"), F.col("fp") == F.col("_fp"), "left")
-    alone = marked.where("_slot IS NULL").select("_row").unionByName(joined.where("_fp IS NULL").select("_row"))
-    best = joined.where("_fp IS NOT NULL").groupBy("component_id").agg(F.min_by("_row", order).alias("_row"))
+    slots = written(crowded.select(_slot(F.col("_of")).alias("_slot")).distinct(), "crowded-slots")
+    marked = prints.join(F.broadcast(slots), _slot(F.col("content")) == F.col("_slot"), "left")
+    joined = marked.where("_slot IS NOT NULL").join(crowded.hint("merge"), F.col("content") == F.col("_of"), "left")
+    alone = marked.where("_slot IS NULL").select("_row").unionByName(joined.where("_of IS NULL").select("_row"))
+    best = joined.where("_of IS NOT NULL").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
     return alone.unionByName(best.select("_row")).select("_row.*")
