@@ -27,10 +27,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of each group of near copies the row with the least doc_id stays.
 
     Near copies share 0.8 or more of their five-word shingles, counted exactly.
-    Fingerprints within 12 of 64 bits are candidates; the README gives the
+    Fingerprints within 14 of 64 bits are candidates; the README gives the
     share of such pairs that lie further apart and are missed.
     """
-    return simhash.near_dedup(docs, words=5, radius=12, percent=80)
+    return simhash.near_dedup(docs, words=5, radius=14, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

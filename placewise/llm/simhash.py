@@ -40,7 +40,9 @@ CONTENT_SEED = 43
 #: Fingerprints of one and of the other block compared at once.
 TILE = 128, 8192
 #: Bits of the groups compared first, and members of each that all others are held against.
-CORE_RADIUS, PIVOTS = 6, 8
+CORE_RADIUS, PIVOTS = 8, 8
+#: Rows of a chunk of a group, and shingles of two chunks counted at once.
+CHUNK, SLAB = 64, 4096
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -299,40 +301,38 @@ def linked(distinct: DataFrame, radius: int) -> DataFrame:
 def near_pairs(
     a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, radius: int, same: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within ``radius`` bits whose labels differ; with ``same`` each pair once.
+    """Places of all pairs within ``radius`` bits that differ in each row of ``of_a`` and ``of_b``; with ``same`` each once.
 
     At a radius above about eight, groups of the index share too few bits to be
-    left out, so whole tiles are compared; tiles under one label are left out.
+    left out, so whole tiles are compared.
     """
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for i in range(0, len(a), TILE[0]):
-        x, of_x = a[i : i + TILE[0]], of_a[i : i + TILE[0]]
+        x = a[i : i + TILE[0]]
         for j in range(i // TILE[1] * TILE[1] if same else 0, len(b), TILE[1]):
-            y, of_y = b[j : j + TILE[1]], of_b[j : j + TILE[1]]
-            if (of_x == of_x[0]).all() and (of_y == of_x[0]).all():
-                continue
-            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            keep = of_x[p] != of_y[q]
+            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ b[j : j + TILE[1]][None, :]) <= radius)
+            p, q = p + i, q + j
+            keep = (of_a[:, p] != of_b[:, q]).all(axis=0)
             if same:
-                keep &= p + i < q + j
-            left.append(p[keep] + i)
-            right.append(q[keep] + j)
+                keep &= p < q
+            left.append(p[keep])
+            right.append(q[keep])
     return np.concatenate(left), np.concatenate(right)
 
 
 def _labelled_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
     if not sum(len(p[0]) for p in parts):
         return
-    fps, labels = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    fps, labels, groups = (np.concatenate([p[k] for p in parts]) for k in range(3))
     bits = fps.view(np.uint64)
     ones, any_ = np.bitwise_and.reduce(bits), np.bitwise_or.reduce(bits)
     yield pa.RecordBatch.from_arrays(
         [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(fps)], pa.int64()),
          pa.array(np.array([ones | ~any_]).view(np.int64)), pa.array(np.array([ones]).view(np.int64)),
-         pa.array([fps.astype("<i8").tobytes()], pa.binary()), pa.array([labels.astype("<i8").tobytes()], pa.binary())],
+         pa.array([fps.astype("<i8").tobytes()], pa.binary()), pa.array([np.stack([labels, groups]).astype("<i8").tobytes()], pa.binary())],
         names=["block", "n", "mask", "pattern", "fps", "roots"],
     )
 
@@ -341,8 +341,8 @@ def _pairs_inside(radius: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, of in zip(batch.column("fps"), batch.column("roots"), strict=True):
-                fps, labels = np.frombuffer(body.as_py(), dtype="<u8"), np.frombuffer(of.as_py(), dtype="<i8")
-                i, j = near_pairs(fps, fps, labels, labels, radius, same=True)
+                fps, marks = np.frombuffer(body.as_py(), dtype="<u8"), np.frombuffer(of.as_py(), dtype="<i8").reshape(2, -1)
+                i, j = near_pairs(fps, fps, marks, marks, radius, same=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], names=["u", "v"]
                 )
@@ -354,7 +354,7 @@ def _pairs_across(radius: int):
     def run(pair: pd.DataFrame) -> pd.DataFrame:
         pair = pair.sort_values("block")
         a, b = (np.frombuffer(x, dtype="<u8") for x in pair["fps"])
-        of_a, of_b = (np.frombuffer(x, dtype="<i8") for x in pair["roots"])
+        of_a, of_b = (np.frombuffer(x, dtype="<i8").reshape(2, -1) for x in pair["roots"])
         i, j = near_pairs(a, b, of_a, of_b, radius, same=False)
         return pd.DataFrame({"u": a[i].view(np.int64), "v": b[j].view(np.int64)})
 
@@ -362,11 +362,11 @@ def _pairs_across(radius: int):
 
 
 def close_pairs(labelled: DataFrame, radius: int) -> DataFrame:
-    """(u, v): every two fingerprints of ``labelled`` (fp, label; fp distinct) within ``radius`` bits under different labels."""
+    """(u, v): every two fingerprints of ``labelled`` (fp, label, group; fp distinct) within ``radius`` bits, of other label and group."""
     blocks = _range_blocks(ship(labelled).count())
-    ranked = labelled.select("fp", "label", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
+    ranked = labelled.select("fp", "label", "group", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
     built = written(
-        ranked.sortWithinPartitions("rank").select("fp", "label").mapInArrow(_labelled_rows, _BLOCK), "label-blocks"
+        ranked.sortWithinPartitions("rank").select("fp", "label", "group").mapInArrow(_labelled_rows, _BLOCK), "label-blocks"
     )
     between = _meetings(built, radius).groupBy("first", "second").applyInPandas(_pairs_across(radius), "u long, v long")
     return between.unionByName(built.select("fps", "roots").mapInArrow(_pairs_inside(radius), "u long, v long"))
@@ -457,48 +457,127 @@ def _side(sets: DataFrame, side: str) -> DataFrame:
     return sets.select(*[F.col(c).alias(f"{n}{side}") for c, n in (("content", ""), ("n", "n_"), ("shingles", "shingles_"))])
 
 
+def _tile_links(percent: int):
+    """Links between the rows of two chunks, or inside one, that do not have one label already; one edge per joined part."""
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, dtype="<u8") for x in tile["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(column)[column] > 1
+        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)))
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
+            start, end = np.searchsorted(column, [low, low + SLAB])
+            has = np.zeros((len(sets), SLAB), dtype=np.float32)
+            has[row[start:end], column[start:end] - low] = 1
+            both += has @ has.T
+        union = sizes[:, None] + sizes[None, :] - both
+        i, j = np.nonzero(np.triu(100 * both >= percent * union, 1))
+        names, labels = tile["content"].to_numpy(), np.unique(tile["label"], return_inverse=True)[1]
+        first = np.full(labels.max() + 1, len(sets))
+        np.minimum.at(first, labels, np.arange(len(sets)))
+        joined = first[labels]  # rows of one label are one part from the start
+        start = joined.copy()
+        _joined(joined, i, j)
+        moved = np.flatnonzero((start == np.arange(len(sets))) & (joined != start))
+        return pd.DataFrame({"u": names[moved], "v": names[joined[moved]]})
+
+    return run
+
+
+def _group_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): what joins the contents of each group of ``members`` (content, group, label) beyond their labels.
+
+    A group is cut into chunks, those of one label apart from the others, and
+    every two chunks meet in a task, unless both are of one label.
+    """
+    counted = members.groupBy("group", "label").agg(F.count("*").alias("n"))
+    # The label of the chunk's rows if it has enough of them for a chunk of its own, else null.
+    counted = counted.select("group", "label", F.when(F.col("n") >= CHUNK, F.col("label")).alias("_own"), "n")
+    chunks = counted.groupBy("group", "_own").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("_chunks"))
+    plan = written(
+        chunks.select("group", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_part")).select(
+            "group", "_own", F.xxhash64(F.col("_own").isNull(), F.coalesce("_own", F.lit(0)), "_part").alias("_chunk")
+        ),
+        "chunks",
+    )
+    other = plan.select("group", F.col("_own").alias("_own_b"), F.col("_chunk").alias("_chunk_b"))
+    apart = F.col("_own").isNull() | F.col("_own_b").isNull() | (F.col("_own") != F.col("_own_b"))
+    meet = written(
+        plan.join(other, "group").where((F.col("_chunk") <= F.col("_chunk_b")) & apart).select("group", "_chunk", "_chunk_b"), "tiles"
+    )
+    sided = meet.select("group", "_chunk", F.col("_chunk").alias("_a"), F.col("_chunk_b").alias("_b")).unionByName(
+        meet.where("_chunk != _chunk_b").select(
+            "group", F.col("_chunk_b").alias("_chunk"), F.col("_chunk").alias("_a"), F.col("_chunk_b").alias("_b")
+        )
+    )
+    own = counted.select(F.col("group").alias("_g"), F.col("label").alias("_l"), "_own")
+    parts = chunks.select(F.col("group").alias("_g2"), F.col("_own").alias("_own2"), "_chunks")
+    placed = members.join(own, (F.col("group") == F.col("_g")) & (F.col("label") == F.col("_l"))).join(
+        parts, (F.col("group") == F.col("_g2")) & F.col("_own").eqNullSafe(F.col("_own2"))
+    )
+    part = F.pmod(F.xxhash64("content"), F.col("_chunks")).cast("int")
+    placed = written(
+        placed.select(
+            "content", "label", "group", F.xxhash64(F.col("_own").isNull(), F.coalesce("_own", F.lit(0)), part).alias("_chunk")
+        ),
+        "placed",
+    )
+    rows = placed.join(sets.select("content", "shingles"), "content").join(sided.hint("merge"), ["group", "_chunk"])
+    tiles = rows.select("group", "_a", "_b", "content", "label", "shingles").groupBy("group", "_a", "_b")
+    return tiles.applyInPandas(_tile_links(percent), "u long, v long")
+
+
 def near_copies(prints: DataFrame, words: int, radius: int, percent: int) -> DataFrame:
     """(content, root) for every content of ``prints`` (_row, fp, content) that has a near copy.
 
-    Two contents are linked if their fingerprints are within ``radius`` bits
-    and ``percent`` of their shingles, counted exactly, are the same.  First the
-    members of groups at few bits are held against a few of their group; what
-    that joins is not compared again, so a large group of near copies is not
-    written as pairs.  Then every pair not yet joined is compared.
+    Two contents are linked if their fingerprints are within ``radius`` bits, or
+    in one group that links of few bits make, and ``percent`` of their shingles,
+    counted exactly, are the same.  In groups, members are first held against a
+    few of their group; then chunks of what is still apart meet in tasks, and
+    only one edge per joined part leaves them, so no large group is written as
+    pairs.  Then pairs between groups are compared.
     """
     contents = written(prints.select("content", "fp").distinct(), "contents")
     groups = written(linked(contents.select("fp").distinct(), min(radius, CORE_RADIUS)), "groups")
-    members = contents.join(groups, F.col("fp") == F.col("node"), "left").select(
-        "content", F.coalesce("root", "fp").alias("group")
+    grouped = written(
+        contents.join(groups, F.col("fp") == F.col("node"), "left").select("content", "fp", F.coalesce("root", "fp").alias("group")),
+        "grouped",
     )
-    crowds = members.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group"))
-    members = written(members.join(crowds, F.col("group") == F.col("_group")).select("content", "group"), "members")
+    crowds = grouped.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group"))
+    members = written(grouped.join(crowds, F.col("group") == F.col("_group")).select("content", "group"), "members")
     sets = _shingle_sets(prints, members, words, "member-sets")
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("content"), "content"))
     pivots = written(members.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("content", "group"), "pivots")
     first = members.join(_side(sets, "u").withColumnRenamed("u", "content"), "content").withColumnRenamed("content", "u")
     second = pivots.join(_side(sets, "v").withColumnRenamed("v", "content"), "content").withColumnRenamed("content", "v")
-    joined = written(_alike(first.join(second.hint("merge"), "group").where("u != v"), percent), "core-edges")
-    roots = written(connected_components(joined), "core-roots")
+    core = written(_alike(first.join(second.hint("merge"), "group").where("u != v"), percent), "core-edges")
+    roots = written(connected_components(core), "core-roots")
+    named = roots.select(F.col("node").alias("_node"), "root")
+    labelled = members.join(named, F.col("content") == F.col("_node"), "left")
+    inner = written(
+        _group_links(written(labelled.select("content", "group", F.coalesce("root", "content").alias("label")), "labels"), sets, percent),
+        "group-edges",
+    )
+    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = written(connected_components(stars.unionByName(inner)), "group-roots")
     labelled = written(
-        contents.join(roots, F.col("content") == F.col("node"), "left").select(
-            "content", "fp", F.coalesce("root", "content").alias("label")
+        grouped.join(roots, F.col("content") == F.col("node"), "left").select(
+            "content", "fp", "group", F.coalesce("root", "content").alias("label")
         ),
         "labelled",
     )
-    by_fp = labelled.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    by_fp = labelled.groupBy("fp", "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     # A fingerprint whose contents have several labels gets one that no other has.
     own = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several")))
-    apart = close_pairs(by_fp.select("fp", own.alias("label")), radius)
-    several = by_fp.where("low != high").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    pairs = apart.unionByName(several).withColumnsRenamed({"u": "_u", "v": "_v"})
+    apart = close_pairs(by_fp.select("fp", own.alias("label"), "group"), radius).withColumnsRenamed({"u": "_u", "v": "_v"})
     side = lambda s: labelled.select(F.col("fp").alias(f"_{s}"), F.col("content").alias(s), F.col("label").alias(f"label_{s}"))
     pairs = written(
-        pairs.join(side("u"), "_u")
-        .join(side("v"), "_v")
-        .where("label_u != label_v AND (_u != _v OR u < v)")
-        .select("u", "v"),
-        "pairs",
+        apart.join(side("u"), "_u").join(side("v"), "_v").where("label_u != label_v").select("u", "v"), "pairs"
     )
     ends = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
     sets = _shingle_sets(prints, ends, words, "pair-sets")
@@ -511,7 +590,7 @@ def near_copies(prints: DataFrame, words: int, radius: int, percent: int) -> Dat
     return connected_components(links).withColumnRenamed("node", "content")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, radius: int = 14, percent: int = 80) -> DataFrame:
     """One row of every group of near copies, with all its columns: that with the least doc_id, nulls last.
 
     Texts of the same words are copies; others are linked as ``near_copies``
