@@ -497,8 +497,8 @@ def _group_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     counted = members.groupBy("group", "label").agg(F.count("*").alias("n"))
     # The label of the chunk's rows if it has enough of them for a chunk of its own, else null.
-    counted = counted.select("group", "label", F.when(F.col("n") >= CHUNK, F.col("label")).alias("_own"), "n")
-    chunks = counted.groupBy("group", "_own").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("_chunks"))
+    counted = written(counted.select("group", "label", F.when(F.col("n") >= CHUNK, F.col("label")).alias("_own"), "n"), "counted")
+    chunks = written(counted.groupBy("group", "_own").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("_chunks")), "chunk-counts")
     plan = written(
         chunks.select("group", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_part")).select(
             "group", "_own", F.xxhash64(F.col("_own").isNull(), F.coalesce("_own", F.lit(0)), "_part").alias("_chunk")
@@ -548,7 +548,10 @@ def near_copies(prints: DataFrame, words: int, radius: int, percent: int) -> Dat
         contents.join(groups, F.col("fp") == F.col("node"), "left").select("content", "fp", F.coalesce("root", "fp").alias("group")),
         "grouped",
     )
-    crowds = grouped.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group"))
+    # Written, here and below, so that Catalyst may split the rows of a large group in the join.
+    crowds = written(
+        grouped.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group")), "crowds"
+    )
     members = written(grouped.join(crowds, F.col("group") == F.col("_group")).select("content", "group"), "members")
     sets = _shingle_sets(prints, members, words, "member-sets")
     place = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("content"), "content"))
