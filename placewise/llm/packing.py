@@ -4,7 +4,9 @@ Documents are tokenised once and cut into pieces of at most ``CAPACITY`` ids.
 Pieces are dealt by hash into chunks of about ``CHUNK`` rows; each chunk packs
 its narrow rows (no ids) on its own and keeps only its loosest bins open.  The
 open bins of ``MERGE`` chunks meet in the next level, until one chunk is left.
-So no task sees more than a chunk, and little room is lost between chunks.
+So little room is lost between chunks.  What goes on is bounded in bins, not in
+rows: where pieces are tiny, a task of a higher level may get up to ``MERGE`` x
+``OPEN_BINS`` x ``CAPACITY`` rows.
 """
 
 from __future__ import annotations
