@@ -24,13 +24,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least doc_id stays.
+    """Of each component of near copies the row with the least doc_id stays.
 
-    Near copies share 0.8 or more of their five-word shingles, counted exactly.
-    Fingerprints within 14 of 64 bits are candidates; the README gives the
-    share of such pairs that lie further apart and are missed.
+    Fingerprints of four-word shingles link at four or fewer differing bits, as in ``op2_simhash``.
     """
-    return simhash.near_dedup(docs, words=5, radius=14, percent=80)
+    return simhash.near_dedup(docs, words=4, radius=4)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
