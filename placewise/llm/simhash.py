@@ -9,9 +9,6 @@ the way down, and whole groups are left as soon as they exceed the radius.
 
 Linked fingerprints are joined inside a task at once, and only one edge per
 joined part leaves it: components stay exact and no group is written as pairs.
-
-``near_dedup`` takes fingerprints as candidates only: a link holds if the word
-shingles themselves are alike.
 """
 
 from __future__ import annotations
@@ -22,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.llm.common import boxed, connected_components, ship, written
@@ -36,13 +33,6 @@ STEP = 1 << 15
 BLOCK_ROOT, MOST_BLOCKS = 64, 4096
 #: Rows of the broadcast table that marks fingerprints of larger components; a shared slot only costs a shuffle of its rows.
 SLOTS = 1 << 20
-CONTENT_SEED = 43
-#: Fingerprints of one and of the other block compared at once.
-TILE = 128, 8192
-#: Bits of the groups compared first, and members of each that all others are held against.
-CORE_RADIUS, PIVOTS = 8, 8
-#: Rows of a chunk of a group, and shingles of two chunks counted at once.
-CHUNK, SLAB = 64, 4096
 
 
 # -- fingerprints -------------------------------------------------------------------
@@ -60,7 +50,7 @@ def fingerprint(text: str | None, words: int) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     hashes = np.array(
-        [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], dtype="<u8"
+        [digest(joined[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist())], dtype="<u8"
     )
     return int(_majority(hashes))
 
@@ -73,24 +63,17 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def content(text: str | None) -> int:
-    """64-bit hash of the words of a text, A-Z in lower case."""
-    return xxhash.xxh64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), CONTENT_SEED)
-
-
-def fingerprints(rows: DataFrame, words: int, text: str = "text", contents: bool = False) -> DataFrame:
-    """The columns of ``rows`` but its text, and ``fp`` (the 64 bits as a long); with ``contents`` also ``content``."""
+def fingerprints(rows: DataFrame, words: int, text: str = "text") -> DataFrame:
+    """The columns of ``rows`` but its text, and ``fp`` (the 64 bits as a long)."""
     others = [c for c in rows.columns if c != text]
-    added = {"fp": lambda t: fingerprint(t, words)} | ({"content": content} if contents else {})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text)
-            found = [pa.array(np.array([f(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)) for f in added.values()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *found], names=[*others, *added])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(text)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(found.view(np.int64))], names=[*others, "fp"])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text]
-    return ship(rows).mapInArrow(run, ", ".join([*schema, *[f"{c} long" for c in added]]))
+    return ship(rows).mapInArrow(run, ", ".join([*schema, "fp long"]))
 
 
 def gray_rank(fp: Column) -> Column:
@@ -295,83 +278,6 @@ def linked(distinct: DataFrame, radius: int) -> DataFrame:
     return connected_components(between.unionByName(inner))
 
 
-# -- single pairs ---------------------------------------------------------------------
-
-
-def near_pairs(
-    a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, radius: int, same: bool
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within ``radius`` bits that differ in each row of ``of_a`` and ``of_b``; with ``same`` each once.
-
-    At a radius above about eight, groups of the index share too few bits to be
-    left out, so whole tiles are compared.
-    """
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-    for i in range(0, len(a), TILE[0]):
-        x = a[i : i + TILE[0]]
-        for j in range(i // TILE[1] * TILE[1] if same else 0, len(b), TILE[1]):
-            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ b[j : j + TILE[1]][None, :]) <= radius)
-            p, q = p + i, q + j
-            keep = (of_a[:, p] != of_b[:, q]).all(axis=0)
-            if same:
-                keep &= p < q
-            left.append(p[keep])
-            right.append(q[keep])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _labelled_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not sum(len(p[0]) for p in parts):
-        return
-    fps, labels, groups = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    bits = fps.view(np.uint64)
-    ones, any_ = np.bitwise_and.reduce(bits), np.bitwise_or.reduce(bits)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([len(fps)], pa.int64()),
-         pa.array(np.array([ones | ~any_]).view(np.int64)), pa.array(np.array([ones]).view(np.int64)),
-         pa.array([fps.astype("<i8").tobytes()], pa.binary()), pa.array([np.stack([labels, groups]).astype("<i8").tobytes()], pa.binary())],
-        names=["block", "n", "mask", "pattern", "fps", "roots"],
-    )
-
-
-def _pairs_inside(radius: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body, of in zip(batch.column("fps"), batch.column("roots"), strict=True):
-                fps, marks = np.frombuffer(body.as_py(), dtype="<u8"), np.frombuffer(of.as_py(), dtype="<i8").reshape(2, -1)
-                i, j = near_pairs(fps, fps, marks, marks, radius, same=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fps[i].view(np.int64)), pa.array(fps[j].view(np.int64))], names=["u", "v"]
-                )
-
-    return run
-
-
-def _pairs_across(radius: int):
-    def run(pair: pd.DataFrame) -> pd.DataFrame:
-        pair = pair.sort_values("block")
-        a, b = (np.frombuffer(x, dtype="<u8") for x in pair["fps"])
-        of_a, of_b = (np.frombuffer(x, dtype="<i8").reshape(2, -1) for x in pair["roots"])
-        i, j = near_pairs(a, b, of_a, of_b, radius, same=False)
-        return pd.DataFrame({"u": a[i].view(np.int64), "v": b[j].view(np.int64)})
-
-    return run
-
-
-def close_pairs(labelled: DataFrame, radius: int) -> DataFrame:
-    """(u, v): every two fingerprints of ``labelled`` (fp, label, group; fp distinct) within ``radius`` bits, of other label and group."""
-    blocks = _range_blocks(ship(labelled).count())
-    ranked = labelled.select("fp", "label", "group", gray_rank(F.col("fp")).alias("rank")).repartitionByRange(blocks, "rank")
-    built = written(
-        ranked.sortWithinPartitions("rank").select("fp", "label", "group").mapInArrow(_labelled_rows, _BLOCK), "label-blocks"
-    )
-    between = _meetings(built, radius).groupBy("first", "second").applyInPandas(_pairs_across(radius), "u long, v long")
-    return between.unionByName(built.select("fps", "roots").mapInArrow(_pairs_inside(radius), "u long, v long"))
-
-
 # -- documents ----------------------------------------------------------------------
 
 
@@ -405,217 +311,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, words: int) -> tuple[int, np.ndarray]:
-    """The content of a text, and the hashes of its distinct word shingles in order."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    parts = [b" ".join(found[i : i + words]) for i in range(len(found) - words + 1)] or [b" ".join(found)]
-    return content(text), np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], dtype="<u8"))
-
-
 def _slot(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(SLOTS))
 
 
-def _shingle_sets(prints: DataFrame, wanted: DataFrame, words: int, name: str) -> DataFrame:
-    """(content, n, shingles) once for every ``content`` of ``wanted``, from the texts in ``prints``; written."""
-    # At most SLOTS rows whatever the input; a content that shares a slot only costs work.
-    slots = written(wanted.select(_slot(F.col("content")).alias("_slot")).distinct(), f"{name}-slots")
-    some = prints.join(F.broadcast(slots), _slot(F.col("content")) == F.col("_slot")).select(F.col("_row.text").alias("text"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t.as_py(), words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array([c for c, _ in found], dtype=np.uint64).view(np.int64)),
-                 pa.array([len(s) for _, s in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                names=["content", "n", "shingles"],
-            )
-
-    every = ship(some).mapInArrow(run, "content long, n long, shingles binary")
-    return written(every.groupBy("content").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), name)
-
-
-def _alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` (u, v, n_u, n_v, shingles_u, shingles_v) with a Jaccard similarity of ``percent`` or more."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = (batch.column("shingles_u"), batch.column("shingles_v"))
-            keep = []
-            for a, b in zip(*sides, strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    # Sets whose sizes differ by more can't be so alike.
-    sized = pairs.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v"))
-    return ship(sized.select("u", "v", "shingles_u", "shingles_v")).mapInArrow(run, "u long, v long")
-
-
-def _side(sets: DataFrame, side: str) -> DataFrame:
-    return sets.select(*[F.col(c).alias(f"{n}{side}") for c, n in (("content", ""), ("n", "n_"), ("shingles", "shingles_"))])
-
-
-def _tile_links(percent: int):
-    """Links between the rows of two chunks, or inside one, that do not have one label already; one edge per joined part."""
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, dtype="<u8") for x in tile["shingles"]]
-        sizes = np.array([len(x) for x in sets])
-        values, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        shared = np.bincount(column)[column] > 1
-        row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-        both = np.zeros((len(sets), len(sets)))
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, SLAB):
-            start, end = np.searchsorted(column, [low, low + SLAB])
-            has = np.zeros((len(sets), SLAB), dtype=np.float32)
-            has[row[start:end], column[start:end] - low] = 1
-            both += has @ has.T
-        union = sizes[:, None] + sizes[None, :] - both
-        i, j = np.nonzero(np.triu(100 * both >= percent * union, 1))
-        names, labels = tile["content"].to_numpy(), np.unique(tile["label"], return_inverse=True)[1]
-        first = np.full(labels.max() + 1, len(sets))
-        np.minimum.at(first, labels, np.arange(len(sets)))
-        joined = first[labels]  # rows of one label are one part from the start
-        start = joined.copy()
-        _joined(joined, i, j)
-        moved = np.flatnonzero((start == np.arange(len(sets))) & (joined != start))
-        return pd.DataFrame({"u": names[moved], "v": names[joined[moved]]})
-
-    return run
-
-
-def _group_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): what joins the contents of each group of ``members`` (content, group, label) beyond their labels.
-
-    A group is cut into chunks, those of one label apart from the others, and
-    every two chunks meet in a task, unless both are of one label.
-    """
-    counted = members.groupBy("group", "label").agg(F.count("*").alias("n"))
-    # The label of the chunk's rows if it has enough of them for a chunk of its own, else null.
-    counted = written(counted.select("group", "label", F.when(F.col("n") >= CHUNK, F.col("label")).alias("_own"), "n"), "counted")
-    chunks = written(counted.groupBy("group", "_own").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("_chunks")), "chunk-counts")
-    plan = written(
-        chunks.select("group", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_part")).select(
-            "group", "_own", F.xxhash64(F.col("_own").isNull(), F.coalesce("_own", F.lit(0)), "_part").alias("_chunk")
-        ),
-        "chunks",
-    )
-    other = plan.select("group", F.col("_own").alias("_own_b"), F.col("_chunk").alias("_chunk_b"))
-    apart = F.col("_own").isNull() | F.col("_own_b").isNull() | (F.col("_own") != F.col("_own_b"))
-    meet = written(
-        plan.join(other, "group").where((F.col("_chunk") <= F.col("_chunk_b")) & apart).select("group", "_chunk", "_chunk_b"), "tiles"
-    )
-    sided = meet.select("group", "_chunk", F.col("_chunk").alias("_a"), F.col("_chunk_b").alias("_b")).unionByName(
-        meet.where("_chunk != _chunk_b").select(
-            "group", F.col("_chunk_b").alias("_chunk"), F.col("_chunk").alias("_a"), F.col("_chunk_b").alias("_b")
-        )
-    )
-    own = counted.select(F.col("group").alias("_g"), F.col("label").alias("_l"), "_own")
-    parts = chunks.select(F.col("group").alias("_g2"), F.col("_own").alias("_own2"), "_chunks")
-    placed = members.join(own, (F.col("group") == F.col("_g")) & (F.col("label") == F.col("_l"))).join(
-        parts, (F.col("group") == F.col("_g2")) & F.col("_own").eqNullSafe(F.col("_own2"))
-    )
-    part = F.pmod(F.xxhash64("content"), F.col("_chunks")).cast("int")
-    placed = written(
-        placed.select(
-            "content", "label", "group", F.xxhash64(F.col("_own").isNull(), F.coalesce("_own", F.lit(0)), part).alias("_chunk")
-        ),
-        "placed",
-    )
-    rows = placed.join(sets.select("content", "shingles"), "content").join(sided.hint("merge"), ["group", "_chunk"])
-    tiles = rows.select("group", "_a", "_b", "content", "label", "shingles").groupBy("group", "_a", "_b")
-    return tiles.applyInPandas(_tile_links(percent), "u long, v long")
-
-
-def near_copies(prints: DataFrame, words: int, radius: int, percent: int) -> DataFrame:
-    """(content, root) for every content of ``prints`` (_row, fp, content) that has a near copy.
+def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of every component of near copies, with all its columns: that with the least doc_id, nulls last.
 
-    Two contents are linked if their fingerprints are within ``radius`` bits, or
-    in one group that links of few bits make, and ``percent`` of their shingles,
-    counted exactly, are the same.  In groups, members are first held against a
-    few of their group; then chunks of what is still apart meet in tasks, and
-    only one edge per joined part leaves them, so no large group is written as
-    pairs.  Then pairs between groups are compared.
-    """
-    contents = written(prints.select("content", "fp").distinct(), "contents")
-    groups = written(linked(contents.select("fp").distinct(), min(radius, CORE_RADIUS)), "groups")
-    grouped = written(
-        contents.join(groups, F.col("fp") == F.col("node"), "left").select("content", "fp", F.coalesce("root", "fp").alias("group")),
-        "grouped",
-    )
-    # Written, here and below, so that Catalyst may split the rows of a large group in the join.
-    crowds = written(
-        grouped.groupBy("group").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("group").alias("_group")), "crowds"
-    )
-    members = written(grouped.join(crowds, F.col("group") == F.col("_group")).select("content", "group"), "members")
-    sets = _shingle_sets(prints, members, words, "member-sets")
-    place = F.row_number().over(Window.partitionBy("group").orderBy(F.xxhash64("content"), "content"))
-    pivots = written(members.withColumn("_place", place).where(F.col("_place") <= PIVOTS).select("content", "group"), "pivots")
-    first = members.join(_side(sets, "u").withColumnRenamed("u", "content"), "content").withColumnRenamed("content", "u")
-    second = pivots.join(_side(sets, "v").withColumnRenamed("v", "content"), "content").withColumnRenamed("content", "v")
-    core = written(_alike(first.join(second.hint("merge"), "group").where("u != v"), percent), "core-edges")
-    roots = written(connected_components(core), "core-roots")
-    named = roots.select(F.col("node").alias("_node"), "root")
-    labelled = members.join(named, F.col("content") == F.col("_node"), "left")
-    inner = written(
-        _group_links(written(labelled.select("content", "group", F.coalesce("root", "content").alias("label")), "labels"), sets, percent),
-        "group-edges",
-    )
-    stars = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-    roots = written(connected_components(stars.unionByName(inner)), "group-roots")
-    labelled = written(
-        grouped.join(roots, F.col("content") == F.col("node"), "left").select(
-            "content", "fp", "group", F.coalesce("root", "content").alias("label")
-        ),
-        "labelled",
-    )
-    by_fp = labelled.groupBy("fp", "group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    # A fingerprint whose contents have several labels gets one that no other has.
-    own = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("fp", F.lit("several")))
-    apart = close_pairs(by_fp.select("fp", own.alias("label"), "group"), radius).withColumnsRenamed({"u": "_u", "v": "_v"})
-    side = lambda s: labelled.select(F.col("fp").alias(f"_{s}"), F.col("content").alias(s), F.col("label").alias(f"label_{s}"))
-    pairs = written(
-        apart.join(side("u"), "_u").join(side("v"), "_v").where("label_u != label_v").select("u", "v"), "pairs"
-    )
-    ends = pairs.select(F.col("u").alias("content")).unionByName(pairs.select(F.col("v").alias("content"))).distinct()
-    sets = _shingle_sets(prints, ends, words, "pair-sets")
-    # Sizes are compared before any set is carried.
-    sizes = lambda s: sets.select(F.col("content").alias(s), F.col("n").alias(f"n_{s}"))
-    fit = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    fitting = written(pairs.join(sizes("u"), "u").join(sizes("v"), "v").where(fit).select("u", "v"), "fitting")
-    wide = _alike(fitting.join(_side(sets, "u").hint("merge"), "u").join(_side(sets, "v").hint("merge"), "v"), percent)
-    links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(wide)
-    return connected_components(links).withColumnRenamed("node", "content")
-
-
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 14, percent: int = 80) -> DataFrame:
-    """One row of every group of near copies, with all its columns: that with the least doc_id, nulls last.
-
-    Texts of the same words are copies; others are linked as ``near_copies``
-    says, and groups are what links join.  Doc_ids have no part in the grouping:
-    they may be null or stand on several texts.  Rows known to be alone pass
-    without a shuffle; of a larger group every task passes on its best row only.
+    Components are those of ``near_duplicates``: fingerprints within ``radius``
+    bits, chained.  Rows are grouped by the component's fingerprint and never
+    by doc_id, which may be null or stand on several texts.  Rows known to be
+    alone pass without a shuffle; of a larger component every task passes on its
+    best row only.  An empty table stays empty.
     """
     rows = boxed(docs, doc_id=F.col("doc_id").cast("long"), text=F.col("text"))
-    prints = written(fingerprints(rows.select("_row", "doc_id", "text"), words, contents=True), "printed")
-    groups = written(near_copies(prints, words, radius, percent), "near-copies")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-    sizes = prints.groupBy("content").agg(F.count("*").alias("_rows"))
-    copied = sizes.where("_rows > 1").select(F.col("content").alias("_of"), F.lit(None).cast("long").alias("root"))
-    grouped = groups.select(F.col("content").alias("_of"), "root")
+    prints = written(fingerprints(rows.select("_row", "doc_id", "text"), words), "printed")
+    sizes = written(prints.groupBy("fp").agg(F.count("*").alias("_rows")), "fp-sizes")
+    roots = linked(sizes.select("fp"), radius).select(F.col("node").alias("_of"), "root")
+    copied = sizes.where("_rows > 1").select(F.col("fp").alias("_of"), F.lit(None).cast("long").alias("root"))
     crowded = written(
-        copied.unionByName(grouped).groupBy("_of").agg(F.max("root").alias("root")).select("_of", F.coalesce("root", "_of").alias("root")),
+        copied.unionByName(roots).groupBy("_of").agg(F.max("root").alias("root")).select("_of", F.coalesce("root", "_of").alias("root")),
         "crowded",
     )
     # At most SLOTS rows whatever the input.  Rows in no marked slot are alone and pass without a shuffle.
     slots = written(crowded.select(_slot(F.col("_of")).alias("_slot")).distinct(), "crowded-slots")
-    marked = prints.join(F.broadcast(slots), _slot(F.col("content")) == F.col("_slot"), "left")
-    joined = marked.where("_slot IS NOT NULL").join(crowded.hint("merge"), F.col("content") == F.col("_of"), "left")
+    marked = prints.join(F.broadcast(slots), _slot(F.col("fp")) == F.col("_slot"), "left")
+    joined = marked.where("_slot IS NOT NULL").join(crowded.hint("merge"), F.col("fp") == F.col("_of"), "left")
     alone = marked.where("_slot IS NULL").select("_row").unionByName(joined.where("_of IS NULL").select("_row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
     best = joined.where("_of IS NOT NULL").groupBy("root").agg(F.min_by("_row", order).alias("_row"))
     return alone.unionByName(best.select("_row")).select("_row.*")
