@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import chat, exact, langid, line_crf, line_quality, mixing, packing, sharding, simhash, token_file
+from placewise.llm import (
+    chat,
+    exact,
+    langid,
+    line_crf,
+    line_quality,
+    mixing,
+    packing,
+    prefix_trie,
+    sharding,
+    simhash,
+    token_file,
+    turn_repair,
+    vector_graph,
+)
 from placewise.llm.common import fold, lower_ascii, table, written
 from placewise.llm.tokens import tokenizer_path
 
@@ -93,6 +107,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_file, op2_simhash, op3_packing, op4_line_quality, op5_langid, op6_line_crf, op7_chat_format, op8_mixing, op9_exact_dedup, op10_sharding)
-}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    found = turn_repair.summaries(turn_repair.edits(rows))
+    conv_id = F.when(~F.col("no_id"), F.col("conv")).cast("long").alias("conv_id")
+    return found.select(conv_id, "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op12_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "placed-turns")
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns))
+
+
+_ALL = (
+    op1_token_file, op2_simhash, op3_packing, op4_line_quality, op5_langid, op6_line_crf, op7_chat_format, op8_mixing,
+    op9_exact_dedup, op10_sharding, op11_turn_repair, op12_vector_graph, op13_prefix_trie,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

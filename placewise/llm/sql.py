@@ -111,4 +111,108 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, {_lower("coalesce(text, '')")} AS t FROM documents) WINDOW same AS (PARTITION BY t)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_quality": OP4, "op7_chat_format": OP7, "op8_mixing": OP8, "op9_exact_dedup": OP9}
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters."""
+    bits = "list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {bits}), 4294967295)"
+
+
+# No cheapest repair inserts a turn: deleting what an inserted turn completes costs less.
+OP11 = rf"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind
+    FROM conversations
+), damaged AS (
+    SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+           CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM given WHERE kind <> 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faults AS (
+    SELECT *, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+           lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+), rows_ AS (
+    SELECT *, last = '' AS blank, last <> '' AND again AS duplicate, last <> '' AND NOT again AND last NOT IN ('.', '!', '?') AS truncated
+    FROM faults
+), ids AS (
+    SELECT DISTINCT conv_id FROM conversations
+), edits AS (
+    SELECT r.conv_id, r.i, s.state, e.edit, e.next, e.cost + CASE WHEN r.truncated AND e.edit <> 'D' THEN 5 ELSE 0 END AS cost
+    FROM rows_ r, (VALUES ('N'), ('S'), ('U'), ('A')) s(state), (
+        VALUES ('N', 's', 'K', 'S', 0), ('N', 'u', 'K', 'U', 0), ('S', 'u', 'K', 'U', 0), ('U', 'a', 'K', 'A', 0), ('A', 'u', 'K', 'U', 0),
+               ('N', '', 'R', 'U', 1), ('S', '', 'R', 'U', 1), ('U', '', 'R', 'A', 1), ('A', '', 'R', 'U', 1),
+               ('N', '', 'D', 'N', 2), ('S', '', 'D', 'S', 2), ('U', '', 'D', 'U', 2), ('A', '', 'D', 'A', 2)
+    ) e(state, initial, edit, next, cost)
+    WHERE e.state = s.state AND (e.initial = '' OR e.initial = r.initial) AND (e.edit = 'D' OR NOT (r.blank OR r.duplicate))
+), best AS (
+    SELECT conv_id, 0::BIGINT AS i, 'N' AS state, {{'cost': 0::BIGINT, 'audit': ''}} AS b FROM ids
+    UNION ALL
+    SELECT e.conv_id, e.i, e.next, min({{'cost': b.b.cost + e.cost, 'audit': b.b.audit || e.edit}})
+    FROM best b JOIN edits e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.state = b.state
+    GROUP BY e.conv_id, e.i, e.next
+), counted AS (
+    SELECT ids.conv_id, count(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM ids LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id GROUP BY ids.conv_id
+), chosen AS (
+    SELECT c.*, (SELECT min(b.b) FROM best b WHERE b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.i = c.n AND b.state IN ('N', 'A')) AS b
+    FROM counted c
+), kept AS (
+    SELECT c.conv_id, r.i, r.role, r.text, substr(c.b.audit, r.i, 1) AS edit,
+           count(*) FILTER (NOT (substr(c.b.audit, r.i, 1) = 'K' AND r.initial = 's')) OVER (PARTITION BY c.conv_id ORDER BY r.i) AS place
+    FROM chosen c JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM c.conv_id WHERE substr(c.b.audit, r.i, 1) <> 'D'
+), said AS (
+    SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS t
+    FROM kept GROUP BY conv_id
+)
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, c.b.cost AS cost, c.b.audit AS audit, sha256(coalesce(s.t, '')) AS repaired_sha256
+FROM chosen c LEFT JOIN said s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP13 = f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}}
+               ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), plan AS (
+    SELECT *, {_crc32("conv_id::VARCHAR")} % 6 AS h FROM own
+), seqs AS (
+    SELECT p.conv_id, list_concat(coalesce(b.turns[1:p.h], []), p.turns[p.h + 1:]) AS s
+    FROM plan p LEFT JOIN own b ON b.conv_id = p.conv_id - p.conv_id % 100
+), prefixes AS (
+    SELECT conv_id, len(s) AS n, d AS depth, s[1:d] AS p FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seqs)
+), nodes AS (
+    SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+           coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+    FROM prefixes GROUP BY depth, p
+), children AS (
+    SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY p[1:depth - 1]
+), known AS (
+    SELECT n.*, coalesce(c.n, 0) AS n_children, (n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(n.p[depth].text) END AS value
+    FROM nodes n LEFT JOIN children c ON c.p = n.p
+), above AS (
+    SELECT *, unnest(range(depth + 1)) AS up FROM known
+), trees AS (
+    SELECT p[1:up] AS p, sum(value)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY p[1:up]
+)
+SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children::BIGINT AS n_children, t.n_leaves, t.saved_tokens,
+       sha256(k.ends) AS ends_sha256
+FROM known k JOIN trees t ON t.p = k.p LEFT JOIN nodes u ON k.depth > 0 AND u.p = k.p[1:k.depth - 1]
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_quality": OP4,
+    "op7_chat_format": OP7,
+    "op8_mixing": OP8,
+    "op9_exact_dedup": OP9,
+    "op11_turn_repair": OP11,
+    "op13_prefix_trie": OP13,
+}

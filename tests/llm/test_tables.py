@@ -47,6 +47,7 @@ def empty(spark, tmp_path_factory):
     write(no_docs(spark), path)
     write(spark.createDataFrame([], "doc_id long, quality int, toxic int"), path, "labels")
     write(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path, "conversations")
+    write(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), path, "embeddings")
     return str(path)
 
 
