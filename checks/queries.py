@@ -671,10 +671,10 @@ def _scenarios(c: Inputs) -> DataFrame:
     )
 
 
-def _select(c: Inputs, k: int | None = None) -> DataFrame:
+def _select(c: Inputs, k: int | None = None, max_gap: float = selection.MAX_GAP) -> DataFrame:
     offers = c.parts.select("postal_code", "type", "revenue", F.col("total_cost").alias("avg_price_m2"))
     scenarios = _scenarios(c)
-    return selection.select_locations(offers, scenarios.withColumn("k", F.lit(k)) if k else scenarios)
+    return selection.select_locations(offers, scenarios.withColumn("k", F.lit(k)) if k else scenarios, max_gap=max_gap)
 
 
 _ASKED = """SELECT s_suppkey AS scenario_id, 'Brand#' || (s_suppkey % 25 + 1) AS type, 200 + s_suppkey % 7 * 150 AS budget FROM supplier"""
@@ -689,18 +689,29 @@ def _choice_facts(c: Inputs) -> DataFrame:
     """What holds for a choice whatever codes it names, and the best single profit it competes with."""
     chosen = _select(c).groupBy("scenario_id").agg(
         F.count("*").alias("n"), F.count_distinct("postal_code").alias("codes"), F.sum("total_cost").alias("cost"),
-        F.sum("profit").alias("profit"), F.max("bound").alias("bound"))
+        F.sum("profit").alias("profit"), F.max("bound").alias("bound"), F.max("gap").alias("gap"))
     single = _select(c, 1).select("scenario_id", C("profit").alias("best_single"))
     met = _scenarios(c).join(chosen, "scenario_id").join(single, "scenario_id")
     return met.select("scenario_id", "best_single", (C("n") <= C("k")).alias("count_kept"), (C("n") == C("codes")).alias("codes_differ"),
                       (C("cost") <= C("budget") + 1e-6).alias("budget_kept"), (C("profit") <= C("bound") + 1e-6).alias("bound_holds"),
-                      (C("profit") >= C("best_single") - 1e-6).alias("beats_single"))
+                      (C("profit") >= C("best_single") - 1e-6).alias("beats_single"), (C("gap") <= selection.MAX_GAP + 1e-9).alias("gap_kept"),
+                      (F.abs(C("gap") * C("bound") - (C("bound") - C("profit"))) < 1e-6).alias("gap_right"))
 
 
-check("select_locations", "scenario_id:i best_single:d count_kept:b codes_differ:b budget_kept:b bound_holds:b beats_single:b", _choice_facts,
+check("select_locations", "scenario_id:i best_single:d count_kept:b codes_differ:b budget_kept:b bound_holds:b beats_single:b gap_kept:b gap_right:b",
+      _choice_facts,
       f"""SELECT s.scenario_id, max(p.revenue - p.total_cost) AS best_single, true AS count_kept, true AS codes_differ, true AS budget_kept,
-                 true AS bound_holds, true AS beats_single
+                 true AS bound_holds, true AS beats_single, true AS gap_kept, true AS gap_right
           FROM ({_ASKED}) s JOIN part_items p ON p.type = s.type AND p.total_cost <= s.budget AND p.revenue > p.total_cost GROUP BY s.scenario_id""")
+_OFFERED = f"""(SELECT s.scenario_id, s.budget, p.postal_code AS code, p.total_cost AS cost, p.revenue - p.total_cost AS profit
+                FROM ({_ASKED}) s JOIN part_items p ON p.type = s.type AND p.total_cost <= s.budget AND p.revenue > p.total_cost)"""
+_PAIR = f"LEFT JOIN {_OFFERED} b ON b.scenario_id = a.scenario_id AND b.code > a.code AND a.cost + b.cost <= a.budget"
+_THIRD = f"LEFT JOIN {_OFFERED} d ON d.scenario_id = a.scenario_id AND d.code > b.code AND a.cost + b.cost + d.cost <= a.budget"
+# Without a gap the choice of many scenarios is the best set; SQL tries every set.
+for _k, _joins, _profit in ((2, _PAIR, "coalesce(b.profit, 0)"), (3, f"{_PAIR} {_THIRD}", "coalesce(b.profit, 0) + coalesce(d.profit, 0)")):
+    check(f"select_locations_best_of_{_k}", "scenario_id:i profit:d",
+          lambda c, k=_k: _select(c, k, 0.0).groupBy("scenario_id").agg(F.sum("profit").alias("profit")),
+          f"SELECT a.scenario_id, max(a.profit + {_profit}) AS profit FROM {_OFFERED} a {_joins} GROUP BY a.scenario_id")
 check("select_locations_exact_k2", "pc_a:s pc_b:s profit:d", lambda c: selection.select_locations_exact_k2(c.parts, 300.0),
       """SELECT least(a.postal_code, b.postal_code) AS pc_a, greatest(a.postal_code, b.postal_code) AS pc_b,
                 a.revenue - a.total_cost + b.revenue - b.total_cost AS profit
