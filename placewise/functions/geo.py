@@ -132,37 +132,3 @@ def parse_point(wkt: Column) -> tuple[Column, Column]:
         F.regexp_extract(wkt, pattern, 1).try_cast("double"),
         F.regexp_extract(wkt, pattern, 2).try_cast("double"),
     )
-
-
-def within_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Strictly inside a ring given as array<struct<x,y>>; an edge is outside.
-
-    One pass over the edges counts crossings of the ray to the right and notes
-    whether the point lies on an edge.
-    """
-    n = F.size(ring)
-    edges = F.transform(
-        ring,
-        lambda p, i: F.struct(
-            p["x"].alias("x1"),
-            p["y"].alias("y1"),
-            F.element_at(ring, F.when(i + 1 == n, F.lit(1)).otherwise(i + 2))["x"].alias("x2"),
-            F.element_at(ring, F.when(i + 1 == n, F.lit(1)).otherwise(i + 2))["y"].alias("y2"),
-        ),
-    )
-
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
-        return F.when(spans & (x < at), 1).otherwise(0)
-
-    def on_edge(e: Column) -> Column:
-        turn = (e["x2"] - e["x1"]) * (y - e["y1"]) - (e["y2"] - e["y1"]) * (x - e["x1"])
-        boxed = (
-            x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-            & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        )
-        return (turn == 0) & boxed
-
-    crossings = F.aggregate(edges, F.lit(0), lambda acc, e: acc + crosses(e))
-    return ~F.exists(edges, on_edge) & (crossings % 2 == 1)

@@ -101,3 +101,56 @@ def test_a_far_point_finds_its_code_from_small_cells(spark):
     points = spark.createDataFrame([(1, 5_000_000.0, 3.0), (2, 0.01, 0.0)], "id int, x double, y double")
     found = {r.id: r.postal_code for r in spatial.nearest_postcode(points, codes, cell_m=0.05).collect()}
     assert found == {1: "00-001", 2: "00-001"}
+
+
+def strictly_inside(x, y, corners):
+    inside = False
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+        if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return False
+        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            inside = not inside
+    return inside
+
+
+@pytest.mark.parametrize("band_m", [None, 37.0, 1e6])
+def test_districts_of_any_shape_equal_brute_force(spark, band_m):
+    rng = random.Random(9)
+    star = [(500 + rng.uniform(80, 400) * math.cos(a / 40 * math.tau), 500 + rng.uniform(80, 400) * math.sin(a / 40 * math.tau)) for a in range(40)]
+    closed = [(0.0, 0.0), (300.0, 0.0), (300.0, 300.0), (0.0, 300.0), (0.0, 0.0)]
+    shapes = {"star": star, "closed": closed, "thin": [(0.0, -2e5), (1.0, -2e5), (1.0, 2e5), (0.0, 2e5)], "twin": closed}
+    polygons = spark.createDataFrame([(n, ring(*c)) for n, c in shapes.items()], "name string, ring array<struct<x:double,y:double>>")
+    points = [(i, rng.uniform(-20, 1000), rng.uniform(-20, 1000)) for i in range(500)] + [(900 + i, *c) for i, c in enumerate(closed + star)]
+    points += [(1000, 150.0, 0.0), (1001, 0.5, 1e5), (1002, 150.0, 150.0), (1003, 150.0, 150.0)]
+    found = spatial.district_join(spark.createDataFrame(points, "id int, x double, y double"), polygons, band_m)
+    got = sorted((r.id, r.dzielnica) for r in found.collect() if r.dzielnica)
+    assert got == sorted((i, n) for i, x, y in points for n, c in shapes.items() if strictly_inside(x, y, c))
+    assert "ring" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_ring_of_ten_thousand_corners(spark):
+    corners = [(1000 * math.cos(i / 10_000 * math.tau), 1000 * math.sin(i / 10_000 * math.tau)) for i in range(10_000)]
+    polygons = spark.createDataFrame([("round", ring(*corners))], "name string, ring array<struct<x:double,y:double>>")
+    rng = random.Random(4)
+    points = [(i, rng.uniform(-1100, 1100), rng.uniform(-1100, 1100)) for i in range(3000)]
+    got = {r.id: r.dzielnica for r in spatial.district_join(spark.createDataFrame(points, "id int, x double, y double"), polygons).collect()}
+    for i, x, y in points:
+        if abs(math.hypot(x, y) - 1000) > 0.01:
+            assert (got[i] == "round") == (math.hypot(x, y) < 1000)
+
+
+def test_points_far_off_share_few_units(spark):
+    """Points 400 km away climb to coarse units: no more unit-code pairs than for points among the codes."""
+    rng = random.Random(11)
+    codes = [(f"{i:04d}", f"p{i}", rng.gauss(0, 8000), rng.gauss(0, 8000)) for i in range(600)]
+    table = spark.createDataFrame(codes, "postal_code string, point_wkt string, x double, y double")
+    near = [(i, rng.gauss(0, 8000), rng.gauss(0, 8000)) for i in range(2000)]
+    far = [(i, 400_000 + rng.gauss(0, 8000), rng.gauss(0, 8000)) for i in range(2000)]
+    sums = []
+    for points in (near, far):
+        df = spark.createDataFrame(points, "id int, x double, y double")
+        got = {r.id: r.postal_code for r in spatial.nearest_postcode(df, table).collect()}
+        for i, x, y in points[::37]:
+            assert got[i] == min(codes, key=lambda c: ((x - c[2]) ** 2 + (y - c[3]) ** 2, c[0]))[0]
+        sums.append(spatial.unit_pairs(df, table).count())
+    assert sums[1] <= sums[0]
