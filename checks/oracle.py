@@ -332,6 +332,7 @@ CTES: dict[str, str] = {
                               printf('POINT(%.6f %.6f)', avg(longitude), avg(latitude)) AS point_wkt
                        FROM krakow GROUP BY postal_code""",
     "xy_codes": f"SELECT *, {_E} AS x, {_N} AS y FROM all_codes",
+    "xy_krakow": f"SELECT *, {_E} AS x, {_N} AS y FROM krakow_codes",
     "sale_points": f"SELECT *, {wkt_number('geometry_wkt', 1)} AS x, {wkt_number('geometry_wkt', 2)} AS y FROM priced",
     "coded": """SELECT * FROM (SELECT s.*, c.postal_code, row_number() OVER (PARTITION BY s.id ORDER BY (s.x - c.x) * (s.x - c.x) + (s.y - c.y) * (s.y - c.y), c.postal_code) AS rn
                   FROM sale_points s, xy_codes c) WHERE rn = 1""",
@@ -368,6 +369,33 @@ CTES: dict[str, str] = {
     "bridge": """SELECT p.id_transakcji, p.id_nieruchomosci, d.id_dokumentu, l.id_lokalu, a.id_adresu, b.id_budynku
                  FROM e_tp p LEFT JOIN e_td d ON d.id_transakcji = p.id_transakcji JOIN e_pl l ON l.id_nieruchomosci = p.id_nieruchomosci
                  LEFT JOIN e_la a ON a.id_lokalu = l.id_lokalu LEFT JOIN e_pb b ON b.id_nieruchomosci = p.id_nieruchomosci""",
+    "merged": """SELECT b.*, t.o_totalprice AS cenaTransakcjiBrutto, '1' AS rodzajTransakcji, 1 + t.o_orderkey % 2 AS rodzajRynku,
+                l.pow AS powUzytkowaLokalu, l.wkt AS geometry_wkt, CAST(d.o_orderdate AS DATE) AS dataSporzadzeniaDokumentu,
+                CAST(110 + TRY_CAST(substr(b.id_budynku, 2) AS INT) % 3 AS VARCHAR) AS rodzajBudynku,
+                'Ulica ' || (TRY_CAST(substr(b.id_adresu, 2) AS INT) % 9) AS ulica, substr(b.id_adresu, 2) AS numerPorzadkowy,
+                l.k AS premises_key
+         FROM bridge b JOIN orders t ON 'T' || t.o_orderkey = b.id_transakcji
+         JOIN (SELECT 'L' || o_orderkey AS id, CAST(12 + o_orderkey % 200 AS VARCHAR) AS pow,
+                      'POINT (' || (560000 + o_custkey % 14000) || ' ' || (240000 + o_custkey % 9000) || ')' AS wkt, o_orderkey AS k FROM orders
+               UNION ALL SELECT 'L' || o_orderkey || 'b', '50', NULL, NULL FROM orders WHERE o_orderkey % 3 = 0) l ON l.id = b.id_lokalu
+         LEFT JOIN orders d ON 'D' || d.o_orderkey = b.id_dokumentu""",
+    "merged_sales": """SELECT *, 'nr ' || premises_key AS uwagi, cenaTransakcjiBrutto / powUzytkowaLokalu AS cena_m2, geometry_wkt AS geometry
+         FROM (SELECT * REPLACE (CAST(cenaTransakcjiBrutto AS DOUBLE) AS cenaTransakcjiBrutto, CAST(powUzytkowaLokalu AS DOUBLE) AS powUzytkowaLokalu),
+                      row_number() OVER (PARTITION BY cenaTransakcjiBrutto, powUzytkowaLokalu, ulica, geometry_wkt
+                          ORDER BY id_transakcji NULLS FIRST, id_nieruchomosci NULLS FIRST, id_lokalu NULLS FIRST, id_budynku NULLS FIRST) AS rn
+               FROM merged WHERE geometry_wkt IS NOT NULL AND CAST(cenaTransakcjiBrutto AS DOUBLE) / CAST(powUzytkowaLokalu AS DOUBLE) BETWEEN 500 AND 55000) WHERE rn = 1""",
+    "register_sales": """SELECT s.cena_m2, s.powUzytkowaLokalu, s.premises_key % 12 - 1 AS nrKondygnacji, 1 + s.premises_key % 5 AS liczbaIzb,
+                CASE s.rodzajRynku WHEN 1 THEN 'Pierwotny' ELSE 'Wtórny' END AS rodzajRynku, n.n_name AS dzielnica,
+                year(s.dataSporzadzeniaDokumentu) AS rok, sqrt(pow(s.x - 566350, 2) + pow(s.y - 244150, 2)) AS dist_to_center,
+                CASE WHEN s.premises_key % 4 = 2 THEN 1 ELSE 0 END AS has_parking, CASE WHEN s.premises_key % 4 = 0 THEN 1 ELSE 0 END AS has_balcony,
+                CASE WHEN s.premises_key % 4 = 2 THEN 1 ELSE 0 END AS has_storage, s.x AS X_2180, s.y AS Y_2180
+         FROM (SELECT *, CAST(split_part(substr(geometry, 8), ' ', 1) AS DOUBLE) AS x, CAST(rtrim(split_part(substr(geometry, 8), ' ', 2), ')') AS DOUBLE) AS y FROM merged_sales) s
+         JOIN shapes n ON s.x > n.x0 AND s.x < n.x0 + 2500 AND s.y > n.y0 AND s.y < n.y0 + 1500
+          AND (n.n_nationkey % 2 = 0 OR s.y < n.y0 + 700 OR s.x < n.x0 + 1200)
+         WHERE s.premises_key % 4 <> 1 AND s.powUzytkowaLokalu BETWEEN 15 AND 200 AND s.rodzajBudynku = '110'
+           AND year(s.dataSporzadzeniaDokumentu) BETWEEN 1995 AND 1997 AND s.premises_key % 12 >= 1""",
+    "register_coded": """SELECT r.cena_m2, (SELECT arg_min(c.postal_code, {'d': (r.X_2180 - c.x) * (r.X_2180 - c.x) + (r.Y_2180 - c.y) * (r.Y_2180 - c.y), 'c': c.postal_code})
+                         FROM xy_krakow c) AS postal_code FROM register_sales r""",
 }
 RECURSIVE = {"reach"}
 

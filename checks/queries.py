@@ -199,6 +199,9 @@ def _register_lines(orders: DataFrame) -> DataFrame:
              f'<rcn:dzialka xlink:href="#P{{o_orderkey % 100}}"/>{parcel}</rcn:RCN_Nieruchomosc>', orders),
         line(f'<rcn:RCN_Nieruchomosc {spaces} gml:id="N{k}b"><rcn:lokal xlink:href="#L{k}b"/><rcn:lokal xlink:href="#L{k}c"/></rcn:RCN_Nieruchomosc>', third),
         line(f'<rcn:RCN_Lokal {spaces} gml:id="L{k}">{address}<rcn:powUzytkowaLokalu>{{12 + o_orderkey % 200}}</rcn:powUzytkowaLokalu>'
+             "<rcn:nrKondygnacji>{o_orderkey % 12 - 1}</rcn:nrKondygnacji><rcn:liczbaIzb>{1 + o_orderkey % 5}</rcn:liczbaIzb>"
+             "<rcn:dodatkoweInformacje>{CASE o_orderkey % 4 WHEN 0 THEN 'BALKON' WHEN 1 THEN 'udział 1/2' WHEN 2 THEN 'piwnica, garaż' ELSE 'brak' END}</rcn:dodatkoweInformacje>"
+             '<rcn:uwagi kod="u{o_orderkey % 3}">nr {o_orderkey}</rcn:uwagi>'
              f"<rcn:funkcjaLokalu>1_mieszkalna</rcn:funkcjaLokalu><rcn:geometria><gml:Point><gml:pos>{pos}</gml:pos></gml:Point></rcn:geometria></rcn:RCN_Lokal>", orders),
         line(f'<rcn:RCN_Lokal {spaces} gml:id="L{k}b"><rcn:powUzytkowaLokalu>50</rcn:powUzytkowaLokalu></rcn:RCN_Lokal>', third),
         line(f'<rcn:RCN_Budynek {spaces} gml:id="B{{j}}"><rcn:rodzajBudynku>{{110 + j % 3}}</rcn:rodzajBudynku></rcn:RCN_Budynek>', shared),
@@ -299,6 +302,9 @@ check("read_features", "gml_id:s powUzytkowaLokalu:s funkcjaLokalu:s geometry_wk
       """SELECT 'L' || o_orderkey AS gml_id, CAST(12 + o_orderkey % 200 AS VARCHAR) AS powUzytkowaLokalu, '1_mieszkalna' AS funkcjaLokalu,
                 'POINT (' || (560000 + o_custkey % 14000) || ' ' || (240000 + o_custkey % 9000) || ')' AS geometry_wkt FROM orders
          UNION ALL SELECT 'L' || o_orderkey || 'b', '50', NULL, NULL FROM orders WHERE o_orderkey % 3 = 0""")
+check("read_features_open", "gml_id:s uwagi:s uwagi_kod:s nrKondygnacji:s", lambda c: c.features("RCN_Lokal"),
+      """SELECT 'L' || o_orderkey AS gml_id, 'nr ' || o_orderkey AS uwagi, 'u' || (o_orderkey % 3) AS uwagi_kod, CAST(o_orderkey % 12 - 1 AS VARCHAR) AS nrKondygnacji
+         FROM orders UNION ALL SELECT 'L' || o_orderkey || 'b', NULL, NULL, NULL FROM orders WHERE o_orderkey % 3 = 0""")
 check("read_features_rings", "gml_id:s idDzialki:s geometry_wkt:s", lambda c: c.features("RCN_Dzialka"),
       """SELECT 'P' || j AS gml_id, CAST(j AS VARCHAR) AS idDzialki, 'POLYGON ((' || j || ' 0, ' || (j + 9) || ' 0, ' || (j + 9) || ' 9, ' || j || ' 0)'
                 || CASE WHEN j % 2 = 1 THEN ', (' || (j + 5) || ' 1, ' || (j + 8) || ' 1, ' || (j + 8) || ' 4, ' || (j + 5) || ' 1)' ELSE '' END || ')' AS geometry_wkt
@@ -361,17 +367,19 @@ check("lookup_by_group", TX + " spent:d", lambda c: common.lookup_by_group(c.tx,
          ON s.pc5 = t.pc5 AND s.mcc = t.mcc""")
 BRIDGE = "id_transakcji:s id_nieruchomosci:s id_dokumentu:s id_lokalu:s id_adresu:s id_budynku:s"
 check("feature_bridge", BRIDGE, lambda c: c.register_run.bridge(), "bridge")
-check("register_merge", BRIDGE + " cenaTransakcjiBrutto:d rodzajTransakcji:s rodzajRynku:s powUzytkowaLokalu:s geometry_wkt:s dataSporzadzeniaDokumentu:s rodzajBudynku:s ulica:s numerPorzadkowy:s",
-      lambda c: c.register_run.merged(),
-      """SELECT b.*, t.o_totalprice AS cenaTransakcjiBrutto, '1' AS rodzajTransakcji, 1 + t.o_orderkey % 2 AS rodzajRynku,
-                l.pow AS powUzytkowaLokalu, l.wkt AS geometry_wkt, CAST(d.o_orderdate AS DATE) AS dataSporzadzeniaDokumentu,
-                CAST(110 + TRY_CAST(substr(b.id_budynku, 2) AS INT) % 3 AS VARCHAR) AS rodzajBudynku,
-                'Ulica ' || (TRY_CAST(substr(b.id_adresu, 2) AS INT) % 9) AS ulica, substr(b.id_adresu, 2) AS numerPorzadkowy
-         FROM bridge b JOIN orders t ON 'T' || t.o_orderkey = b.id_transakcji
-         JOIN (SELECT 'L' || o_orderkey AS id, CAST(12 + o_orderkey % 200 AS VARCHAR) AS pow,
-                      'POINT (' || (560000 + o_custkey % 14000) || ' ' || (240000 + o_custkey % 9000) || ')' AS wkt FROM orders
-               UNION ALL SELECT 'L' || o_orderkey || 'b', '50', NULL FROM orders WHERE o_orderkey % 3 = 0) l ON l.id = b.id_lokalu
-         LEFT JOIN orders d ON 'D' || d.o_orderkey = b.id_dokumentu""")
+MERGED = "cenaTransakcjiBrutto:d rodzajTransakcji:s rodzajRynku:s powUzytkowaLokalu:d dataSporzadzeniaDokumentu:s rodzajBudynku:s ulica:s numerPorzadkowy:s"
+check("register_merge", f"{BRIDGE} {MERGED.replace('powUzytkowaLokalu:d', 'powUzytkowaLokalu:s geometry_wkt:s')}", lambda c: c.register_run.merged(), "merged")
+check("merged_sales", f"{MERGED} geometry:s cena_m2:x uwagi:s", lambda c: housing.merged_sales(c.register_run.merged(), 500), "merged_sales")
+HOMES = " ".join(f"{c}:{'s' if c in ('rodzajRynku', 'dzielnica') else 'x' if c == 'cena_m2' else 'd'}" for c in housing.MODEL_COLUMNS)
+
+
+def _register_sales(c: Inputs) -> DataFrame:
+    return housing_plan.register_sales(c.register_run, c.polygons, reproject=False, lo=500, years=(1995, 1997))
+
+
+check("register_sales", HOMES, _register_sales, "register_sales")
+check("price_by_postcode", "postal_code:s avg_price_m2:d median_price_m2:d", lambda c: housing_plan.price_by_postcode(_register_sales(c), c.geo)[1],
+      """SELECT postal_code, round(avg(cena_m2), 2) AS avg_price_m2, round(median(cena_m2), 2) AS median_price_m2 FROM register_coded GROUP BY postal_code""")
 check("district_join", "id:i x:d y:d dzielnica:s", lambda c: spatial.district_join(_xy(c.sales), c.polygons),
       f"""SELECT s.id, s.x, s.y, n.n_name AS dzielnica FROM (SELECT id, {o.wkt_number('geometry_wkt', 1)} AS x, {o.wkt_number('geometry_wkt', 2)} AS y FROM sales) s
           LEFT JOIN (SELECT *, 560000 + n_nationkey % 5 * 2800 AS x0, 240000 + n_nationkey // 5 * 1800 AS y0 FROM nation) n
@@ -417,7 +425,10 @@ check("merchant_attributes", "merchant:s store_nm:s place:s city:s first_month_e
 check("registration_addresses", "brand:s loc_pc5:s", lambda c: registry.registration_addresses(c.run.merchants, P.min_registrations), "addresses")
 check("training_rows", TRAINING, lambda c: registry.training_rows(c.merchant_tx, c.run.centroids, P.train_year, P.min_cards, P.min_shops_per_mcc), "training")
 check("merchant_key", "card:s month:i pc5:s nm1:s mcc:i merchant:s", lambda c: demand.merchant_key(c.rest_cp, P.card_window), "merchant_key")
-check("card_month_rollup", "card:s month:i mcc:i pc5:s nm1:s spend:d txns:i weekend_spend:d dinner_spend:d home_pc5:s is_foreign:b is_premium:b is_business:b",
+ROLLUP = "card:s month:i mcc:i pc5:s nm1:s spend:d txns:i weekend_spend:d dinner_spend:d home_pc5:s is_foreign:b is_premium:b is_business:b"
+check("kept_card_months", ROLLUP,
+      lambda c: demand.kept_card_months(c.spark, f"{c.prefix}_card_months", c.card).refresh().read(*P.card_window), "rollup")
+check("card_month_rollup", ROLLUP,
       lambda c: demand.card_month_rollup(c.card, P.card_window), "rollup")
 check("shop_composition", COMP, lambda c: demand.shop_composition(c.run.shop_tx, P.target_year, P.trend_before, P.trend_after), "composition")
 check("home_wallet", "home_pc5:s spend:d cards:i", lambda c: demand.home_wallet(c.run.shop_tx, P.target_year), "wallet")
@@ -717,7 +728,7 @@ check("select_locations_exact_k2", "pc_a:s pc_b:s profit:d", lambda c: selection
                 a.revenue - a.total_cost + b.revenue - b.total_cost AS profit
          FROM part_items a JOIN part_items b ON a.postal_code < b.postal_code AND a.total_cost + b.total_cost <= 300
          ORDER BY profit DESC, pc_a, pc_b LIMIT 1""")
-check("sale_features", " ".join(f"{c}:{'s' if c in ('rodzajRynku', 'dzielnica') else 'x' if c == 'cena_m2' else 'd'}" for c in housing.MODEL_COLUMNS),
+check("sale_features", HOMES,
       lambda c: housing.sale_features(housing.clean_sales(c.priced, "id"), c.polygons, reproject=False, years=(1995, 1997)),
       f"""SELECT s.cena_m2, s.powUzytkowaLokalu, s.nrKondygnacji, s.liczbaIzb, CASE s.rodzajRynku WHEN 1 THEN 'Pierwotny' ELSE 'Wtórny' END AS rodzajRynku,
                  n.n_name AS dzielnica, year(TRY_CAST(s.dataSporzadzeniaDokumentu AS DATE)) AS rok,

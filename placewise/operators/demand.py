@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.functions import flags, text
@@ -20,6 +20,7 @@ from placewise.operators.registry import (
     sum_where,
 )
 from placewise.params import GROCERY_MCCS, LEISURE_MCCS, LODGING_MCCS, MODEL_MCCS, Params, Window
+from placewise.sources.monthly import MonthlyTable
 
 SUM_COLUMNS = (
     "spend", "txns", "cards", "local_spend", "foreign_spend", "premium_spend", "business_spend", "weekend_spend",
@@ -57,6 +58,18 @@ def card_month_rollup(card_tx: DataFrame, window: Window, mccs: Sequence[int] =
     return rows.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums())
 
 
+def kept_card_months(spark: SparkSession, name: str, card_tx: DataFrame, mccs: Sequence[int] = MODEL_MCCS) -> MonthlyTable:
+    """``card_month_rollup`` of all months as a table kept by month; call ``refresh`` before ``read``.
+
+    A card-month depends on its month alone, so only changed months are summed anew.
+    """
+    def build(rows: DataFrame) -> DataFrame:
+        cleaned = clean_names(card_marks(card_present(purchase_rows(rows, mccs=mccs))))
+        return cleaned.groupBy("card", "month", "mcc", "pc5", "nm1").agg(*_rollup_sums())
+
+    return MonthlyTable(spark, name, card_tx, build)
+
+
 def shop_card_months(facts: DataFrame, shops: DataFrame, window: Window) -> DataFrame:
     """Card-months of known shops from rows that carry their merchant.
 

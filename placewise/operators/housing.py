@@ -68,15 +68,35 @@ def feature_bridge(
     )
 
 
+def _linked(rows: DataFrame, side: DataFrame, key: str, on: str, how: str) -> DataFrame:
+    """Join of ``rows`` with a layer on its id; rows without a key take no part in it.
+
+    NULL keys would all be dealt to one task: they pass around the join, and are
+    left out of an inner one.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    met = known.join(side, F.col(key) == F.col(on), how)
+    if how == "inner":
+        return met
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in side.schema.fields]
+    return met.unionByName(rows.where(F.col(key).isNull()).select("*", *missing))
+
+
 def register_merge(
     bridge: DataFrame, trans: DataFrame, lokal: DataFrame, doc: DataFrame, build: DataFrame, adres: DataFrame
 ) -> DataFrame:
-    """Attributes of every linked feature; a clashing premises column gets ``_lo``."""
+    """Attributes of every linked feature; a clashing premises column gets ``_lo``.
+
+    Layers are tables in buckets of their id (``RegisterRun``): joins move none
+    of their rows.  The bridge has another id for every layer and is
+    dealt once per join, so the narrow layers come first and the two wide ones
+    last, while its rows are short.
+    """
     taken = set(trans.columns) | set(bridge.columns)
     premises = lokal.select([F.col(c).alias(f"{c}_lo" if c in taken else c) for c in lokal.columns])
     premises_id = "gml_id_lo" if "gml_id" in taken else "gml_id"
-    out = bridge.join(trans, F.col("id_transakcji") == trans["gml_id"])
-    out = out.join(premises, out["id_lokalu"] == premises[premises_id])
+    wide = [*bridge.columns, *trans.columns, *premises.columns]
+    out, narrow = bridge, []
     sides = (
         (doc, "id_dokumentu", ["dataSporzadzeniaDokumentu"], "_dok"),
         (build, "id_budynku", ["rodzajBudynku"], "_bu"),
@@ -85,12 +105,12 @@ def register_merge(
     for side, key, columns, suffix in sides:
         if not all(c in side.columns for c in columns):
             continue
-        renamed = side.select(
-            F.col("gml_id").alias(f"_id{suffix}"),
-            *[F.col(c).alias(f"{c}{suffix}" if c in out.columns else c) for c in columns],
-        )
-        out = out.join(renamed, F.col(key) == F.col(f"_id{suffix}"), "left").drop(f"_id{suffix}")
-    return out
+        named = {c: f"{c}{suffix}" if c in [*wide, *narrow] else c for c in columns}
+        renamed = side.select(F.col("gml_id").alias(f"_id{suffix}"), *[F.col(c).alias(n) for c, n in named.items()])
+        out = _linked(out, renamed, key, f"_id{suffix}", "left").drop(f"_id{suffix}")
+        narrow += named.values()
+    out = _linked(out, premises, "id_lokalu", premises_id, "inner")
+    return _linked(out, trans, "id_transakcji", "gml_id", "inner").select(*wide, *narrow)
 
 
 def price_band(sales: DataFrame, lo: float = PRICE_BAND[0], hi: float = PRICE_BAND[1]) -> DataFrame:

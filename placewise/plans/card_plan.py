@@ -19,7 +19,8 @@ from placewise.operators import registry as reg
 from placewise.operators import shops as shop_ops
 from placewise.operators.spatial import nearby_pairs
 from placewise.params import Params
-from placewise.session import checkpointed, reuse_or_build, stage_prefix
+from placewise.session import checkpointed, input_manifest, reuse_or_build, stage_prefix
+from placewise.sources.monthly import MonthlyTable
 from placewise.sources.tabular import read_geonames, scan_card_tx, write_table
 
 
@@ -28,7 +29,12 @@ class CardRun:
 
     Stage tables start with ``prefix`` and are reused while they exist, so
     other inputs or parameters need another prefix (``session.stage_prefix``
-    makes one) or ``rebuild``.
+    makes one) or ``rebuild``.  Tables with a row per payment or card-month are
+    partitioned by month, so that later windows open only their months.
+
+    With ``kept``, the sums by booked texts, which read and clean every payment,
+    stay below the shared folder under that name after the run; the next run
+    builds only months whose payments changed.
     """
 
     def __init__(
@@ -39,14 +45,15 @@ class CardRun:
         params: Params = Params(),
         prefix: str = "placewise",
         rebuild: bool = False,
+        kept: str | None = None,
     ) -> None:
-        self.spark, self.params, self.prefix, self.rebuild = spark, params, prefix, rebuild
+        self.spark, self.params, self.prefix, self.rebuild, self.kept = spark, params, prefix, rebuild, kept
         self._card, self.geonames = card_tx, geonames
         self._done: dict[str, DataFrame] = {}
 
-    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stage(self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
         if name not in self._done:
-            self._done[name] = reuse_or_build(self.spark, f"{self.prefix}_{name}", build, self.rebuild)
+            self._done[name] = reuse_or_build(self.spark, f"{self.prefix}_{name}", build, self.rebuild, partition_by)
         return self._done[name]
 
     # --- registry -----------------------------------------------------------
@@ -62,7 +69,14 @@ class CardRun:
     @property
     def raw_months(self) -> DataFrame:
         """Sums by texts as booked, with the cleaned texts: each is cleaned once per month."""
-        return self.stage("raw_months", lambda: reg.clean_names(reg.raw_months(self.card_tx)))
+        def build(rows: DataFrame) -> DataFrame:
+            return reg.clean_names(reg.raw_months(rows))
+
+        if not self.kept:
+            return self.stage("raw_months", lambda: build(self.card_tx))
+        if "raw_months" not in self._done:
+            self._done["raw_months"] = MonthlyTable(self.spark, f"{self.kept}/raw_months", self.card_tx, build).refresh().read()
+        return self._done["raw_months"]
 
     @property
     def name_months(self) -> DataFrame:
@@ -149,7 +163,7 @@ class CardRun:
             rows = rows.select(*reg.RAW_KEY, "card", "mcc", "amt", *reg.MARKS)
             return shop_ops.booked_to_merchant(rows, self.booked).drop("city", "mrch_city_nm_raw", "mrch_postal_code")
 
-        return self.stage("facts", build)
+        return self.stage("facts", build, ("month",))
 
     @property
     def merchant_tx(self) -> DataFrame:
@@ -188,6 +202,7 @@ class CardRun:
         return self.stage(
             "shop_tx",
             lambda: demand_ops.shop_card_months(self.facts, self.split_shops, self.params.card_window),
+            ("month",),
         )
 
     @property
@@ -252,10 +267,14 @@ def run_card_plan(
     params: Params = Params(),
     rebuild: bool = False,
     out: str | None = None,
+    kept: str | None = None,
     **gbt,
 ) -> DataFrame:
     """Card file and gazetteer file to zip_code, type, predicted_revenue.
 
+    Stage names carry the names, sizes and times of the input files, so a
+    rewritten file is read again.
+
     With ``out``, the predictions, the out-of-fold report, the held-out
     predictions and the scores are written below that folder as CSV.  ``gbt``
     sets parameters of the trees.
@@ -265,8 +284,9 @@ def run_card_plan(
         lambda: scan_card_tx(spark, card_path),
         read_geonames(spark, geonames_path),
         params,
-        stage_prefix(card_path, geonames_path, params),
+        stage_prefix(card_path, geonames_path, params, input_manifest(spark, card_path, geonames_path)),
         rebuild,
+        kept,
     )
     # Written, reported and returned: scored once.
     predicted = checkpointed(run.predicted(**gbt))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from placewise.functions import geo
 from placewise.operators import housing as h
 from placewise.operators.spatial import nearest_postcode
-from placewise.session import reuse_or_build
+from placewise.session import checkpointed, reuse_or_build
 from placewise.sources import register as r
 
 
@@ -28,22 +30,30 @@ class RegisterRun:
         self.prefix, self.rebuild = prefix, rebuild
         self._done: dict[str, DataFrame] = {}
 
-    def stage(self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def stage(
+        self, name: str, build: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), bucket_by: tuple[str, ...] = ()
+    ) -> DataFrame:
         if name not in self._done:
-            self._done[name] = reuse_or_build(self.spark, f"{self.prefix}_{name}", build, self.rebuild, partition_by)
+            self._done[name] = reuse_or_build(self.spark, f"{self.prefix}_{name}", build, self.rebuild, partition_by, bucket_by)
         return self._done[name]
 
     @property
     def members(self) -> DataFrame:
         return self.stage("members", lambda: r.split_members(self.spark, self.path, self.member_end), ("feature",))
 
+    @cached_property
+    def schemas(self) -> dict[str, StructType]:
+        """What each feature class holds, found in one pass over the members."""
+        return r.member_schemas(self.members)
+
     def layer(self, feature: str) -> DataFrame:
+        """A feature class as a table in buckets of its id, on which links meet it."""
         def build() -> DataFrame:
             if self.member_end:
-                return r.parse_members(self.members, feature)
+                return r.parse_members(self.members, feature, self.schemas.get(feature))
             return r.read_features(self.spark, self.path, feature)
 
-        return self.stage(feature.lower(), build)
+        return self.stage(feature.lower(), build, bucket_by=("gml_id",))
 
     def layers(self) -> dict[str, DataFrame]:
         """Every feature class as a table."""
@@ -80,9 +90,12 @@ class RegisterRun:
         )
 
 
-def register_sales(run: RegisterRun, polygons: DataFrame, reproject: bool = True) -> DataFrame:
+def register_sales(
+    run: RegisterRun, polygons: DataFrame, reproject: bool = True, lo: float = h.PRICE_BAND[0], years: tuple[int, int] = h.YEARS
+) -> DataFrame:
     """Register file to the modelling columns of every usable apartment sale."""
-    return h.sale_features(h.merged_sales(run.merged()), polygons, reproject)
+    # Read twice by the join with districts.
+    return h.sale_features(checkpointed(h.merged_sales(run.merged(), lo)), polygons, reproject, years=years)
 
 
 def project_codes(codes: DataFrame) -> DataFrame:
@@ -93,6 +106,6 @@ def project_codes(codes: DataFrame) -> DataFrame:
 def price_by_postcode(sales: DataFrame, geonames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sales (cena_m2, X_2180, Y_2180) with their nearest code, and prices per code."""
     codes = project_codes(h.krakow_postcodes(h.krakow_filter(geonames)))
-    points = sales.withColumns({"x": F.col("X_2180"), "y": F.col("Y_2180")})
+    points = checkpointed(sales.withColumns({"x": F.col("X_2180"), "y": F.col("Y_2180")}))
     coded = nearest_postcode(points, codes).drop("x", "y")
     return coded, h.price_stats(coded)

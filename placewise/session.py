@@ -11,9 +11,11 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 PARTITION_BYTES = 256 * 1024**2
@@ -78,22 +80,91 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    system, path = _file_system(spark, folder)
+    system.delete(path, True)
+
+
+_RUN_TABLES: dict[str, dict[str, str]] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Folder of this run's stage tables; it goes when the run's JVM ends, or with ``drop_stages``."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/placewise/{app}"
+    if app not in _RUN_TABLES:
+        _RUN_TABLES[app] = {}
+        system, path = _file_system(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Drops all stage tables of this run and deletes their files."""
+    folder = run_folder(spark)
+    for name in _RUN_TABLES.pop(spark.sparkContext.applicationId):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove_folder(spark, folder)
+
+
 def reuse_or_build(
     spark: SparkSession,
     name: str,
     build: Callable[[], DataFrame],
     rebuild: bool = False,
     partition_by: Sequence[str] = (),
+    bucket_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Table ``name``: read it if it exists, else build, write and read it."""
+    """Table ``name``: read it if it exists, else build, write and read it.
+
+    Every build has a folder of its own, and the name is given to it only when
+    all files are there: a build that fails leaves the table as it was.  With
+    ``bucket_by`` rows are dealt to as many buckets as a shuffle has partitions
+    and sorted there, so that later joins on those columns move nothing.
+    """
     if rebuild or not spark.catalog.tableExists(name):
-        path = f"{shared_dir(spark)}/placewise/{spark.sparkContext.applicationId}/{name}"
+        folder = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        df = build()
+        if bucket_by:
+            buckets = bucket_count(spark)
+            df = df.repartition(buckets, *bucket_by)
+            writer = df.write.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+        else:
+            writer = df.write
+        fresh = f"{name}_{uuid.uuid4().hex[:8]}"
+        writer = writer.format("parquet").option("path", folder)
+        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(fresh)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        writer = build().write.mode("overwrite").format("parquet").option("path", path)
-        (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+        known = _RUN_TABLES[spark.sparkContext.applicationId]
+        if name in known:
+            remove_folder(spark, known[name])
+        known[name] = folder
     return spark.table(name)
 
 
+def bucket_count(spark: SparkSession) -> int:
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    return int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or usual)
+
+
+def input_manifest(spark: SparkSession, *paths: str) -> str:
+    """Digest of the names, sizes and times of all files below ``paths``; another one once a file is rewritten.
+
+    Spark lists the files; none is opened, and one row reaches the driver.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    mark = F.xxhash64("path", "length", "modificationTime")
+    row = files.agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(20,0)")).alias("s")).first()
+    return hashlib.md5(f"{row['n']}|{row['x']}|{row['s']}".encode()).hexdigest()
+
+
 def stage_prefix(*parts: object) -> str:
     """Table-name prefix that is the same for the same inputs and parameters."""
     text = "|".join(repr(p) for p in parts)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from pathlib import Path
 
@@ -194,3 +195,171 @@ def test_ring_geometry(spark, tmp_path):
     for end in (None, "</gml:featureMember>"):
         rows = register.read_features(spark, str(file), "RCN_Budynek", member_end=end).collect()
         assert {r.gml_id: r.geometry_wkt for r in rows} == want
+
+
+LINE = "<gml:posList>{}</gml:posList>"
+FACE = "<gml:Polygon><gml:exterior><gml:LinearRing>" + LINE.format("0 0 1 0 1 1 0 0") + "</gml:LinearRing></gml:exterior></gml:Polygon>"
+PATCH = FACE.replace("Polygon>", "PolygonPatch>")
+CURVED = FACE.replace("LinearRing>", "Ring>").replace(LINE.format("0 0 1 0 1 1 0 0"), "<gml:curveMember><gml:LineString>" + LINE.format("0 0 1 0 1 1")
+                      + "</gml:LineString></gml:curveMember><gml:curveMember><gml:LineString><gml:pos>1 1</gml:pos><gml:pos>0 0</gml:pos></gml:LineString></gml:curveMember>")
+SEGMENTS = ("<gml:Curve><gml:segments><gml:LineStringSegment><gml:posList srsDimension='3'>0 0 9 1 1 9</gml:posList></gml:LineStringSegment>"
+            "<gml:LineStringSegment><gml:pos>1 1</gml:pos><gml:pos>2 5</gml:pos></gml:LineStringSegment></gml:segments></gml:Curve>")
+SHAPES = {
+    "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((0 0, 1 0, 1 1, 0 0)))": f"<gml:MultiSurface><gml:surfaceMember>{FACE}</gml:surfaceMember><gml:surfaceMember>"
+    f"<gml:Surface><gml:patches>{PATCH}</gml:patches></gml:Surface></gml:surfaceMember></gml:MultiSurface>",
+    "LINESTRING (0 0, 1 1, 2 5)": SEGMENTS,
+    "POLYGON ((0 0, 1 0, 1 1, 0 0))": f"<gml:Surface><gml:patches>{PATCH}</gml:patches></gml:Surface>",
+    "POLYGON ((0 0, 1 0, 1 1, 0 0)) ": CURVED,
+    "MULTIPOINT ((1 2), (3 4))": "<gml:MultiPoint><gml:pointMember><gml:Point><gml:pos>1 2</gml:pos></gml:Point></gml:pointMember>"
+    "<gml:pointMember><gml:Point><gml:pos>3 4 5</gml:pos></gml:Point></gml:pointMember></gml:MultiPoint>",
+    "MULTILINESTRING ((0 0, 1 1), (0 0, 1 1, 2 5))": "<gml:MultiCurve><gml:curveMember><gml:LineString>" + LINE.format("0 0 1 1")
+    + f"</gml:LineString></gml:curveMember><gml:curveMember>{SEGMENTS}</gml:curveMember></gml:MultiCurve>",
+    "POINT (7 8)": "<gml:Point><gml:pos>7 8</gml:pos></gml:Point>",
+    None: "",
+}
+
+
+def test_attributes_and_shapes_come_from_the_data(spark, tmp_path):
+    """Attributes no code names, nested, repeated or with attributes of their own; every kind of shape."""
+    extra = ["<r:nowe>a</r:nowe><r:nowe>b</r:nowe>", "<r:nowe>012.50</r:nowe>", '<r:miara uom="m2">5</r:miara>', "<r:miara>6</r:miara>",
+             "<r:w><r:a>1</r:a><r:b><r:c>x</r:c></r:b></r:w>", '<r:obcy xlink:href="#Z1"/>', '<r:obcy xlink:href="#Z2"/><r:obcy xlink:href="#Z3"/>', ""]
+    rows = "".join(f"<gml:featureMember><r:RCN_Budynek gml:id='B{i}'>{e}<r:polozenie>{shape}</r:polozenie></r:RCN_Budynek></gml:featureMember>"
+                   for i, (e, shape) in enumerate(zip(extra, SHAPES.values(), strict=True)))
+    file = tmp_path / "open.xml"
+    file.write_text(f"<gml:FeatureCollection {NS.replace('rcn', 'r')}>{rows}</gml:FeatureCollection>")
+    for end in (None, "</gml:featureMember>"):
+        table = register.read_features(spark, str(file), "RCN_Budynek", member_end=end)
+        assert {"nowe", "miara", "miara_uom", "w_a", "w_b_c", "obcy", "rodzajBudynku"} < set(table.columns)
+        got = {int(r.gml_id[1:]): r for r in table.collect()}
+        assert [got[i].geometry_wkt for i in range(len(SHAPES))] == [s.strip() if s else None for s in SHAPES]
+        assert [got[i].nowe for i in (0, 1, 2)] == ["a,b", "012.50", None]
+        assert [(got[i].miara, got[i].miara_uom) for i in (2, 3)] == [("5", "m2"), ("6", None)]
+        assert (got[4].w_a, got[4].w_b_c) == ("1", "x")
+        assert [[link["_href"] for link in got[i].obcy or []] for i in (5, 6, 7)] == [["#Z1"], ["#Z2", "#Z3"], []]
+
+
+def test_merge_leaves_layers_in_place_and_spreads_missing_ids(spark):
+    """A third of the bridge without ids passes around the joins; layers in buckets are not moved."""
+    from placewise.operators.housing import register_merge
+
+    n = 3000
+    ids = {c: F.when(F.col("id") % 3 > 0, F.concat(F.lit(c[3]), (F.col("id") % 50).cast("string"))) for c in ("id_dokumentu", "id_adresu", "id_budynku")}
+    bridge = spark.range(n).select(F.concat(F.lit("T"), F.col("id")).alias("id_transakcji"), F.lit("N").alias("id_nieruchomosci"),
+                                   F.concat(F.lit("L"), F.col("id")).alias("id_lokalu"), *[v.alias(c) for c, v in ids.items()])
+    named = {"T": ["cena"], "L": ["pow"], "d": ["dataSporzadzeniaDokumentu"], "b": ["rodzajBudynku"], "a": ["ulica", "numerPorzadkowy"]}
+    layers = {
+        k: reuse_or_build(spark, f"bucketed_{k}", lambda k=k: spark.range(n if k in "TL" else 50).select(
+            F.concat(F.lit(k), F.col("id")).alias("gml_id"), *[F.col("id").cast("string").alias(c) for c in named[k]]), bucket_by=("gml_id",))
+        for k in named
+    }
+    kept = reuse_or_build(spark, "bucketed_bridge", lambda: bridge)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = register_merge(kept, *[layers[k] for k in "TLdba"])
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        rows = {r.id_transakcji: r for r in merged.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(rows) == n
+    for i in (0, 1, 2, 51, 2999):
+        want = None if i % 3 == 0 else str(i % 50)
+        r = rows[f"T{i}"]
+        assert (r.cena, r.pow, r.dataSporzadzeniaDokumentu, r.rodzajBudynku, r.ulica) == (str(i), str(i), want, want, want)
+    # Only the bridge is dealt, once per layer's key.
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert dealt and set(dealt) <= {"id_transakcji", "id_lokalu", "id_dokumentu", "id_adresu", "id_budynku"}
+
+
+def test_a_rewritten_file_has_another_manifest(spark, tmp_path):
+    from placewise.session import input_manifest
+
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    first = input_manifest(spark, str(tmp_path / "t"))
+    assert input_manifest(spark, str(tmp_path / "t")) == first
+    spark.range(6).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert input_manifest(spark, str(tmp_path / "t")) != first
+
+
+def test_failed_builds_leave_the_table_and_dropped_runs_nothing(spark):
+    from placewise.session import drop_stages, run_folder
+
+    assert reuse_or_build(spark, "kept_stage", lambda: spark.range(3)).count() == 3
+
+    def failing():
+        return spark.range(4).select(F.raise_error(F.lit("no")).alias("id"))
+
+    with pytest.raises(Exception, match="no"):
+        reuse_or_build(spark, "kept_stage", failing, rebuild=True)
+    assert spark.table("kept_stage").count() == 3
+    folder = Path(run_folder(spark))
+    assert any(folder.iterdir())
+    reuse_or_build(spark, "kept_stage", lambda: spark.range(5), rebuild=True)
+    assert len([f for f in folder.iterdir() if f.name.startswith("kept_stage-")]) <= 2  # the failed one's files go with the run
+    drop_stages(spark)
+    assert not folder.exists() and not spark.catalog.tableExists("kept_stage")
+
+
+def test_an_ended_run_leaves_no_stage(tmp_path):
+    import subprocess
+    import sys
+
+    code = f"""
+from placewise.session import build_session, reuse_or_build
+spark = build_session("short", "local[1]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": "{tmp_path}/shared", "spark.sql.warehouse.dir": "{tmp_path}/w"}})
+print("rows", reuse_or_build(spark, "short_stage", lambda: spark.range(3)).count())
+import os
+print("files", sum(len(f) for _, _, f in os.walk("{tmp_path}/shared")) > 0)
+"""
+    root = Path(__file__).resolve().parent.parent
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=200, check=True).stdout
+    assert "rows 3" in out and "files True" in out
+    for _ in range(100):
+        if not list((tmp_path / "shared" / "placewise").glob("*")):
+            break
+        time.sleep(0.2)
+    assert not list((tmp_path / "shared" / "placewise").glob("*"))
+
+
+def test_only_changed_months_are_built_again(spark, tmp_path):
+    from placewise.sources.monthly import MonthlyTable
+
+    def rows(*months):
+        data = [(m, i % 7, i * (2 if bonus else 1)) for m, bonus in months for i in range(40)]
+        return spark.createDataFrame(data, "prch_mnth_id int, shop int, amt int")
+
+    def build(part):
+        return part.groupBy("shop", F.col("prch_mnth_id").alias("month")).agg(F.sum("amt").alias("amt"))
+
+    def table(*months):
+        return MonthlyTable(spark, "months_of_test", rows(*months), build).refresh()
+
+    def right(found, *months):
+        assert sorted(map(tuple, found.read().collect())) == sorted(map(tuple, build(rows(*months)).collect()))
+
+    jan, feb, mar, new_feb = (202501, False), (202502, False), (202503, False), (202502, True)
+    first = table(jan, feb)
+    assert first.rebuilt == [202501, 202502]
+    right(first, jan, feb)
+    files = {p: p.stat().st_mtime_ns for p in Path(first.folder, "rows", "month=202501").glob("*.parquet")}
+    assert table(jan, feb).rebuilt == []
+    added = table(jan, feb, mar)
+    assert added.rebuilt == [202503]
+    changed = table(jan, new_feb, mar)
+    assert changed.rebuilt == [202502]
+    right(changed, jan, new_feb, mar)
+    assert {p: p.stat().st_mtime_ns for p in Path(first.folder, "rows", "month=202501").glob("*.parquet")} == files
+    plan = changed.read(202502, 202502)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    gone = table(new_feb, mar)
+    assert gone.rebuilt == []
+    right(gone, new_feb, mar)
+    # Without marks, as after a run that ended in between, all is built again and nothing twice.
+    spark.createDataFrame([], "month int, n long, x long, s string").write.mode("overwrite").parquet(f"{gone.folder}/marks")
+    again = table(new_feb, mar)
+    assert again.rebuilt == [202502, 202503]
+    right(again, new_feb, mar)
+    assert MonthlyTable(spark, "no_months", rows().where("false"), build).refresh().read().count() == 0
