@@ -50,12 +50,16 @@ def select_locations_exact_k2(candidates: DataFrame, budget: float) -> DataFrame
 
     No pair is formed.  Ordered by (cost, code), a later code's partner is the
     best earlier one among those its remaining budget covers, a running best.
+    Of one cost only the two best codes can be in the pair: tasks keep no more
+    before the shuffle, so none gets all codes of a cost.
     """
     items = candidates.select(
         F.col("total_cost").cast("double").alias("cost"),
         "postal_code",
         (F.col("revenue") - F.col("total_cost")).cast("double").alias("profit"),
     ).where(F.col("cost") <= budget)
+    place = F.row_number().over(Window.partitionBy("cost").orderBy(F.desc("profit"), "postal_code"))
+    items = checkpointed(items.withColumn("place", place).where(F.col("place") <= 2).drop("place"))
     offer = F.struct(F.col("profit"), F.col("postal_code"))
     left = F.lit(float(budget)) - F.col("cost")
     offers = items.select(
@@ -284,8 +288,12 @@ def select_locations(
     asked = scenarios.where("k >= 1").select("scenario_id", *GROUP, F.col("budget").cast("double").alias("budget"), "k")
 
     # Codes better than every cheaper one: where the best single fit must be.
+    each_cost = items.groupBy(*GROUP, "cost").agg(
+        F.min_by(F.struct("profit", "postal_code", "revenue"), F.struct(-F.col("profit"), "postal_code")).alias("one")
+    )
     stairs = running_best(
-        items.select(*GROUP, "postal_code", "revenue", "cost", "profit", F.col("profit").alias("offer")), GROUP, "cost", ["postal_code"], "offer", "before"
+        each_cost.select(*GROUP, "one.postal_code", "one.revenue", "cost", "one.profit", F.col("one.profit").alias("offer")),
+        GROUP, "cost", ["postal_code"], "offer", "before",
     ).where(F.col("before").isNull() | (F.col("profit") > F.col("before")))
     single = F.struct("profit", "postal_code", "revenue", "cost")
     singles = _latest(asked, stairs.select(*GROUP, F.col("cost").alias("at"), single.alias("offer")), GROUP)
