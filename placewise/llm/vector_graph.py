@@ -24,78 +24,89 @@ from placewise.operators.common import hot_keys, partitions_of, skew_join
 SHARD_ROWS, QUERY_ROWS = 16_384, 65_536
 #: Bytes of the vectors of one shard, about, counted as doubles.
 SHARD_BYTES = 64 << 20
-#: Edges of a node, nodes held by a search while building and while asking, and the relaxed distance.
-EDGES, BUILD_BEAM, BEAM, ALPHA = 32, 64, 128, 1.2
-#: Nodes that enter, and queries that walk, at once; fewer where vectors are longer than LENGTH.
+#: Edges that pruning leaves to a node, edges it may have before it is pruned, nodes held by a search while building
+#: and while asking, and the relaxed distance.
+EDGES, ROOM, BUILD_BEAM, BEAM, ALPHA = 24, 40, 64, 128, 1.2
+#: Nodes that enter, and queries that walk, at once, fewer where vectors are longer than LENGTH; nodes a walk opens in a step.
 BATCH, LENGTH = 256, 64
-FAR = np.float32(np.inf)
+OPENED = 4
+FAR = np.float32(-np.inf)
 
 
 # -- one graph ----------------------------------------------------------------------
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of rows of ``a`` (m, d) to ``b`` (m, k, d)."""
-    gap = b - a[:, None, :]
-    return np.einsum("mkd,mkd->mk", gap, gap)
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of ``a`` (m, d) with ``b`` (m, k, d); the larger, the nearer, as all points are equally long."""
+    return np.matmul(b, a[:, :, None])[:, :, 0]
 
 
 class Graph:
-    """A directed graph over the rows of ``points``; row ``EDGES`` wide, -1 where a node has fewer edges."""
+    """A directed graph over the rows of ``points``, all equally long; row ``ROOM`` wide, -1 where a node has fewer edges."""
 
     def __init__(self, points: np.ndarray, edges: np.ndarray | None = None, start: int = 0) -> None:
         self.points = points
-        self.edges = np.full((len(points), EDGES), -1, dtype=np.int32) if edges is None else edges
+        self.edges = np.full((len(points), ROOM), -1, dtype=np.int32) if edges is None else edges
         self.start = start
         self.batch = max(8, min(BATCH, BATCH * LENGTH // max(points.shape[1], 1)))
 
     def walk(self, asked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy beam search: (nodes, squared distances), nearest first, ``width`` per asked row; -1 and inf fill up."""
+        """Greedy beam search: (nodes, nearness), nearest first, ``width`` per asked row; -1 and -inf fill up.
+
+        Each step opens the ``OPENED`` nearest nodes not yet opened.
+        """
         m, n = len(asked), len(self.points)
-        every = np.arange(m)
         seen = np.zeros((m, n + 1), dtype=bool)
         nodes = np.full((m, width), -1, dtype=np.int32)
-        dist = np.full((m, width), FAR)
+        near = np.full((m, width), FAR)
         opened = np.zeros((m, width), dtype=bool)
         nodes[:, 0], seen[:, self.start] = self.start, True
-        dist[:, 0] = _apart(asked, np.broadcast_to(self.points[self.start], (m, 1, self.points.shape[1])))[:, 0]
-        active = every
-        while len(active):
-            closed = opened[active] | (nodes[active] < 0)
-            place = closed.argmin(axis=1)
-            active, place = active[~closed.all(axis=1)], place[~closed.all(axis=1)]
+        near[:, 0] = asked @ self.points[self.start]
+        active = np.arange(m)
+        while True:
+            waiting = ~opened[active] & (nodes[active] >= 0)
+            going = waiting.any(axis=1)
+            active, waiting = active[going], waiting[going]
             if not len(active):
-                break
-            opened[active, place] = True
-            found = self.edges[nodes[active, place]]
+                return nodes, near
+            waiting &= np.cumsum(waiting, axis=1) <= OPENED
+            opened[active] |= waiting
+            # The nodes to open, -1 where a row has fewer of them.
+            at = np.full((len(active), OPENED), -1, dtype=np.int32)
+            row, place = np.nonzero(waiting)
+            at[row, np.cumsum(waiting, axis=1)[row, place] - 1] = nodes[active[row], place]
+            found = np.where(at[:, :, None] >= 0, self.edges[at], -1).reshape(len(active), -1)
+            if OPENED > 1:  # one node may be a neighbour of several
+                found = np.sort(found, axis=1)
+                found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
             fresh = (found >= 0) & ~seen[active[:, None], found]
-            # Repeats within a row do not occur: a node has an edge to another once.
             seen[active[:, None], np.where(fresh, found, n)] = True
-            gap = np.where(fresh, _apart(asked[active], self.points[found]), FAR)
-            better = gap.min(axis=1) < dist[active, -1]
-            rows, found, gap = active[better], found[better], gap[better]
+            gain = np.where(fresh, _near(asked[active], self.points[found]), FAR)
+            some = gain.max(axis=1) > near[active, -1]
+            rows, found, gain = active[some], found[some], gain[some]
             if len(rows):
-                merged = np.concatenate([dist[rows], gap], axis=1)
-                order = np.argsort(merged, axis=1, kind="stable")[:, :width]
-                dist[rows] = np.take_along_axis(merged, order, axis=1)
+                merged = np.concatenate([near[rows], gain], axis=1)
+                best = np.argpartition(-merged, width - 1, axis=1)[:, :width]
+                order = np.take_along_axis(best, np.argsort(-np.take_along_axis(merged, best, axis=1), axis=1), axis=1)
+                near[rows] = np.take_along_axis(merged, order, axis=1)
                 nodes[rows] = np.take_along_axis(np.concatenate([nodes[rows], found], axis=1), order, axis=1)
                 opened[rows] = np.take_along_axis(np.concatenate([opened[rows], np.zeros_like(found, dtype=bool)], axis=1), order, axis=1)
-                nodes[rows] = np.where(np.isinf(dist[rows]), -1, nodes[rows])
-        return nodes, dist
+                nodes[rows] = np.where(np.isinf(near[rows]), -1, nodes[rows])
 
     def pruned(self, nodes: np.ndarray, near: np.ndarray) -> np.ndarray:
         """Kept edges of ``nodes`` (m) out of the candidates ``near`` (m, k; -1: none)."""
         near = np.where(near == nodes[:, None], -1, near)
         near = np.sort(near, axis=1)
-        near[:, 1:] = np.where(near[:, 1:] == near[:, :-1], -1, near[:, 1:])
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        own = self.points[nodes]
+        square = np.einsum("md,md->m", own, own)[:, None]
         points = self.points[near]
-        dist = np.where(near >= 0, _apart(self.points[nodes], points), FAR)
-        order = np.argsort(dist, axis=1, kind="stable")
+        dist = np.where(near >= 0, np.maximum(2 * (square - _near(own, points)), 0), -FAR)
+        order = np.argsort(dist, axis=1)
         near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
         points = np.take_along_axis(points, order[:, :, None], axis=1)
-        norms = np.einsum("mkd,mkd->mk", points, points)
-        between = norms[:, :, None] + norms[:, None, :] - 2 * np.matmul(points, points.transpose(0, 2, 1))
-        kept = np.full((len(nodes), EDGES), -1, dtype=np.int32)
+        between = 2 * (square[:, :, None] - np.matmul(points, points.transpose(0, 2, 1)))
+        kept = np.full((len(nodes), ROOM), -1, dtype=np.int32)
         left, every = np.isfinite(dist), np.arange(len(nodes))
         for slot in range(EDGES):
             pick = left.argmax(axis=1)
@@ -112,7 +123,7 @@ class Graph:
         """Gives new ``nodes`` their edges, and those they point to an edge back."""
         near, _ = self.walk(self.points[nodes], BUILD_BEAM)
         self.edges[nodes] = kept = self.pruned(nodes, near)
-        source, target = np.repeat(nodes, EDGES), kept.reshape(-1)
+        source, target = np.repeat(nodes, ROOM), kept.reshape(-1)
         source, target = source[target >= 0], target[target >= 0]
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
@@ -121,14 +132,13 @@ class Graph:
         for turn in range(0, int(counts.max(initial=0)), EDGES):
             some = counts > turn
             to, at, size = ends[some], first[some] + turn, np.minimum(counts[some] - turn, EDGES)
-            spots = at[:, None] + np.arange(EDGES)
-            inside = np.arange(EDGES) < size[:, None]
+            spots = at[:, None] + np.arange(int(size.max()))
+            inside = np.arange(int(size.max())) < size[:, None]
             back = np.where(inside, source[np.minimum(spots, len(source) - 1)], -1).astype(np.int32)
-            both = np.concatenate([self.edges[to], back], axis=1)
-            full = (both >= 0).sum(axis=1) > EDGES
-            roomy = np.sort(both[~full], axis=1)[:, ::-1]
-            roomy[:, 1:] = np.where(roomy[:, 1:] == roomy[:, :-1], -1, roomy[:, 1:])
-            self.edges[to[~full]] = np.sort(roomy, axis=1)[:, ::-1][:, :EDGES]
+            both = -np.sort(-np.concatenate([self.edges[to], back], axis=1), axis=1)
+            both[:, 1:][both[:, 1:] == both[:, :-1]] = -1
+            full = (both >= 0).sum(axis=1) > ROOM
+            self.edges[to[~full]] = -np.sort(-both[~full], axis=1)[:, :ROOM]
             for low in range(0, int(full.sum()), self.batch):
                 part = to[full][low : low + self.batch]
                 self.edges[part] = self.pruned(part, both[full][low : low + self.batch])
@@ -143,7 +153,7 @@ def levelled(vectors: np.ndarray) -> np.ndarray:
 def build(vectors: np.ndarray) -> Graph:
     """The graph of one shard: nodes in random order, batches doubling up to a fixed size."""
     points = levelled(vectors.astype(np.float64))
-    middle = _apart(points.mean(axis=0, keepdims=True, dtype=np.float64).astype(np.float32), points[None])[0].argmin()
+    middle = (points @ points.mean(axis=0, dtype=np.float64).astype(np.float32)).argmax()
     graph = Graph(points, start=int(middle))
     order = np.random.default_rng(0).permutation(len(points))
     order = np.concatenate([[middle], order[order != middle]])
@@ -192,7 +202,7 @@ def _ask_shard(k: int, width: int):
             vectors = np.frombuffer(shard["vectors"], dtype=np.float64).reshape(-1, dim)
             ids, counts = (np.frombuffer(shard[c], dtype=np.int64) for c in ("ids", "counts"))
             ends = np.cumsum(counts)
-            edges = np.frombuffer(shard["edges"], dtype=np.int32).reshape(len(vectors), EDGES)
+            edges = np.frombuffer(shard["edges"], dtype=np.int32).reshape(len(vectors), ROOM)
             graph = Graph(levelled(vectors), edges, int(shard["start"]))
             for low in range(0, len(asked), graph.batch):
                 part = asked.iloc[low : low + graph.batch]
