@@ -133,10 +133,12 @@ def lookup_by_group(df: DataFrame, keys: Sequence[str], agg: Column, name: str)
     """One aggregate per group, put back on every row of the group.
 
     Aggregate plus join, not a window: the aggregate combines before its
-    shuffle, and the join spreads a hot group.
+    shuffle and counts the rows too, so the join spreads only groups that are hot
+    and repeats only their lookup rows.
     """
     known = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    return skew_join(df, known.groupBy(*keys).agg(agg.alias(name)), keys, "left")
+    found = known.groupBy(*keys).agg(agg.alias(name), F.count("*").alias("_rows"))
+    return skew_join(df, found.drop("_rows"), keys, "left", hot=hot_keys(found, keys, "_rows"))
 
 
 def semi_join_codes(df: DataFrame, codes: DataFrame, key: str = "postal_code") -> DataFrame:

@@ -85,7 +85,13 @@ _UNIT = ["met", "unit", "ux", "uy"]
 
 def _units(points: DataFrame, codes: DataFrame, cell_m: float | None, levels: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, float]:
     """Points with their cells, points per cell, the unit of each cell, the codes each unit considers, and the cell size."""
-    size = float(cell_m or grid_size(codes))
+    targets = checkpointed(
+        codes.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+        .groupBy(F.col("x").alias("tx"), F.col("y").alias("ty"))
+        .agg(F.min(F.struct("postal_code", F.col("point_wkt").alias("postal_code_point_wkt"))).alias("code"))
+    )
+    places = targets.select(F.col("tx").alias("x"), F.col("ty").alias("y"))
+    size = float(cell_m or grid_size(places))
 
     def cell(value: Column, level: Column) -> Column:
         return F.floor(value / (F.lit(size) * F.pow(F.lit(2.0), level)))
@@ -94,16 +100,11 @@ def _units(points: DataFrame, codes: DataFrame, cell_m: float | None, levels: in
         mid = cell(F.col(value), F.col("level"))
         return F.explode(F.sequence(mid - 1, mid + 1))
 
-    targets = checkpointed(
-        codes.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(F.col("x").alias("tx"), F.col("y").alias("ty"))
-        .agg(F.min(F.struct("postal_code", F.col("point_wkt").alias("postal_code_point_wkt"))).alias("code"))
-    )
     at = {"c0x": cell(F.col("x"), F.lit(0)), "c0y": cell(F.col("y"), F.lit(0))}
     placed = points.withColumns(at)
     known = placed.where(F.col("c0x").isNotNull() & F.col("c0y").isNotNull())
     counts = checkpointed(known.groupBy("c0x", "c0y").agg(F.count("*").alias("n")))
-    levels = levels or _levels(counts, targets.select(F.col("tx").alias("x"), F.col("ty").alias("y")), size)
+    levels = levels or _levels(counts, places, size)
 
     def leveled(lowest: int) -> DataFrame:
         every = targets.withColumn("level", F.explode(F.sequence(F.lit(lowest), F.lit(levels + 2))))
