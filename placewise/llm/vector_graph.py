@@ -22,6 +22,8 @@ from placewise.operators.common import hot_keys, partitions_of, skew_join
 
 #: Distinct vectors of one shard, about, and query vectors that meet a shard in one task.
 SHARD_ROWS, QUERY_ROWS = 16_384, 65_536
+#: Queries for which a further copy of a graph is worth its shuffle, where cores would be idle without.
+WORTH_A_COPY = 1024
 #: Bytes of the vectors of one shard, about, counted as doubles.
 SHARD_BYTES = 64 << 20
 #: Edges that pruning leaves to a node, edges it may have before it is pruned, nodes held by a search while building
@@ -264,9 +266,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, vec_id: str = "vec_id
     queries = written(rows.where("asks").select(F.col("id").alias("query_id"), "k1", "k2").distinct(), "queries")
     copies = queries.groupBy("k1", "k2").agg(F.count("*").alias("n"))
     asked = every.join(copies.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "dim", "vec")
-    # Equal vectors are asked for once.  Blocks bound what a task gets, and keep all cores busy.
-    spark = vectors.sparkSession
-    blocks = max(1, -(-copies.count() // QUERY_ROWS), -(-partitions_of(spark) // shards))
+    # Equal vectors are asked for once.  Blocks bound what a task gets; few queries make few blocks, as each gets the graph.
+    n, cores = copies.count(), partitions_of(vectors.sparkSession)
+    blocks = max(1, -(-n // QUERY_ROWS), min(-(-cores // shards), -(-n // WORTH_A_COPY)))
     blocked = asked.withColumn("block", F.pmod("k2", F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     served = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     met = served.groupBy("dim", "shard", "block").cogroup(blocked.groupBy("dim", "shard", "block"))
