@@ -2,16 +2,19 @@
 
 Documents are tokenised once and cut into pieces of at most ``CAPACITY`` ids.
 Pieces are dealt by hash into chunks of about ``CHUNK`` rows; each chunk packs
-its narrow rows (no ids) on its own and keeps only its loosest bins open.  The
+its narrow rows (no ids) on its own and keeps only its loosest bins open.  Next
+fit is the start; pieces then move between underfull bins, or are exchanged one
+for one, two for one and one for two, so that squared fill rises and bins empty.  The
 open bins of ``MERGE`` chunks meet in the next level, until one chunk is left.
-So little room is lost between chunks.  What goes on is bounded in bins, not in
-rows: where pieces are tiny, a task of a higher level may get up to ``MERGE`` x
-``OPEN_BINS`` x ``CAPACITY`` rows.
+So little room is lost between chunks.  What goes on is bounded in bins and in
+pieces: a task of a higher level gets at most ``MERGE`` x (``OPEN_PIECES`` +
+``CAPACITY``) rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,9 +28,10 @@ from placewise.llm.tokens import encoder
 CAPACITY = 2048
 CHUNK = 32_768
 OPEN_BINS = 256
+OPEN_PIECES = 8192
 MERGE = 64
-#: The search ends when so many sources in a row could not be emptied.
-PATIENCE = 64
+#: Of the longest pieces of a bin so many may move or give way two at a time.
+PAIRED = 8
 END_ID = 0
 
 
@@ -41,13 +45,28 @@ class Bins:
         self.capacity = capacity
         self.items: list[list[tuple[int, int]]] = []  # (length, item)
         self.fill: list[int] = []
+        self.moves = 0
+
+    def put(self, bin_: int, entries: Iterable[tuple[int, int]]) -> None:
+        """Adds entries to a bin, opening bins up to it."""
+        while len(self.items) <= bin_:
+            self.items.append([])
+            self.fill.append(0)
+        for entry in entries:
+            self.items[bin_].append(entry)
+            self.fill[bin_] += entry[0]
+
+    def next_fit(self, entries: Iterable[tuple[int, int]]) -> None:
+        """As they come: each into the last bin, or into a new one if it does not fit."""
+        for entry in entries:
+            last = len(self.items) - 1
+            self.put(last if last >= 0 and self.fill[last] + entry[0] <= self.capacity else last + 1, [entry])
 
-    def best_fit(self, sizes: list[int]) -> None:
+    def best_fit(self, entries: Iterable[tuple[int, int]]) -> None:
         """Longest first, each into the bin it leaves least room in."""
         rooms: list[list[int]] = [[] for _ in range(self.capacity + 1)]
         seen = 0  # bit r is set if some bin has room r
-        for item in sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True):
-            size = sizes[item]
+        for size, item in sorted(entries, key=lambda e: -e[0]):
             fitting = seen >> size
             if fitting:
                 room = size + (fitting & -fitting).bit_length() - 1
@@ -56,106 +75,130 @@ class Bins:
                     seen &= ~(1 << room)
             else:
                 room, bin_ = self.capacity, len(self.items)
-                self.items.append([])
-                self.fill.append(0)
-            self.items[bin_].append((size, item))
-            self.fill[bin_] += size
+            self.put(bin_, [(size, item)])
             room -= size
             if room:
                 rooms[room].append(bin_)
                 seen |= 1 << room
 
-    # Index of what the underfull bins can take: an item of length b in a bin with
-    # room r gives way to anything of up to b + r; an empty place has b = 0.
-    def _enter(self, bin_: int) -> None:
+    # Index of what the underfull bins can take: n pieces of b ids together in a bin with
+    # room r give way to anything of up to b + r; an empty place has b = 0.  Places are
+    # held by b + r, then by (b, n), so bins alike cost one look.
+    def _places(self, bin_: int) -> list[tuple[int, tuple[int, int], tuple[int, ...]]]:
         room = self.capacity - self.fill[bin_]
-        if room:
-            for size in {0, *[s for s, _ in self.items[bin_]]}:
-                self.reach.setdefault(size + room, {})[(bin_, size)] = None
-                self.reaches |= 1 << size + room
+        if not room:
+            return []
+        sizes = sorted((s for s, _ in self.items[bin_]), reverse=True)
+        backs: list[tuple[int, ...]] = [(), *[(s,) for s in dict.fromkeys(sizes)]]
+        backs += dict.fromkeys(combinations(sizes[:PAIRED], 2))
+        return [(sum(back) + room, (sum(back), len(back)), back) for back in backs]
+
+    def _enter(self, bin_: int) -> None:
+        for size, kind, back in self._places(bin_):
+            self.reach.setdefault(size, {}).setdefault(kind, {})[(bin_, back)] = None
+            self.reaches |= 1 << size
 
     def _leave(self, bin_: int) -> None:
-        room = self.capacity - self.fill[bin_]
-        for size in {0, *[s for s, _ in self.items[bin_]]}:
-            group = self.reach.get(size + room)
-            if group is not None and group.pop((bin_, size), 0) is None and not group:
-                del self.reach[size + room]
-                self.reaches &= ~(1 << size + room)
-
-    def _target(self, length: int, source: int) -> tuple[int, int] | None:
-        """The place where ``length`` leaves least room and squared fill grows: (bin, length given back)."""
-        ahead = self.reaches >> length
+        for size, kind, back in self._places(bin_):
+            kinds = self.reach[size]
+            del kinds[kind][(bin_, back)]
+            if not kinds[kind]:
+                del kinds[kind]
+                if not kinds:
+                    del self.reach[size]
+                    self.reaches &= ~(1 << size)
+
+    def _target(self, length: int, source: int, most: int) -> tuple[int, tuple[int, ...]] | None:
+        """The place where ``length`` leaves least room and squared fill grows: bin, and at most so many lengths given back."""
+        # The taker ends with ``step`` of room, less than the source has now.
+        ahead = (self.reaches >> length) & ((1 << self.capacity - self.fill[source]) - 1)
         while ahead:
             step = (ahead & -ahead).bit_length() - 1
-            if step > self.widest:
-                return None
-            for bin_, back in self.reach[length + step]:
-                if bin_ != source and back < length and self.fill[bin_] + length - back > self.fill[source]:
-                    return bin_, back
+            for (given, n), places in self.reach[length + step].items():
+                if given < length and n <= most:
+                    found = next((place for place in places if place[0] != source), None)
+                    if found:
+                        return found
             ahead &= ahead - 1
         return None
 
-    def _swap(self, source: int, out: list[tuple[int, int]], bin_: int, back: int) -> None:
-        for b in (source, bin_):
-            self._leave(b)
-        for entry in out:
-            self.items[source].remove(entry)
-            self.items[bin_].append(entry)
-        moved = sum(s for s, _ in out)
-        if back:
-            entry = next(e for e in self.items[bin_] if e[0] == back and e not in out)
-            self.items[bin_].remove(entry)
-            self.items[source].append(entry)
-        self.fill[bin_] += moved - back
-        self.fill[source] -= moved - back
-        for b in (source, bin_):
-            self._enter(b)
+    def _swap(self, source: int, out: tuple[int, ...], bin_: int, back: tuple[int, ...]) -> None:
+        self._leave(source)
+        self._leave(bin_)
+        for giver, taker, lengths in ((source, bin_, out), (bin_, source, back)):
+            for size in lengths:
+                entry = next(e for e in self.items[giver] if e[0] == size)
+                self.items[giver].remove(entry)
+                self.fill[giver] -= size
+                self.put(taker, [entry])
+        self._enter(source)
+        self._enter(bin_)
+        self.moves += 1
 
     def _one_move(self, source: int) -> bool:
-        held = sorted(self.items[source], reverse=True)
-        # Move or exchange one for one.
-        for entry in held:
-            found = self._target(entry[0], source)
+        sizes = sorted((s for s, _ in self.items[source]), reverse=True)
+        # Move one, or exchange it for one or two.
+        for size in dict.fromkeys(sizes):
+            found = self._target(size, source, 2)
             if found:
-                self._swap(source, [entry], *found)
+                self._swap(source, (size,), *found)
+                return True
+        # Move two, or exchange them for one.
+        for two in dict.fromkeys(combinations(sizes[:PAIRED], 2)):
+            found = self._target(sum(two), source, 1)
+            if found:
+                self._swap(source, two, *found)
                 return True
-        # Two for one.
-        for i, first in enumerate(held):
-            for second in held[i + 1 :]:
-                found = self._target(first[0] + second[0], source) if first[0] + second[0] <= self.capacity else None
-                if found:
-                    self._swap(source, [first, second], *found)
-                    return True
         return False
 
-    def search(self) -> None:
-        """Takes from the emptiest bins as long as bins are emptied.
+    def _climb(self, least: int) -> None:
+        """Takes from the emptiest bins until no move is left or ``least`` bins are.
 
         A move puts more into a bin that ends fuller than its source was, so
-        squared fill rises with each and the search ends.  It also ends when no
-        packing can have fewer bins.
+        squared fill rises with each and the climb ends.
         """
-        least = fewest_bins([s for held in self.items for s, _ in held], self.capacity)
         while True:
             live = [b for b in range(len(self.items)) if self.items[b]]
-            if len(live) <= least:
-                return
-            self.reach: dict[int, dict[tuple[int, int], None]] = {}
+            used, before = len(live), self.moves
+            self.reach: dict[int, dict[tuple[int, int], dict[tuple[int, tuple[int, ...]], None]]] = {}
             self.reaches = 0  # bit v is set if ``reach`` has v
-            self.widest = self.capacity - min(self.fill[b] for b in live)
             for b in live:
                 self._enter(b)
-            emptied = failed = 0
             for source in sorted(live, key=self.fill.__getitem__):
-                if self.fill[source] == self.capacity or len(live) - emptied <= least or failed == PATIENCE:
-                    break
-                while self.items[source] and self._one_move(source):
+                if used <= least:
+                    return
+                while self.items[source] and self.fill[source] < self.capacity and self._one_move(source):
                     pass
-                emptied += not self.items[source]
-                failed = failed + 1 if self.items[source] else 0
-            if not emptied:
+                used -= not self.items[source]
+            if self.moves == before:
                 return
 
+    def search(self, anew: bool = True) -> None:
+        """Climbs; where more bins are left than any packing needs, best fit deals the loosest anew, and the climb goes on.
+
+        The loosest 64 bins are dealt anew, then twice as many, up to all.  What
+        is dealt anew is taken only if it fills fewer bins.
+        """
+        least = fewest_bins([s for held in self.items for s, _ in held], self.capacity)
+        self._climb(least)
+        some = 64
+        while True:
+            live = sorted((b for b in range(len(self.items)) if self.items[b]), key=self.fill.__getitem__)
+            if len(live) <= least or not anew:
+                return
+            loose, fresh = live[:some], Bins(self.capacity)
+            fresh.best_fit([entry for b in loose for entry in self.items[b]])
+            if len(fresh.items) < len(loose):
+                for b in loose:
+                    self.items[b], self.fill[b] = [], 0
+                for b, held in zip(loose, fresh.items, strict=False):
+                    self.put(b, held)
+                self._climb(least)
+            elif some >= len(live):
+                return
+            else:
+                some *= 2
+
 
 def fewest_bins(sizes: list[int], capacity: int) -> int:
     """No packing has fewer bins: items over half a bin never share one, nor do they with what does not fit beside them."""
@@ -172,23 +215,20 @@ def fewest_bins(sizes: list[int], capacity: int) -> int:
 
 
 def pack_lengths(
-    sizes: list[int], capacity: int = CAPACITY, held: np.ndarray | None = None
+    sizes: list[int], capacity: int = CAPACITY, held: np.ndarray | None = None, anew: bool = True
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin, offset in it and fill of it for every length; gapless, bins numbered from 0.
 
-    ``held`` numbers the bins of a packing that exists; it is the start of the
-    search where a fresh one would not be better.
+    The search starts from the packing whose bins ``held`` numbers, or from next
+    fit in the order given.  ``anew``: bins that the search can't empty may be dealt anew.
     """
     bins = Bins(capacity)
-    bins.best_fit(sizes)
-    if held is not None and len(bins.items) >= int(held.max()) + 1:
-        bins = Bins(capacity)
-        bins.items = [[] for _ in range(int(held.max()) + 1)]
-        bins.fill = [0] * len(bins.items)
+    if held is None:
+        bins.next_fit((size, item) for item, size in enumerate(sizes))
+    else:
         for item, (size, b) in enumerate(zip(sizes, held.tolist(), strict=True)):
-            bins.items[b].append((size, item))
-            bins.fill[b] += size
-    bins.search()
+            bins.put(b, [(size, item)])
+    bins.search(anew)
     which, offset, fill = (np.zeros(len(sizes), dtype=np.int64) for _ in range(3))
     for number, b in enumerate(b for b in range(len(bins.items)) if bins.items[b]):
         at = 0
@@ -249,12 +289,15 @@ def place(narrow: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK) -> Da
 
     def packed(level: int, last: bool):
         def pack_chunk(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "piece_id"], ascending=False, ignore_index=True)
+            # A random order that a retry finds again: pieces may come sorted by length.
+            mixed = rows["piece_id"].to_numpy(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            rows = rows.iloc[np.argsort(mixed, kind="stable")].reset_index(drop=True)
             held = rows["_held"].rank(method="dense").to_numpy(dtype=np.int64) - 1 if level else None
-            which, offset, fill = pack_lengths(rows["length"].tolist(), capacity, held)
-            # Only so many of the loosest bins go on; the others stay as they are.
-            by_bin = pd.Series(fill).groupby(which).first().sort_values(kind="stable")
-            loose = by_bin.index[:OPEN_BINS] if not last else by_bin.index[:0]
+            which, offset, fill = pack_lengths(rows["length"].tolist(), capacity, held, last)
+            # Only so many of the loosest bins go on, and no full ones; the others stay as they are.
+            by_bin = pd.DataFrame({"fill": fill, "bin": which}).groupby("bin")["fill"].agg(["first", "size"])
+            by_bin = by_bin[by_bin["first"] < capacity].sort_values("first", kind="stable").iloc[: 0 if last else OPEN_BINS]
+            loose = by_bin.index[by_bin["size"].cumsum() - by_bin["size"] < OPEN_PIECES]
             number = int(rows["_chunk"].iloc[0])
             sequence = (level << 58) + (number << 24) + which
             return rows.assign(_held=sequence, sequence_id=sequence, offset=offset, _open=np.isin(which, loose))
