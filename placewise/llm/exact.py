@@ -1,10 +1,11 @@
 """Exact deduplication by progressive refinement, in column functions alone.
 
-Rows are told apart by length, then by a hash of a short prefix, then by the
-full hash, which is taken only of rows whose length and prefix others share.
-What survives a level is marked in a table of slots; it has at most ``SLOTS``
-rows whatever the input, so it may be broadcast and texts need no shuffle.  Two
-keys in one slot only cost a full hash more: the last level decides.
+Rows are told apart by length; those whose length others share by a hash of a
+short prefix; those that share that too by the full hash.  What survives a level
+is marked in a table of bits, sixty-four to a row; it has at most ``WORDS`` rows
+whatever the input, so it may be broadcast and texts need no shuffle.  Two keys
+in one bit only cost a hash more: the last level decides.  Beyond some tens of
+millions of groups the bits fill up and more rows than needed are hashed.
 """
 
 from __future__ import annotations
@@ -16,38 +17,49 @@ from placewise.llm.common import boxed, lower_ascii, written
 from placewise.operators.common import hot_keys, skew_join
 
 PREFIX_CHARS = 64
-#: A slot is eight bytes; the broadcast has at most so many.
-SLOTS = 1 << 20
+#: A row of the bit table is two longs; the broadcast has at most so many rows.
+WORDS = 1 << 20
+BITS = 64
 
 
-def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(WORDS * BITS))
 
 
-def _signature(text: Column) -> tuple[Column, Column]:
-    """Length in bytes, and hash of the normalised prefix."""
-    return F.octet_length(text), F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX_CHARS)))
+def _marks(keys: DataFrame, name: str) -> DataFrame:
+    """The bit table of a column ``key``."""
+    placed = keys.select(_slot(F.col("key")).alias("slot"))
+    bits = placed.select(
+        F.expr(f"slot DIV {BITS}").alias("_word"), F.expr(f"shiftleft(1L, CAST(slot % {BITS} AS int))").alias("bit")
+    )
+    return written(bits.groupBy("_word").agg(F.bit_or("bit").alias("_bits")), name)
 
 
-def surviving_slots(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Slots of the (length, prefix hash) pairs that more than one row has."""
-    length, prefix = _signature(F.coalesce(F.col(text), F.lit("")))
-    # Short rows, a twentieth of a percent of the texts' bytes; both levels count from them.
-    signed = written(docs.select(length.alias("length"), prefix.alias("prefix")).groupBy("length", "prefix").count(), "signed")
-    lengths = signed.groupBy("length").agg(F.sum("count").alias("n")).where("n > 1")
-    by_length = lengths.select(_slot(F.col("length")).alias("slot")).distinct()
-    shared = signed.withColumn("slot", _slot(F.col("length"))).join(F.broadcast(by_length), "slot", "left_semi")
-    pairs = shared.where("count > 1").select(_slot(F.col("length"), F.col("prefix")).alias("slot")).distinct()
-    return written(pairs, "slots")
+def _survivors(rows: DataFrame, marks: DataFrame, key: Column, name: str) -> DataFrame:
+    """``rows`` with a boolean: whether the bit of ``key`` is set.  A null key has none."""
+    keyed = rows.withColumn("_at", _slot(key))
+    joined = keyed.join(F.broadcast(marks), F.expr(f"_at DIV {BITS}") == F.col("_word"), "left")
+    found = F.expr(f"(shiftright(_bits, CAST(_at % {BITS} AS int)) & 1) = 1")
+    return joined.withColumn(name, F.coalesce(found, F.lit(False))).drop("_at", "_word", "_bits")
 
 
 def refined(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_hash``: the full hash of rows that survive, null for rows known to be alone."""
-    length, prefix = _signature(F.coalesce(F.col(text), F.lit("")))
-    slots = surviving_slots(docs, text).select(F.col("slot").alias("_slot"))
-    marked = docs.join(F.broadcast(slots), _slot(length, prefix) == F.col("_slot"), "left")
-    full = F.sha2(lower_ascii(F.coalesce(F.col(text), F.lit(""))), 256)
-    return marked.withColumn("_hash", F.when(F.col("_slot").isNotNull(), full)).drop("_slot")
+    """``docs`` with ``_prefix`` and ``_hash``.
+
+    ``_prefix`` is the prefix hash of rows whose length others share, ``_hash``
+    the full hash of those that share length and prefix; both are null for rows
+    known to be alone before.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    length = F.octet_length(value)
+    lengths = docs.groupBy(length.alias("length")).count().where("count > 1").select(F.xxhash64("length").alias("key"))
+    by_length = _survivors(docs, _marks(lengths, "lengths"), F.xxhash64(length), "_shared")
+    prefix = F.when(F.col("_shared"), F.xxhash64(length, lower_ascii(F.substring(value, 1, PREFIX_CHARS))))
+    prefixed = by_length.withColumn("_prefix", prefix).drop("_shared")
+    # Short rows of survivors, counted before they are shuffled.
+    prefixes = prefixed.where("_prefix IS NOT NULL").groupBy(F.col("_prefix").alias("key")).count().where("count > 1")
+    marked = _survivors(prefixed, _marks(prefixes, "prefixes"), F.col("_prefix"), "_shared")
+    return marked.withColumn("_hash", F.when(F.col("_shared"), F.sha2(lower_ascii(value), 256))).drop("_shared")
 
 
 def duplicate_groups(docs: DataFrame, **carried: Column) -> DataFrame:
@@ -59,7 +71,7 @@ def duplicate_groups(docs: DataFrame, **carried: Column) -> DataFrame:
     """
     rows = docs.select("doc_id", "text", *[c.alias(n) for n, c in carried.items()])
     narrow = written(
-        refined(rows).drop("text").withColumn("_rid", F.monotonically_increasing_id()), "refined"
+        refined(rows).drop("text", "_prefix").withColumn("_rid", F.monotonically_increasing_id()), "refined"
     )
     groups = written(
         narrow.where("_hash IS NOT NULL")
@@ -93,7 +105,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Rows known to be alone pass without a shuffle.  Of a group, every task
     passes on its best row only.  An empty table gives an empty one.
     """
-    rows = refined(boxed(docs, text=F.col("text"), doc_id=F.col("doc_id"))).drop("text")
+    rows = refined(boxed(docs, text=F.col("text"), doc_id=F.col("doc_id"))).drop("text", "_prefix")
     alone = rows.where("_hash IS NULL").select("_row")
     # A struct is never null, so rows with a null doc_id count too.
     best = F.max_by("_row", F.struct("doc_id")).alias("_row")

@@ -139,12 +139,50 @@ def test_packing_in_many_chunks(spark):
 def test_local_search_empties_bins():
     sizes = np.random.default_rng(0).integers(300, 1100, 3000).tolist()
     plain = packing.Bins(2048)
-    plain.best_fit(sizes)
+    plain.best_fit((s, i) for i, s in enumerate(sizes))
     which, offset, fill = packing.pack_lengths(sizes)
     assert which.max() + 1 < len(plain.items)
     assert np.bincount(which, weights=sizes).max() <= 2048
 
 
+@needs_tokenizers
+@pytest.mark.parametrize(("size", "above"), [("0.001", 1), ("0.01", 0)])
+def test_swaps_alone_pack_the_given_tables(spark, size, above):
+    tool = Encoder(tokenizer_path("word_bpe_49k.json"), False)
+    texts = [r["text"] for r in spark.read.parquet(f"/root/testdata/sf{size}/documents.parquet").select("text").collect()]
+    sizes = [n for n in ((len(tool.ids(t)) // 4 + 1) % 2048 for t in texts) if n]
+    bins = packing.Bins(2048)
+    bins.next_fit((s, i) for i, s in enumerate(sizes))
+    start, least = len(bins.items), packing.fewest_bins(sizes, 2048)
+    bins._climb(least)
+    used = [f for f in bins.fill if f]
+    assert bins.moves > 0 and len(used) < 0.9 * start and len(used) <= least + above
+    assert sorted(e[1] for held in bins.items for e in held) == list(range(len(sizes))) and max(used) <= 2048
+
+
+def test_packing_of_small_cases():
+    rng = np.random.default_rng(1)
+    for case in range(100):
+        n, capacity = int(rng.integers(1, 60)), int(rng.integers(8, 40))
+        sizes = rng.integers(1, capacity, n).tolist()
+        which, offset, fill = packing.pack_lengths(sizes, capacity, None if case % 2 else rng.permutation(n))
+        for b in range(which.max() + 1):
+            held = np.flatnonzero(which == b)
+            held = held[np.argsort(offset[held])]
+            assert offset[held].tolist() == np.cumsum([0, *[sizes[k] for k in held]])[:-1].tolist()
+            assert set(fill[held].tolist()) == {sum(sizes[k] for k in held)} and fill[held[0]] <= capacity
+    # Pieces all alike: nothing can be gained, and the search ends at once.
+    assert packing.pack_lengths([683] * 8000)[0].max() + 1 == 4000
+
+
+def test_tiny_pieces_go_on_in_bounded_numbers(spark, monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_PIECES", 100)
+    rows = spark.range(3000).select(F.col("id").alias("piece_id"), F.lit(1).cast("long").alias("length"))
+    packed = packing.place(rows, capacity=64, chunk=500).collect()
+    assert sorted(r["piece_id"] for r in packed) == list(range(3000))
+    assert check_bins(packed, 64) <= 55
+
+
 def simhash_slowly(text, k):
     found = (text or "").encode().lower().split()
     if not found:
@@ -213,10 +251,23 @@ def test_exact_dedup_keeps_one_of_each(spark, docs):
 
 def test_exact_dedup_when_all_slots_collide(spark, docs, monkeypatch):
     wanted = rows_of(exact.duplicate_groups(docs))
-    monkeypatch.setattr(exact, "SLOTS", 1)
+    monkeypatch.setattr(exact, "WORDS", 1)
+    monkeypatch.setattr(exact, "BITS", 1)
     assert rows_of(exact.duplicate_groups(docs)) == wanted
 
 
+def test_hashes_are_taken_of_survivors_only(spark):
+    start = "the same start of sixty-four characters, and then some more of it "
+    texts = ["a" * n for n in range(200, 230)]  # no length is shared
+    texts += [c * 150 for c in "bcdefghij"]  # one length, no prefix is shared
+    texts += [start + "x", start + "y", (start + "x").upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = exact.refined(docs).collect()
+    assert len(found) == len(texts)
+    assert {r["doc_id"] for r in found if r["_prefix"] is not None} == set(range(30, 42))
+    assert {r["doc_id"] for r in found if r["_hash"] is not None} == {39, 40, 41}
+
+
 def test_boilerplate_goes_and_one_text_keeps_it(spark):
     notice = "This notice stands under every page of the site"
     rows = [(i, words(50, 100 + i) + "\n" + notice, "h", 0) for i in range(40)]
