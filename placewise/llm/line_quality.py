@@ -2,9 +2,10 @@
 
 Every text is measured once into a short row: counts for the base rules, and
 hash and words of each normalised line.  Lines are counted by distinct texts
-per host, so copies of a text count once.  A line in more texts than the limit
-is boilerplate and is removed from all of them but one, that with the least
-content key; a document most of whose words go with such lines is rejected.
+per host, so copies of a text count once.  A line in more than a share of the
+host's texts, and in more than a few, is boilerplate and is removed from all of
+them.  A document is rejected if most of its words go with such lines, or if
+fewer words are left than a document must have.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ MIN_WORDS = 20
 WINDOW = 8
 #: Percent of words in windows found twice or more.
 MAX_REPEATED = 30
-#: A line in more distinct texts of a host than this is boilerplate.
-MAX_TEXTS = 30
+#: A line in more distinct texts of a host than this, and in more than this percent of them, is boilerplate.
+MAX_TEXTS, MAX_SHARE = 10, 10
 #: Percent of a document's words in removed lines beyond which it is depleted.
 MAX_REMOVED = 80
 #: What parts words, and the signs that count as symbols.
@@ -104,7 +105,18 @@ def measured(rows: DataFrame) -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
-def removed_lines(base: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+def frequent_lines(texts: DataFrame, max_texts: int = MAX_TEXTS, max_share: int = MAX_SHARE) -> DataFrame:
+    """(host, hash) of the lines in more than ``max_texts`` distinct texts of a host and more than ``max_share`` percent of them."""
+    seen = texts.select("host", "content", F.explode(F.array_distinct("lines.hash")).alias("hash"))
+    # Lines in a few texts go before hosts are looked at.
+    counted = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") > max_texts)
+    # Only hosts of so many texts that the share decides; one short row each.
+    hosts = written(texts.groupBy("host").agg(F.count("*").alias("texts")).where(max_share * F.col("texts") > 100 * max_texts), "hosts")
+    wide = F.col("texts").isNull() | (100 * F.col("n") > max_share * F.col("texts"))
+    return counted.join(hosts, "host", "left").where(wide).select("host", "hash")
+
+
+def removed_lines(base: DataFrame, max_texts: int = MAX_TEXTS, max_share: int = MAX_SHARE) -> DataFrame:
     """(host, content, n_words, base_failed, removed, hashes) per distinct text that loses lines.
 
     ``removed`` counts the words lost, ``hashes`` lists the lines.
@@ -115,14 +127,10 @@ def removed_lines(base: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
         ),
         "texts",
     )
-    seen = texts.select("host", "content", F.explode(F.array_distinct("lines.hash")).alias("hash"))
-    frequent = written(
-        seen.groupBy("host", "hash").agg(F.count("*").alias("n"), F.min("content").alias("keeper")).where(F.col("n") > max_texts),
-        "frequent",
-    )
+    frequent = written(frequent_lines(texts, max_texts, max_share), "frequent")
     every = texts.select("host", "content", "n_words", "base_failed", F.inline("lines"))
     # Written, so Catalyst broadcasts the frequent lines if they are few and else splits the skewed side.
-    lost = every.join(frequent.drop("n"), ["host", "hash"]).where("content != keeper")
+    lost = every.join(frequent, ["host", "hash"])
     return lost.groupBy("host", "content").agg(
         F.first("n_words").alias("n_words"),
         F.first("base_failed").alias("base_failed"),
@@ -132,10 +140,11 @@ def removed_lines(base: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
 
 
 def _depleted() -> Column:
-    return 100 * F.col("removed") > MAX_REMOVED * F.col("n_words")
+    """For texts that lose lines: too much is gone, or too little is left."""
+    return (100 * F.col("removed") > MAX_REMOVED * F.col("n_words")) | (F.col("n_words") - F.col("removed") < MIN_WORDS)
 
 
-def quality_rules(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+def quality_rules(docs: DataFrame, max_texts: int = MAX_TEXTS, max_share: int = MAX_SHARE) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, removed_words, kept.
 
     ``kept`` is false where the base rules fail or the document is depleted.  A
@@ -143,7 +152,7 @@ def quality_rules(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     empty table gives no row.
     """
     base = written(measured(docs.select("doc_id", "text", "source")), "measured")
-    lost = written(removed_lines(base, max_texts).select("host", "content", "removed"), "lost")
+    lost = written(removed_lines(base, max_texts, max_share).select("host", "content", "removed"), "lost")
     joined = base.join(lost, ["host", "content"], "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     return joined.select(
         "doc_id",
@@ -158,14 +167,14 @@ def quality_rules(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
     )
 
 
-def quality_filter(docs: DataFrame, max_texts: int = MAX_TEXTS) -> DataFrame:
+def quality_filter(docs: DataFrame, max_texts: int = MAX_TEXTS, max_share: int = MAX_SHARE) -> DataFrame:
     """The documents kept, with all their columns, without the lines removed.
 
     Where lines go, ``text`` is what remains and ``n_chars``, if there is such a
     column, its length; all else stays as it is.
     """
     base = written(measured(docs.select("text", "source")).drop("word_chars", "n_symbols", "n_dup_lines"), "measured")
-    lost = removed_lines(base, max_texts)
+    lost = removed_lines(base, max_texts, max_share)
     failed = base.where("base_failed").select("host", "content").distinct()
     verdicts = written(
         lost.where("NOT base_failed")

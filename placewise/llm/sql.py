@@ -30,12 +30,16 @@ WITH d AS (
     SELECT rid, source, substr(md5(t), 1, 15) AS content, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n,
            {_lower(r"trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')")} AS line
     FROM (SELECT rid, source, t, unnest(ls) AS x FROM w)
+), hosts AS (
+    SELECT source, count(DISTINCT substr(md5(t), 1, 15)) AS texts FROM d GROUP BY source
+), counted AS (
+    SELECT source, line, count(DISTINCT content) AS n FROM lines GROUP BY source, line
 ), frequent AS (
-    SELECT source, line, min(content) AS keeper FROM lines GROUP BY source, line
-    HAVING count(DISTINCT content) > {line_quality.MAX_TEXTS}
+    SELECT c.source, line FROM counted c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
+    WHERE n > {line_quality.MAX_TEXTS} AND 100 * n > {line_quality.MAX_SHARE} * texts
 ), lost AS (
     SELECT l.rid, sum(l.n) AS n FROM lines l JOIN frequent f ON l.line = f.line AND l.source IS NOT DISTINCT FROM f.source
-    WHERE l.content <> f.keeper GROUP BY l.rid
+    GROUP BY l.rid
 ), base AS (
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
            (length(t) - length(translate(t, '{line_quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
@@ -45,7 +49,8 @@ WITH d AS (
 )
 SELECT *, n_words < {line_quality.MIN_WORDS} OR 100 * n_repeat_words > {line_quality.MAX_REPEATED} * n_words AS base_failed,
        NOT (n_words < {line_quality.MIN_WORDS} OR 100 * n_repeat_words > {line_quality.MAX_REPEATED} * n_words)
-       AND NOT 100 * removed_words > {line_quality.MAX_REMOVED} * n_words AS kept
+       AND NOT 100 * removed_words > {line_quality.MAX_REMOVED} * n_words
+       AND n_words - removed_words >= {line_quality.MIN_WORDS} AS kept
 FROM base
 """
 

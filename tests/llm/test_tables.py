@@ -268,23 +268,37 @@ def test_hashes_are_taken_of_survivors_only(spark):
     assert {r["doc_id"] for r in found if r["_hash"] is not None} == {39, 40, 41}
 
 
-def test_boilerplate_goes_and_one_text_keeps_it(spark):
+def test_boilerplate_goes(spark):
     notice = "This notice stands under every page of the site"
     rows = [(i, words(50, 100 + i) + "\n" + notice, "h", 0) for i in range(40)]
     rows += [(100 + i, notice + "\n" + notice.upper() + "\n" + notice + "  \nown word " + str(i), "h", 0) for i in range(5)]
+    # Most words stay, yet fewer than twenty.
+    rows += [(110, words(19, 8) + "\n" + notice, "h", 0), (111, words(20, 7) + "\n" + notice, "h", 0)]
     rows += [(200, notice * 3, "other", 0), (201, words(30, 9) + "\n" + notice, None, 0)]
+    # Copies of one text count once, however many.
+    rows += [(300 + i, words(60, 6), "h", 0) for i in range(100)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     verdict = {r["doc_id"]: r for r in line_quality.quality_rules(docs).collect()}
-    assert all(verdict[i]["kept"] for i in range(40))
-    # One text may keep the line.
-    assert sum(not verdict[100 + i]["kept"] for i in range(5)) >= 4
+    assert all(verdict[i]["kept"] for i in [*range(40), 111, *range(300, 400)])
+    assert not any(verdict[i]["kept"] for i in [*range(100, 105), 110])
     assert verdict[201]["removed_words"] == 0
     kept = {r["doc_id"]: r for r in line_quality.quality_filter(docs).collect()}
     assert set(kept) == {i for i, r in verdict.items() if r["kept"]}
-    assert sum(notice in kept[i]["text"] for i in range(40)) <= 1
-    assert all(kept[i]["text"].startswith(words(50, 100 + i)) for i in range(40))
-    assert all(kept[i]["n_chars"] == len(kept[i]["text"]) for i in range(40) if notice not in kept[i]["text"])
-    assert kept[201]["text"] == rows[-1][1] and kept[201]["n_chars"] == 0
+    assert all(kept[i]["text"] == words(50, 100 + i) and kept[i]["n_chars"] == len(kept[i]["text"]) for i in range(40))
+    assert kept[201]["text"] == rows[48][1] and kept[201]["n_chars"] == 0
+
+
+def test_line_limit_follows_the_host(spark):
+    """A line in an eighth of the texts goes from a host of any size, one in a twentieth stays."""
+    rows = []
+    for n, host in ((96, "small"), (960, "large")):
+        for i in range(n):
+            often, seldom = ["\nan eighth of all"] * (i % 8 == 0), ["\na twentieth of all"] * (i % 20 == 0)
+            rows.append((len(rows), words(25, len(rows)) + "".join(often + seldom), host))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    removed = {r["doc_id"]: r["removed_words"] for r in line_quality.quality_rules(docs).collect()}
+    assert {i for i, n in removed.items() if n} == {i for i, r in enumerate(rows) if "eighth" in r[1]}
+    assert set(removed.values()) == {0, 4}
 
 
 def test_quality_filter_keeps_columns(spark, docs):
