@@ -144,3 +144,13 @@ def test_a_window_of_six_years(spark):
     df = spark.createDataFrame([(m,) for m in months], "month int").withColumn("half", F.col("month") % 2)
     parts = df.groupBy("half").agg(*registry.month_words(window))
     assert parts.agg(registry.months_seen(window).alias("n")).first().n == 72
+
+
+def test_each_spelling_of_a_place_is_cleaned_once(spark):
+    rows = [("Łódź", "a", "b", n) for n in range(5)] + [("LODZ", "a", "b", 9), ("Kraków", "a", None, 0), ("Kraków", "a", "b", 7), (None, "a", "b", None), ("nan", "a", "c", 3)]
+    geo = spark.createDataFrame(rows, "place_name string, admin_name1 string, admin_name2 string, row_no long")
+    found = registry.unambiguous_city_county(geo)
+    # The first row of Kraków has no county; a missing name and "nan" are one, in two counties.
+    assert [tuple(r) for r in found.collect()] == [("LODZ", "a|b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[place_name" in plan  # counted by spelling before any is cleaned
