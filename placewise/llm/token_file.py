@@ -25,7 +25,7 @@ from placewise.llm.tokens import encoder
 
 END_ID = 0
 BLOCK_IDS = 1 << 16
-LANE = 128
+LANE = 64
 MAX_BITS = 18
 
 
@@ -95,16 +95,19 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes
     """The bits of the ids, high bit first, and the bit offset of every lane."""
     if not len(ids):
         return b"", b""
-    bits = lengths[ids].astype(np.int64)
+    bits = lengths.take(ids).astype(np.int64)
     ends = np.cumsum(bits)
     begins = ends - bits
     words = np.zeros(int(ends[-1] + 31 >> 5) + 1, dtype=np.uint64)
     # A word of up to 32 bits lies in at most two 32-bit cells; no two share a bit, so adding joins them.
-    placed = codes[ids].astype(np.uint64) << (64 - bits - (begins & 31)).astype(np.uint64)
+    placed = codes.take(ids).astype(np.uint64)
+    placed <<= (64 - bits - (begins & 31)).view(np.uint64)
     cell = begins >> 5
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    first = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+    first = np.concatenate([[0], first])
     words[cell[first]] += np.add.reduceat(placed >> np.uint64(32), first)
-    words[cell[first] + 1] += np.add.reduceat(placed & np.uint64(0xFFFFFFFF), first)
+    placed &= np.uint64(0xFFFFFFFF)
+    words[cell[first] + 1] += np.add.reduceat(placed, first)
     payload = words.astype(">u4").tobytes()[: int(ends[-1] + 7 >> 3)]
     return payload, begins[::LANE].astype("<u4").tobytes()
 
@@ -116,30 +119,33 @@ def unpack(payload: bytes, lanes: bytes, n_ids: int, lookup: np.ndarray, top: in
     raw = np.frombuffer(payload + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
     cells = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at = np.frombuffer(lanes, dtype="<u4").astype(np.int64)
-    last = len(cells) - 1
     out = np.empty((LANE, len(at)), dtype="<u4")
-    down = 32 - top
+    down = np.uint32(32 - top)
     for step in range(LANE):
-        window = cells[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32) >> np.uint32(down)
-        entry = lookup[window]
-        out[step] = entry >> np.uint32(5)
-        at += entry & np.uint32(31)
+        # Lanes past the end of a block read its last cell.
+        window = cells.take(at >> 3, mode="clip")
+        window <<= (at & 7).astype(np.uint32)
+        window >>= down
+        entry = lookup.take(window)
+        np.right_shift(entry, np.uint32(5), out=out[step])
+        entry &= np.uint32(31)
+        at += entry
     return out.T.reshape(-1)[:n_ids]
 
 
 # -- the tables -------------------------------------------------------------------
 
-_BLOCK = "part int, start_in_part long, doc_id array<long>, n_tokens array<long>, ids binary"
+_BLOCK = "part int, start_in_part long, n_ids long, doc_id array<long>, n_tokens array<long>, ids binary, counts binary"
 _FILE = "start long, n_ids long, doc_id array<long>, n_tokens array<long>, payload binary, lanes binary"
 _DOCUMENT = "doc_id long, start long, n_tokens long, ids binary"
 
 
-def _long_lists(rows: list[list]) -> pa.Array:
-    return pa.array(rows, type=pa.list_(pa.int64()))
-
-
 def encoded_blocks(docs: DataFrame, vocabulary: str, spaced: bool = True) -> DataFrame:
-    """Blocks of raw ids in ascending doc_id order; ``part`` numbers the ranges."""
+    """Blocks of raw ids in ascending doc_id order; ``part`` numbers the ranges.
+
+    Ids take two bytes where the vocabulary allows it.  The last block of a range
+    has the counts of the range's ids, so that none of them is read to be counted.
+    """
     ordered = (
         ship(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
         .repartitionByRange("doc_id", "tie")
@@ -150,43 +156,49 @@ def encoded_blocks(docs: DataFrame, vocabulary: str, spaced: bool = True) -> Dat
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, part = encoder(vocabulary, spaced), TaskContext.get().partitionId()
-        docs_, sizes, held, n, start = [], [], [], 0, 0
+        width = "<u2" if len(tool.edge) <= 1 << 16 else "<u4"
+        total = np.zeros(len(tool.edge), dtype=np.int64)
+        docs_, sizes, held, n, start, ready = [], [], [], 0, 0, None
 
-        def block() -> pa.RecordBatch:
+        def block() -> list:
+            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            np.add(total, np.bincount(ids, minlength=len(total)), out=total)
+            return [part, start, len(ids), docs_, sizes, ids.astype(width).tobytes()]
+
+        def row(block: list, counts: bytes | None) -> pa.RecordBatch:
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([start], pa.int64()), _long_lists([docs_]), _long_lists([sizes]),
-                 pa.array([b"".join(held)], pa.binary())],
-                names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],
-            )
+                [pa.array([v], k) for v, k in zip([*block, counts], kinds, strict=True)],
+                names=["part", "start_in_part", "n_ids", "doc_id", "n_tokens", "ids", "counts"],
+            )
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tool.ids(text.as_py()) + end
-                docs_.append(doc)
-                sizes.append(len(ids) // 4)
-                held.append(ids)
-                n += len(ids) // 4
                 if n >= BLOCK_IDS:
-                    yield block()
+                    if ready:
+                        yield row(ready, None)
+                    ready = block()
                     docs_, sizes, held, n, start = [], [], [], 0, start + n
+                ids = tool.ids(text.as_py())
+                size = len(ids) // 4 + 1
+                docs_.append(doc)
+                sizes.append(size)
+                held += ids, end
+                n += size
+        if ready:
+            yield row(ready, None)
         if docs_:
-            yield block()
+            yield row(block(), total.tobytes())
 
     return ordered.mapInArrow(encode, _BLOCK)
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, dtype=np.int64)
     for batch in batches:
         for cell in batch.column(0):
-            found = np.bincount(np.frombuffer(cell.as_py(), dtype="<u4"))
-            if len(found) > len(total):
-                found[: len(total)] += total
-                total = found
-            else:
-                total[: len(found)] += found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+            total = np.frombuffer(cell.as_buffer(), dtype=np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
 def write_token_file(docs: DataFrame, path: str, vocabulary: str, spaced: bool = True) -> None:
@@ -199,25 +211,26 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, spaced: bool =
     spark = docs.sparkSession
     raw = written(encoded_blocks(docs, vocabulary, spaced), "token-blocks")
     # At most one row per vocabulary entry.
-    counted = raw.select("ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = raw.where("counts IS NOT NULL").select("counts").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in counted), default=-1) + 1, dtype=np.int64)
     for row in counted:
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts, max(MAX_BITS, int(len(counts)).bit_length()))
     codes = canonical(lengths)
     # One row per range of the shuffle.
-    totals = raw.groupBy("part").agg(F.sum(F.octet_length("ids") / 4).cast("long").alias("n")).orderBy("part").collect()
+    totals = raw.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     offsets = dict(zip([r["part"] for r in totals], np.cumsum([0, *[r["n"] for r in totals]]).tolist()))
 
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                part, start, doc, sizes, ids = (batch.column(c)[i] for c in range(5))
-                found = np.frombuffer(ids.as_py(), dtype="<u4")
+                part, start, n, doc, sizes, ids = (batch.column(c)[i] for c in range(6))
+                data = ids.as_buffer()
+                found = np.frombuffer(data, dtype="<u2" if data.size == 2 * n.as_py() else "<u4")
                 payload, lanes = pack(found, codes, lengths)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([offsets[part.as_py()] + start.as_py()], pa.int64()), pa.array([len(found)], pa.int64()),
-                     _long_lists([doc.as_py()]), _long_lists([sizes.as_py()]), pa.array([payload], pa.binary()),
+                     batch.column(3).slice(i, 1), batch.column(4).slice(i, 1), pa.array([payload], pa.binary()),
                      pa.array([lanes], pa.binary())],
                     names=["start", "n_ids", "doc_id", "n_tokens", "payload", "lanes"],
                 )
@@ -226,7 +239,7 @@ def write_token_file(docs: DataFrame, path: str, vocabulary: str, spaced: bool =
     book = [(int(i), int(lengths[i])) for i in used]
     spark.createDataFrame(book, "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
     # The payload is already dense.
-    raw.mapInArrow(squeeze, _FILE).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    raw.drop("counts").mapInArrow(squeeze, _FILE).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop_written(raw)
 
 
@@ -243,11 +256,12 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 start, n_ids, docs, sizes, payload, lanes = (batch.column(c)[i] for c in range(6))
                 data = unpack(payload.as_py(), lanes.as_py(), n_ids.as_py(), lookup, top).tobytes()
-                n = np.asarray(sizes.as_py(), dtype=np.int64)
+                n = sizes.values.to_numpy()
                 ends = np.cumsum(n)
+                places = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [docs.values, pa.array(start.as_py() + ends - n), pa.array(n),
-                     pa.array([data[4 * a : 4 * b] for a, b in zip(ends - n, ends)], pa.binary())],
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(data)])],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -87,6 +87,20 @@ def test_token_file(spark, docs, tmp_path):
     assert ids == sorted(ids)
 
 
+@needs_tokenizers
+def test_blocks_are_narrow_and_counted_as_they_are_made(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_file, "BLOCK_IDS", 64)
+    blocks = token_file.encoded_blocks(docs, tokenizer_path("byte_bpe_50k.json")).collect()
+    assert len(blocks) > len({b["part"] for b in blocks})
+    assert all(len(b["ids"]) == 2 * b["n_ids"] == 2 * sum(b["n_tokens"]) for b in blocks)
+    for part in {b["part"] for b in blocks}:
+        held = sorted((b for b in blocks if b["part"] == part), key=lambda b: b["start_in_part"])
+        assert [b["counts"] is None for b in held] == [True] * (len(held) - 1) + [False]
+        counts = np.frombuffer(bytes(held[-1]["counts"]), dtype=np.int64)
+        ids = np.frombuffer(b"".join(bytes(b["ids"]) for b in held), dtype="<u2")
+        assert (np.bincount(ids, minlength=len(counts)) == counts).all()
+
+
 def test_code_is_best_and_limited():
     rng = np.random.default_rng(0)
     for n, limit in ((1, 18), (2, 18), (300, 9), (5000, 18)):
