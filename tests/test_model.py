@@ -106,3 +106,29 @@ def test_no_training_rows(cells):
     # The second population is empty here.
     scores = {r.population: r for r in model.evaluate(cells, 1, 1000, **GBT).collect()}
     assert scores["all shops, at least 1000"].cells == 0 and scores["full-year shops, at least 1"].cells > 0
+
+
+def test_fit_without_training_rows(cells):
+    other = cells.withColumn("mrch_catg_cd", F.lit(None).cast("int"))
+    for train in (cells.where("false"), cells.withColumn("revenue", F.lit(None).cast("double")), other):
+        fitted = model.fit_revenue(train, "revenue", **GBT)
+        assert fitted.trees is None and not fitted.scale
+        rows = fitted.score(cells).collect()
+        assert len(rows) == 120 and all(r.med is None and r.pred_y is None and r.predicted_revenue is None for r in rows)
+        assert fitted.score(cells.where("false")).count() == 0
+    like = model.fit_revenue(cells, "revenue", **GBT).score(cells)
+    assert fitted.score(cells).dtypes == like.dtypes
+
+
+def test_fit_of_few_rows(cells):
+    """One, two or three rows, which the draws of a tree may leave out altogether."""
+    for n in (1, 2, 3):
+        train = cells.where("revenue IS NOT NULL").orderBy("pc5", "mrch_catg_cd").limit(n)
+        scored = model.fit_revenue(train, "revenue", maxIter=4, minInstancesPerNode=1).score(train).collect()
+        assert len(scored) == n and all(r.predicted_revenue > 0 for r in scored)
+
+
+def test_predictions_without_categories(cells):
+    other = cells.withColumn("mrch_catg_cd", F.lit(None).cast("int"))
+    rows = model.predict_all(other, folds=3, min_full_year=5, **GBT).collect()
+    assert len(rows) == 120 and all(r.predicted_revenue is None for r in rows)
